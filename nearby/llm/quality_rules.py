@@ -35,7 +35,7 @@ def rules(m: dict[str, Column]) -> dict[str, Column]:
         "few_words": words < 20,
         "repeated_words": 100 * m["n_repeat_words"] > 30 * words,
         "symbols": 5 * m["n_symbols"] > words,
-        "duplicate_lines": 10 * m["n_dup_lines"] > 3 * m["n_lines"],
+        "duplicate_lines": 2 * m["n_dup_lines"] > m["n_lines"],
         "short_words": m["word_chars"] < 2 * words,
         "long_words": m["word_chars"] > 16 * words,
         "capitals": 2 * m["n_capitals"] > m["word_chars"],
@@ -168,7 +168,7 @@ m as (
   from base b left join covered c using (doc_id)),
 f as (
   select *, (n_words < 20)::bigint * 1 + (100 * n_repeat_words > 30 * n_words)::bigint * 2 + (5 * n_symbols > n_words)::bigint * 4
-    + (10 * n_dup_lines > 3 * n_lines)::bigint * 8 + (word_chars < 2 * n_words)::bigint * 16 + (word_chars > 16 * n_words)::bigint * 32
+    + (2 * n_dup_lines > n_lines)::bigint * 8 + (word_chars < 2 * n_words)::bigint * 16 + (word_chars > 16 * n_words)::bigint * 32
     + (2 * n_capitals > word_chars)::bigint * 64 + (3 * n_bangs > n_words)::bigint * 128 + (n_words > 1000000)::bigint * 256 as failures
   from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
