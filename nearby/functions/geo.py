@@ -15,7 +15,8 @@ MILES_PER_DEGREE = 69.172
 def arc(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """The angle between two points in radians. Null if any coordinate is."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # least() alone would pass over a null
+    return F.when(h.isNotNull(), 2 * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

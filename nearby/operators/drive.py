@@ -88,7 +88,8 @@ def detour_minutes(candidates: DataFrame, legs: DataFrame) -> DataFrame:
     j = candidates.join(leg("to"), (F.col("here") == F.col("to_o")) & (F.col("id") == F.col("to_t")), "left")
     j = j.join(leg("on"), (F.col("id") == F.col("on_o")) & (F.col("goal") == F.col("on_t")), "left")
     j = j.join(leg("direct"), (F.col("here") == F.col("direct_o")) & (F.col("goal") == F.col("direct_t")), "left")
-    extra = F.greatest(F.lit(0.0), (F.col("to") + F.col("on") - F.col("direct")) / 60)
+    minutes = (F.col("to") + F.col("on") - F.col("direct")) / 60
+    extra = F.when(minutes.isNotNull(), F.greatest(F.lit(0.0), minutes))
     return j.select(*candidates.columns, F.coalesce(extra, F.lit(float("inf"))).alias("detour"))
 
 

@@ -1,8 +1,9 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL. Importing a module of queries registers them."""
 
 from __future__ import annotations
 
-from nearby.plans import queries_search
+from nearby.plans import queries_places, queries_search
 
-QUERIES = {**queries_search.Q}
-ORACLES = {**queries_search.SQL}
+MODULES = (queries_search, queries_places)
+QUERIES = queries_search.Q
+ORACLES = queries_search.SQL

@@ -44,7 +44,8 @@ def now():
 
 
 def haversine(a: str, b: str, c: str, d: str, radius: float = 3958.8) -> str:
-    return f"2 * {radius} * asin(least(1.0, sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
+    h = f"sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))"
+    return f"2 * {radius} * asin(case when {h} > 1 then 1.0 else {h} end)"
 
 
 def listings(s: SparkSession, d: str) -> DataFrame:
