@@ -153,16 +153,16 @@ def split_location(line: Column) -> Column:
     """struct(venue, city) of a free location line; the town is the part before a state."""
     parts = F.filter(F.transform(F.split(F.coalesce(line, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
     at = F.array_position(F.transform(parts, lambda p, i: has(p, r"^(NY|New York|NJ|CT|MA|PA)$") & (i > 0)), True).cast("int")
-    town, state = F.element_at(parts, F.greatest(at - 1, F.lit(1))), F.upper(F.element_at(parts, F.greatest(at, F.lit(1))))
+    town, state = F.get(parts, at - 2), F.upper(F.get(parts, at - 1))
     city = F.when(at > 1, F.when(has(town, r"\d"), town).otherwise(F.concat_ws(", ", town, F.when(state == "NEW YORK", "NY").otherwise(state))))
-    return F.struct(F.when(F.size(parts) > 0, F.element_at(parts, 1)).alias("venue"), city.alias("city"))
+    return F.struct(F.get(parts, 0).alias("venue"), city.alias("city"))
 
 
 def split_postal(line: Column) -> Column:
     """struct(street, city, state) of "street, city, ST zip"."""
     parts = F.filter(F.transform(F.split(line, ","), lambda p: F.trim(p)), lambda p: p != "")
     n = F.size(parts)
-    state = F.nullif(F.regexp_extract(F.element_at(parts, F.lit(-1)), r"^([A-Z]{2})(?:\s+\d{5}(?:-\d{4})?)?$", 1), F.lit(""))
+    state = F.nullif(F.regexp_extract(F.get(parts, n - 1), r"^([A-Z]{2})(?:\s+\d{5}(?:-\d{4})?)?$", 1), F.lit(""))
     city_at = F.when(state.isNotNull(), n - 1).otherwise(n)
     street = F.when(city_at > 1, F.array_join(F.slice(parts, F.lit(1), F.greatest(city_at - 1, F.lit(1))), ", "))
     return F.struct(street.alias("street"), F.when(city_at >= 1, F.get(parts, city_at - 1)).alias("city"), state.alias("state"))

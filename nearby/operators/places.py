@@ -30,7 +30,7 @@ def osm_places(elements: DataFrame) -> DataFrame:
     df = elements.withColumn("kinds", classify_tags(t)).where("size(kinds) > 0")
     lat, lon = F.coalesce("lat", F.col("center.lat")), F.coalesce("lon", F.col("center.lon"))
     out = df.select(
-        F.concat_ws("-", F.lit("osm"), "type", F.col("id").cast("string")).alias("id"), first("name").alias("name"), F.element_at("kinds", 1).alias("kind"), "kinds",
+        F.concat_ws("-", F.lit("osm"), "type", F.col("id").cast("string")).alias("id"), first("name").alias("name"), F.get("kinds", 0).alias("kind"), "kinds",
         F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), first("addr:city").alias("city"), address.alias("address"),
         F.when(url.rlike("^https?://"), url).when(url.isNotNull(), F.concat(F.lit("https://"), url)).alias("url"), first("phone", "contact:phone").alias("phone"),
         first("opening_hours").alias("opening_hours"), first("brand").alias("brand"), t["second_hand"].isin("yes", "only").alias("second_hand"),
