@@ -158,9 +158,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Only ids and fingerprints take part in the search; rows then stay or go by a semi join on the id.
     """
     found = components(docs.select(id_col, text_col), id_col, text_col)
-    winners = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("winner")).agg(F.count("*").alias("n")).checkpoint()
-    by_id = F.col(id_col) == F.col("winner")
-    once = docs.join(winners.where("n = 1"), by_id, "left_semi")
+    winner, n = fresh("winner", docs.columns), fresh("n", docs.columns)
+    winners = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(winner)).agg(F.count("*").alias(n)).checkpoint()
+    by_id = F.col(id_col) == F.col(winner)
+    once = docs.join(winners.where(F.col(n) == 1), by_id, "left_semi")
     # Few rows, if any, repeat a winner's id; only those are shuffled whole.
-    repeated = docs.join(winners.where("n > 1"), by_id, "left_semi").dropDuplicates([id_col])
+    repeated = docs.join(winners.where(F.col(n) > 1), by_id, "left_semi").dropDuplicates([id_col])
     return once.union(repeated).union(docs.where(F.col(id_col).isNull()))

@@ -111,7 +111,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, lists: int = LISTS,
         cols: list[list[np.ndarray]] = [[], [], [], []]
         if left.num_rows and right.num_rows:
             ids, asked, parts, own = sides(left, right)
-            cut = np.array([worst if c is None else c for c in right["cutoff"].to_pylist()])
+            cut = np.array([worst // 4 if c is None else c for c in right["cutoff"].to_pylist()])  # under any part
             for at, part in enumerate(parts):
                 # part * lists >= cutoff, without overflow
                 i, j = np.nonzero((part >= -(-cut // lists)[:, None]) & ~own)
