@@ -202,12 +202,10 @@ WEEK = search.Query(radius=60, horizon=30, price_cap=150.0, seniors=False)
 PASS = "audience <> 'seniors' and (price_min is null or price_min <= 150) and miles <= 60 and datediff('day', now::date, day) between 0 and 30"
 
 
-@query("search_listings", f"with {LIVE}, b as ({BASE}) select id, title, day::varchar as day, next_at, round(miles, 6) as miles, price_min, row_number() over (order by day, when_key, miles, id) as pos from b where {PASS}", "v_listings", "v_decisions", "v_muted")
+@query("search_listings", f"with {LIVE}, b as ({BASE}) select id, title, day::varchar as day, next_at, round(miles, 6) as miles, price_min from b where {PASS}", "v_listings", "v_decisions", "v_muted")
 def _(s, d):
-    from pyspark.sql import Window
-
     found = search.search_listings(live(s, d), WEEK, now(), view(s, d, "v_decisions"), view(s, d, "v_muted"))
-    return found.withColumn("pos", F.row_number().over(Window.orderBy(*search.order_keys("soonest")))).select("id", "title", "day", "next_at", F.round("miles", 6).alias("miles"), "price_min", "pos")
+    return found.select("id", "title", "day", "next_at", F.round("miles", 6).alias("miles"), "price_min")
 
 
 @query("search_weekend", f"with {LIVE}, b as ({BASE}) select id, day::varchar as day from b where not repeats and day <= date '1995-06-18' and coalesce(end_at::date, day) >= date '1995-06-17'", "v_listings", "v_decisions", "v_muted")

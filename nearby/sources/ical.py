@@ -11,7 +11,7 @@ def unfold(body: Column) -> Column:
 
 
 def unescape(value: Column) -> Column:
-    """Text values: \\n, \\, \; and \\\\."""
+    """Text values: escaped line ends, commas, semicolons and backslashes."""
     v = F.regexp_replace(F.regexp_replace(value, r"\\\\", "\u0001"), r"\\[nN]", "\n")
     return F.replace(F.regexp_replace(v, r"\\([,;])", "$1"), F.lit("\u0001"), F.lit("\\"))
 

@@ -32,7 +32,7 @@ def fold(line: Column, width: int = 74) -> Column:
 
 def escape(text: Column) -> Column:
     t = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
-    for a, b in ((";", "\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
+    for a, b in ((";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
         t = F.replace(t, F.lit(a), F.lit(b))
     return t
 
