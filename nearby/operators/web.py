@@ -123,3 +123,14 @@ def audit_domains(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 def audit_report(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def offsite_calendars(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, href) of links from a page to a calendar service elsewhere."""
+    services = r"^https?://([^/]+\.)?(calendar\.google\.com/calendar|eventbrite\.com/(e|o)/|meetup\.com/|libcal\.com|ticketmaster\.com/)"
+    return links(pages, key).where(~F.col("same_site") & X.has(F.col("href"), services)).select(key, "href").distinct()
+
+
+def venue_domains(places: DataFrame) -> DataFrame:
+    """(domain, id): sites of places, each with its first place (smallest id)."""
+    return places.select(X.domain_of(F.col("url")).alias("domain"), "id").where("domain is not null").groupBy("domain").agg(F.min("id").alias("id"))

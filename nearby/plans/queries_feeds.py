@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from nearby.operators import quality, web
 from nearby.plans.fixtures import view
 from nearby.plans.queries_search import NOW, listings, query
-from nearby.sources import ical, shapes, sinks
+from nearby.sources import ical, jsonld, shapes, sinks
 
 
 def payloads(s, d, item, wrap, where="o_orderkey % 20 = 0"):
@@ -155,3 +155,42 @@ def _(s, d):
 def _(s, d):
     found = quality.check_listings(listings(s, d).withColumn("audience", F.when(F.col("audience") == "seniors", "old").otherwise(F.col("audience"))).drop("cadence", "repeats", "types").withColumn("cadence", F.lit("x")).withColumn("repeats", F.lit(False)), F.lit("2002-01-01").cast("date"), 41.5, -73.9, 500)
     return found.groupBy("severity", "rule").agg(F.count("*").alias("n"))
+
+
+@query("embedded_json", "select page_id, 'n' || page_id as name, page_id % 5 as k from pages")
+def _(s, d):
+    n = F.col("page_id").cast("string")
+    script = F.concat(F.lit('<script>window.__SERVER_DATA__ = {"name":"n'), n, F.lit('","odd":"}; {","k":'), (F.col("page_id") % 5).cast("string"), F.lit("};</script><script>var x = {};</script>"))
+    out = jsonld.embedded_json(view(s, d, "pages").withColumn("html", F.concat("html", script)), "__SERVER_DATA__")
+    return out.select("page_id", F.try_variant_get("payload", "$.name", "string").alias("name"), F.try_variant_get("payload", "$.k", "bigint").alias("k"))
+
+
+@query("best_feed", "select domain, arg_min(path, (-n, pos)) as path, max(n) as n_future from (select concat('d', c_custkey % 50) as domain, concat('/feed', c_custkey % 7) as path, c_custkey as pos, c_custkey % 13 as n from customer) group by 1")
+def _(s, d):
+    c = view(s, d, "customer")
+    k = F.col("c_custkey")
+    return web.best_feed(c.select(F.concat(F.lit("d"), (k % 50).cast("string")).alias("domain"), F.concat(F.lit("/feed"), (k % 7).cast("string")).alias("path"), k.alias("path_pos"), (k % 13).alias("n_future")))
+
+
+@query("venue_domains", "select concat('site', c_custkey % 300, '.example.com') as domain, min(id) as id from v_places where url is not null group by 1", "v_places")
+def _(s, d):
+    return web.venue_domains(view(s, d, "v_places"))
+
+
+@query("directory_round_trip", "select id, kind = 'restaurant' as is_food, brand from v_places", "v_places")
+def _(s, d):
+    from uuid import uuid4
+
+    from nearby.plans.session import shared_dir
+
+    p = view(s, d, "v_places").select("id", "name", "kind", "lat", "lon", "brand", "city")
+    folder = f"{shared_dir(s).rstrip('/')}/directory-{uuid4().hex}"
+    sinks.write_places(p, folder)
+    return sinks.read_items(s, folder, "id string, name string, kind string, lat double, lon double, brand string, city string, is_food boolean").select("id", "is_food", "brand")
+
+
+@query("offsite_calendars", "select page_id, 'https://calendar.google.com/calendar/embed?src=' || page_id as href from pages where page_id % 4 = 0")
+def _(s, d):
+    a = F.concat(F.lit('<a class="x" href="https://calendar.google.com/calendar/embed?src='), F.col("page_id").cast("string"), F.lit('">Our calendar</a>'))
+    p = view(s, d, "pages").withColumn("html", F.when(F.col("page_id") % 4 == 0, F.concat("html", a)).otherwise(F.col("html")))
+    return web.offsite_calendars(p)
