@@ -53,25 +53,67 @@ def unpack_head(raw: bytes) -> tuple[tuple[int, ...], bytes]:
     return tuple(fields), raw[HEAD.size :]
 
 
-@lru_cache(maxsize=2)
-def worker(path: str) -> tuple[WordCache, int]:
-    """A worker's cache of words encoded by the tokenizers library (little-endian 32-bit ids) and the vocabulary's size.
+class WordEncoder:
+    """Words to ids by the tokenizers library, as little-endian 32-bit numbers.
 
-    The vocabulary drops white space, so a text's ids are those of its words in a row.
+    The vocabulary drops white space, so a text's ids are those of its words in a row. It also lower-cases and
+    always cuts between letters and a full stop or comma at a word's end, so such words share their letters'
+    entry. Words of letters alone are one piece each and are encoded many at once, joined by line ends: the
+    token that ends a piece tells where a word's ids stop.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.no_padding()
-    t.no_truncation()
+    #: Letters whose lower case depends on what stands around them, or is more than one letter.
+    ODD = frozenset("Σİẞŉǰΐΰև")
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.t = Tokenizer.from_file(path)
+        self.t.no_padding()
+        self.t.no_truncation()
+        vocab = self.t.get_vocab(with_added_tokens=True)
+        self.size = len(vocab)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
+        self.letters = WordCache(self.joined, CACHE_ENTRIES)
+        self.marks = {m: self.each([m])[0] for m in ".,"}
+
+    def each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(words, add_special_tokens=False)]
+
+    def joined(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), 8192):
+            part = words[i : i + 8192]
+            ids = np.array(self.t.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            raw = ids.tobytes()
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                out += [raw[4 * x : 4 * y] for x, y in zip([0, *stops], stops)]
+            else:
+                out += self.each(part)
+        return out
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        cores, tails = [], []
+        for w in words:
+            core = w.lower()
+            tail = core[-1] if core[-1] in self.marks else ""
+            core = core[:-1] if tail else core
+            plain = core.isalpha() and self.ODD.isdisjoint(w)
+            cores.append(core if plain else None)
+            tails.append(self.marks.get(tail, b""))
+        known = self.letters.of({c for c in cores if c})
+        rest = iter(self.each([w for w, c in zip(words, cores) if not c]))
+        return [known[c] + t if c else next(rest) for c, t in zip(cores, tails)]
 
-    def encode(words: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(words), 4096):
-            for e in t.encode_batch_fast(words[i : i + 4096], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
 
-    return WordCache(encode, CACHE_ENTRIES), t.get_vocab_size(with_added_tokens=True)
+@lru_cache(maxsize=2)
+def worker(path: str) -> tuple[WordCache, int]:
+    """A Python worker's cache of encoded words and the vocabulary's size."""
+    encoder = WordEncoder(path)
+    return WordCache(encoder, CACHE_ENTRIES), encoder.size
 
 
 def split(text: str) -> list[str]:
