@@ -101,8 +101,10 @@ def date_mentions(text: Column) -> Column:
 
 def foreign_share(text: Column) -> Column:
     """The share of letters that aren't Latin."""
+    other = r"[\p{L}&&[^\p{IsLatin}]]"
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    return F.when(letters > 0, F.regexp_count(text, F.lit(r"[\p{L}&&[^\p{IsLatin}]]")) / letters).otherwise(0.0)
+    # most pages have no such letter, and counting all letters is dear
+    return F.when(text.rlike(other), F.regexp_count(text, F.lit(other)) / letters).otherwise(0.0)
 
 
 def audit_domains(pages: DataFrame, key: str = "page_id") -> DataFrame:
