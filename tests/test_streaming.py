@@ -48,3 +48,28 @@ def test_deck(spark):
     moves = run(spark, live.deck_stream(source(spark, df, "tick"), k=4), "deck").collect()
     size = sum(1 if m["move"] == "in" else -1 for m in moves)
     assert size == 4 and any(m["move"] == "out" for m in moves)
+
+
+def test_refresh(spark, tmp_path):
+    import datetime as dt
+
+    from nearby.functions import text as X
+
+    spark.conf.set("spark.sql.sources.default", "parquet")
+    schema = "id string, title string, lat double, lon double, start_at timestamp, end_at timestamp, pos long"
+    t = dt.datetime(2024, 1, 1)
+    held = [("l-1", "Big County Fair", 41.0, -73.0, t, None, 1), ("l-2", "Quiet Reading", 41.0, -73.0, t, None, 2)]
+    name = f"held_{abs(hash(str(tmp_path)))}"
+    spark.createDataFrame(held, schema).write.option("path", f"{tmp_path}/t").saveAsTable(name)
+    new = [("m-1", "Big County Fair (Part 2)", 41.001, -73.0, t, t + dt.timedelta(days=2), 3, t), ("m-3", "Film Night", 41.5, -73.5, t, None, 4, t)]
+    source = f"{tmp_path}/in"
+    spark.createDataFrame(new, schema + ", seen_at timestamp").write.parquet(source)
+    stream = spark.readStream.schema(schema + ", seen_at timestamp").parquet(source)
+    rich, order = (lambda: X.richness({"end": F.col("end_at")})), (lambda: F.col("pos"))
+    q = live.refresh_stream(stream, name, rich, order, ["end_at"], f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    rows = {r["id"]: (r["title"], r["end_at"]) for r in spark.table(name).collect()}
+    spark.sql(f"drop table {name}")
+    spark.sql(f"drop table if exists {name}_next")
+    # the richer report takes the place under the held id; the new one is appended
+    assert rows == {"l-1": ("Big County Fair (Part 2)", t + dt.timedelta(days=2)), "l-2": ("Quiet Reading", None), "m-3": ("Film Night", None)}
