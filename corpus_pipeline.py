@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearby.llm import bpe, mixing, quality_rules, simhash, toxicity
+from nearby.llm import bpe, mixing, near_copies, quality_rules, toxicity
 from nearby.llm.common import new_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,7 +27,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
