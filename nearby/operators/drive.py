@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearby.functions import geo
+from nearby.operators import spatial
 
 #: Miles moved before a bearing is trusted; miles an hour from which a stated heading is.
 LEAST_MOVE, LEAST_SPEED = 0.02, 5.0
@@ -67,9 +68,10 @@ def ahead_on_route(positions: DataFrame, located: DataFrame, detour: float = 20.
 
 
 def ahead_by_heading(positions: DataFrame, places: DataFrame, detour: float = 20.0, size: float = 0.5) -> DataFrame:
-    """car, id, ahead, off of places in the cone before cars (car, lat, lon, heading, speed). Cells are as wide as the farthest look."""
+    """car, id, ahead, off of places in the cone before cars (car, lat, lon, heading, speed). A car goes to all cells that its cone's far corner can lie in."""
     reach = look_ahead(F.col("speed"))
-    c = positions.where("heading is not null").select("car", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), "heading", reach.alias("reach"), F.explode(geo.around(geo.cell(F.col("lon"), size), geo.cell(F.col("lat"), size))).alias("c"))
+    far = F.hypot(reach, min(10.0, 0.35 * detour) + 0.15 * reach)
+    c = positions.where("heading is not null").select("car", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), "heading", reach.alias("reach"), F.explode(spatial.reach_cells(F.col("lat"), F.col("lon"), far, size)).alias("c"))
     p = places.select("id", "lat", "lon", geo.cell(F.col("lon"), size).alias("cx"), geo.cell(F.col("lat"), size).alias("cy"))
     met = p.join(c, (F.col("cx") == F.col("c.cx")) & (F.col("cy") == F.col("c.cy")))
     x, y = geo.planar_xy(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearby.functions import geo, vocab as V
 from nearby.functions import text as X
 from nearby.functions.classify import place_kind_by_name
+from nearby.operators import spatial
 from nearby.operators.components import connected_components
 
 
@@ -132,7 +133,7 @@ def match_items(places: DataFrame, items: DataFrame, miles: float = 2.0, size: f
     """
     ends = f", ({'|'.join(V.STATES)})$"
     t = items.where(~X.has(F.col("label"), ends, False) & ~X.has(F.col("description"), V.SETTLEMENT_TEXT)).withColumn("words", X.item_tokens(F.col("label"))).where("size(words) > 0")
-    t = t.select("qid", "words", F.col("lat").alias("i_lat"), F.col("lon").alias("i_lon"), F.explode(geo.around(geo.cell(F.col("lon"), size), geo.cell(F.col("lat"), size))).alias("c"))
+    t = t.select("qid", "words", F.col("lat").alias("i_lat"), F.col("lon").alias("i_lon"), F.explode(spatial.reach_cells(F.col("lat"), F.col("lon"), F.lit(miles), size)).alias("c"))
     p = places.where("brand is null").select("id", "lat", "lon", X.item_tokens(F.col("name")).alias("mine"), geo.cell(F.col("lon"), size).alias("cx"), geo.cell(F.col("lat"), size).alias("cy"))
     shared = F.size(F.array_intersect("words", "mine"))
     met = p.join(t, (F.col("cx") == F.col("c.cx")) & (F.col("cy") == F.col("c.cy"))).where((shared >= 1) & (shared / F.size("words") > 0.5))
