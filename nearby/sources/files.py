@@ -5,8 +5,17 @@ from __future__ import annotations
 import pyarrow.fs as pafs
 
 
+#: Hadoop's names of stores, to the names that Arrow has for them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of an address and the path in it. Used inside tasks; nothing is kept on a machine's own disk."""
+    """The file system of an address and the path in it. Used inside tasks; nothing is kept on a machine's own disk.
+
+    Addresses are as Spark takes them: file, hdfs, s3a, gs, abfs and their like.
+    """
+    scheme, mark, rest = uri.partition("://")
+    uri = SCHEMES.get(scheme, scheme) + mark + rest
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:"):]
     return pafs.FileSystem.from_uri(uri)
