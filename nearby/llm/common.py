@@ -3,29 +3,29 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearby.plans.session import shared_dir
 
-#: Rows in one Arrow batch. Whole texts travel in batches, so this bounds a worker's memory.
+#: Rows that a worker turns into Python objects at once. The bytes of an Arrow batch are bounded by Spark itself.
 BATCH_ROWS = 256
-BATCH_BYTES = "32m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that very long texts don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few rows (none empty), so that long texts don't pile up as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def fresh(name: str, columns: list[str]) -> str:
@@ -45,11 +45,9 @@ def annotate(df: DataFrame, inputs: list[str], fields: list[T.StructField], comp
     names = [*df.columns, *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *compute(*(batch.column(i) for i in at))], names=names)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(*(batch.column(i) for i in at))], names=names)
 
-    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 
@@ -68,12 +66,20 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that was made by ``new_folder``, in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text_col: str, id_col: str, train: Column, most: int) -> DataFrame:
     """At most ``most`` labelled texts (text, y, order), drawn by a hash of the id.
 
-    ``train`` is a condition on the id column. Labels other than 0 and 1 are no labels;
-    of several rows of an id the largest label counts. The sample's bound is ``most``
-    rows of two integers, so it may be broadcast to the scan of the texts.
+    ``train`` is a condition on the id column. Labels other than 0 and 1 are no labels; of several
+    labels of an id the largest counts, of several texts of an id the one of the least hash. So the
+    sample has at most ``most`` rows, and so has the table of two integers that is broadcast to the
+    scan of the texts; what a repeated id has beyond one text is dropped before the shuffle.
     """
     ids = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -82,8 +88,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text_col: st
         .withColumn("order", F.xxhash64(F.col(id_col)))
         .orderBy("order", id_col).limit(most)
     )
-    found = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(ids), id_col)
-    return found.select("order", F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("int").alias("y"))
+    found = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), id_col)
+    least = Window.partitionBy(id_col).orderBy(F.xxhash64("text"))
+    one = found.withColumn("nth", F.row_number().over(least)).where("nth = 1")
+    return one.select("order", "text", F.col("y").cast("int").alias("y"))
 
 
 def sigmoid(x: np.ndarray | float) -> np.ndarray:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
-from functools import lru_cache
 from pathlib import Path
 
 #: White space by the Unicode property, which is what the tokenizers mean by \\s.
@@ -18,25 +17,31 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=4)
 def read_json(path: str) -> dict:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 
 
+def weight(word: str | bytes, made: object) -> int:
+    """Bytes that an entry takes, about: the key, the value and the table's own part."""
+    return 170 + len(word) + (8 * len(made) if isinstance(made, tuple) else len(made) if isinstance(made, bytes) else 0)
+
+
 class WordCache:
-    """Word -> encoded form. Fills up to ``most`` entries and keeps them (frequent words come early);
+    """Word -> encoded form. Keeps entries of up to ``most`` bytes in all (frequent words come early);
     words beyond that are encoded again in each batch, so that memory is bounded."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], most: int):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode: Callable[[list], Iterable], most: int):
+        self.encode, self.left, self.known = encode, most, {}
 
-    def of(self, words: set[str]) -> dict:
+    def of(self, words: set) -> dict:
         """A mapping that has at least ``words``."""
         missing = [w for w in words if w not in self.known]
         if not missing:
             return self.known
         made = dict(zip(missing, self.encode(missing)))
-        if len(self.known) + len(made) <= self.most:
+        size = sum(map(weight, made, made.values()))
+        if size <= self.left:
+            self.left -= size
             self.known.update(made)
             return self.known
         return {w: made[w] if w in made else self.known[w] for w in words}

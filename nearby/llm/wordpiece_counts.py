@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from nearby.llm.common import annotate, texts
 from nearby.llm.vocab import WordCache, public_path
 
-CACHE_ENTRIES = 600_000
+#: Bytes of a worker's cache.
+CACHE_BYTES = 96 << 20
 #: Marks the start of a word in the vocabulary file.
 WORD_START = "▁"
 UNKNOWN = 1 << 32
@@ -90,7 +91,7 @@ def pieces(path: str) -> tuple[list[str], list[str]]:
 @lru_cache(maxsize=2)
 def worker(path: str) -> WordCache:
     automaton = Automaton(*pieces(path))
-    return WordCache(lambda words: (automaton.count(w.decode("utf-8", "replace")) for w in words), CACHE_ENTRIES)
+    return WordCache(lambda words: (automaton.count(w.decode("utf-8", "replace")) for w in words), CACHE_BYTES)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text", names: tuple[str, str, str] = ("n_words", "n_tokens", "n_unknown")) -> DataFrame:
