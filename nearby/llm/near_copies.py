@@ -1,6 +1,8 @@
 """Near copies: texts that share at least 0.8 of their five-word shingles (size of the common part over size of the union).
 
-Texts of equal shingle sets are one class from the start. A class goes to ``BANDS`` salted cells, each keyed by
+This is the SimHash search at a similarity. Texts of equal shingle sets are one class from the start and have one
+fingerprint. Fingerprints at most two bits apart are candidates, found by pivot tables; but at 0.8 they are some 10
+bits apart, where pivots discard next to nothing. So a class also goes to ``BANDS`` salted cells, each keyed by
 ``ROWS`` min-hashes of its shingles; classes of a cell are linked to the cell's smallest class, so a hot cell
 makes as many links as it has rows. Groups of classes that these links connect are candidates only: in each group
 every pair counts that the exact similarity of whole shingle sets links. Groups too large for a task are dealt
@@ -16,18 +18,21 @@ that isn't null (null if there is none).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearby.llm.common import annotate, bounded_batches, fresh, texts
+from nearby.llm.common import annotate, fresh, slices, texts
+from nearby.llm.fingerprints import SEED, majority, words_of
+from nearby.llm.pivot_links import links as fingerprint_links
 from nearby.operators.components import connected_components
 
-SHINGLE, SEED = 5, 42
+SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 5
 #: Classes and bytes of text in a block of a large group, about.
 CELL, CELL_BYTES = 1024, 8 << 20
@@ -36,7 +41,7 @@ STEP = 1024
 
 def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
-    words = text.encode("utf-8", "replace").lower().split()  # of bytes: lowers A-Z, splits at space and 09-0D
+    words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
@@ -83,11 +88,13 @@ def salts_once() -> tuple[np.ndarray, np.ndarray]:
     return _SALTS[0]
 
 
-def near_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges (i, j) of a spanning forest of the sets that share 0.8 of their union at least.
+def near_forest(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Edges (i, j) of a spanning forest of the sets that share ``similarity`` of their union at least.
 
     A set is compared with those that nothing has reached yet, so a group of near copies takes few steps.
     """
+    share = Fraction(similarity).limit_denominator(1000)  # compared in whole numbers
+    p, q = share.numerator, share.denominator
     sizes = np.array([len(s) for s in sets], np.int64)
     flat, edges = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1), []
     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -105,33 +112,35 @@ def near_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             kept = left
             pool, starts = np.concatenate([parts[i] for i in kept]), np.concatenate([[0], np.cumsum(sizes[kept])[:-1]])
         x = queue.pop()
-        fits = (5 * sizes[left] >= 4 * sizes[x]) & (4 * sizes[left] <= 5 * sizes[x])
+        fits = (q * sizes[left] >= p * sizes[x]) & (p * sizes[left] <= q * sizes[x])
         if not fits.any():
             continue
         mark[parts[x]] = True
         common = np.zeros(len(sets), np.int64)
         common[kept] = np.add.reduceat(mark[pool].astype(np.int64), starts)
         mark[parts[x]] = False
-        ok = fits & (9 * common[left] >= 4 * (sizes[left] + sizes[x]))
+        ok = fits & ((p + q) * common[left] >= p * (sizes[left] + sizes[x]))
         edges += [(x, int(i)) for i in left[ok]]
         queue += left[ok].tolist()
         left = left[~ok]
     return edges
 
 
-def mark_classes(docs: DataFrame, text_col: str, name: str, cells: str | None = None) -> DataFrame:
-    """``docs`` with the class of each whole text, and with its cells on demand. No shuffle."""
-    fields = [T.StructField(name, T.LongType())] + ([T.StructField(cells, T.ArrayType(T.LongType()))] if cells else [])
+def mark_classes(docs: DataFrame, text_col: str, name: str, width: int, more: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with the class of each whole text and, on demand, its fingerprint and cells. No shuffle."""
+    fields = [T.StructField(name, T.LongType())]
+    if more:
+        fields += [T.StructField(more[0], T.LongType()), T.StructField(more[1], T.ArrayType(T.LongType()))]
 
     def compute(column: pa.Array) -> list[pa.Array]:
-        sets = [shingles(t) for t in texts(column)]
+        sets = [shingles(t, width) for t in texts(column)]
         out = [pa.array([class_of(s) for s in sets], pa.int64())]
-        return [*out, pa.array([cells_of(s) for s in sets], pa.list_(pa.int64()))] if cells else out
+        return [*out, pa.array([majority(s) for s in sets], pa.int64()), pa.array([cells_of(s) for s in sets], pa.list_(pa.int64()))] if more else out
 
     return annotate(docs, [text_col], fields, compute)
 
 
-def verified_links(found: DataFrame) -> DataFrame:
+def verified_links(found: DataFrame, similarity: float, width: int) -> DataFrame:
     """Edges (a, b) that connect in each group just what its exact links connect; ``found`` has (group, node, text).
 
     A text whose class isn't its node is no text of the node and is passed over.
@@ -144,61 +153,77 @@ def verified_links(found: DataFrame) -> DataFrame:
     groups = met.select("group", "node", "text", to.alias("t")).groupBy("group", "t").agg(F.collect_list("node").alias("nodes"), F.collect_list("text").alias("texts"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 16):
             edges: set[tuple[int, int]] = set()
             for i in range(batch.num_rows):
                 sets = {}
                 for node, text in zip(batch.column(0)[i].as_py(), batch.column(1)[i]):
-                    s = shingles(text.as_py())
+                    s = shingles(text.as_py(), width)
                     if len(s) and node not in sets and class_of(s) == node:
                         sets[node] = s
                 if len(sets) > 1:
                     names = sorted(sets)
-                    edges.update((names[a], names[b]) for a, b in near_forest([sets[n] for n in names]))
+                    edges.update((names[a], names[b]) for a, b in near_forest([sets[n] for n in names], similarity))
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names=["a", "b"])
 
-    bounded_batches(found.sparkSession)
     return groups.select("nodes", "texts").mapInArrow(verified, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Exact links (a, b) between ``classes`` (class, id, cells) of ``docs``."""
+def candidates(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) of ``classes`` (class, fp, cells) that meet in a cell, or whose fingerprints link or are equal."""
     dealt = classes.select("class", F.explode("cells").alias("cell"))
+    prints = classes.where(F.size("cells") > 0).groupBy("fp").agg(F.min("class").alias("low")).checkpoint()
+    hub = lambda name: prints.select(F.col("fp").alias(f"_{name}"), F.col("low").alias(name))
+    close = fingerprint_links(prints.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
+    close = close.join(hub("a"), F.col("x") == F.col("_a")).join(hub("b"), F.col("y") == F.col("_b")).select("a", "b")
+    same = classes.where(F.size("cells") > 0).select("class", "fp").join(prints, "fp").where("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b"))
     first = dealt.groupBy("cell").agg(F.min("class").alias("low"), F.count("*").alias("n")).where("n > 1").select("cell", "low")
     meet = dealt.join(first, "cell").where("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b"))
-    groups = connected_components(meet).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    return meet.union(same).union(close)
+
+
+def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, similarity: float, width: int) -> DataFrame:
+    """Exact links (a, b) between ``classes`` (class, id, fp, cells) of ``docs``."""
+    groups = connected_components(candidates(classes)).select(F.col("node").alias("class"), F.col("component").alias("group"))
     wanted = classes.select("class", F.col("id").alias("_id")).join(groups, "class").select("group", F.col("class").alias("node"), "_id").checkpoint()
     texts_of = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).where("text is not null")
     by_id = texts_of.join(wanted, F.col("_doc") == F.col("_id")).select("group", "node", "text")
     # Classes without an id are found by their texts.
-    nameless = mark_classes(texts_of.where("_doc is null").select("text"), "text", "_class").dropDuplicates(["_class"])
+    nameless = mark_classes(texts_of.where("_doc is null").select("text"), "text", "_class", width).dropDuplicates(["_class"])
     by_text = nameless.join(wanted.where("_id is null"), F.col("_class") == F.col("node")).select("group", "node", "text")
-    return verified_links(by_id.union(by_text))
-
-
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id of each row of ``docs`` and ``component_id``: the smallest id that links lead to."""
-    cls, cells, cid = (fresh(n, [id_col]) for n in ("class", "cells", "component_id"))
-    marked = mark_classes(docs.select(id_col, text_col), text_col, cls, cells).select(id_col, cls, cells).checkpoint()
-    classes = marked.groupBy(F.col(cls).alias("class")).agg(F.min(id_col).alias("id"), F.first(cells).alias("cells")).checkpoint()
-    joined = connected_components(links(docs, classes, id_col, text_col))
-    named = classes.select("class", "id").join(joined, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("component", "class").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("id").alias(cid))
-    label = named.join(smallest, "component").select(F.col("class").alias("_class"), cid)
-    return marked.select(id_col, cls).join(label, F.col(cls) == F.col("_class")).select(id_col, cid)
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, that of its smallest id, with the columns of ``docs``.
-
-    Of rows that repeat that id one stays; rows with a null id can't be told apart and all stay.
-    """
-    found = components(docs, id_col, text_col)
-    cid, winner, n = fresh("component_id", [id_col]), fresh("winner", docs.columns), fresh("n", docs.columns)
-    winners = found.where(F.col(id_col) == F.col(cid)).groupBy(F.col(id_col).alias(winner)).agg(F.count("*").alias(n)).checkpoint()
-    by_id = F.col(id_col) == F.col(winner)
-    once = docs.join(winners.where(F.col(n) == 1), by_id, "left_semi")
-    # Few rows, if any, repeat a winner's id; only those are shuffled whole.
-    repeated = docs.join(winners.where(F.col(n) > 1), by_id, "left_semi").dropDuplicates([id_col])
-    return once.union(repeated).union(docs.where(F.col(id_col).isNull()))
+    return verified_links(by_id.union(by_text), similarity, width)
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
+    """The kept columns of ``docs`` (its id by default), ``component_id`` (the smallest id that links lead to) and a number of the component."""
+    keep = [id_col] if keep is None else keep
+    cls, fp, cells, cid, number = (fresh(n, [*keep, text_col]) for n in ("class", "fp", "cells", "component_id", "component"))
+    marked = mark_classes(docs.select(*dict.fromkeys([*keep, id_col, text_col])), text_col, cls, width, (fp, cells)).select(*keep, cls, fp, cells).checkpoint()
+    classes = marked.groupBy(F.col(cls).alias("class")).agg(F.min(id_col).alias("id"), F.first(fp).alias("fp"), F.first(cells).alias("cells")).checkpoint()
+    joined = connected_components(links(docs, classes, id_col, text_col, similarity, width))
+    named = classes.select("class", "id").join(joined, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("component", "class").alias(number))
+    smallest = named.groupBy(number).agg(F.min("id").alias(cid))
+    label = named.join(smallest, number).select(F.col("class").alias("_class"), cid, number)
+    return marked.select(*keep, cls).join(label, F.col(cls) == F.col("_class")).select(*keep, cid, number)
+
+
+def text_hash(text_col: str) -> Column:
+    """Tells the texts of rows apart that repeat an id or have none; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, h: str, component: str) -> DataFrame:
+    """One row of ``docs`` of each component of ``found`` (id, hash of the text, component): of the smallest id (null last), then of the least hash."""
+    key, n = [fresh(x, docs.columns) for x in ("winner_id", "winner_hash")], fresh("n", docs.columns)
+    first = Window.partitionBy(component).orderBy(F.col(id_col).asc_nulls_last(), h)
+    alike = found.groupBy(id_col, h, component).agg(F.count("*").alias(n))
+    winners = alike.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(F.col(id_col).alias(key[0]), F.col(h).alias(key[1]), n).checkpoint()
+    same = F.col(id_col).eqNullSafe(F.col(key[0])) & (text_hash(text_col) == F.col(key[1]))
+    once = docs.join(winners.where(F.col(n) == 1), same, "left_semi")
+    # Few rows, if any, repeat a winner's id and text; only those are shuffled whole a second time.
+    repeated = winners.where(F.col(n) > 1)
+    if repeated.isEmpty():
+        return once
+    hashed = fresh("hash", docs.columns)
+    return once.union(docs.join(repeated, same, "left_semi").withColumn(hashed, text_hash(text_col)).dropDuplicates([id_col, hashed]).drop(hashed))

@@ -1,13 +1,11 @@
 """SimHash near-duplicates: fingerprints, and links between them found with pivot distance tables.
 
-Equal fingerprints are one class from the start. Classes meet where links can be: two fingerprints
-that differ in at most ``most`` bits agree in all but ``most`` of the segments that the 64 bits are
-cut into, so each class goes to one cell for every choice of segments to agree in. In a cell, a table
-holds every fingerprint's Hamming distances to reference fingerprints (pivots). Distances of
-linked fingerprints to any pivot differ by at most ``most``, so pairs with a larger difference in any
-coordinate are discarded; survivors are verified by the distance itself. A cell returns the edges of
-a spanning forest, never its pairs. Cells of more than ``CELL`` classes are dealt out as pairs of
-blocks, so a hot cell is many bounded tasks and no pair is lost.
+Equal fingerprints are one class from the start. Each class has its Hamming distances to reference fingerprints
+as columns; classes meet by equal coordinates, pairs are discarded by the maximum coordinate difference, and
+survivors verified (``pivot_links``). Links make components.
+
+``drop_near_duplicates`` takes either links of fingerprints or, with ``similarity``, links of texts that share that
+part of their shingles (``near_copies``; few such texts are within two bits).
 
 Defined results: texts without a word (null and empty ones too) have fingerprint 0 and are linked
 like any other; fewer than three words are one shingle; repeated rows share a class; documents with
@@ -16,133 +14,39 @@ a null id take part, but a component's id is the smallest id that isn't null (nu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearby.llm.common import annotate, bounded_batches, fresh, texts
+from nearby.llm import fingerprints as fpr
+from nearby.llm import near_copies
+from nearby.llm.common import annotate, fresh, texts
+from nearby.llm.pivot_links import links
 from nearby.operators.components import connected_components
 
-SHINGLE, SEED, MOST = 3, 42, 2
-SEGMENTS = 4
-#: Classes in a block of a hot cell.
-CELL = 1024
-PIVOTS = 24
-
-
-def fingerprint(text: str, width: int = SHINGLE) -> int:
-    """The majority of the bits of all shingles' hashes, as a signed 64-bit number."""
-    words = text.encode("utf-8", "replace").lower().split()  # of bytes: lowers A-Z, splits at space and 09-0D
-    if not words:
-        return 0
-    line = b" ".join(words)
-    n = max(1, len(words) - width + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
-    stops = (ends[width - 1 :] - 1 if len(words) >= width else ends[-1:] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops)], "<u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 8192):
-        ones += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
-
-
-def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp") -> DataFrame:
+SHINGLE = 3
+
+
+def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp", width: int = SHINGLE) -> DataFrame:
     """``docs`` with the fingerprint of each whole text. No shuffle."""
-    return annotate(docs, [text_col], [T.StructField(name, T.LongType())], lambda column: [pa.array([fingerprint(t) for t in texts(column)], pa.int64())])
-
-
-def pivots(count: int = PIVOTS) -> np.ndarray:
-    """Fixed reference fingerprints; random ones spread distances best."""
-    return np.random.default_rng(20240229).integers(0, 1 << 64, count, dtype=np.uint64, endpoint=False)
-
-
-def close_pairs(left: np.ndarray, right: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of fingerprints at most ``most`` bits apart, by the pivot tables of both sides."""
-    refs = pivots()
-    table = [np.bitwise_count(x[:, None] ^ refs).astype(np.int8) for x in (left, right)]
-    keep = np.abs(table[0][:, None, 0] - table[1][None, :, 0]) <= most
-    for p in (1, 2):
-        keep &= np.abs(table[0][:, None, p] - table[1][None, :, p]) <= most
-    i, j = np.nonzero(keep)
-    for p in range(3, PIVOTS, 3):  # fewer pairs are left for each further group of pivots
-        ok = (np.abs(table[0][i, p : p + 3] - table[1][j, p : p + 3]) <= most).all(1)
-        i, j = i[ok], j[ok]
-    ok = np.bitwise_count(left[i] ^ right[j]) <= most
-    return i[ok], j[ok]
-
-
-def forest(values: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Edges (value, smaller root value) of a spanning forest of the pairs of places in ``values``."""
-    root = np.arange(len(values))
-    a, b = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
-    while len(a):  # hook to the smallest neighbour, then jump; done when all ends agree
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        while not np.array_equal(root, root[root]):
-            root = root[root]
-        still = root[a] != root[b]
-        a, b = a[still], b[still]
-    at = np.flatnonzero(root != np.arange(len(values)))
-    return list(zip(values[at].tolist(), values[root[at]].tolist()))
-
-
-def links(classes: DataFrame, fp: str = "fp", most: int = MOST, segments: int = SEGMENTS) -> DataFrame:
-    """Edges (a, b) that connect exactly the fingerprints which chains of at most ``most`` bits connect.
-
-    ``classes`` holds distinct fingerprints. More segments make smaller cells for larger corpora.
-    """
-    spark = classes.sparkSession
-    width = 64 // segments
-    cut = [((1 << (width if s < segments - 1 else 64 - width * s)) - 1) << (width * s) for s in range(segments)]
-    masks = [sum(cut[s] for s in chosen) for chosen in combinations(range(segments), segments - most)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(fp).bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(signed)))).alias("c")
-    dealt = classes.select(F.col(fp).alias("fp"), cells).select("fp", "c.k", "c.cell")
-    sizes = dealt.groupBy("k", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL)).cast("int")
-    met = dealt.join(sizes, ["k", "cell"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    # A row of block i of a hot cell meets each block once: pair (i, j) for every j.
-    to = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("p"), F.greatest(F.col("block"), j).alias("q"))))
-    groups = met.select("k", "cell", "block", "fp", to.alias("t")).groupBy("k", "cell", "t").agg(F.collect_list(F.when(F.col("block") == F.col("t.p"), F.col("fp"))).alias("left"), F.collect_list(F.when(F.col("block") != F.col("t.p"), F.col("fp"))).alias("right"))
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = np.array(sorted(left) + sorted(right), np.int64)
-                x = values.view(np.uint64)
-                n = len(left)
-                i, j = close_pairs(x[:n], x[n:] if right else x, most)
-                found.update(forest(values, [(i, j + n if right else j)]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
-
-    bounded_batches(spark)
-    return groups.select("left", "right").mapInArrow(verified, "a long, b long").distinct()
-
-
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    return annotate(docs, [text_col], [T.StructField(name, T.LongType())], lambda column: [pa.array([fpr.fingerprint(t, width) for t in texts(column)], pa.int64())])
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, width: int = SHINGLE) -> DataFrame:
     """The kept columns of ``docs`` (its id by default), ``fp``, and ``component_id``: the smallest id reachable."""
     keep = [id_col] if keep is None else keep
     fp = fresh("fp", keep)
-    marked = fingerprints(docs.select(*keep, *([] if text_col in keep else [text_col])), text_col, fp)
+    marked = fingerprints(docs.select(*keep, *([] if text_col in keep else [text_col])), text_col, fp, width)
     marked = marked.select(*keep, fp).checkpoint()
     classes = marked.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("id")).checkpoint()
     joined = connected_components(links(classes))
     named = classes.join(joined, classes.fp == joined.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    label = named.join(smallest, "component").select(F.col("fp").alias("_class"), "component_id")
-    cid = fresh("component_id", [*keep, fp])
-    return marked.join(label.withColumnRenamed("component_id", cid), marked[fp] == F.col("_class")).drop("_class")
+    label = named.join(smallest, "component").select(F.col("fp").alias("_class"), "component_id", F.col("component").alias("_component"))
+    cid, component = fresh("component_id", [*keep, fp]), fresh("component", [*keep, fp, "component_id"])
+    label = label.withColumnsRenamed({"component_id": cid, "_component": component})
+    return marked.join(label, marked[fp] == F.col("_class")).drop("_class")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -151,17 +55,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, width: int | None = None) -> DataFrame:
     """One row of each component, that of its smallest id, with the columns of ``docs``.
 
-    Of rows that repeat that id one stays; rows with a null id can't be told apart and all stay.
-    Only ids and fingerprints take part in the search; rows then stay or go by a semi join on the id.
+    Components are of fingerprints of ``width`` (3) words at most two bits apart; with ``similarity`` of texts that
+    share that part of their shingles of ``width`` (5) words at least. Of rows of the smallest id the one whose text
+    has the least hash stays; a component without an id keeps a row likewise; of rows equal in id and text one stays.
     """
-    found = components(docs.select(id_col, text_col), id_col, text_col)
-    winner, n = fresh("winner", docs.columns), fresh("n", docs.columns)
-    winners = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(winner)).agg(F.count("*").alias(n)).checkpoint()
-    by_id = F.col(id_col) == F.col(winner)
-    once = docs.join(winners.where(F.col(n) == 1), by_id, "left_semi")
-    # Few rows, if any, repeat a winner's id; only those are shuffled whole.
-    repeated = docs.join(winners.where(F.col(n) > 1), by_id, "left_semi").dropDuplicates([id_col])
-    return once.union(repeated).union(docs.where(F.col(id_col).isNull()))
+    columns = {id_col: F.col(id_col), text_col: F.col(text_col), fresh("hash", [id_col, text_col]): near_copies.text_hash(text_col)}
+    rows, h = docs.select(*(c.alias(n) for n, c in columns.items())), list(columns)[2]
+    if similarity is not None:
+        found = near_copies.components(rows, id_col, text_col, [id_col, h], similarity, width or near_copies.SHINGLE)
+    else:
+        found = components(rows, id_col, text_col, [id_col, h], width or SHINGLE)
+    return near_copies.keep_first(docs, found, id_col, text_col, h, found.columns[-1])
