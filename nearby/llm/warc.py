@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,15 +27,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearby.llm.common import bounded_batches, new_folder
+from nearby.llm.common import new_folder, remove_folder, slices
 from nearby.sources.files import Replacing, store
 
 LEAST = 1000
 SPLIT_BYTES = 16 << 20
+#: Tasks over which the payloads of a hot digest are spread.
+SALTS = 16
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 #: Bytes read at once while scanning and inflating.
 STEP = 1 << 18
+PAGE = re.compile(rb"<urn:page:(-?\d+)>")
 CREATED = "2024-01-01T00:00:00Z"
 
 
@@ -59,15 +63,20 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
 
 
 def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, payload, digest, size, refers_to. Only ids and digests are shuffled to find repeats."""
+    """page_id, url, payload, digest, size, refers_to.
+
+    Payloads under ``least`` bytes never move. Digests are combined before they are shuffled; larger payloads meet the
+    repeated digests, which are broadcast by size where few repeat, else joined with salts, so a hot digest is many tasks.
+    """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
-    p = p.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    large = F.col("size") >= least
-    repeats = p.where(large).groupBy("digest", "size").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").select(F.col("digest").alias("_d"), F.col("size").alias("_s"), "first_id")
-    # The side of repeats is small where few payloads repeat (broadcast by size); else the join is by digest, and AQE splits a hot one.
-    joined = p.join(repeats, (F.col("digest") == F.col("_d")) & (F.col("size") == F.col("_s")), "left")
+    p = p.withColumn("size", F.octet_length("payload").cast("long"))
+    small = p.where(F.col("size") < least).select("page_id", "url", "payload", F.sha1("payload").alias("digest"), "size", F.lit(None).cast("long").alias("refers_to"))
+    large = p.where(F.col("size") >= least).withColumn("digest", F.sha1("payload"))
+    repeats = large.groupBy("digest", "size").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
+    salted = repeats.select(F.col("digest").alias("_d"), F.col("size").alias("_s"), "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    joined = large.join(salted, (F.col("digest") == F.col("_d")) & (F.col("size") == F.col("_s")) & (F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)) == F.col("_salt")), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return joined.select("page_id", "url", "payload", "digest", "size", refers.alias("refers_to"))
+    return small.union(joined.select("page_id", "url", "payload", "digest", "size", refers.alias("refers_to")))
 
 
 def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
@@ -76,7 +85,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name, out, n = f"part-{task.partitionId():06d}.warc.gz", None, 0
-        for b in batches:
+        for b in slices(batches):
             for row in zip(*(b.column(i).to_pylist() for i in range(6))):
                 out = out or Replacing(folder, name, task.taskAttemptId())
                 out.write(record(*row))
@@ -84,7 +93,6 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out.done()], pa.int64()), pa.array([n], pa.int64())], names=["name", "bytes", "records"])
 
-    bounded_batches(pages.sparkSession)
     planned(pages, least).mapInArrow(put, "name string, bytes long, records long").write.mode("overwrite").parquet(f"{folder}/manifest")
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
@@ -150,19 +158,34 @@ def members(f, size: int, start: int, stop: int) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def parse(raw: bytes) -> tuple:
-    """page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest of an inflated record."""
+def page_of(name: bytes | None) -> int | None:
+    found = PAGE.fullmatch(name or b"")
+    return int(found[1]) if found else None
+
+
+def parse(raw: bytes) -> tuple | None:
+    """page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest of an inflated record.
+
+    None for records that hold no page (warcinfo, request, metadata and others, or a response without an HTTP head).
+    Archives of other writers may name records otherwise (the page id is null then) and state no digest or none of SHA-1
+    (the payload's own is given; of a revisit null).
+    """
     head, _, rest = raw.partition(b"\r\n\r\n")
     h = headers(head)
-    body = rest[: int(h[b"content-length"])]
+    kind = h.get(b"warc-type", b"").decode("ascii", "replace").lower()
+    body = rest[: int(h[b"content-length"])] if h.get(b"content-length", b"").isdigit() else rest
+    if kind not in ("response", "revisit") or not body.startswith(b"HTTP/"):
+        return None
     http, _, payload = body.partition(b"\r\n\r\n")
-    size, kind = int(headers(http)[b"content-length"]), h[b"warc-type"].decode()
-    stated = base64.b32decode(h[b"warc-payload-digest"].partition(b":")[2]).hex()
-    number = lambda x: None if x is None or x.endswith(b":none>") else int(x.strip(b"<>").rpartition(b":")[2])
+    scheme, _, value = h.get(b"warc-payload-digest", b"").partition(b":")
+    stated = base64.b32decode(value).hex() if scheme.lower() == b"sha1" and len(value) == 32 else None
+    length = headers(http).get(b"content-length", b"")
+    size = int(length) if kind == "revisit" and length.isdigit() else len(payload)
     digest = hashlib.sha1(payload).hexdigest() if kind == "response" else stated
-    if kind == "response" and (digest != stated or len(payload) != size):
-        raise ValueError(f"payload of {h[b'warc-record-id']!r} doesn't have its digest")
-    return number(h[b"warc-record-id"]), h[b"warc-target-uri"].decode("utf-8", "replace"), kind, number(h.get(b"warc-refers-to")), payload if kind == "response" else None, size, digest
+    if kind == "response" and stated and digest != stated:
+        raise ValueError(f"payload of {h.get(b'warc-record-id')!r} doesn't have its digest")
+    url = h.get(b"warc-target-uri", b"").decode("utf-8", "replace")
+    return page_of(h.get(b"warc-record-id")), url, kind, page_of(h.get(b"warc-refers-to")), payload if kind == "response" else None, size, digest
 
 
 def read(archives: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
@@ -177,7 +200,8 @@ def read(archives: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, with_
             rows: list[tuple] = []
             with fs.open_input_file(path) as f:
                 for raw in members(f, size, start, min(size, start + split_bytes)):
-                    row = parse(raw)
+                    if not (row := parse(raw)):
+                        continue
                     rows.append(row if with_payload else (*row[:4], None, *row[5:]))
                     if len(rows) == 64:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -185,15 +209,18 @@ def read(archives: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, with_
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ranges.repartition(n, "name", "start").mapInArrow(get, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    size = archives.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).first()
+    tasks = (size["bytes"] or 0) // split_bytes + size["n"] or 1
+    return ranges.repartition(tasks).mapInArrow(get, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from the archives just written."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from the archives just written. They go once all are read."""
     folder = new_folder(pages.sparkSession, "warc")
     found = read(write(pages, folder), folder, with_payload=False)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").checkpoint()
+    remove_folder(pages.sparkSession, folder)
+    return found
 
 
 #: DuckDB has SHA-1 over text's UTF-8 bytes.
