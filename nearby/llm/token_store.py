@@ -1,6 +1,6 @@
 """Token ids of a corpus as binary shards with Elias-Fano coded document boundaries.
 
-Documents are range-partitioned by id. Each task writes ``<shard>.ids``, the concatenated ids (2
+Documents are range-partitioned by id, into shards of about ``SHARD_BYTES`` of text. Each task writes ``<shard>.ids``, the concatenated ids (2
 bytes each if the vocabulary allows, else 4), and ``<shard>.ef``: document ids and end offsets as
 Elias-Fano sequences, whose select finds a document's offsets without a table of 64-bit numbers.
 A manifest (one row for each shard) gives the shards' token counts; their running sum turns local
@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -27,16 +28,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearby.llm import elias_fano
-from nearby.llm.common import bounded_batches, new_folder, texts
+from nearby.llm.common import new_folder, remove_folder, slices, texts
 from nearby.llm.vocab import SPACE, WordCache, public_path
 from nearby.sources.files import Replacing, store
 
-CACHE_ENTRIES = 500_000
+#: Bytes of each of a worker's two caches.
+CACHE_BYTES = 64 << 20
 HEAD = struct.Struct("<4sBQQq")
 MAGIC = b"TKEF"
 WORDS = re.compile(f"[^{SPACE}]+")
 #: Control characters that Python's split() takes for white space and the vocabulary doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Bytes of text in a shard, about; smaller where that gives all tasks a shard.
+SHARD_BYTES = 128 << 20
 #: Tokens read at once.
 READ_TOKENS = 4_000_000
 
@@ -76,7 +80,7 @@ class WordEncoder:
         self.size = len(vocab)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self.letters = WordCache(self.joined, CACHE_ENTRIES)
+        self.letters = WordCache(self.joined, CACHE_BYTES)
         self.marks = {m: self.each([m])[0] for m in ".,"}
 
     def each(self, words: list[str]) -> list[bytes]:
@@ -113,7 +117,7 @@ class WordEncoder:
 def worker(path: str) -> tuple[WordCache, int]:
     """A Python worker's cache of encoded words and the vocabulary's size."""
     encoder = WordEncoder(path)
-    return WordCache(encoder, CACHE_ENTRIES), encoder.size
+    return WordCache(encoder, CACHE_BYTES), encoder.size
 
 
 def split(text: str) -> list[str]:
@@ -130,17 +134,17 @@ def encode_batch(batch: list[str], path: str) -> list[bytes]:
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Write the shards under ``folder`` and return their manifest: shard, n_docs, n_tokens, width, ids_bytes, ef_bytes."""
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+        shards = max(1, -(-(size["bytes"] or 0) // SHARD_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), size["n"]))
     end = np.array([end_id], "<u4").tobytes()
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         shard, attempt = task.partitionId(), task.taskAttemptId()
-        ids_file, doc_ids, ends, nulls, total = None, [], [], 0, 0
+        ids_file, doc_ids, ends, nulls, total = None, array("q"), array("Q"), 0, 0
         width = 2 if max(worker(vocabulary)[1], end_id + 1) <= 1 << 16 else 4
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             ids_file = ids_file or Replacing(folder, f"{shard:06d}.ids", attempt)
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode_batch(texts(batch.column(1)), vocabulary)):
                 ids = np.frombuffer(raw + end, "<u4")
@@ -155,12 +159,11 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
             ef_file = Replacing(folder, f"{shard:06d}.ef", attempt)
             base = doc_ids[0] if doc_ids else 0
             ef_file.write(pack_head(width, len(ends), nulls, base))
-            ef_file.write(elias_fano.encode(np.array([x - base for x in doc_ids], np.uint64)))
-            ef_file.write(elias_fano.encode(np.array(ends, np.uint64)))
+            ef_file.write(elias_fano.encode((np.frombuffer(doc_ids, np.int64) - base).view(np.uint64)))
+            ef_file.write(elias_fano.encode(np.frombuffer(ends, np.uint64)))
             row = shard, len(ends), total, width, ids_file.done(), ef_file.done()
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=["shard", "n_docs", "n_tokens", "width", "ids_bytes", "ef_bytes"])
 
-    bounded_batches(spark)
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     dealt = dealt.repartitionByRange(shards, F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
     manifest = dealt.select("id", "text").mapInArrow(put, "shard long, n_docs long, n_tokens long, width long, ids_bytes long, ef_bytes long")
@@ -170,8 +173,6 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian 32-bit) of every document of the shards, found through select."""
-    spark = manifest.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over shards, not documents
     placed = manifest.select("shard", "n_docs", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))
 
@@ -200,13 +201,14 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(starts + offset, pa.int64()), pa.array(stops - starts, pa.int64()), pa.array(cut, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
                     first, start = last, int(stops[-1])
 
-    return placed.repartition(shards, "shard").mapInArrow(get, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.repartition(max(1, manifest.count()), "shard").mapInArrow(get, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def store_and_read(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files just written."""
-    folder = new_folder(docs.sparkSession, "tokens")
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files just written. The files go once all are read."""
+    spark = docs.sparkSession
+    folder = new_folder(spark, "tokens")
     manifest = write(docs, folder, vocabulary or public_path("word_bpe_49k.json"), end_id)
-    return read(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
+    found = read(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")).checkpoint()
+    remove_folder(spark, folder)
+    return found
