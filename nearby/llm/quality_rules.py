@@ -11,8 +11,6 @@ each on its own; an empty table gives an empty ledger and ablations of 0.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -67,14 +65,15 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     same = h[order[1:]] == h[order[:-1]]
     if not same.any():
         return 0
-    at = np.unique(np.concatenate([order[1:][same], order[:-1][same]])).tolist()
-    windows = [tuple(words[i : i + width]) for i in at]  # hashes only propose; the words decide
-    times = Counter(windows)
-    edge = np.zeros(n + 1, np.int64)
-    for i, w in zip(at, windows):
-        if times[w] > 1:
-            edge[i] += 1
-            edge[i + width] -= 1
+    at = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
+    # hashes only propose; the words decide, window by window, on the numbers of distinct words
+    edge, number = np.zeros(n + 1, np.int64), {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids = np.fromiter(map(number.__getitem__, words), np.int32, n)
+    windows = np.lib.stride_tricks.sliding_window_view(ids, width)[at]
+    _, which, times = np.unique(windows, axis=0, return_inverse=True, return_counts=True)
+    at = at[times[which.reshape(-1)] > 1]
+    edge[at] += 1
+    np.subtract.at(edge, at + width, 1)
     return int((np.cumsum(edge) > 0).sum())
 
 
