@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from nearby.llm import bpe, elias_fano, mixing, quality_fm, quality_rules, simhash, token_store, topk_search, toxicity, warc, wordpiece_counts
+from nearby.llm import bpe, common, elias_fano, fingerprints, mixing, pivot_links, quality_fm, quality_rules, simhash, token_store, topk_search, toxicity, warc, wordpiece_counts
 from nearby.llm.common import fresh, new_folder
 from nearby.llm.vocab import public_path
 
@@ -22,37 +22,50 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def clashing(df):
     """Extra columns named as the operators' own."""
-    return df.withColumns({c: F.lit("mine") for c in ("score", "toxicity", "measures", "failures", "fp", "component_id", "n_tokens", "pass", "position", "block", "tie", "s", "winner", "n")})
+    return df.withColumns({c: F.lit("mine") for c in ("score", "toxicity", "measures", "failures", "fp", "component_id", "n_tokens", "pass", "position", "block", "tie", "s", "winner", "n", "row", "rest", "full", "k0", "class", "cells", "hash", "vec", "copies", "page", "payload", "digest", "size")})
 
 
 # 1
 
 
 def brute_top(rows, k, every):
-    ok = {i: [int(np.floor(1024 * float(x))) for x in v] for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    """Every row but the query's own is a candidate, whatever ids repeat."""
+    ok = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in (i for i in ok if i % every == 0):
-        scored = sorted((-sum(a * b for a, b in zip(ok[q], v)), i) for i, v in ok.items() if i != q)[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    for at, (q, mine) in enumerate(ok):
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(mine, v)), i) for n, (i, v) in enumerate(ok) if n != at)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
 
 
+def answers(df):
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.collect())
+
+
 def test_topk(spark):
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 1) for _ in range(12)]) for i in range(300)]
     rows += [(i, rows[7][1]) for i in range(300, 420)]  # a hot vector: ties by id
-    rows += [(500, None), (501, [1.0, None] + [0.0] * 10), (502, [float("nan")] * 12), (503, [float("inf")] * 12)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    rows += [(500, None), (501, [1.0, None] + [0.0] * 10), (502, [float("nan")] * 12), (503, [float("inf")] * 12), (None, [9.0] * 12), (504, [2.0, 1.0])]
+    df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).repartition(5)
     want = brute_top([(r["vec_id"], r["embedding"]) for r in df.collect()], 10, 50)
-    got = topk_search.top_k(df, F.col("vec_id") % 50 == 0, 10, block=64, query_block=3)
-    assert sorted(tuple(r) for r in got.collect()) == want
-    three = topk_search.top_k(df, F.col("vec_id") % 50 == 0, 10, lists=3, block=1000)
-    assert sorted(tuple(r) for r in three.collect()) == want
+    assert answers(topk_search.top_k(df, F.col("vec_id") % 50 == 0, 10, n_blocks=7, n_query_blocks=3)) == want
+    assert answers(topk_search.top_k(df, F.col("vec_id") % 50 == 0, 10, lists=3)) == want
+
+
+def test_topk_repeated_ids(spark):
+    rng = random.Random(4)
+    rows = [(i % 40, [rng.gauss(0, 1) for _ in range(6)]) for i in range(200)]  # an id with five vectors each
+    rows += [rows[3]] * 30 + [rows[0]] * 4 + [(100, [1.0, 1.0]), (1, [0.0, 0.0]), (1, [5.0, 5.0])]  # rows equal as a whole, queries among them
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    want = brute_top([(r["vec_id"], r["embedding"]) for r in df.collect()], 10, 20)
+    assert answers(topk_search.top_k(df, F.col("vec_id") % 20 == 0, 10, n_blocks=3, n_query_blocks=2)) == want
 
 
 def test_topk_few(spark):
     df = spark.createDataFrame([(0, [1.0, -1.0]), (1, [-1.0, 0.5]), (100, [0.0, 0.0])], "vec_id long, embedding array<float>")
-    assert sorted(tuple(r) for r in topk_search.search(df).collect()) == brute_top([(r["vec_id"], r["embedding"]) for r in df.collect()], 10, 100)
+    assert answers(topk_search.search(df)) == brute_top([(r["vec_id"], r["embedding"]) for r in df.collect()], 10, 100)
     assert topk_search.search(df.where("vec_id < 0")).count() == 0
 
 
@@ -82,6 +95,39 @@ def test_classifier_edges(spark, edges, none, labels, score):
     assert score(none, labels).count() == 0 and score(edges, labels.where("false")).count() == edges.count()
 
 
+def test_labelled_sample_is_bounded(spark, docs):
+    """An id that repeats with many texts counts once."""
+    rows = [(1, f"text {i}", "en", "a", 1) for i in range(50)] + [(i, "other", "en", "a", 1) for i in range(2, 9)]
+    df, labels = spark.createDataFrame(rows, docs.schema), spark.createDataFrame([(i, 1) for i in range(1, 9)], "doc_id long, toxic long")
+    for most, n in ((2, 2), (100, 8)):
+        sample = common.labelled_sample(df, labels, "toxic", "text", "doc_id", F.lit(True), most)
+        assert sample.count() == n
+    assert {r["order"] for r in sample.collect() if r["text"].startswith("text")} and sample.where("text like 'text%'").count() == 1
+
+
+def test_ftrl_against_the_plain_update():
+    """One coordinate at a time, as published: z += g - sigma * w, n += g * g, w of z and n."""
+    rng, p = np.random.default_rng(2), toxicity.FtrlParams(bits=5, epochs=3, l1=1.0, alpha=0.5)
+    rows = [(int(y), np.unique(rng.integers(0, 32, 6))) for y in rng.integers(0, 2, 40)]
+    z, n, size = [0.0] * 33, [0.0] * 33, 32
+
+    def weight(i):
+        l1 = 0.0 if i == size else p.l1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((p.beta + n[i] ** 0.5) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for y, at in rows:
+            at = [*at.tolist(), size]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in at:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / p.alpha
+                z[i], n[i] = z[i] + g - sigma * w[i], n[i] + g * g
+    m = toxicity.fit_ftrl(rows, p)
+    assert np.allclose(m.dense(), [weight(i) for i in range(size)], atol=1e-5) and np.isclose(m.bias, weight(size))
+    assert 0 < len(m.index) < size
+
+
 def test_ftrl_is_sparse_and_finds_the_word():
     rng = np.random.default_rng(0)
     rows = []
@@ -161,6 +207,12 @@ def test_rules(docs, edges, none):
     assert quality_rules.check_rules(none).count() == 0
 
 
+def test_repeated_words_of_a_long_text():
+    words = [b"w%d" % (i % 5000) for i in range(60_000)]
+    assert quality_rules.repeated_words(words) == 60_000
+    assert quality_rules.repeated_words([b"%d" % i for i in range(60_000)]) == 0
+
+
 @pytest.mark.parametrize("text", ["a b c d e f g h " * 3, "a " * 40, " ".join(map(str, range(50))) + " 1 2 3 4 5 6 7 8", "a b c d e f g h", ""])
 def test_repeated_words(text):
     assert quality_rules.repeated_words(text.encode().split()) == brute_rules(text)[4]
@@ -178,6 +230,7 @@ def test_ledger_policies_and_ablations(docs, none):
 
 def test_filter_keeps_columns_and_clean_rows(edges, labels):
     df = clashing(edges)
+    assert simhash.drop_near_duplicates(df, similarity=0.8).columns == df.columns
     for out in (quality_rules.drop_failed(df), toxicity.drop_toxic(df, labels), simhash.drop_near_duplicates(df), mixing.remix(df)):
         assert out.columns == df.columns
         assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in df.select("doc_id").collect()}
@@ -207,6 +260,22 @@ def test_warc(spark, small):
     assert warc.archive_and_read(df.where("false")).count() == 0
 
 
+def test_warc_edges(spark):
+    long = "<p>" + "very long " * 400_000
+    pages = clashing(spark.createDataFrame([(-4, "u", long), (7, "u", long), (7, "u", long), (8, None, None)], "page_id long, url string, html string"))
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_and_read(pages).collect())
+    n = len(long)
+    assert got == [(-4, n, "revisit", 7), (7, n, "response", None), (7, n, "response", None), (8, 0, "response", None)]
+
+
+def test_warc_of_other_writers():
+    plain = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    meta = b"WARC/1.0\r\nWARC-Type: metadata\r\n\r\nabc"
+    page = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1-2>\r\nWARC-Target-URI: http://a\r\nWARC-Payload-Digest: md5:00\r\n\r\nHTTP/1.1 200 OK\r\nServer: x\r\n\r\nhello"
+    assert warc.parse(plain) is None and warc.parse(meta) is None
+    assert warc.parse(page) == (None, "http://a", "response", None, b"hello", 5, hashlib.sha1(b"hello").hexdigest())
+
+
 def test_warc_is_plain_gzip(spark, small):
     import gzip
 
@@ -222,7 +291,90 @@ def test_warc_is_plain_gzip(spark, small):
 # 7
 
 
-def test_mixing(spark, docs, edges, none):
+def brute_mixture(df, params):
+    """Weights, permutations, passes and positions row by row, from the hashes that order blocks and documents."""
+    n_words = lambda t: len(WORD.findall(t or ""))
+    rows = [(r["source"], r["tie"], r["doc_id"], n_words(r["text"])) for r in df.withColumn("tie", mixing.tie_of(df, "doc_id", "text", params.seed)).collect()]
+    tokens, size = Counter(), Counter()
+    for s, _, _, n in rows:
+        tokens[s] += n
+        size[s] += 1
+    counts = [t for t in tokens.values() if t]
+    share = {s: t / sum(counts) for s, t in tokens.items() if t}
+
+    def weights(a):
+        z = sum(x**a for x in share.values())
+        return {s: x**a / z for s, x in share.items()}
+
+    def too_flat(a):
+        w = weights(a)
+        if params.entropy is not None:
+            return -sum(x * np.log(x) for x in w.values()) > params.entropy
+        passes = [w[s] / tokens[s] for s in w]
+        return max(passes) / min(passes) > params.repetition * (1 + 1e-12)
+
+    a = next((x for x in (0.0,) if len(counts) < 2 or not too_flat(x)), None)
+    if a is None:
+        low, a = 0.0, 1.0
+        for _ in range(60):
+            middle = (low + a) / 2
+            low, a = (middle, a) if too_flat(middle) else (low, middle)
+    w = weights(a)
+    budget = params.budget or int(max(tokens[s] / w[s] for s in w) + 1e-6)
+    out = []
+    hashes = df.sparkSession.range(1)
+    for s in size:
+        take = int(budget * w.get(s, 0.0) + 1e-6)
+        take = max(take, tokens[s]) if params.budget is None else take
+        blocks = max(1, -(-size[s] // mixing.BLOCK))
+        members = defaultdict(list)
+        for source, tie, i, n in rows:
+            if source == s:
+                members[tie % blocks].append((tie, i, n))
+        full = take // tokens[s] if tokens[s] else 1
+        for p in range(full + (take > full * tokens[s])):
+            order = [(r["h"], r["b"]) for r in hashes.select(F.explode(F.array(*(F.lit(b).cast("long") for b in members))).alias("b")).select("b", mixing.place(F.col("b"), F.lit(p), params.seed).alias("h")).collect()]
+            at = p * tokens[s]
+            for _, b in sorted(order):
+                for tie in sorted({t for t, _, _ in members[b]}):
+                    same = [(i, n) for t, i, n in members[b] if t == tie]
+                    fits = p < full or at + sum(n for _, n in same) <= take
+                    if not fits:
+                        break
+                    out += [(i, s, n, p, at / max(1, take)) for i, n in same]
+                    at += sum(n for _, n in same)
+                else:
+                    continue
+                break
+    return sorted(out, key=repr)
+
+
+def mixed(df, params):
+    return sorted(((r["doc_id"], r["source"], r["n_tokens"], r["pass"], r["position"]) for r in mixing.mixture(df, params).collect()), key=repr)
+
+
+@pytest.mark.parametrize("params", [mixing.MixParams(), mixing.MixParams(repetition=3.3), mixing.MixParams(entropy=1.2), mixing.MixParams(budget=7000, repetition=9.0)])
+def test_mixing_against_brute_force(spark, docs, monkeypatch, params):
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * (i % 7)), "en", "hot" if i % 3 else rng.choice(["a", "b", "b", "c", None]), 1) for i in range(900)]
+    rows += [(None, "no id here", "en", "hot", 1)] * 40 + [(5, f"again {i}", "en", "a", 1) for i in range(9)] + [(6, "", "en", "empty", 1)]
+    df = clashing(spark.createDataFrame(rows, docs.schema)).repartition(3)
+    want = brute_mixture(df, params)
+    got = mixed(df, params)
+    assert [x[:4] for x in got] == [x[:4] for x in want] and np.allclose([x[4] for x in got], [x[4] for x in want])
+    # the same uses, as whole rows
+    uses = Counter((r["doc_id"], r["text"]) for r in mixing.remix(df, params).collect())
+    expected = Counter()
+    text_of = defaultdict(list)
+    for r in df.collect():
+        text_of[(r["doc_id"], r["source"], len(r["text"].split()))].append(r["text"])
+    assert sum(uses.values()) == len(want) and Counter(i for i, _ in uses.elements()) == Counter(x[0] for x in want)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)  # too many sources to broadcast
+    assert mixed(df, params) == got
+
+
+def test_mixing_shares(spark, docs, edges, none):
     rows = [(i, " ".join(["w"] * (1 + i % 7)), "en", "hot" if i % 3 else f"s{i % 30}", 1) for i in range(9000)]
     df = spark.createDataFrame(rows, docs.schema)
     out = mixing.mixture(df).collect()
@@ -236,24 +388,7 @@ def test_mixing(spark, docs, edges, none):
     assert set(uses) == {r[0] for r in rows}  # every document once at least
     rates = {s: taken[s] / tokens[s] for s in tokens}
     assert all(0.999 <= x <= 1.5 for x in rates.values()) and max(rates.values()) > 1.48 and abs(rates["hot"] - 1) < 1e-9
-    assert sum(1 for r in out) == sum(len(u) for u in uses.values())
-    assert {r["doc_id"] for r in mixing.mixture(edges).collect()} == {r["doc_id"] for r in edges.collect()} and mixing.mixture(none).count() == 0
-
-
-def test_mixing_weights_and_budget(spark, docs):
-    assert np.isclose(mixing.bisect([100, 100], mixing.MixParams()), 0)
-    a = mixing.bisect([900, 100], mixing.MixParams(repetition=3.0))
-    w = mixing.weights([900, 100], a)
-    assert np.isclose(w[1] / 100 / (w[0] / 900), 3.0)
-    h = mixing.bisect([900, 100], mixing.MixParams(entropy=0.6))
-    p = mixing.weights([900, 100], h)
-    assert np.isclose(-sum(x * np.log(x) for x in p), 0.6)
-    df = spark.createDataFrame([(i, "a b c d", "en", "x" if i < 90 else "y", 1) for i in range(100)], docs.schema)
-    out = mixing.mixture(df, mixing.MixParams(repetition=100.0, budget=200)).collect()
-    taken = Counter()
-    for r in out:
-        taken[r["source"]] += r["n_tokens"]
-    assert taken["x"] <= 100 and taken["y"] <= 100 and taken["y"] == 100 and taken["x"] >= 96
+    assert {r["doc_id"] for r in mixing.mixture(edges).collect()} == {r["doc_id"] for r in edges.collect()} and mixing.mixture(none).count() == 0 and mixing.remix(none).count() == 0
 
 
 # 8
@@ -363,7 +498,8 @@ def test_simhash(docs, edges, none):
     assert len(simhash.near_duplicates(edges).collect()) == edges.count()
 
 
-def test_links_in_hot_cells(spark, monkeypatch):
+@pytest.mark.parametrize("cell", [4, 64, 1024])
+def test_links_in_hot_cells(spark, monkeypatch, cell):
     rng, seen = random.Random(9), set()
     centre = rng.getrandbits(64)
     while len(seen) < 260:  # a cloud around one fingerprint and chains away from it
@@ -373,10 +509,9 @@ def test_links_in_hot_cells(spark, monkeypatch):
         seen.add(x)
     seen |= {rng.getrandbits(64) for _ in range(60)}
     signed = [x - (1 << 64) if x >= 1 << 63 else x for x in seen]
-    monkeypatch.setattr(simhash, "CELL", 16)
+    monkeypatch.setattr(pivot_links, "CELL", cell)
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    edges = [(r["a"], r["b"]) for r in simhash.links(df).collect()]
-    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 * 64 for a, b in edges)
+    edges = [(r["a"], r["b"]) for r in pivot_links.links(df).collect()]
     from nearby.operators.components import connected_components
 
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -390,13 +525,38 @@ def test_links_in_hot_cells(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_tables_are_distances(spark):
+    rng = random.Random(2)
+    x = [0, -1, *(rng.getrandbits(64) - (1 << 63) for _ in range(40))]
+    fp = F.col("fp")
+    rows = spark.createDataFrame([(v,) for v in x], "fp long").select("fp", F.array(*fingerprints.whole_table(fp)).alias("d"), F.array(*fingerprints.byte_tables(fp)).alias("t")).collect()
+    table = fingerprints.as_table(*np.array([r["d"] for r in rows]).T)
+    low = (1 << 64) - 1
+    for r, distances in zip(rows, table):
+        apart = [(r["fp"] ^ p) & low for p in fingerprints.pivots()]
+        assert distances.tolist() == [a.bit_count() for a in apart]
+        for b, packed in enumerate(r["t"]):
+            assert [packed >> 4 * j & 15 for j in range(fingerprints.BYTE_PIVOTS)] == [(a >> 8 * b & 255).bit_count() for a in apart[: fingerprints.BYTE_PIVOTS]]
+
+
 def test_pivots_never_lose_a_pair():
     rng = np.random.default_rng(4)
     left = rng.integers(0, 1 << 64, 500, dtype=np.uint64)
-    right = left ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
-    i, j = simhash.close_pairs(left, right)
-    brute = np.argwhere(np.bitwise_count(left[:, None] ^ right[None, :]) <= 2)
-    assert sorted(zip(i.tolist(), j.tolist())) == sorted(map(tuple, brute.tolist())) and len(i) >= 500
+    x = np.concatenate([left, left ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))])
+    table = np.bitwise_count(x[:, None] ^ np.array(fingerprints.pivots(), np.int64).view(np.uint64)).astype(np.int8)
+    i, j = np.triu_indices(1000, 1)
+    a, b = fingerprints.near(x.view(np.int64), table, i, j, 2)
+    ok = np.bitwise_count(x[i] ^ x[j]) <= 2
+    assert list(zip(a, b)) == list(zip(i[ok], j[ok])) and len(a) >= 500
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_drop_keeps_one_of_each_group(spark, docs, similarity):
+    """Rows that repeat an id with unrelated texts are no copies; rows equal as a whole are, with an id or without."""
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (1, two), (2, one), (3, two), (None, one), (None, "c d e f g h"), (None, "c d e f g h"), (4, None), (5, ""), (5, "")]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), similarity=similarity).collect()
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in out)) == sorted([(1, one), (1, two), (0, "c d e f g h"), (4, "")])
 
 
 def test_fresh_names():
@@ -407,12 +567,49 @@ def test_fresh_names():
 
 
 def test_pipeline(spark, small):
+    """Each stage's decisions, from its own input, by brute force."""
     import corpus_pipeline
+    from tests.llm.test_near_copies import brute_components as near_components
 
-    out = corpus_pipeline.run(spark, small).collect()
-    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    kept = {r["doc_id"] for r in out}
-    assert kept and kept < set(docs) and out[0]["n_tokens"] > 0
-    prints = [(i, brute_fingerprint(docs[i]["text"])) for i in sorted(kept)]
-    assert all(i == c for i, c in brute_components(prints).items())  # no two near copies stay
+    docs, seen = spark.read.parquet(f"{small}/documents.parquet").limit(120).cache(), {}
+    t = library("byte_bpe_50k.json")
+    for name, stage in corpus_pipeline.STAGES:
+        before, out = docs.collect(), stage(spark, docs, small)
+        rows = out.collect()
+        ids = Counter(r["doc_id"] for r in rows)
+        if name == "toxicity":
+            labels = spark.read.parquet(f"{small}/labels.parquet")
+            want = Counter(r["doc_id"] for r in toxicity.score_toxicity(docs, labels).collect() if r["score"] < 0.5)
+        elif name == "quality_rules":
+            want = Counter()
+            for r in before:
+                words, chars, symbols, dup, repeat = brute_rules(r["text"])
+                raw, lines = "".join(WORD.findall(r["text"])), [x for x in r["text"].split("\n") if WORD.search(x)]
+                bad = words < 20 or 100 * repeat > 30 * words or 5 * symbols > words or 2 * dup > len(lines) or chars < 2 * words or chars > 16 * words
+                bad = bad or 2 * sum("A" <= c <= "Z" for c in raw) > chars or 3 * raw.count("!") > words
+                want[r["doc_id"]] += not bad
+            want = +want
+        elif name == "near_dedup":
+            want = Counter(i for i, c in near_components([(r["doc_id"], r["text"]) for r in before]).items() if i == c)
+        elif name == "source_mixture":
+            want = Counter(x[0] for x in brute_mixture(docs, mixing.MixParams()))
+        else:
+            want = Counter(r["doc_id"] for r in before)
+            encoded = {r["doc_id"]: len(t.encode(r["text"], add_special_tokens=False).ids) for r in before}
+            assert all(r["n_tokens"] == encoded[r["doc_id"]] for r in rows)
+        assert ids == want and sum(ids.values()) > 20, name
+        if name != "bpe":
+            assert out.columns == docs.columns
+            docs = out.checkpoint()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "near_dedup", "source_mixture", "bpe"]
+
+
+def test_pipeline_run(spark, small, edges, none, tmp_path):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, small).collect()
+    assert out and {r["doc_id"] for r in out} < {r["doc_id"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for n, df in enumerate((clashing(edges), none)):
+        df.write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"{tmp_path}/{n}/labels.parquet")
+        assert len(corpus_pipeline.run(spark, f"{tmp_path}/{n}").collect()) == 1 - n  # the long text alone has 20 words and repeats little
