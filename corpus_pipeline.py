@@ -3,7 +3,12 @@
 Each stage takes all its predecessor kept and its decisions take effect: the first three drop rows,
 the fourth repeats rows of small sources, the last encodes what is left. Stages but the last return
 the columns of ``documents``. ``run`` writes each stage to the folder that driver and executors share
-and reads it again, so a lost executor costs one stage at most.
+and reads it again, so a lost executor costs one stage at most; a stage's folder goes once the next is written.
+
+Defined results: null and empty texts have no words, so the quality rules drop them; rows equal in id and text, and
+repeated texts under other ids, leave one row at near_dedup; of rows that repeat an id with unrelated texts all stay;
+a null id is no bar to any stage; a null source is a source of its own; extra columns stay until the last stage;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,8 +17,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearby.llm import bpe, mixing, near_copies, quality_rules, toxicity
-from nearby.llm.common import new_folder, table
+from nearby.llm import bpe, mixing, quality_rules, simhash, toxicity
+from nearby.llm.common import new_folder, remove_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -27,7 +32,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.drop_near_copies(docs)
+    return simhash.drop_near_duplicates(docs, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline")
+    docs, folder, old = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline"), ""
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if old:
+            remove_folder(spark, old)
+        old = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
