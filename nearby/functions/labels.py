@@ -94,3 +94,13 @@ def when_label(day: Column, start: Column, end: Column, ongoing: Column, underwa
 def duration_label(minutes: Column) -> Column:
     h, m = F.floor(minutes / 60), F.round(minutes % 60).cast("int")
     return F.when(minutes < 60, F.concat(F.round(minutes).cast("int").cast("string"), F.lit(" min"))).when(m == 0, F.concat(h.cast("string"), F.lit(" h"))).otherwise(F.concat(h.cast("string"), F.lit(" h "), m.cast("string"), F.lit(" min")))
+
+
+def facts_label(detour: Column, ahead: Column) -> Column:
+    """What a stop costs and where it is, on a card: "+9 min · 3 mi"."""
+    minutes = F.round(detour).cast("int")
+    cost = F.when(minutes < 1, "On the way").otherwise(F.concat(F.lit("+"), minutes.cast("string"), F.lit(" min")))
+    miles = F.abs(ahead)
+    short = F.when(miles < 10, F.format_string("%.1f", miles)).otherwise(F.round(miles).cast("int").cast("string"))
+    where = F.concat(short, F.lit(" mi"))
+    return F.concat(cost, F.lit(" · "), F.when(ahead < -0.15, F.concat(where, F.lit(" back"))).when(ahead < 0.15, "beside you").otherwise(where))

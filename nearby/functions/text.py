@@ -58,15 +58,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def titles_match(a: Column, b: Column) -> Column:
-    """Equal, one in the other, or mostly the same words."""
-    na, nb, ta, tb = norm_title(a), norm_title(b), title_tokens(a), title_tokens(b)
+def norms_match(na: Column, nb: Column, ta: Column, tb: Column) -> Column:
+    """Whether two titles are of one event, by their normal forms and words: equal, one in the other, or mostly the same words."""
     inside = (na != "") & (nb != "") & (na.contains(nb) | nb.contains(na))
     return (na == nb) | inside | ((F.size(ta) > 0) & (F.size(tb) > 0) & (jaccard(ta, tb) >= 0.6))
 
 
+def titles_match(a: Column, b: Column) -> Column:
+    return norms_match(norm_title(a), norm_title(b), title_tokens(a), title_tokens(b))
+
+
 #: Entities that occur in feeds; the others are left as they are.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "hellip": "…", "eacute": "é", "amp": "&"}
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "hellip": "…", "eacute": "é", "copy": "©", "middot": "·", "amp": "&"}
 
 
 def unescape(text: Column) -> Column:
@@ -170,7 +173,16 @@ def split_postal(line: Column) -> Column:
 
 def titlecase(text: Column) -> Column:
     words = F.split(squeeze(text), " ")
-    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*V.SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20)))), " ")
+    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*V.SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))), " ")
+
+
+def headline(text: Column) -> Column:
+    """A title in capitals as a title: minor words small, but for the first and those after a colon. Other titles stay."""
+    words = F.split(squeeze(F.lower(text)), " ")
+    cased = lambda w: F.array_join(F.transform(F.split(w, "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), "-")
+    opening = lambda i: (i == 0) | F.get(words, i - 1).endswith(":")
+    out = F.array_join(F.transform(words, lambda w, i: F.when(~opening(i) & F.regexp_replace(w, "^[.,:]+|[.,:]+$", "").isin(*V.MINOR_WORDS), w).otherwise(cased(w))), " ")
+    return F.when((text == F.upper(text)) & text.rlike(r"\p{Lu}"), out).otherwise(text)
 
 
 def query_variants(venue: Column, address: Column, city: Column) -> Column:
@@ -214,5 +226,5 @@ def iso_duration_seconds(text: Column) -> Column:
 
 
 def normalise_city(city: Column) -> Column:
-    """A town's name without state and spaces around."""
-    return F.nullif(squeeze(F.regexp_replace(city, r",.*$", "")), F.lit(""))
+    """A town's name without asides in brackets and spaces around; null if nothing is left."""
+    return F.nullif(squeeze(F.regexp_replace(city, r"\s*\([^)]*\)", "")), F.lit(""))

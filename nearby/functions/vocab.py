@@ -388,3 +388,6 @@ SPORT = '\\b(basketball|soccer|volleyball|baseball|softball|hockey|lacrosse|tenn
 HOME_GAME = '\\bvs\\.?\\b'
 #: An away game; with regard to case.
 AWAY_GAME = '\\b(?:at|@)\\s+[A-Z]'
+
+#: Words of a title that stay small.
+MINOR_WORDS = ("a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "into", "nor", "of", "on", "or", "the", "to", "up", "vs", "with")

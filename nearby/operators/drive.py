@@ -2,69 +2,167 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearby.functions import geo
 from nearby.operators import spatial
 
-#: Miles moved before a bearing is trusted; miles an hour from which a stated heading is.
-LEAST_MOVE, LEAST_SPEED = 0.02, 5.0
-#: Miles off a route that count as off it, fixes in a row, miles left at arrival.
-OFF_ROUTE, OFF_FIXES, ARRIVED = 0.4, 3, 0.2
+#: Miles from the last trusted fix before a bearing is trusted; miles an hour above which a stated heading is; metres a second to miles an hour.
+LEAST_MOVE, LEAST_SPEED, MPS_TO_MPH = 0.02, 5.0, 2.23694
+#: Miles off a route that count as off it, fixes in a row, seconds between two alerts, miles left at arrival.
+OFF_ROUTE, OFF_FIXES, ALERT_SECONDS, ARRIVED = 0.4, 3, 60.0, 0.2
 MOST_AHEAD, SHORTLIST = 16, 40
+#: Miles an hour that an unknown speed counts as, hours looked ahead, miles at least and at most.
+CRUISE, LOOK_HOURS, LOOK_LEAST, LOOK_MOST = 30.0, 0.25, 4.0, 25.0
+
+TRACKED = "car long, fix_at timestamp, event_id long, lat double, lon double, step double, odometer double, speed double, heading double"
+ALERTED = "car long, fix_at timestamp, event_id long, alert string"
+
+
+def miles(a: float, b: float, c: float, d: float) -> float:
+    p, q = math.radians(a), math.radians(c)
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(d - b) / 2) ** 2
+    return 2 * geo.MILES_RADIUS * math.asin(min(1.0, math.sqrt(h)))
+
+
+def course(a: float, b: float, c: float, d: float) -> float:
+    east, north = (d - b) * geo.MILES_PER_DEGREE * math.cos(math.radians(a)), (c - a) * geo.MILES_PER_DEGREE
+    return math.degrees(math.atan2(east, north)) % 360
+
+
+#: What is kept of a car between fixes: its last fix, the fix from which the next bearing is taken, and sums.
+Kept = tuple
+NEW_TRACK: Kept = (None, None, None, 0.0, 0.0, None, None, None)
+NEW_ALERTS: Kept = (0, False, None)
+
+
+def stated(x: object) -> float | None:
+    return None if x is None or x != x else float(x)
+
+
+def track_step(kept: Kept, row) -> tuple[Kept, tuple]:
+    """The next state of a car, and (step, odometer, speed, heading) at its fix."""
+    at, lat0, lon0, odometer, speed, heading, from_lat, from_lon = kept
+    gps_heading, gps_speed, now = stated(row.gps_heading), stated(row.gps_speed), row.fix_at.timestamp()
+    if gps_speed is not None and gps_speed >= 0:
+        speed = gps_speed * MPS_TO_MPH
+    if gps_heading is not None and speed > LEAST_SPEED:
+        heading, from_lat, from_lon = gps_heading, row.lat, row.lon
+    elif from_lat is not None and miles(from_lat, from_lon, row.lat, row.lon) > LEAST_MOVE:
+        heading, from_lat, from_lon = course(from_lat, from_lon, row.lat, row.lon), row.lat, row.lon
+    if from_lat is None:
+        from_lat, from_lon = row.lat, row.lon
+    step = 0.0
+    if lat0 is not None:
+        step = miles(lat0, lon0, row.lat, row.lon)
+        odometer += step
+        if gps_speed is None and now > at:
+            speed = step / ((now - at) / 3600)
+    return (now, row.lat, row.lon, odometer, speed, heading, from_lat, from_lon), (step, odometer, speed, heading)
+
+
+def alert_step(kept: Kept, row) -> tuple[Kept, str | None]:
+    """The next state of a car on a route, and what to say at its fix, if anything."""
+    run, arrived, last = kept
+    if row.left <= ARRIVED:
+        return (run, True, last), None if arrived else "arrived"
+    run, now = run + 1 if row.off > OFF_ROUTE else 0, row.fix_at.timestamp()
+    if run >= OFF_FIXES and (last is None or now - last > ALERT_SECONDS):
+        return (0, arrived, now), "off route"
+    return (run, arrived, last), None
+
+
+def along(df: DataFrame, order: str, new: Kept, step: Callable, out: Callable, schema: str) -> DataFrame:
+    """``step`` over each car's rows in time order.
+
+    A fix depends on all before it, so a car's rows pass through one task; they stream through it in sorted batches
+    and only a car's state is held, whatever its number of fixes.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        car, kept = object(), new
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                if row.car != car:
+                    car, kept = row.car, new
+                kept, made = step(kept, row)
+                rows += out(row, made)
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return df.withColumnRenamed(order, "event_id").repartition("car").sortWithinPartitions("car", "fix_at", "event_id").mapInPandas(run, schema).withColumnRenamed("event_id", order)
+
+
+def tracked_row(row, made: tuple) -> list[tuple]:
+    return [(row.car, row.fix_at, row.event_id, row.lat, row.lon, *made)]
+
+
+def alert_row(row, said: str | None) -> list[tuple]:
+    return [(row.car, row.fix_at, row.event_id, said)] if said else []
+
+
+def with_gps(fixes: DataFrame) -> DataFrame:
+    """Fixes with the device's own heading (degrees) and speed (metres a second), null where it states none."""
+    return fixes.withColumns({c: F.lit(None).cast("double") for c in ("gps_heading", "gps_speed") if c not in fixes.columns})
 
 
 def track(fixes: DataFrame, order: str = "event_id") -> DataFrame:
-    """car, fix_at, order, lat, lon, step, odometer, heading of positions (car, fix_at, lat, lon, order).
+    """car, fix_at, order, lat, lon, step, odometer, speed, heading of positions (car, fix_at, lat, lon, order, gps_heading, gps_speed).
 
-    ``step`` is the distance from the car's fix before. The heading is the bearing of the last step of
-    ``LEAST_MOVE`` miles at least, carried on; null before the first.
+    ``step`` is the distance from the car's fix before. The speed is the device's, else that of the step. The heading is
+    the device's own above ``LEAST_SPEED``, else the bearing from the last fix that gave one, once the car is
+    ``LEAST_MOVE`` miles from it; null before the first. Fixes without a position are no fixes.
     """
-    w = Window.partitionBy("car").orderBy("fix_at", order)
-    d = fixes.select("car", "fix_at", order, "lat", "lon", F.lag("lat").over(w).alias("lat0"), F.lag("lon").over(w).alias("lon0"))
-    step = F.coalesce(geo.haversine_miles(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")), F.lit(0.0))
-    d = d.withColumn("step", step)
-    turn = F.when(F.col("step") >= LEAST_MOVE, geo.bearing(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")))
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("odometer", F.sum("step").over(running)).withColumn("heading", F.last(turn, ignorenulls=True).over(running))
-    return d.select("car", "fix_at", order, "lat", "lon", "step", "odometer", "heading")
+    f = with_gps(fixes).where("lat is not null and lon is not null")
+    f = f.select("car", F.col("fix_at").cast("timestamp").alias("fix_at"), order, "lat", "lon", F.col("gps_heading").cast("double"), F.col("gps_speed").cast("double"))
+    return along(f, order, NEW_TRACK, track_step, tracked_row, TRACKED)
 
 
 def route_alerts(located: DataFrame, order: str = "event_id") -> DataFrame:
-    """Arrival and off-route alerts of located fixes (car, fix_at, order, off, left): one row for each run of ``OFF_FIXES`` fixes off
-    the route at the fix that completes it, and one at the first arrival."""
-    w = Window.partitionBy("car").orderBy("fix_at", order)
-    d = located.withColumn("is_off", F.col("off") > OFF_ROUTE)
-    d = d.withColumn("run", F.sum(F.when(F.col("is_off"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    within = Window.partitionBy("car", "run").orderBy("fix_at", order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("n_off", F.sum(F.col("is_off").cast("int")).over(within))
-    d = d.withColumn("arrivals", F.sum((F.col("left") <= ARRIVED).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    alert = F.when(F.col("is_off") & (F.col("n_off") == OFF_FIXES), "off route").when((F.col("arrivals") == 1) & (F.col("left") <= ARRIVED), "arrived")
-    return d.withColumn("alert", alert).where("alert is not null").select("car", "fix_at", order, "alert")
-
-
-def interest(df: DataFrame, weights: dict[str, float], levels: dict[str, float], default: float = 1.0, keep_chains: bool = True) -> DataFrame:
-    """``df`` with ``score``: weight of its type times the reader's level, and extras for what is known and on. A score of 0 goes."""
+    """Alerts of located fixes (car, fix_at, order, off, left): the first arrival, and ``OFF_FIXES`` fixes in a row off the route. After
+    such an alert the count starts anew and the next comes more than ``ALERT_SECONDS`` later; fixes at the goal don't count."""
+    f = located.where("off is not null and left is not null").select("car", F.col("fix_at").cast("timestamp").alias("fix_at"), order, "off", "left")
+    return along(f, order, NEW_ALERTS, alert_step, alert_row, ALERTED)
+
+
+def interest(df: DataFrame, weights: dict[str, float], levels: dict[str, float], default: float = 1.0, keep_chains: bool = True, chains_off: tuple[str, ...] = (), cuisines: dict[str, float] | None = None) -> DataFrame:
+    """``df`` with ``score``: weight of its type times the reader's level, and extras for what is known and on. A score of 0 goes.
+
+    Chains go altogether or those of ``chains_off``; food gets the best of the reader's ``cuisines`` that it serves on top.
+    """
     table = lambda m: F.create_map(*(F.lit(x) for pair in m.items() for x in pair))
     base = F.coalesce(table(weights)[F.col("drive_type")], F.lit(default)) * F.coalesce(table(levels)[F.col("drive_type")], F.lit(1.0))
     extra = lambda name, n: F.when(F.coalesce(F.col(name).cast("string"), F.lit("")) != "", n).otherwise(0.0) if name in df.columns else F.lit(0.0)
     flag = lambda name, n: F.when(F.coalesce(F.col(name), F.lit(False)), n).otherwise(0.0) if name in df.columns else F.lit(0.0)
-    score = F.when(base > 0, base + extra("description", 0.5) + extra("url", 0.3) + flag("liked", 3.0) + flag("loved", 2.0) + flag("on_now", 2.0)).otherwise(0.0)
+    liked = F.coalesce(F.array_max(F.transform("cuisine", lambda x: F.coalesce(table(cuisines)[x], F.lit(0.0)))), F.lit(0.0)) if cuisines and "cuisine" in df.columns else F.lit(0.0)
+    score = F.when(base > 0, base + extra("description", 0.5) + extra("url", 0.3) + flag("liked", 3.0) + flag("loved", 2.0) + flag("on_now", 2.0) + liked).otherwise(0.0)
     out = df.withColumn("score", score).where("score > 0")
-    return out if keep_chains else out.where("chain is null")
+    if not keep_chains:
+        return out.where("chain is null")
+    return out.where(F.col("chain").isNull() | ~F.col("chain").isin(*chains_off)) if chains_off else out
 
 
 def look_ahead(speed: Column) -> Column:
-    """Miles looked ahead: 4 at rest to 25 at speed."""
-    return F.least(F.lit(25.0), F.greatest(F.lit(4.0), speed * 0.4))
+    """Miles looked ahead: a quarter of an hour at the car's speed, within reason. No speed counts as ``CRUISE``."""
+    return F.least(F.lit(LOOK_MOST), F.greatest(F.lit(LOOK_LEAST), F.coalesce(F.nullif(speed.cast("double"), F.lit(0.0)), F.lit(CRUISE)) * LOOK_HOURS))
 
 
 def ahead_on_route(positions: DataFrame, located: DataFrame, detour: float = 20.0) -> DataFrame:
-    """car, id, ahead, off of places (id, route_id, along, off) ahead of cars (car, route_id, along, speed) on their route."""
-    p = positions.select("car", "route_id", F.col("along").alias("here"), look_ahead(F.col("speed")).alias("reach"))
-    met = p.join(located.select("id", "route_id", "along", "off"), "route_id").withColumn("ahead", F.col("along") - F.col("here"))
-    return met.where((F.col("ahead") >= 0.5) & (F.col("ahead") <= F.col("reach")) & (F.col("off") <= min(10.0, 0.35 * detour))).select("car", "id", "ahead", "off")
+    """car, id, ahead, off of places (id, route_id, along, off) ahead of cars (car, route_id, along, speed) on their route.
+
+    Mileage is cut into pieces as long as the farthest look, so a car meets the places of its piece and the next alone.
+    """
+    piece = lambda c: F.floor(c / LOOK_MOST)
+    here = F.col("along")
+    p = positions.select("car", F.col("route_id").alias("_route"), here.alias("here"), look_ahead(F.col("speed")).alias("reach"), F.explode(F.array(piece(here), piece(here) + 1)).alias("_piece"))
+    places = located.where(F.col("off") <= min(10.0, 0.35 * detour)).select("id", "route_id", "along", "off", piece(F.col("along")).alias("piece"))
+    met = places.join(p, (F.col("route_id") == F.col("_route")) & (F.col("piece") == F.col("_piece"))).withColumn("ahead", F.col("along") - F.col("here"))
+    return met.where((F.col("ahead") >= 0.5) & (F.col("ahead") <= F.col("reach"))).select("car", "id", "ahead", "off")
 
 
 def ahead_by_heading(positions: DataFrame, places: DataFrame, detour: float = 20.0, size: float = 0.5) -> DataFrame:
@@ -81,6 +179,15 @@ def ahead_by_heading(positions: DataFrame, places: DataFrame, detour: float = 20
     return met.where((F.col("ahead") >= 0.5) & (F.col("ahead") <= F.col("reach")) & (F.col("off") <= wide)).select("car", "id", "ahead", "off")
 
 
+def shortlist(candidates: DataFrame, k: int = SHORTLIST) -> DataFrame:
+    """The ``k`` candidates of each car (car, id, score, ahead, off) whose detours are worth looking up, with ``guess`` (minutes out and
+    back at local speed) and ``rank``: most score less the guess first, then nearness, then id."""
+    guess = F.col("off") * 2 * 1.3 / 35 * 60
+    d = candidates.withColumn("guess", guess).withColumn("_worth", F.col("score") - guess * 0.15)
+    w = Window.partitionBy("car").orderBy(F.desc("_worth"), F.asc("ahead"), F.asc("id"))
+    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_worth")
+
+
 def detour_minutes(candidates: DataFrame, legs: DataFrame) -> DataFrame:
     """``candidates`` (car, id, here, goal) with the minutes that a stop adds: to it and on, less the direct way, 0 at least; infinite without a leg.
 

@@ -121,10 +121,11 @@ def place_summary(places: DataFrame) -> DataFrame:
 
 
 def food_summary(places: DataFrame) -> DataFrame:
-    """Of places that serve food: how many, and the shares with hours and a chain."""
+    """Of places that serve food: how many, and the shares that state a cuisine, hours and a chain."""
     f = places.where(F.col("kind").isin(*V.FOOD_KINDS))
     share = lambda c: F.round(100 * F.avg(F.when(c, 1.0).otherwise(0.0)), 1)
-    return f.agg(F.count("*").alias("n"), share(F.col("opening_hours").isNotNull()).alias("with_hours"), share(F.col("brand").isNotNull()).alias("branded"))
+    cuisine = F.coalesce(F.size("cuisine") > 0, F.lit(False)) if "cuisine" in f.columns else F.lit(False)
+    return f.agg(F.count("*").alias("n"), share(cuisine).alias("with_cuisine"), share(F.col("opening_hours").isNotNull()).alias("with_hours"), share(F.col("brand").isNotNull()).alias("branded"))
 
 
 def place_domains(places: DataFrame, known: DataFrame, k: int = 4) -> DataFrame:
@@ -160,12 +161,19 @@ def backfill_prices(listings: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.withColumn("price_min", F.coalesce("price_min", "own", "sole", "sibling")).drop("page", "own", "sole", "sibling")
 
 
-def geocode(candidates: DataFrame, gazetteer: DataFrame, variants: str = "variants") -> DataFrame:
-    """id, lat, lon, precision, reason: the first of a candidate's ordered queries that the gazetteer (query, lat, lon) knows."""
+def geocode(candidates: DataFrame, gazetteer: DataFrame, registry: DataFrame | None = None, variants: str = "variants") -> DataFrame:
+    """id, lat, lon, precision, reason: the first of a candidate's ordered queries that the gazetteer (query, lat, lon) knows.
+
+    Where none does, the venue of the candidate's source (``registry``: source_id, lat, lon) stands in, with precision null.
+    """
     asked = candidates.select("id", F.posexplode_outer(variants).alias("pos", "query"))
     hit = asked.join(gazetteer.select("query", "lat", "lon"), "query").groupBy("id").agg(F.min(F.struct("pos", "lat", "lon")).alias("b"))
-    out = candidates.select("id", F.size(variants).alias("n")).join(hit, "id", "left")
-    reason = F.when(F.col("b").isNotNull(), "found").when(F.col("n") < 1, "no location").otherwise("not found")
-    return out.select("id", "b.lat", "b.lon", F.col("b.pos").alias("precision"), reason.alias("reason"))
-
-
+    keep = ["source_id"] if registry is not None else []
+    out = candidates.select("id", *keep, F.size(variants).alias("n")).join(hit, "id", "left")
+    if registry is not None:
+        home = registry.where("lat is not null and lon is not null").select("source_id", F.struct("lat", "lon").alias("home"))
+        out = out.join(home, "source_id", "left")
+    else:
+        out = out.withColumn("home", F.lit(None).cast("struct<lat:double,lon:double>"))
+    reason = F.when(F.col("b").isNotNull(), "found").when(F.col("home").isNotNull(), "source venue").when(F.col("n") < 1, "no location").otherwise("not found")
+    return out.select("id", F.coalesce("b.lat", "home.lat").alias("lat"), F.coalesce("b.lon", "home.lon").alias("lon"), F.col("b.pos").alias("precision"), reason.alias("reason"))

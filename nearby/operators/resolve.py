@@ -57,8 +57,8 @@ def collapse_places(places: DataFrame, fields: list[str], distance: Column, orde
     return first_by(places, keys, X.filled(*map(F.col, fields)).desc(), distance.asc(), order.asc())
 
 
-#: Miles within which two reports may be one event, and the grid that brings them together (two miles or more a cell up to 60 degrees).
-SAME_EVENT_MILES, EVENT_CELL = 2.0, 0.06
+#: Miles within which two reports may be one event, the grid that brings them together, and rows of a block that one task takes.
+SAME_EVENT_MILES, EVENT_CELL, BLOCK = 2.0, 0.06, 2048
 
 
 def spans(listings: DataFrame) -> DataFrame:
@@ -69,31 +69,41 @@ def spans(listings: DataFrame) -> DataFrame:
 def duplicate_pairs(listings: DataFrame, most_days: int = 31) -> DataFrame:
     """Pairs (a < b) of ids that are one event: days agree, titles match, less than two miles apart.
 
-    Blocks are (day, cell): a listing stands in its own cell on each day it covers, and reaches to the
-    neighbour cells. Runs longer than ``most_days`` are blocked by month instead, so spans stay few rows
-    whatever their length. A pair that meets on several days is tested once, after ``distinct``.
+    Blocks are (day, cell): a listing stands in its own cell on each day it covers, and looks into all cells
+    within two miles, at any latitude. Runs longer than ``most_days`` are blocked by month instead, so spans stay few
+    rows whatever their length. A pair that meets on several days is tested on the first of them, and from one
+    side only. A block of more than ``BLOCK`` rows is dealt out in parts, each a task's work. Titles are normalised once.
     Equal listings (same days, place and normalised title) would all pair up; they are one class first
     and the class pairs up, its members being chained to the first.
     """
-    cols = ["id", "title", "lat", "lon", "d0", "d1"]
-    s = spans(listings).where("title is not null and lat is not null and lon is not null and d0 is not null").select("id", F.col("title"), "lat", "lon", "d0", "d1").withColumn("norm", X.norm_title(F.col("title")))
-    rep = s.groupBy("norm", "lat", "lon", "d0", "d1").agg(F.min(F.struct("id", "title")).alias("r"))
+    cols = ["id", "norm", "words", "lat", "lon", "d0", "d1", "long"]
+    known = spans(listings).where("title is not null and lat is not null and lon is not null and d0 is not null")
+    s = known.select("id", X.norm_title(F.col("title")).alias("norm"), X.title_tokens(F.col("title")).alias("words"), "lat", "lon", "d0", "d1")
     same = ["norm", "lat", "lon", "d0", "d1"]
+    rep = s.groupBy(*same).agg(F.min(F.struct("id", "words")).alias("r"))
     chain = s.join(rep, same).where("id <> r.id").select(F.col("r.id").alias("a"), F.col("id").alias("b"))
-    one = rep.select("r.id", "r.title", "lat", "lon", "d0", "d1").withColumn("cx", geo.cell(F.col("lon"), EVENT_CELL)).withColumn("cy", geo.cell(F.col("lat"), EVENT_CELL))
-    long = F.datediff("d1", "d0") > most_days
-    months = lambda: F.transform(F.sequence(F.trunc("d0", "month"), F.trunc("d1", "month"), F.expr("interval 1 month")), lambda d: F.struct(F.lit("m").alias("u"), d.alias("d")))
-    days = F.transform(F.sequence("d0", F.when(long, F.col("d0")).otherwise(F.col("d1"))), lambda d: F.struct(F.lit("d").alias("u"), d.alias("d")))
+    one = rep.select("r.id", "r.words", *same).withColumn("long", F.datediff("d1", "d0") > most_days)
+    unit = lambda u, d: F.struct(F.lit(u).alias("u"), d.alias("d"))
+    months = F.transform(F.sequence(F.trunc("d0", "month"), F.trunc("d1", "month"), F.expr("interval 1 month")), lambda d: unit("m", d))
+    days = F.transform(F.sequence("d0", F.when(F.col("long"), F.col("d0")).otherwise(F.col("d1"))), lambda d: unit("d", d))
     # Short spans are also under their months, where the long ones look for them.
-    left = one.withColumn("k", F.explode(F.when(long, months()).otherwise(days))).withColumn("c", F.explode(geo.around(F.col("cx"), F.col("cy"))))
-    right = one.withColumn("k", F.explode(F.when(long, months()).otherwise(F.concat(days, months()))))
-    left = left.select(*(F.col(x).alias(f"l_{x}") for x in cols), F.col("k").alias("l_k"), "c")
-    met = left.join(right, (F.col("l_k.u") == F.col("k.u")) & (F.col("l_k.d") == F.col("k.d")) & (F.col("c.cx") == F.col("cx")) & (F.col("c.cy") == F.col("cy")))
+    right = one.withColumn("k", F.explode(F.when(F.col("long"), months).otherwise(F.concat(days, months)))).select(*cols, F.col("k.u").alias("u"), F.col("k.d").alias("d"), geo.cell(F.col("lon"), EVENT_CELL).alias("cx"), geo.cell(F.col("lat"), EVENT_CELL).alias("cy"))
+    left = one.withColumn("k", F.explode(F.when(F.col("long"), months).otherwise(days))).withColumn("c", F.explode(spatial.reach_cells(F.col("lat"), F.col("lon"), F.lit(SAME_EVENT_MILES), EVENT_CELL)))
+    left = left.select(*(F.col(x).alias(f"l_{x}") for x in cols), F.col("k.u").alias("u"), F.col("k.d").alias("d"), "c.cx", "c.cy")
+    block = ["u", "d", "cx", "cy"]
+    crowded = right.groupBy(*block).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(*block, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    right = right.join(crowded, block, "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
+    left = left.join(crowded, block, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    met = left.join(right, [*block, "part"])
+    once = F.when(F.col("l_long") == F.col("long"), F.col("l_id") < F.col("id")).otherwise(F.col("l_long"))
+    first = F.greatest("l_d0", "d0")
+    here = F.col("d") == F.when(F.col("u") == "m", F.trunc(first, "month")).otherwise(first)
     multi = (F.col("l_d0") < F.col("l_d1")) | (F.col("d0") < F.col("d1"))
     dates = (F.col("l_d0") == F.col("d0")) | multi & (F.col("l_d0") <= F.col("d1")) & (F.col("d0") <= F.col("l_d1"))
     near = geo.haversine_miles(F.col("l_lat"), F.col("l_lon"), F.col("lat"), F.col("lon")) < SAME_EVENT_MILES
-    hits = met.where((F.col("l_id") != F.col("id")) & dates & near & X.titles_match(F.col("l_title"), F.col("title")))
-    return hits.select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b")).union(chain.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    hits = met.where(once & here & dates & near & X.norms_match(F.col("l_norm"), F.col("norm"), F.col("l_words"), F.col("words")))
+    return hits.select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b")).union(chain.select(F.least("a", "b"), F.greatest("a", "b")))
 
 
 def clusters(listings: DataFrame, pairs: DataFrame) -> DataFrame:

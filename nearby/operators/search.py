@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearby.functions import geo, vocab as V
 from nearby.functions.classify import is_free, price_known
-from nearby.functions.text import haystack
+from nearby.functions.text import haystack, normalise_city
 
 
 @dataclass(frozen=True)
@@ -144,14 +144,44 @@ def page(df: DataFrame, by: str = "soonest", number: int = 0, size: int = 40) ->
     return df.orderBy(*order_keys(by)).offset(number * size).limit(size)
 
 
+#: Seconds of a stretch of the day plan.
+STRETCH = 900
+
+
 def day_plan(df: DataFrame) -> DataFrame:
-    """``df`` with how many listings its day has and the listing's place in it."""
-    day = Window.partitionBy("day")
-    return df.withColumn("day_count", F.count("*").over(day)).withColumn("day_pos", F.row_number().over(day.orderBy(*order_keys("soonest")[1:])))
+    """``df`` with how many listings its day has and the listing's place in it.
+
+    Days are counted by stretches of time; a listing's place is what comes before its stretch and its place within it, so
+    a busy day is many tasks.
+    """
+    d = df.withColumn("_stretch", F.floor(F.unix_seconds(when_key(F.col("all_day"), F.col("next_at"))) / STRETCH))
+    by_time = Window.partitionBy("day").orderBy(F.col("_stretch").asc())
+    counts = d.groupBy("day", "_stretch").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(by_time.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).withColumn("day_count", F.sum("_n").over(Window.partitionBy("day")))
+    counts = counts.select(F.col("day").alias("_day"), F.col("_stretch").alias("_at"), "_before", "day_count")
+    place = F.row_number().over(Window.partitionBy("day", "_stretch").orderBy(*order_keys("soonest")[1:]))
+    met = d.withColumn("_place", place).join(counts, F.col("day").eqNullSafe(F.col("_day")) & F.col("_stretch").eqNullSafe(F.col("_at")))
+    return met.withColumn("day_pos", F.col("_before") + F.col("_place")).drop("_stretch", "_before", "_place", "_day", "_at")
 
 
 def saved(listings: DataFrame, decisions: DataFrame) -> DataFrame:
-    return listings.join(decisions.where("verdict = 'saved'").select("id"), "id", "left_semi")
+    """Saved listings, soonest first."""
+    return sort_listings(listings.join(decisions.where("verdict = 'saved'").select("id"), "id", "left_semi"))
+
+
+def liked_places(places: DataFrame, liked: DataFrame, by: str = "distance") -> DataFrame:
+    """Places whose name the reader likes (name), in an order of ``sort_places``."""
+    return sort_places(places.join(liked.select("name"), "name", "left_semi"), by)
+
+
+def place_keys(by: str = "distance") -> list[Column]:
+    far, name = F.col("miles").asc_nulls_last(), [F.col("name").asc(), F.col("id").asc()]
+    return {"name": name, "events": [F.col("events").desc_nulls_last(), far, *name]}.get(by, [far, *name])
+
+
+def sort_places(places: DataFrame, by: str = "distance") -> DataFrame:
+    """Places by distance, name or events; unknown distances last, names break ties."""
+    return places.orderBy(*place_keys(by))
 
 
 def programme(listings: DataFrame, decisions: DataFrame, k: int = 5) -> DataFrame:
@@ -197,15 +227,41 @@ def place_facets(places: DataFrame) -> DataFrame:
     return n.select("kind", F.coalesce(labels[F.col("kind")], F.lit("Other")).alias("label"), "n", F.when(at > 0, at).otherwise(len(kinds) + 1).cast("int").alias("pos"))
 
 
-def preset_towns(places: DataFrame, slots: int = 8, apart: float = 12.0, ranked: int = 200) -> DataFrame:
-    """The busiest towns at least ``apart`` miles from each other: town, n, lat, lon, pos.
+def cuisine_facets(places: DataFrame) -> DataFrame:
+    """cuisine, n, pos in the vocabulary's order (others last); the row without a cuisine counts the places that state one."""
+    named = [c for c, _ in V.CUISINES]
+    each = places.select(F.explode(F.array_distinct("cuisine")).alias("cuisine")).groupBy("cuisine").agg(F.count("*").alias("n"))
+    total = places.where(F.size("cuisine") > 0).agg(F.lit(None).cast("string").alias("cuisine"), F.count("*").alias("n"))
+    at = F.array_position(F.array(*map(F.lit, named)), F.col("cuisine"))
+    return each.union(total).select("cuisine", "n", F.when(F.col("cuisine").isNull(), 0).when(at > 0, at).otherwise(len(named) + 1).cast("int").alias("pos"))
+
+
+def preset_towns(places: DataFrame, regions: DataFrame | None = None, origin: tuple[float, float] | None = None, slots: int = 8, region_slots: int = 3, apart: float = 12.0) -> DataFrame:
+    """Presets of a reader's map: town, n, lat, lon, pos.
 
-    Counting is distributed; the greedy choice runs over the ``ranked`` busiest towns, a fixed number.
+    Up to ``region_slots`` regions (name, lat, lon) come first, the nearest to the reader where ``origin`` is known; then
+    the busiest towns (by name without asides) that are no preset yet and at least ``apart`` miles from all so far. With an
+    origin the presets are ordered by distance. Counting is distributed; each of the at most ``slots`` choices looks at all
+    towns that are left and takes one row.
     """
-    towns = places.where("city is not null").groupBy(F.col("city").alias("town")).agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    top = towns.orderBy(F.desc("n"), "town").limit(ranked)
-    rows = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "town", "n", "lat", "lon"))).alias("all"))
-    far = lambda acc, x: F.forall(acc, lambda y: geo.haversine_miles(x["lat"], x["lon"], y["lat"], y["lon"]) >= apart)
-    none = F.filter("all", lambda _: F.lit(False))
-    chosen = F.aggregate("all", none, lambda acc, x: F.when((F.size(acc) < slots) & far(acc, x), F.array_append(acc, x)).otherwise(acc))
-    return rows.select(F.posexplode(chosen).alias("pos", "t")).select("t.town", "t.n", "t.lat", "t.lon", (F.col("pos") + 1).alias("pos"))
+    away = lambda lat, lon, p: geo.haversine_miles(F.lit(p[0]), F.lit(p[1]), lat, lon)
+    chosen: list[tuple] = []
+    if regions is not None:
+        r = regions.select(normalise_city(F.col("name")).alias("town"), "lat", "lon")
+        order = [away(F.col("lat"), F.col("lon"), origin), F.col("town")] if origin else [F.col("town")]
+        chosen = [(x["town"], None, x["lat"], x["lon"]) for x in r.orderBy(*order).limit(region_slots).collect()]
+    located = places.select(normalise_city(F.col("city")).alias("town"), "lat", "lon").where("town is not null and town <> '?' and lat is not null and lon is not null")
+    towns = located.groupBy("town").agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon")).checkpoint()
+    while len(chosen) < slots:
+        left = towns
+        for town, _, lat, lon in chosen:
+            left = left.where((F.col("town") != town) & (away(F.col("lat"), F.col("lon"), (lat, lon)) >= apart))
+        best = left.orderBy(F.desc("n"), "town").limit(1).collect()
+        if not best:
+            break
+        chosen.append(tuple(best[0]))
+    out = places.sparkSession.createDataFrame([(*c, i + 1) for i, c in enumerate(chosen)], "town string, n long, lat double, lon double, pos int")
+    if origin is None:
+        return out
+    near = Window.orderBy(away(F.col("lat"), F.col("lon"), origin), "pos")  # of at most ``slots`` rows
+    return out.withColumn("pos", F.row_number().over(near))

@@ -66,13 +66,24 @@ def nearest_town(places: DataFrame, towns: DataFrame, size: float = 0.25) -> Dat
     return met.groupBy("id").agg(F.min(F.struct("score", "town")).alias("b")).select("id", "b.town")
 
 
+#: Points of a stretch of a route.
+STRETCH = 4096
+
+
 def route_segments(points: DataFrame) -> DataFrame:
-    """route_id, seq, ends and mileage (cum0, cum1) of each piece of a polyline (route_id, seq, lat, lon)."""
-    w = Window.partitionBy("route_id").orderBy("seq")
-    s = points.select("route_id", "seq", "lat", "lon", F.lead("lat").over(w).alias("lat1"), F.lead("lon").over(w).alias("lon1")).where("lat1 is not null")
+    """route_id, seq, ends and mileage (cum0, cum1) of each piece of a polyline (route_id, seq, lat, lon).
+
+    A route is summed by stretches of ``seq``, then along its stretches, so a long one is many tasks.
+    """
+    p = points.select("route_id", "seq", "lat", "lon", F.floor(F.col("seq") / STRETCH).alias("b"))
+    own, by_stretch = Window.partitionBy("route_id", "b").orderBy("seq"), Window.partitionBy("route_id").orderBy("b")
+    heads = p.groupBy("route_id", "b").agg(F.min_by(F.struct("lat", "lon"), "seq").alias("h")).select("route_id", "b", F.lead("h").over(by_stretch).alias("next"))
+    s = p.select("*", F.lead(F.struct("lat", "lon")).over(own).alias("to")).join(heads, ["route_id", "b"]).withColumn("to", F.coalesce("to", "next")).where("to is not null")
+    s = s.select("route_id", "seq", "b", "lat", "lon", F.col("to.lat").alias("lat1"), F.col("to.lon").alias("lon1"))
     x, y = geo.planar_xy(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))
     s = s.withColumn("len", F.sqrt(x * x + y * y))
-    s = s.withColumn("cum1", F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = s.groupBy("route_id", "b").agg(F.sum("len").alias("sum")).select("route_id", "b", F.coalesce(F.sum("sum").over(by_stretch.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("start"))
+    s = s.withColumn("cum", F.sum("len").over(own.rowsBetween(Window.unboundedPreceding, 0))).join(before, ["route_id", "b"]).withColumn("cum1", F.col("start") + F.col("cum"))
     return s.select("route_id", "seq", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), "lat1", "lon1", (F.col("cum1") - F.col("len")).alias("cum0"), "cum1")
 
 

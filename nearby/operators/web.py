@@ -1,20 +1,14 @@
-"""Pages as evidence: pictures, links, text, calendar platforms, audit verdicts, site signatures."""
+"""Pages as evidence: pictures, links, text, calendar platforms."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearby.functions import site_marks as M
 from nearby.functions import text as X
 
-ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"'#]+)[^>]*>(.*?)</a>"""
-EVENT_LINK = r"event|calendar|whats-?on|what-s-on|schedule|show(s|times)?\b|program|concert|exhibit|class(es)?\b|workshop"
-DEAL_LINK = r"coupon|deal|sale\b|casino|betting|loan|viagra|crypto"
-#: Platform and what its pages carry.
-PLATFORMS = (
-    ("localist", r"localist"), ("tribe", r"tribe-events|the-events-calendar"), ("squarespace", r"static1\.squarespace\.com|squarespace-cdn"), ("wix", r"static\.wixstatic\.com"),
-    ("eventbrite", r"eventbrite\.com/(e|o)/"), ("libcal", r"libcal\.com"), ("google calendar", r"calendar\.google\.com/calendar"), ("meetup", r"meetup\.com/"), ("jsonld", r"application/ld\+json"),
-)
+ANCHOR = r"""(?is)<a\s[^>]*href=["']([^"'>]+)["'][^>]*>(.*?)</a>"""
 #: Keys of page pictures, best first.
 PICTURE_KEYS = ("og:image:secure_url", "og:image", "og:image:url", "twitter:image", "twitter:image:src")
 LOGO_WORDS = r"logo|icon|favicon|sprite|placeholder|default|avatar|blank|spacer"
@@ -22,20 +16,29 @@ LEAST_WIDTH = 300
 
 
 def strip_html(html: Column) -> Column:
-    """Visible text: without scripts, styles, comments and tags, spaces squeezed."""
-    t = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1>", " ")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
-    return X.squeeze(X.unescape(F.regexp_replace(t, "<[^>]*>", " ")))
+    """Visible text: without scripts, styles and tags, runs of spaces squeezed."""
+    t = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
+    return F.regexp_replace(X.unescape(F.regexp_replace(t, "<[^>]+>", " ")), r"\s{2,}", " ")
+
+
+def full_host(url: Column) -> Column:
+    """Host with its port, lower-case, ``www.`` and all."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
+
+
+def anchors(url: Column, html: Column) -> Column:
+    """Array of (href, label) of a page's links in page order: absolute addresses, labels without tags. Links within the page and to mail, phone or script are none."""
+    raw = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("label"))
+    real = F.filter(raw, lambda a: ~F.lower(F.trim(a["href"])).rlike("^(#|mailto:|tel:|javascript:)"))
+    return F.transform(real, lambda a: F.struct(resolve(url, F.trim(a["href"])).alias("href"), F.trim(strip_html(a["label"])).alias("label")))
 
 
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, pos, href, label, kind) of anchors; hrefs are absolute, kind is event, deal or other."""
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("label"))
-    a = pages.select(key, "url", F.posexplode(pairs).alias("pos", "a"))
-    href = resolve(F.col("url"), F.trim("a.href"))
-    label = X.squeeze(F.regexp_replace("a.label", "<[^>]*>", " "))
-    kind = F.when(X.has(href, DEAL_LINK), "deal").when(X.has(href, EVENT_LINK), "event").otherwise("other")
-    return a.select(key, "pos", href.alias("href"), label.alias("label"), kind.alias("kind"), (X.host(href) == X.host(F.col("url"))).alias("same_site"))
+    """(key, pos, href, label, kind, same_site) of a page's links; kind is event, deal or other, by path and label."""
+    a = pages.select(key, "url", F.posexplode(anchors(F.col("url"), F.col("html"))).alias("pos", "a")).select(key, "pos", "url", "a.href", "a.label")
+    hay = F.concat_ws(" ", X.path(F.col("href")), F.col("label"))
+    kind = F.when(X.has(hay, M.EVENT_LINK), "event").when(X.has(hay, M.DEAL_LINK), "deal").otherwise("other")
+    return a.select(key, "pos", "href", "label", kind.alias("kind"), (full_host(F.col("href")) == full_host(F.col("url"))).alias("same_site"))
 
 
 def resolve(base: Column, href: Column) -> Column:
@@ -55,7 +58,10 @@ def picture_ok(url: Column, width: Column) -> Column:
 
 
 def page_pictures(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, image) of the best picture a page's head names: by preference of the key, then by place."""
+    """(key, image) of the picture a page's head names: the first of the best key it has. If that one can't be a photograph there is none.
+
+    ``og:image:width`` is the stated width of the page's picture.
+    """
     head = F.regexp_extract("html", r"(?is)^(.*?)(?:</head>|<body\b|$)", 1)
     meta = pages.select(key, "url", F.posexplode(F.regexp_extract_all(head, F.lit(r"(?is)<(?:meta|link)\b[^>]*>"), F.lit(0))).alias("pos", "m"))
     attr = lambda n: F.regexp_extract("m", rf"""(?is)\b{n}\s*=\s*["']([^"']*)["']""", 1)
@@ -64,73 +70,42 @@ def page_pictures(pages: DataFrame, key: str = "page_id") -> DataFrame:
     rank = F.when(rank > 0, rank).when(F.lower(attr("rel")) == "image_src", len(PICTURE_KEYS) + 1)
     value = F.when(attr("content") != "", attr("content")).otherwise(attr("href"))
     image = F.regexp_replace(resolve(F.col("url"), F.trim(X.unescape(value))), "^http://", "https://")
-    found = meta.withColumn("rank", rank).withColumn("image", image).where((F.col("rank") > 0) & (value != "")).where(picture_ok(F.col("image"), F.lit(None).cast("int")))
-    return found.groupBy(key).agg(F.min_by("image", F.struct("rank", "pos")).alias("image"))
-
-
-def calendar_platforms(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(domain, platform, key) of each platform a site's pages carry, with the first page that does."""
-    hits = F.explode(F.array_compact(F.array(*(F.when(X.has(F.col("html"), p), n) for n, p in PLATFORMS)))).alias("platform")
-    return pages.select(X.domain_of(F.col("url")).alias("domain"), key, hits).where("domain is not null").groupBy("domain", "platform").agg(F.min(key).alias(key))
-
-
-def best_feed(feeds: DataFrame) -> DataFrame:
-    """The feed (domain, path_pos, path, n_future) of each domain with most events ahead, the first of equals."""
-    return feeds.groupBy("domain").agg(F.min_by(F.struct("path", "n_future"), F.struct(-F.col("n_future"), F.col("path_pos"))).alias("b")).select("domain", "b.path", "b.n_future")
-
+    found = meta.select(key, "pos", rank.alias("rank"), image.alias("image"), (value != "").alias("said"), F.when(name == "og:image:width", value.try_cast("int")).alias("width"))
+    first = F.min(F.when((F.col("rank") > 0) & F.col("said"), F.struct("rank", "pos", "image"))).alias("b")
+    return found.groupBy(key).agg(first, F.max("width").alias("width")).where(picture_ok(F.col("b.image"), F.col("width"))).select(key, "b.image")
 
-def site_signature(pages: DataFrame, most: int = 40, key: str = "page_id") -> DataFrame:
-    """(domain, sig): a hash of the first ``most`` event-like internal paths of a site. Only that many paths of a site are gathered."""
-    found = links(pages, key).where("same_site and kind = 'event'").select(X.domain_of(F.col("href")).alias("domain"), X.path(F.col("href")).alias("path")).where("domain is not null").distinct()
-    few = found.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy("path"))).where(F.col("r") <= most)
-    return few.groupBy("domain").agg(F.substring(F.sha1(F.array_join(F.sort_array(F.collect_list("path")), "\n")), 1, 16).alias("sig"))
 
+def picture_report(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """verdict, why, n: what became of the pages asked for a picture (page); ``answers`` has (page, verdict, why). No answer is ``unread``."""
+    j = asked.select("page").join(answers.select("page", "verdict", "why"), "page", "left")
+    return j.groupBy(F.coalesce("verdict", F.lit("unread")).alias("verdict"), F.when(F.col("verdict") == "none", F.col("why")).alias("why")).agg(F.count("*").alias("n"))
 
-def changed_sites(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Domains that were quiet (verdict none) and whose signature is another now."""
-    return stored.where("verdict = 'none'").select("domain", F.col("sig").alias("old")).join(new, "domain").where("sig <> old").select("domain", "sig")
 
-
-DATE_WORDS = r"\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?\s+\d{1,2}\b"
-CLOCKS = r"\b\d{1,2}(?::\d{2})?\s*[ap]\.?m\b"
-
-
-def date_mentions(text: Column) -> Column:
-    return (F.regexp_count(text, F.lit("(?i)" + DATE_WORDS)) + F.regexp_count(text, F.lit("(?i)" + CLOCKS))).cast("int")
-
-
-def foreign_share(text: Column) -> Column:
-    """The share of letters that aren't Latin."""
-    other = r"[\p{L}&&[^\p{IsLatin}]]"
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    # most pages have no such letter, and counting all letters is dear
-    return F.when(text.rlike(other), F.regexp_count(text, F.lit(other)) / letters).otherwise(0.0)
+def feed_address(platform: Column, mark: Column, html: Column) -> Column:
+    """The feed that follows from a platform's mark in a page; null where none does."""
+    cal, tock = F.trim(F.try_url_decode(mark)), F.regexp_extract(html, r'(?i)data-tockify-calendar="([^"]+)"', 1)
+    return (
+        F.when((platform == "google") & cal.contains("@"), F.concat(F.lit("https://calendar.google.com/calendar/ical/"), F.replace(F.url_encode(cal), F.lit("+"), F.lit("%20")), F.lit("/public/basic.ics")))
+        .when((platform == "libcal") & (mark != ""), F.concat(F.lit("https://"), mark, F.lit("/calendar?cid=-1&t=d&d=0000-00-00&cal=-1&ical=1")))
+        .when((platform == "tockify") & (tock != ""), F.concat(F.lit("https://tockify.com/api/feeds/ics/"), tock))
+    )
 
 
-def audit_domains(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """domain, pages, verdict, dates, event_links, best_url: what a site's pages say about events.
+def calendar_platforms(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(domain, platform, key, feed) of each platform a site's pages carry, with the first page that does and the feed its mark leads to.
 
-    Each page is measured once; a domain's verdict is a ladder over maxima and sums, so hot domains are
-    combined before the shuffle.
+    Pages with structured events count as ``jsonld``.
     """
-    t = strip_html(F.col("html"))
-    page = pages.select(X.domain_of(F.col("url")).alias("domain"), "url", F.length(t).alias("chars"), date_mentions(t).alias("dates"), foreign_share(t).alias("foreign"), F.size(F.regexp_extract_all("html", F.lit(rf"(?is)<a\s[^>]*href\s*=\s*[\"'][^\"']*(?:{EVENT_LINK})"), F.lit(0))).alias("event_links"), X.has(F.col("html"), "application/ld\\+json").alias("data"), X.has(t, r"domain (is )?for sale|buy this domain|parked").alias("parked"), X.has(F.col("html"), DEAL_LINK).alias("deals"))
-    d = page.where("domain is not null").groupBy("domain").agg(F.count("*").alias("pages"), F.max("chars").alias("chars"), F.sum("dates").alias("dates"), F.avg("foreign").alias("foreign"), F.sum("event_links").alias("event_links"), F.bool_or("data").alias("data"), F.bool_or("parked").alias("parked"), F.bool_and("deals").alias("deals"), F.min_by("url", F.struct(-F.col("dates"), F.col("url"))).alias("best_url"))
-    verdict = (
-        F.when(F.col("chars") < 200, "dead").when(F.col("parked"), "parked").when(F.col("deals"), "suspect").when(F.col("foreign") > 0.5, "foreign").when(F.col("data"), "feed")
-        .when((F.col("dates") >= 3) | (F.col("event_links") > 0) & (F.col("dates") > 0), "events").otherwise("none")
-    )
-    return d.select("domain", "pages", verdict.alias("verdict"), "dates", "event_links", "best_url")
-
-
-def audit_report(verdicts: DataFrame) -> DataFrame:
-    return verdicts.groupBy("verdict").agg(F.count("*").alias("n"))
+    hit = lambda n, p: F.when(X.has(F.col("html"), p), F.struct(F.lit(n).alias("platform"), (F.regexp_extract("html", "(?i)" + p, 1) if "(" in p else F.lit("")).alias("mark")))
+    hits = F.explode(F.array_compact(F.array(*(hit(n, p) for n, p in M.PLATFORMS), F.when(X.has(F.col("html"), M.JSONLD_EVENT), F.struct(F.lit("jsonld").alias("platform"), F.lit("").alias("mark")))))).alias("h")
+    found = pages.select(X.domain_of(F.col("url")).alias("domain"), key, "html", hits).where("domain is not null")
+    found = found.select("domain", key, F.col("h.platform").alias("platform"), feed_address(F.col("h.platform"), F.col("h.mark"), F.col("html")).alias("feed"))
+    return found.groupBy("domain", "platform").agg(F.min(key).alias(key), F.min_by("feed", key).alias("feed"))
 
 
-def offsite_calendars(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, href) of links from a page to a calendar service elsewhere."""
-    services = r"^https?://([^/]+\.)?(calendar\.google\.com/calendar|eventbrite\.com/(e|o)/|meetup\.com/|libcal\.com|ticketmaster\.com/)"
-    return links(pages, key).where(~F.col("same_site") & X.has(F.col("href"), services)).select(key, "href").distinct()
+def best_feed(feeds: DataFrame) -> DataFrame:
+    """The feed (domain, path_pos, path, n_future) of each domain with most events ahead, the first of equals."""
+    return feeds.groupBy("domain").agg(F.min_by(F.struct("path", "n_future"), F.struct(-F.col("n_future"), F.col("path_pos"))).alias("b")).select("domain", "b.path", "b.n_future")
 
 
 def venue_domains(places: DataFrame) -> DataFrame:

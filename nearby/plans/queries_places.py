@@ -72,7 +72,7 @@ def _(s, d):
     return places.chain_counts(branded(s, d))
 
 
-VERDICTS = "select concat('site', cast(c_custkey as varchar(20)), '.example.com') as domain, case cast(c_custkey % 4 as int) when 0 then 'suspect' when 1 then 'parked' when 2 then 'none' else 'events' end as verdict, date '2024-01-01' - cast(c_custkey % 90 as int) as checked, case when c_custkey % 8 = 2 then null else 'abc' end as sig from customer where c_custkey <= 280"
+VERDICTS = "select concat('site', cast(c_custkey as varchar(20)), '.example.com') as domain, case cast(c_custkey % 4 as int) when 0 then 'suspect' when 1 then 'parked' when 2 then 'none' else 'listings' end as verdict, date '2024-01-01' - cast(c_custkey % 90 as int) as checked, case when c_custkey % 8 = 2 then null else 'abc' end as sig from customer"
 
 
 def verdicts(s, d):
@@ -85,13 +85,13 @@ def _(s, d):
     return places.apply_audit(view(s, d, "v_places").where("url is not null").withColumn("events", F.lit(0)), verdicts(s, d)).select("id", "url", "event_info")
 
 
-@query("stale_answers", f"with v as ({VERDICTS}), p as (select distinct concat('site', cast(c_custkey % 300 as varchar(20)), '.example.com') as domain from v_places where url is not null) select domain, verdict from p left join v using (domain) where checked is null or date '2024-01-15' - checked >= case verdict when 'none' then 30 when 'events' then 60 when 'suspect' then 7 else 0 end", "v_places")
+@query("stale_answers", f"with v as ({VERDICTS}), p as (select distinct concat('site', cast(c_custkey % 300 as varchar(20)), '.example.com') as domain from v_places where url is not null) select domain, verdict from p left join v using (domain) where checked is null or date '2024-01-15' - checked >= case verdict when 'none' then 30 when 'listings' then 60 when 'suspect' then 7 else 0 end", "v_places")
 def _(s, d):
     subjects = view(s, d, "v_places").select(X.domain_of(F.col("url")).alias("domain")).where("domain is not null").distinct()
-    return places.stale(subjects, verdicts(s, d), {"none": 30, "events": 60, "suspect": 7}, F.lit("2024-01-15").cast("date"))
+    return places.stale(subjects, verdicts(s, d), {"none": 30, "listings": 60, "suspect": 7}, F.lit("2024-01-15").cast("date"))
 
 
-PICTURES = "select distinct concat('site', cast(c_custkey % 300 as varchar(20)), '.example.com/visit') as page, concat('https://img.example/', cast(c_custkey % 90 as varchar(20)), '.jpg') as image from customer where c_custkey % 300 = c_custkey"
+PICTURES = "select concat('site', cast(c_custkey % 300 as varchar(20)), '.example.com/visit') as page, concat('https://img.example/', cast((c_custkey % 300) % 90 as varchar(20)), '.jpg') as image from customer group by c_custkey % 300"
 
 
 @query("apply_pictures", f"with i as ({PICTURES}), p as (select id, concat('site', cast(c_custkey % 300 as varchar(20)), '.example.com/visit') as page from v_places where url is not null), j as (select id, image from p left join i using (page)), n as (select image, count(*) as n from j group by 1) select id, case when n <= 6 then j.image end as image from j left join n on j.image = n.image", "v_places")
@@ -110,20 +110,21 @@ def _(s, d):
     return places.place_summary(view(s, d, "v_places").withColumn("events", F.when(F.col("c_custkey") % 3 == 0, 2)))
 
 
-@query("food_summary", "select count(*) as n, round(100.0 * count(opening_hours) / count(*), 1) as with_hours, round(100.0 * count(brand) / count(*), 1) as branded from v_places where kind = 'restaurant'", "v_places")
+@query("food_summary", "select count(*) as n, round(100.0 * count(*) filter (where c_custkey % 4 = 0) / count(*), 1) as with_cuisine, round(100.0 * count(opening_hours) / count(*), 1) as with_hours, round(100.0 * count(brand) / count(*), 1) as branded from v_places where kind = 'restaurant'", "v_places")
 def _(s, d):
-    return places.food_summary(view(s, d, "v_places"))
+    cuisine = F.when(F.col("c_custkey") % 4 == 0, F.array(F.lit("pizza"))).otherwise(F.array().cast("array<string>"))
+    return places.food_summary(view(s, d, "v_places").withColumn("cuisine", cuisine))
 
 
-@query("place_domains", f"with v as ({VERDICTS}), p as (select id, name, concat('site', cast(c_custkey % 300 as varchar(20)), '.example.com') as domain from v_places where url is not null), r as (select *, row_number() over (partition by domain order by id) as k from p where domain not in (select domain from v where verdict = 'events')) select domain, count(*) as n, string_agg(name, '; ' order by id) filter (where k <= 4) as names from r group by domain", "v_places")
+@query("place_domains", f"with v as ({VERDICTS}), p as (select id, name, concat('site', cast(c_custkey % 300 as varchar(20)), '.example.com') as domain from v_places where url is not null), r as (select *, row_number() over (partition by domain order by id) as k from p where domain not in (select domain from v where verdict = 'listings')) select domain, count(*) as n, string_agg(name, '; ' order by id) filter (where k <= 4) as names from r group by domain", "v_places")
 def _(s, d):
-    return places.place_domains(view(s, d, "v_places"), verdicts(s, d).where("verdict = 'events'"))
+    return places.place_domains(view(s, d, "v_places"), verdicts(s, d).where("verdict = 'listings'"))
 
 
-NODES = "select concat('http://www.pay.example/e/', cast(o_orderkey % 500 as varchar(20)), '/') as page_url, concat('https://pay.example/e/', cast((o_orderkey * 7) % 500 as varchar(20)), '?utm=1') as node_url, case when o_orderkey % 4 > 0 then round(o_totalprice / 1000, 2) end as price_min from orders where o_orderkey % 5 = 0"
+NODES = "select concat('http://www.pay.example/e/', cast(o_orderkey % 500 as varchar(20)), '/') as page_url, concat('https://pay.example/e/', cast((o_orderkey * 7) % 500 as varchar(20)), '?utm=1') as node_url, case when o_orderkey % 4 > 0 then floor(o_totalprice / 10) / 1e2 end as price_min from orders"
 
 
-@query("backfill_prices", f"""with n as (select 'pay.example/e/' || (o_orderkey % 500) as page, 'pay.example/e/' || ((o_orderkey * 7) % 500) as node, round(o_totalprice / 1000, 2) as p from orders where o_orderkey % 5 = 0 and o_orderkey % 4 > 0),
+@query("backfill_prices", f"""with n as (select 'pay.example/e/' || (o_orderkey % 500) as page, 'pay.example/e/' || ((o_orderkey * 7) % 500) as node, floor(o_totalprice / 10) / 1e2 as p from orders where o_orderkey % 4 > 0),
 o as (select page, min(p) as own from n where node = page group by 1), s as (select page, min(p) as sole from n group by 1 having count(*) = 1), b as (select node as page, min(p) as sibling from n where node <> page group by 1)
 select id, coalesce(price_min, own, sole, sibling) as price_min from (select *, 'pay.example/e/' || (o_orderkey % 500) as page from v_listings) left join o using (page) left join s using (page) left join b using (page)""", "v_listings")
 def _(s, d):
@@ -132,31 +133,41 @@ def _(s, d):
     return places.backfill_prices(ls, s.sql(NODES)).select("id", "price_min")
 
 
-@query("geocode", "with g as (select distinct name || ', Town ' || (c_custkey % 23) as q, 1 as p0 from v_places where c_custkey % 5 = 0), t as (select distinct 'Town ' || k as q from range(0, 10) t(k)), a as (select id, name || ', ' || city as q0, city as q1 from v_places) select a.id, case when g.q is not null then 0 when t.q is not null then 1 end as precision, case when g.q is not null or t.q is not null then 'found' when q1 is null and q0 is null then 'no location' else 'not found' end as reason from a left join g on q0 = g.q left join t on q1 = t.q", "v_places")
+@query("geocode", """with g as (select distinct name || ', Town ' || (c_custkey % 23) as q from v_places where brand is not null), t as (select distinct 'Town ' || k as q from range(0, 10) t(k)), a as (select id, kind, case when city is null then name else name || ', ' || city end as q0, city as q1 from v_places)
+select a.id, case when g.q is not null then 0 when t.q is not null then 1 end as precision, case when g.q is not null or t.q is not null then 'found' when kind in ('museum', 'park') then 'source venue' else 'not found' end as reason, case when g.q is not null or t.q is not null then 1.0 when kind in ('museum', 'park') then 40.0 end as lat from a left join g on q0 = g.q left join t on q1 = t.q""", "v_places")
 def _(s, d):
+    return geocoded(s, d).select("id", "precision", "reason", "lat")
+
+
+def geocoded(s, d):
     p = view(s, d, "v_places")
-    full = F.when(F.col("city").isNotNull(), F.concat_ws(", ", "name", "city"))
-    asked = p.select("id", F.array_compact(F.array(full, "city")).alias("variants"))
-    g = p.where("c_custkey % 5 = 0").select(F.concat_ws(", ", "name", F.concat(F.lit("Town "), (F.col("c_custkey") % 23).cast("string"))).alias("query"))
-    g = g.union(s.range(10).select(F.concat(F.lit("Town "), F.col("id").cast("string")))).distinct()
-    return places.geocode(asked, g.select("query", F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))).select("id", "precision", "reason")
+    asked = p.select("id", F.col("kind").alias("source_id"), X.query_variants(F.col("name"), F.lit(None).cast("string"), F.col("city")).alias("variants"))
+    known = p.where("brand is not null").select(F.concat_ws(", ", "name", F.concat(F.lit("Town "), (F.col("c_custkey") % 23).cast("string"))).alias("query"))
+    known = known.union(s.range(10).select(F.concat(F.lit("Town "), F.col("id").cast("string")))).distinct()
+    registry = p.where("kind in ('museum', 'park')").select(F.col("kind").alias("source_id")).distinct()
+    point = lambda lat, lon: (F.lit(lat).alias("lat"), F.lit(lon).alias("lon"))
+    return places.geocode(asked, known.select("query", *point(1.0, 2.0)), registry.select("source_id", *point(40.0, -70.0)))
 
 
-TRACK = f"""f as (select *, lag(lat) over w as lat0, lag(lon) over w as lon0 from v_fixes window w as (partition by car order by fix_at, event_id)),
-g as (select *, coalesce({haversine('lat0', 'lon0', 'lat', 'lon')}, 0) as step from f)"""
+#: Fix by fix: a car's state as one row that the next fix changes.
+TRACK = f"""/* recursive */ f as (select *, epoch(fix_at) as at_, row_number() over (partition by car order by fix_at, event_id) as n from v_fixes where lat is not null),
+st as (select car, event_id, n, at_, lat, lon, 0.0::double as step, 0.0::double as odometer, coalesce(gps_speed * 2.23694, 0)::double as speed, case when gps_heading is not null and gps_speed * 2.23694 > 5 then gps_heading end as heading, lat as hlat, lon as hlon from f where n = 1
+  union all select car, event_id, n, at_, lat, lon, step, odometer + step, case when gps_speed is null and at_ > at0 then step / ((at_ - at0) / 3600) else now_speed end, case when own then gps_heading when turned then bear else heading end, case when own or turned then lat else hlat end, case when own or turned then lon else hlon end
+  from (select f.car, f.event_id, f.n, f.at_, f.lat, f.lon, f.gps_speed, f.gps_heading, st.at_ as at0, st.odometer, st.heading, st.hlat, st.hlon, {haversine('st.lat', 'st.lon', 'f.lat', 'f.lon')} as step, coalesce(f.gps_speed * 2.23694, st.speed) as now_speed, f.gps_heading is not null and coalesce(f.gps_speed * 2.23694, st.speed) > 5 as own,
+    {haversine('st.hlat', 'st.hlon', 'f.lat', 'f.lon')} > 0.02 as turned, fmod(degrees(atan2((f.lon - st.hlon) * 69.172 * cos(radians(st.hlat)), (f.lat - st.hlat) * 69.172)) + 360, 360) as bear from st join f on f.car = st.car and f.n = st.n + 1))"""
 
 
-@query("track", f"with {TRACK} select car, event_id, round(step, 5) as step, round(sum(step) over (partition by car order by fix_at, event_id), 4) as odometer from g", "v_fixes")
+@query("track", f"with {TRACK} select car, event_id, round(step, 5) as step, round(odometer, 4) as odometer, round(speed, 4) as speed, round(heading, 4) as heading from st", "v_fixes")
 def _(s, d):
-    return drive.track(view(s, d, "v_fixes")).select("car", "event_id", F.round("step", 5).alias("step"), F.round("odometer", 4).alias("odometer"))
+    return drive.track(view(s, d, "v_fixes")).select("car", "event_id", *(F.round(c, n).alias(c) for c, n in (("step", 5), ("odometer", 4), ("speed", 4), ("heading", 4))))
 
 
-ALERTS = """a as (select car, fix_at, event_id, step as off_, 5.0 - step as left_ from g),
-b as (select *, sum(case when off_ > 0.4 then 0 else 1 end) over (partition by car order by fix_at, event_id) as run from a),
-c as (select *, sum((off_ > 0.4)::int) over (partition by car, run order by fix_at, event_id) as n_off, sum((left_ <= 0.2)::int) over (partition by car order by fix_at, event_id) as arrivals from b)"""
+ALERTS = """al as (select car, event_id, n, at_, case when 5.0 - step <= 0.2 or step <= 0.4 then 0 else 1 end as run, 5.0 - step <= 0.2 as arrived, null::double as last_, case when 5.0 - step <= 0.2 then 'arrived' end as alert from st where n = 1
+  union all select car, event_id, n, at_, case when here or due then x else r end, arrived or here, case when due then at_ else last_ end, case when here and not arrived then 'arrived' when due then 'off route' end
+  from (select *, not here and r >= 3 and (last_ is null or at_ - last_ > 60) as due, case when here then run else 0 end as x from (select st.car, st.event_id, st.n, st.at_, al.run, al.arrived, al.last_, 5.0 - st.step <= 0.2 as here, case when st.step > 0.4 then al.run + 1 else 0 end as r from al join st on st.car = al.car and st.n = al.n + 1)))"""
 
 
-@query("route_alerts", f"with {TRACK}, {ALERTS} select car, event_id, case when off_ > 0.4 and n_off = 3 then 'off route' else 'arrived' end as alert from c where off_ > 0.4 and n_off = 3 or left_ <= 0.2 and arrivals = 1", "v_fixes")
+@query("route_alerts", f"with {TRACK}, {ALERTS} select car, event_id, alert from al where alert is not null", "v_fixes")
 def _(s, d):
     t = drive.track(view(s, d, "v_fixes")).withColumn("off", F.col("step")).withColumn("left", F.lit(5.0) - F.col("step"))
     return drive.route_alerts(t).select("car", "event_id", "alert")
@@ -174,10 +185,10 @@ def _(s, d):
     return out.select("id", F.when(F.col("detour") == float("inf"), -1).otherwise(F.round("detour", 6)).alias("detour"))
 
 
-CARS = "select c_custkey as car, lat, lon, cast(c_custkey % 360 as double) as heading, 10.0 + c_custkey % 60 as speed from v_places where c_custkey % 100 = 0"
+CARS = "select c_custkey as car, lat, lon, cast(c_custkey % 360 as double) as heading, cast((c_custkey * 31) % 120 as double) as speed from v_places where c_custkey % 20 = 0"
 
 
-@query("ahead_by_heading", f"""with c as ({CARS}), m as (select c.car, p.id, least(25.0, greatest(4.0, speed * 0.4)) as reach, (p.lon - c.lon) * 69.172 * cos(radians(c.lat)) as x, (p.lat - c.lat) * 69.172 as y, sin(radians(heading)) as hx, cos(radians(heading)) as hy from v_places p join c on true),
+@query("ahead_by_heading", f"""with c as ({CARS}), m as (select c.car, p.id, least(25.0, greatest(4.0, case when speed = 0 then 30.0 else speed end * 0.25)) as reach, (p.lon - c.lon) * 69.172 * cos(radians(c.lat)) as x, (p.lat - c.lat) * 69.172 as y, sin(radians(heading)) as hx, cos(radians(heading)) as hy from v_places p join c on abs(p.lat - c.lat) < 0.42),
 n as (select car, id, reach, x * hx + y * hy as ahead, abs(x * hy - y * hx) as off_ from m) select car, id, round(ahead, 5) as ahead, round(off_, 5) as off from n where ahead >= 0.5 and ahead <= reach and off_ <= 7.0 + 0.15 * ahead""", "v_places")
 def _(s, d):
     p = view(s, d, "v_places")
@@ -191,10 +202,10 @@ o as (select id, route_id, sqrt(pow(px - t * sx, 2) + pow(py - t * sy, 2)) as of
 k as (select *, row_number() over (partition by id, route_id order by off_, along) as k from o where off_ <= 10)"""
 
 
-@query("ahead_on_route", f"with {ON_ROUTE}, r as (select route_id, max(cum1) / 3 as here, 20.0 + route_id as speed from seg group by 1) select route_id as car, id, round(along - here, 4) as ahead from k join r using (route_id) where k = 1 and along - here >= 0.5 and along - here <= least(25.0, greatest(4.0, speed * 0.4)) and off_ <= 7.0", "v_places")
+@query("ahead_on_route", f"with {ON_ROUTE}, r as (select route_id, max(cum1) / 3 as here, route_id * 5.0 as speed from seg group by 1) select route_id as car, id, round(along - here, 4) as ahead from k join r using (route_id) where k = 1 and along - here >= 0.5 and along - here <= least(25.0, greatest(4.0, case when speed = 0 then 30.0 else speed end * 0.25)) and off_ <= 7.0", "v_places")
 def _(s, d):
     seg = segments(s, d)
-    cars = seg.groupBy("route_id").agg((F.max("cum1") / 3).alias("along")).select(F.col("route_id").alias("car"), "route_id", "along", (20.0 + F.col("route_id")).alias("speed"))
+    cars = seg.groupBy("route_id").agg((F.max("cum1") / 3).alias("along")).select(F.col("route_id").alias("car"), "route_id", "along", (F.col("route_id") * 5.0).alias("speed"))
     return drive.ahead_on_route(cars, spatial.locate_on_route(view(s, d, "v_places"), seg)).select("car", "id", F.round("ahead", 4).alias("ahead"))
 
 
@@ -211,15 +222,23 @@ def _(s, d):
     return drive.rank_ahead(drive.worth_stopping(scored)).select("car", "id", F.round("value", 6).alias("value"), "rank")
 
 
+@query("shortlist", f"""with c as (select id, c_custkey % 4 as car, score / 1000 as score, cast(c_custkey % 20 as double) / 2 as ahead, cast((c_custkey * 13) % 70 as double) / 10 as off from v_places), g as (select *, off * 2 * 1.3 / 35 * 60 as guess from c)
+select car, id, round(guess, 6) as guess, rank::int as rank from (select *, row_number() over (partition by car order by score - guess * 0.15 desc, ahead, id) as rank from g) where rank <= 40""", "v_places")
+def _(s, d):
+    k = F.col("c_custkey")
+    c = view(s, d, "v_places").select("id", (k % 4).alias("car"), (F.col("score") / 1000).alias("score"), ((k % 20).cast("double") / 2).alias("ahead"), (((k * 13) % 70).cast("double") / 10).alias("off"))
+    return drive.shortlist(c).select("car", "id", F.round("guess", 6).alias("guess"), "rank")
+
+
 @query("on_now", f"with x as (select *, timestamp '{NOW}' as now from v_listings where not repeats and end_at is not null) select id from x where epoch(end_at - start_at) > 43200 and epoch(end_at - start_at) <= 345600 and start_at <= now and end_at >= now", "v_listings")
 def _(s, d):
     return drive.on_now(listings(s, d), F.lit(NOW).cast("timestamp_ntz")).select("id")
 
 
-@query("candidate_pool", """with e as (select lower(case when o_orderkey % 2 = 0 then venue_key else venue_key || ' annex' end) as v, id, start_at from v_listings where o_orderkey % 50 = 0), f as (select v, arg_min(id, (start_at, id)) as eid from e group by v), h as (select lower(name) as n, max(id) as host from v_places group by 1)
+@query("candidate_pool", """with e as (select lower(case when o_orderkey % 2 = 0 then venue_key else venue_key || ' annex' end) as v, id, start_at from v_listings), f as (select v, arg_min(id, (start_at, id)) as eid from e group by v), h as (select lower(name) as n, max(id) as host from v_places group by 1)
 select p.id, f.eid as event_id from v_places p left join h on p.id = h.host left join f on h.n = f.v union all select eid, eid from f where v not in (select n from h)""", "v_listings", "v_places")
 def _(s, d):
-    e = listings(s, d).where("o_orderkey % 50 = 0").withColumn("venue_key", F.when(F.col("o_orderkey") % 2 == 0, F.col("venue_key")).otherwise(F.concat("venue_key", F.lit(" annex"))))
+    e = listings(s, d).withColumn("venue_key", F.when(F.col("o_orderkey") % 2 == 0, F.col("venue_key")).otherwise(F.concat("venue_key", F.lit(" annex"))))
     return drive.candidate_pool(view(s, d, "v_places"), e).select("id", "event_id")
 
 
@@ -232,25 +251,26 @@ def _(s, d):
 BROKEN = "select case when o_orderkey % 100 = 0 then 'l-dup' else id end as id, case when o_orderkey % 31 = 0 then '' else title end as title, start_at, case when o_orderkey % 37 = 0 then start_at - interval '1' day else end_at end as end_at, case when o_orderkey % 41 = 0 then null else lat end as lat, lon, case when o_orderkey % 43 = 0 then 'kids' else audience end as audience, setting, case when o_orderkey % 47 = 0 then -1.0e0 else price_min end as price_min, repeats, case when o_orderkey % 16 = 0 then null else cadence end as cadence from v_listings"
 
 
-@query("check_listings", f"""with b as ({BROKEN}), r as (select id, unnest([case when title = '' then 'no title' end, case when lat is null then 'no coordinates' end, case when {haversine(str(LAT0), str(LON0), 'lat', 'lon')} > 60 then 'outside the radius' end, case when audience = 'kids' then 'unknown audience' end, case when price_min < 0 then 'negative price' end, case when end_at < start_at then 'ends before it starts' end, case when repeats and cadence is null then 'repeats without cadence' end, case when date_diff('day', date '1995-06-17', start_at::date) > 730 then 'far ahead' end]) as rule from b)
-select id, case when rule = 'far ahead' then 'warning' else 'error' end as severity, rule from r where rule is not null union all select id, 'error', 'duplicate id' from b group by id having count(*) > 1""", "v_listings")
+@query("check_listings", f"""with b as ({BROKEN}), r as (select id, rule, detail from b, lateral (values (case when title = '' then 'no title' end, null), (case when lat is null then 'no coordinates' end, null), (case when {haversine(str(LAT0), str(LON0), 'lat', 'lon')} > 60 then 'outside the radius' end, round({haversine(str(LAT0), str(LON0), 'lat', 'lon')}, 1)::varchar), (case when audience = 'kids' then 'unknown audience' end, audience),
+  (case when price_min < 0 then 'negative price' end, price_min::varchar), (case when end_at < start_at then 'ends before it starts' end, end_at::varchar), (case when repeats and cadence is null then 'repeats without cadence' end, null), (case when date_diff('day', date '1995-06-17', start_at::date) > 730 then 'far ahead' end, start_at::date::varchar)) x(rule, detail))
+select id, case when rule = 'far ahead' then 'warning' else 'error' end as severity, rule, detail from r where rule is not null union all select id, 'error', 'duplicate id', count(*)::varchar from b group by id having count(*) > 1""", "v_listings")
 def _(s, d):
     listings(s, d).createOrReplaceTempView("v_listings")
     return quality.check_listings(s.sql(BROKEN), F.lit("1995-06-17").cast("date"), LAT0, LON0, 60)
 
 
-@query("check_places", "with b as (select case when c_custkey % 50 = 0 then 'dup' else id end as id, case when c_custkey % 21 = 0 then null else name end as name, kind, lat, lon, url from v_places), r as (select id, unnest([case when name is null then 'no name' end, case when url is null then 'no address or site' end]) as rule from b) select id, case rule when 'no name' then 'error' else 'warning' end as severity, rule from r where rule is not null union all select id, 'error', 'duplicate id' from b group by id having count(*) > 1", "v_places")
+@query("check_places", "with b as (select case when c_custkey % 50 = 0 then 'dup' else id end as id, case when c_custkey % 21 = 0 then null else name end as name, kind, lat, lon, url from v_places), r as (select id, unnest([case when name is null then 'no name' end, case when url is null then 'no address or site' end]) as rule from b) select id, case rule when 'no name' then 'error' else 'warning' end as severity, rule, null::varchar as detail from r where rule is not null union all select id, 'error', 'duplicate id', count(*)::varchar from b group by id having count(*) > 1", "v_places")
 def _(s, d):
     p = view(s, d, "v_places")
     return quality.check_places(p.select(F.when(F.col("c_custkey") % 50 == 0, "dup").otherwise(F.col("id")).alias("id"), F.when(F.col("c_custkey") % 21 != 0, F.col("name")).alias("name"), "kind", "lat", "lon", "url"))
 
 
-@query("check_audit", f"with v as ({VERDICTS}) select domain as id, 'error' as severity, 'none without a signature' as rule from v where verdict = 'none' and sig is null")
+@query("check_audit", f"with v as ({VERDICTS}) select domain as id, 'error' as severity, 'none without a signature' as rule, null::varchar as detail from v where verdict = 'none' and sig is null")
 def _(s, d):
     return quality.check_audit(verdicts(s, d))
 
 
-@query("check_regions", "select id, 'error' as severity, 'radius out of range' as rule from (select id, radius_miles * 6 as r from v_regions) where r > 200", "v_regions")
+@query("check_regions", "select id, 'error' as severity, 'radius out of range' as rule, null::varchar as detail from (select id, radius_miles * 6 as r from v_regions) where r > 200", "v_regions")
 def _(s, d):
     return quality.check_regions(view(s, d, "v_regions").withColumn("radius_miles", F.col("radius_miles") * 6))
 
@@ -261,11 +281,11 @@ def _(s, d):
 
 
 def feeds(s, d):
-    """Calendar bodies of events: folded and escaped titles, times in UTC."""
+    """Calendar bodies of events, in pages of bounded size for each source: folded and escaped titles, times in UTC."""
     crlf, e = "\r\n", view(s, d, "v_occurrences")
     lines = F.concat(F.lit("BEGIN:VEVENT\r\nUID:"), F.col("event_id").cast("string"), F.lit("\r\nDTSTART:"), F.date_format("start_at", "yyyyMMdd'T'HHmmss'Z'"), F.lit("\r\nSUMMARY:"), "title", F.lit("\\, ses\r\n sion\r\nCATEGORIES:a\\,b,c\r\nEND:VEVENT\r\n"))
     body = F.concat(F.lit(f"BEGIN:VCALENDAR{crlf}"), F.array_join(F.collect_list(lines), ""), F.lit(f"END:VCALENDAR{crlf}"))
-    return e.groupBy(F.col("source").alias("source_id")).agg(body.alias("body")).withColumn("status", F.lit(200))
+    return e.groupBy(F.col("source").alias("source_id"), F.floor(F.col("event_id") / 64).alias("page")).agg(body.alias("body")).withColumn("status", F.lit(200))
 
 
 @query("ical_events", "select source as source_id, event_id::varchar as uid, title || ', session' as title, date_trunc('second', start_at) as start_at, 'a,b|c' as categories from v_occurrences", "v_occurrences")
@@ -283,7 +303,7 @@ select source_id, case when k = 0 then 'disabled' when k = 1 then 'blocked' when
 def _(s, d):
     f = feeds(s, d).withColumn("k", F.col("source_id").cast("int") % 7)
     f = f.withColumn("body", F.when(F.col("k") == 1, "<html>checking</html>").when(F.col("k") == 2, "BEGIN:VCALENDAR\r\nEND:VCALENDAR").otherwise(F.col("body")))
-    events, registry = ical.ical_events(f), f.select("source_id", (F.col("k") != 0).alias("enabled"))
+    events, registry = ical.ical_events(f), f.select("source_id", (F.col("k") != 0).alias("enabled")).distinct()
     return ical.feed_status(registry, f, events, F.lit("2024-01-20").cast("timestamp")).select("source_id", "status", "n_events")
 
 
@@ -303,33 +323,23 @@ def _(s, d):
     return view(s, d, "pages").select("page_id", X.canon_url(F.col("url")).alias("canon"), X.domain_of(F.col("url")).alias("domain"))
 
 
-@query("page_pictures", "select page_id, 'https://img.example/a' || (page_id % 7) || '.jpg' as image from pages where page_id % 5 <> 0")
+@query("page_pictures", "select page_id, 'https://img.example/a' || (page_id % 7) || '.jpg' as image from pages where page_id % 5 in (1, 2, 3)")
 def _(s, d):
     n = (F.col("page_id") % 7).cast("string")
-    meta = F.concat(F.lit('<head><meta name="twitter:image" content="/other.jpg"><meta property="og:image" content="http://img.example/a'), n, F.lit('.jpg">'))
-    icon = F.lit('<head><meta property="og:image" content="https://img.example/logo.png">')
-    p = view(s, d, "pages").withColumn("html", F.expr("html"))
-    return web.page_pictures(p.withColumn("html", F.concat(F.when(F.col("page_id") % 5 != 0, meta).otherwise(icon), F.regexp_replace("html", "(?is)^.*?<head>", ""))))
-
-
-@query("page_links", "with h as (select page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"#]+)\"', 1)) as href from pages) select page_id, count(*) as n from h group by 1")
-def _(s, d):
-    return web.links(view(s, d, "pages")).groupBy("page_id").agg(F.count("*").alias("n"))
-
-
-@query("site_signature")
-def _(s, d):
-    return web.site_signature(view(s, d, "pages").withColumn("html", F.concat(F.lit("<a href='/events/"), F.col("page_id").cast("string"), F.lit("'>x</a>"), F.col("html"))))
-
-
-@query("audit_domains")
-def _(s, d):
-    return web.audit_domains(view(s, d, "pages"))
+    good = F.concat(F.lit('<meta name="twitter:image" content="/other.jpg"><meta property="og:image" content="http://img.example/a'), n, F.lit('.jpg">'))
+    # A logo ends the search, whatever other keys say; so does a picture stated to be small.
+    logo = F.concat(F.lit('<meta property="og:image:secure_url" content="https://img.example/logo.png">'), good)
+    meta = F.when(F.col("page_id") % 5 == 0, logo).when(F.col("page_id") % 5 == 4, F.concat(good, F.lit('<meta property="og:image:width" content="120">'))).otherwise(good)
+    p = view(s, d, "pages")
+    return web.page_pictures(p.withColumn("html", F.concat(F.lit("<head>"), meta, F.regexp_replace("html", "(?is)^.*?<head>", ""))))
 
 
-@query("calendar_platforms", "select regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') as domain, 'jsonld' as platform, min(page_id) as page_id from pages where page_id % 3 = 0 group by 1")
+@query("picture_report", f"with i as ({PICTURES}), p as (select distinct concat('site', cast(c_custkey % 300 as varchar(20)), '.example.com/visit') as page, c_custkey % 300 as k from v_places where url is not null) select case when k % 8 = 0 then 'unread' when k % 3 = 0 then 'none' else 'picture' end as verdict, case when k % 8 <> 0 and k % 3 = 0 then 'logo' end as why, count(*) as n from p group by 1, 2", "v_places")
 def _(s, d):
-    return web.calendar_platforms(ld_pages(s, d))
+    key = F.regexp_extract("page", r"^site(\d+)", 1).cast("int")
+    asked = view(s, d, "v_places").where("url is not null").select(X.page_key(F.col("url")).alias("page")).distinct()
+    answers = asked.where(key % 8 != 0).select("page", F.when(key % 3 == 0, "none").otherwise("picture").alias("verdict"), F.lit("logo").alias("why"))
+    return web.picture_report(asked, answers)
 
 
 @query("event_types")
@@ -343,6 +353,6 @@ def _(s, d):
     return view(s, d, "pages").select("page_id", X.clean_text(F.col("html"), 180).alias("text"))
 
 
-@query("norm_titles", "select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(t), '\\(.*?\\)', '', 'g'), '\\b(session|part|day|week|no\\.?|#)\\s*\\d+\\b', '', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) as norm from (select doc_id, string_split(text, chr(10))[1] as t from documents)")
+@query("norm_titles", "select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\(.*?\\)', '', 'g'), '\\b(session|part|day|week|no\\.?|#)\\s*\\d+\\b', '', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) as norm from documents")
 def _(s, d):
-    return view(s, d, "documents").select("doc_id", X.norm_title(F.substring_index("text", "\n", 1)).alias("norm"))
+    return view(s, d, "documents").select("doc_id", X.norm_title(F.col("text")).alias("norm"))

@@ -132,10 +132,37 @@ def _(s, d):
     return places.osm_places(e).select("id", "name", "kind", "lat", "lon")
 
 
-@query("title_tokens", "select doc_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(t), '[^a-z0-9 ]+', ' ', 'g')), ' '), lambda w: length(w) > 2 and not list_contains(['the', 'a', 'an', 'at', 'in', 'on', 'of', 'and', 'for', 'to', 'with', 'annual', 'presents', 'featuring'], w)))) as tokens from (select doc_id, text as t from documents where not regexp_matches(text, '[(#0-9]')) ")
+WHOLE = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\(.*?\\)', '', 'g'), '\\b(session|part|day|week|no\\.?|#)\\s*\\d+\\b', '', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query("title_tokens", f"select doc_id, list_sort(list_distinct(list_filter(string_split({WHOLE}, ' '), lambda w: length(w) > 2 and not list_contains(['the', 'a', 'an', 'at', 'in', 'on', 'of', 'and', 'for', 'to', 'with', 'annual', 'presents', 'featuring'], w)))) as tokens from documents")
+def _(s, d):
+    return view(s, d, "documents").select("doc_id", F.sort_array(X.title_tokens(F.col("text"))).alias("tokens"))
+
+
+@query("stop_labels", """select id, case when m < 60 then m || ' min' when m % 60 = 0 then (m // 60) || ' h' else (m // 60) || ' h ' || (m % 60) || ' min' end as duration, case when k % 25 < 1 then 'On the way' else '+' || (k % 25) || ' min' end || ' · ' || case when k % 30 = 0 then 'beside you' when k % 30 < 10 then (k % 30) || '.0 mi' else (k % 30) || ' mi' end as facts from (select id, c_custkey as k, c_custkey % 200 as m from v_places)""", "v_places")
+def _(s, d):
+    k = F.col("c_custkey")
+    return view(s, d, "v_places").select("id", labels.duration_label(k % 200).alias("duration"), labels.facts_label((k % 25).cast("double"), (k % 30).cast("double")).alias("facts"))
+
+
+@query("place_names", """select id, case when c_custkey % 3 = 0 then name else coalesce(city, name) end as place, case when c_custkey % 2 = 0 then 'The Sound of Music: A Night in ' || upper(substr(kind, 1, 1)) || substr(kind, 2, strpos(kind || ' ', ' ') - 2) else 'the Sound of music' end as headline from v_places""", "v_places")
+def _(s, d):
+    venue = F.when(F.col("c_custkey") % 3 == 0, F.col("name")).otherwise(F.lit("12 Main Street"))
+    shout = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("THE SOUND OF MUSIC: A NIGHT IN "), F.upper(F.substring_index("kind", " ", 1)))).otherwise("the Sound of music")
+    return view(s, d, "v_places").select("id", X.place_name(venue, F.col("city"), F.col("name")).alias("place"), X.headline(shout).alias("headline"))
+
+
+@query("stable_ids", "select o_orderkey, venue_key || '-' || substr(sha1(o_orderkey::varchar || strftime(start_at, '%Y-%m-%d')), 1, 8) as id from v_listings", "v_listings")
+def _(s, d):
+    return listings(s, d).select("o_orderkey", X.stable_id(F.col("venue_key"), F.col("o_orderkey").cast("string"), F.date_format("start_at", "yyyy-MM-dd")).alias("id"))
+
+
+@query("type_aliases", "select id, case cast(o_orderkey % 4 as int) when 0 then 'play,concert' when 1 then 'talk' when 2 then 'meetup,club,film' else 'museum exhibit' end as types from v_listings", "v_listings")
 def _(s, d):
-    p = view(s, d, "documents").where(~F.col("text").rlike("[(#0-9]"))
-    return p.select("doc_id", F.sort_array(X.title_tokens(F.col("text"))).alias("tokens"))
+    old = F.array(F.lit("theater"), F.lit("music"), F.lit("show")), F.array(F.lit("science")), F.array(F.lit("community"), F.lit("meetup"), F.lit("film")), F.array(F.lit("museum"), F.lit("exhibit"))
+    n = F.col("o_orderkey") % 4
+    return listings(s, d).select("id", F.array_join(C.type_aliases(F.when(n == 0, old[0]).when(n == 1, old[1]).when(n == 2, old[2]).otherwise(old[3])), ",").alias("types"))
 
 
 @query("refreshed_listings")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearby.functions import geo
+from nearby.functions import vocab as V
 from nearby.functions import text as X
 from nearby.operators import recur, resolve, search, spatial
 from nearby.plans.fixtures import view, with_views
@@ -219,9 +219,9 @@ def _(s, d):
     return search.search_listings(live(s, d), search.Query(outdoor=True, food=True, signup=True, text="Rod"), now()).select("id")
 
 
-@query("search_interested", f"with {LIVE}, b as ({BASE}) select id from b where venue_key in (select name from v_places where c_custkey % 50 = 0)", "v_listings", "v_decisions", "v_muted", "v_places")
+@query("search_interested", f"with {LIVE}, b as ({BASE}) select id from b where venue_key in (select name from v_places where brand = 'brand3')", "v_listings", "v_decisions", "v_muted", "v_places")
 def _(s, d):
-    liked = view(s, d, "v_places").where("c_custkey % 50 = 0").select(F.col("name").alias("venue_key")).distinct()
+    liked = view(s, d, "v_places").where("brand = 'brand3'").select(F.col("name").alias("venue_key")).distinct()
     return search.search_listings(live(s, d), search.Query(interested=True), now(), view(s, d, "v_decisions"), view(s, d, "v_muted"), liked).select("id")
 
 
@@ -274,15 +274,57 @@ def _(s, d):
     return search.search_places(view(s, d, "v_places"), search.PlaceQuery(scope="visit", independents=True, text="Town 1")).select("id")
 
 
-@query("preset_towns", f"""with /* recursive */ t as (select city as town, count(*) as n, avg(lat) as lat, avg(lon) as lon, row_number() over (order by count(*) desc, city) as r from v_places where city is not null group by city),
-g as (select 0::bigint as r, []::struct(town varchar, n bigint, lat double, lon double)[] as acc union all
-  select g.r + 1, case when len(acc) < 8 and len(list_filter(acc, lambda y: {haversine('t.lat', 't.lon', 'y.lat', 'y.lon')} < 1.5)) = 0 then list_append(acc, {{'town': t.town, 'n': t.n, 'lat': t.lat, 'lon': t.lon}}) else acc end from g join t on t.r = g.r + 1),
-f as (select acc from g order by r desc limit 1)
-select x.town as town, x.n as n, round(x.lat, 6) as lat, round(x.lon, 6) as lon, pos::int as pos from (select unnest(acc) as x, generate_subscripts(acc, 1) as pos from f)""", "v_places")
+PRESETS = f"""/* recursive */ named as (select trim(regexp_replace(regexp_replace(case when c_custkey % 2 = 0 then city || ' (TN)' else city end, '\\s*\\([^)]*\\)', '', 'g'), '\\s+', ' ', 'g')) as town, lat, lon from v_places where city is not null),
+t as (select town, count(*) as n, avg(lat) as lat, avg(lon) as lon, row_number() over (order by count(*) desc, town) as r from named group by town),
+first_ as (select list({{'town': id, 'n': null::bigint, 'lat': lat, 'lon': lon}} order by id) as acc from (select id, lat::double as lat, lon::double as lon from v_regions order by id limit 3)),
+g as (select 0::bigint as r, (select acc from first_)::struct(town varchar, n bigint, lat double, lon double)[] as acc union all
+  select g.r + 1, case when len(acc) < 8 and len(list_filter(acc, lambda y: y.town = t.town or {haversine('t.lat', 't.lon', 'y.lat', 'y.lon')} < 1.5)) = 0 then list_append(acc, {{'town': t.town, 'n': t.n, 'lat': t.lat, 'lon': t.lon}}) else acc end from g join t on t.r = g.r + 1),
+f as (select acc from g order by r desc limit 1), p as (select x.town as town, x.n as n, x.lat as lat, x.lon as lon, pos::int as pos from (select unnest(acc) as x, generate_subscripts(acc, 1) as pos from f))"""
+
+
+def presets(s, d, origin=None):
+    p = view(s, d, "v_places").withColumn("city", F.when(F.col("c_custkey") % 2 == 0, F.concat("city", F.lit(" (TN)"))).otherwise(F.col("city")))
+    regions = view(s, d, "v_regions").select(F.col("id").alias("name"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    return search.preset_towns(p, regions, origin, apart=1.5).select("town", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "pos")
+
+
+@query("preset_towns", f"with {PRESETS} select town, n, round(lat, 6) as lat, round(lon, 6) as lon, pos from p", "v_places", "v_regions")
+def _(s, d):
+    return presets(s, d)
+
+
+NEAR_FIRST = PRESETS.replace("list({'town': id, 'n': null::bigint, 'lat': lat, 'lon': lon} order by id)", f"list({{'town': id, 'n': null::bigint, 'lat': lat, 'lon': lon}} order by {haversine(str(LAT0), str(LON0), 'lat', 'lon')}, id)").replace("from v_regions order by id limit 3", f"from v_regions order by {haversine(str(LAT0), str(LON0), 'lat', 'lon')}, id limit 3")
+
+
+@query("preset_towns_near", f"with {NEAR_FIRST} select town, n, round(lat, 6) as lat, round(lon, 6) as lon, (row_number() over (order by {haversine(str(LAT0), str(LON0), 'lat', 'lon')}, pos))::int as pos from p", "v_places", "v_regions")
+def _(s, d):
+    return presets(s, d, (LAT0, LON0))
+
+
+for by, keys in (("distance", "miles nulls last, name, id"), ("name", "name, id"), ("events", "events desc nulls last, miles nulls last, name, id")):
+    @query(f"places_by_{by}", f"with p as (select id, name, c_custkey % 9 as events, {haversine(str(LAT0), str(LON0), 'lat', 'lon')} as miles from v_places) select id, row_number() over (order by {keys}) as pos from p qualify pos between 41 and 80", "v_places")
+    def _(s, d, by=by):
+        from pyspark.sql import Window
+
+        p = spatial.with_distance(view(s, d, "v_places"), LAT0, LON0).withColumn("events", F.col("c_custkey") % 9)
+        top = search.sort_places(p, by).limit(80)
+        return top.withColumn("pos", F.row_number().over(Window.orderBy(*search.place_keys(by)))).where("pos > 40").select("id", "pos")
+
+
+@query("liked_places", "select id from v_places where name in (select venue_key from v_muted)", "v_places", "v_muted")
 def _(s, d):
-    return search.preset_towns(view(s, d, "v_places"), apart=1.5).select("town", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "pos")
+    p = spatial.with_distance(view(s, d, "v_places"), LAT0, LON0)
+    return search.liked_places(p, view(s, d, "v_muted").select(F.col("venue_key").alias("name"))).select("id")
 
 
+@query("cuisine_facets", """select cuisine, count(*) as n, case cuisine when 'unheard' then 0 else 1 end = 1 as known from (select unnest(case cast(c_custkey % 4 as int) when 0 then ['pizza', 'japanese'] when 1 then ['mexican'] when 2 then ['unheard'] else [] end) as cuisine from v_places) group by 1
+  union all select null, count(*), null from v_places where c_custkey % 4 < 3""", "v_places")
+def _(s, d):
+    n = F.col("c_custkey") % 4
+    c = F.when(n == 0, F.array(F.lit("pizza"), F.lit("japanese"))).when(n == 1, F.array(F.lit("mexican"))).when(n == 2, F.array(F.lit("unheard"))).otherwise(F.array().cast("array<string>"))
+    out = search.cuisine_facets(view(s, d, "v_places").withColumn("cuisine", c))
+    return out.select("cuisine", "n", F.when(F.col("cuisine").isNotNull(), F.col("pos") <= len(V.CUISINES)).alias("known"))
+
 
 RICH = "(case when price_min is not null then 6 else 0 end + case when end_at is not null then 1 else 0 end + case when setting <> 'unknown' then 1 else 0 end)"
 
@@ -330,8 +372,8 @@ def _(s, d):
     return resolve.venue_kinds(listings(s, d))
 
 
-#: Two reports of some orders: a second one, renamed and moved a little.
-TWO = """select id, title, lat, lon, start_at, end_at, o_orderkey from v_listings where o_orderkey % 3 = 0
+#: All orders, and a second report of some, renamed and moved a little.
+TWO = """select id, title, lat, lon, start_at, end_at, o_orderkey from v_listings
   union all select concat('m-', cast(o_orderkey as varchar(20))), concat(title, ' (Session #', cast(o_orderkey % 9 as varchar(20)), ')'), lat + 0.003, lon - 0.003, start_at, null, o_orderkey from v_listings where o_orderkey % 12 = 0"""
 
 
@@ -344,8 +386,9 @@ NORM = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({
 STOP = "['the', 'a', 'an', 'at', 'in', 'on', 'of', 'and', 'for', 'to', 'with', 'annual', 'presents', 'featuring']"
 PAIRS = f"""two as ({TWO}), sp as (select *, start_at::date as d0, greatest(coalesce(end_at::date, start_at::date), start_at::date) as d1, {NORM.format('title')} as nt from two),
 tok as (select *, list_distinct(list_filter(string_split(nt, ' '), lambda w: length(w) > 2 and not list_contains({STOP}, w))) as tk from sp),
-pairs as (select a.id as a, b.id as b from tok a join tok b on a.id < b.id and a.d0 <= b.d1 and b.d0 <= a.d1 and abs(a.lat - b.lat) < 0.04 and abs(a.lon - b.lon) < 0.06
-  where (a.d0 = b.d0 or ((a.d0 < a.d1 or b.d0 < b.d1) and a.d0 <= b.d1 and b.d0 <= a.d1)) and {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 2.0
+dy as (select tok.*, unnest(generate_series(d0, d1, interval 1 day))::date as dd from tok),
+pairs as (select distinct a.id as a, b.id as b from dy a join dy b on a.dd = b.dd and a.id < b.id and abs(a.lat - b.lat) < 0.04 and abs(a.lon - b.lon) < 0.06
+  where (a.d0 = b.d0 or a.d0 < a.d1 or b.d0 < b.d1) and {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 2.0
     and (a.nt = b.nt or (a.nt <> '' and b.nt <> '' and (contains(a.nt, b.nt) or contains(b.nt, a.nt))) or (len(a.tk) > 0 and len(b.tk) > 0 and len(list_intersect(a.tk, b.tk)) / (len(list_distinct(list_concat(a.tk, b.tk))))::double >= 0.6)))"""
 
 
@@ -386,7 +429,7 @@ def _(s, d):
 
 
 
-ITEMS = "select concat('Q', cast(c_custkey as varchar(20))) as qid, case when c_custkey % 6 = 0 then concat(name, ', New York') else concat('Olana ', cast(c_custkey % 40 as varchar(20)), ' House') end as label, lat + 0.004 as lat, lon as lon, case when c_custkey % 10 = 0 then 'village in a county' else 'a building' end as description, concat('Pic ', id, '.jpg') as image from v_places where c_custkey % 2 = 0"
+ITEMS = "select concat('Q', cast(c_custkey as varchar(20))) as qid, case when c_custkey % 6 = 0 then concat(name, ', New York') else concat('Olana ', cast(c_custkey % 40 as varchar(20)), ' House') end as label, lat + 0.004 as lat, lon as lon, case when c_custkey % 10 = 0 then 'village in a county' else 'a building' end as description, concat('Pic ', id, '.jpg') as image from v_places"
 NAMED = "select id, concat('Olana ', cast(c_custkey % 40 as varchar(20))) as name, lat, lon, case when c_custkey % 3 = 0 then brand end as brand from v_places"
 
 

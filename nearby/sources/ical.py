@@ -61,12 +61,14 @@ def feed_status(registry: DataFrame, feeds: DataFrame, events: DataFrame, as_of:
     """source_id, status, n_events, n_future, latest, months of each registered source (source_id, enabled): what its harvest gave."""
     future = F.col("start_at") >= as_of
     e = events.groupBy("source_id").agg(F.count("*").alias("n_events"), F.count_if(future).alias("n_future"), F.max("start_at").alias("latest"), F.collect_set(F.date_format("start_at", "yyyy-MM")).alias("m"))
-    f = feeds.select("source_id", F.col("body"), F.col("status").alias("http"))
+    # A source may answer in several pages; each is looked at where it is.
+    body = F.col("body")
+    calendar, json = body.contains("BEGIN:VCALENDAR"), F.ltrim(body).rlike(r"^[\[{]")
+    page = feeds.select("source_id", body.isNotNull().alias("answered"), calendar.alias("calendar"), body.contains("BEGIN:VEVENT").alias("filled"), ((F.col("status") == 202) | (~calendar & ~json & F.lower(body).contains("<html"))).alias("blocked"))
+    f = page.groupBy("source_id").agg(*(F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in ("answered", "calendar", "filled", "blocked")))
     j = registry.join(f, "source_id", "left").join(e, "source_id", "left")
-    calendar, json = F.col("body").contains("BEGIN:VCALENDAR"), F.ltrim("body").rlike(r"^[\[{]")
-    blocked = (F.col("http") == 202) | (~calendar & ~json & F.lower("body").contains("<html"))
     status = (
-        F.when(~F.col("enabled"), "disabled").when(F.col("body").isNull(), "no answer").when(blocked, "blocked").when(calendar & ~F.col("body").contains("BEGIN:VEVENT"), "empty")
+        F.when(~F.col("enabled"), "disabled").when(~F.coalesce("answered", F.lit(False)), "no answer").when(F.col("blocked"), "blocked").when(F.col("calendar") & ~F.col("filled"), "empty")
         .when(F.coalesce("n_events", F.lit(0)) == 0, "no events").when(F.col("n_future") == 0, "stale").otherwise("ok")
     )
     months = F.array_join(F.slice(F.sort_array("m", asc=False), 1, 8), ",")

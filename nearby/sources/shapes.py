@@ -115,13 +115,12 @@ def rsvp(records: DataFrame) -> DataFrame:
 
 
 def groups(records: DataFrame) -> DataFrame:
-    """Group-meeting caches: nodes by key, linked by references. Links are joins on (source, key)."""
-    nodes = records.select("source_id", F.try_parse_json("payload").alias("p")).select("source_id", F.explode(F.try_variant_get("p", "$", "map<string,variant>")).alias("key", "v"))
-    v = "v"
-    e = nodes.where(F.col("key").startswith("Event:")).select("source_id", "key", v, *(at(v, f"$.{n}.__ref").alias(f"{n}_ref") for n in ("venue", "series")))
-    for n in ("venue", "series"):
-        side = nodes.select(F.col("source_id").alias("_s"), F.col("key").alias("_k"), F.col("v").alias(n))
-        e = e.join(side, (F.col("source_id") == F.col("_s")) & (F.col(f"{n}_ref") == F.col("_k")), "left").drop("_s", "_k")
+    """Group-meeting caches: nodes by key, linked by references. A link is looked up in its own record's nodes."""
+    m = records.select("source_id", F.try_variant_get(F.try_parse_json("payload"), "$", "map<string,variant>").alias("m")).where("m is not null")
+    linked = lambda e, n: F.try_element_at("m", at(e["value"], f"$.{n}.__ref"))
+    events = F.filter(F.map_entries("m"), lambda e: e["key"].startswith("Event:"))
+    nodes = F.transform(events, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("v"), linked(e, "venue").alias("venue"), linked(e, "series").alias("series")))
+    e, v = m.select("source_id", F.explode(nodes).alias("e")).select("source_id", "e.*"), "v"
     week = F.create_map(*(F.lit(x) for pair in {1: "first", 2: "second", 3: "third", 4: "fourth", 5: "last", -1: "last"}.items() for x in pair))[at("series", "$.monthlyRecurrence.monthlyWeekOfMonth", "int")]
     day = F.initcap(at("series", "$.monthlyRecurrence.monthlyDayOfWeek"))
     days = F.transform(at("series", "$.weeklyRecurrence.weeklyDaysOfWeek", "array<string>"), lambda d: F.initcap(d))

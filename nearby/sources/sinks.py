@@ -26,7 +26,7 @@ def write_places(places: DataFrame, path: str, form: str = "json") -> None:
 
 def fold(line: Column, width: int = 74) -> Column:
     """A content line in pieces of ``width`` characters, later ones after a space."""
-    rest = F.regexp_replace(F.substring(line, width + 1, 1 << 20), f"(?s)(.{{{width - 1}}})(?=.)", "$1\r\n ")
+    rest = F.regexp_replace(F.substring(line, F.lit(width + 1), F.length(line)), f"(?s)(.{{{width - 1}}})(?=.)", "$1\r\n ")
     return F.when(F.length(line) <= width, line).otherwise(F.concat(F.substring(line, 1, width), F.lit("\r\n "), rest))
 
 

@@ -6,75 +6,51 @@ are put in order inside a batch; what comes later than the watermark is dropped
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from nearby.functions.geo import MILES_PER_DEGREE, MILES_RADIUS
-from nearby.operators.drive import ARRIVED, LEAST_MOVE, MOST_AHEAD, OFF_FIXES, OFF_ROUTE
-from nearby.operators.resolve import merge_listings
+from nearby.operators import drive
+from nearby.operators.drive import MOST_AHEAD
+from nearby.operators.resolve import first_by, merge_listings
 
-TRACKED = "car long, fix_at timestamp, event_id long, lat double, lon double, step double, odometer double, heading double"
-TRACK_STATE = "lat double, lon double, odometer double, heading double"
-
-
-def miles(a: float, b: float, c: float, d: float) -> float:
-    p, q = math.radians(a), math.radians(c)
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(d - b) / 2) ** 2
-    return 2 * MILES_RADIUS * math.asin(min(1.0, math.sqrt(h)))
-
-
-def course(a: float, b: float, c: float, d: float) -> float:
-    east, north = (d - b) * MILES_PER_DEGREE * math.cos(math.radians(a)), (c - a) * MILES_PER_DEGREE
-    return math.degrees(math.atan2(east, north)) % 360
+TRACK_STATE = "at double, lat double, lon double, odometer double, speed double, heading double, from_lat double, from_lon double"
+ALERT_STATE = "run int, arrived boolean, last double"
 
 
 def ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(["fix_at", "event_id"], kind="stable")
 
 
-def step_track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    lat0, lon0, odometer, heading = state.get if state.exists else (None, None, 0.0, None)
-    out = []
-    for row in ordered(batches).itertuples():
-        step = 0.0 if lat0 is None else miles(lat0, lon0, row.lat, row.lon)
-        if step >= LEAST_MOVE:
-            heading = course(lat0, lon0, row.lat, row.lon)
-        odometer += step
-        lat0, lon0 = row.lat, row.lon
-        out.append((key[0], row.fix_at, row.event_id, row.lat, row.lon, step, odometer, heading))
-    state.update((lat0, lon0, odometer, heading))
-    yield pd.DataFrame(out, columns=["car", "fix_at", "event_id", "lat", "lon", "step", "odometer", "heading"])
+def stepping(new: tuple, step: Callable, out: Callable, columns: list[str]) -> Callable:
+    """The step of a batch operator over a car's new rows, from and to the car's state."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, rows = state.get if state.exists else new, []
+        for row in ordered(batches).itertuples(index=False):
+            kept, made = step(kept, row)
+            rows += out(row, made)
+        state.update(kept)
+        yield pd.DataFrame(rows, columns=columns)
+
+    return run
 
 
 def track_stream(fixes: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The rows of ``drive.track`` for a stream of fixes (car, fix_at, event_id, lat, lon)."""
-    keyed = fixes.where("lat is not null and lon is not null").withWatermark("fix_at", late).groupBy("car")
-    return keyed.applyInPandasWithState(step_track, TRACKED, TRACK_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def step_alerts(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    run, arrived = state.get if state.exists else (0, False)
-    out = []
-    for row in ordered(batches).itertuples():
-        run = run + 1 if row.off > OFF_ROUTE else 0
-        reached = row.left <= ARRIVED
-        if run == OFF_FIXES:
-            out.append((key[0], row.fix_at, row.event_id, "off route"))
-        elif reached and not arrived:
-            out.append((key[0], row.fix_at, row.event_id, "arrived"))
-        arrived = arrived or reached
-    state.update((run, arrived))
-    yield pd.DataFrame(out, columns=["car", "fix_at", "event_id", "alert"])
+    """The rows of ``drive.track`` for a stream of fixes (car, fix_at, event_id, lat, lon, gps_heading, gps_speed)."""
+    keyed = drive.with_gps(fixes).where("lat is not null and lon is not null").withWatermark("fix_at", late).groupBy("car")
+    columns = [c.split()[0] for c in drive.TRACKED.split(", ")]
+    return keyed.applyInPandasWithState(stepping(drive.NEW_TRACK, drive.track_step, drive.tracked_row, columns), drive.TRACKED, TRACK_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def alert_stream(located: DataFrame, late: str = "10 minutes") -> DataFrame:
     """The rows of ``drive.route_alerts`` for a stream of located fixes (car, fix_at, event_id, off, left)."""
     keyed = located.withWatermark("fix_at", late).groupBy("car")
-    return keyed.applyInPandasWithState(step_alerts, "car long, fix_at timestamp, event_id long, alert string", "run int, arrived boolean", "append", GroupStateTimeout.NoTimeout)
+    columns = [c.split()[0] for c in drive.ALERTED.split(", ")]
+    return keyed.applyInPandasWithState(stepping(drive.NEW_ALERTS, drive.alert_step, drive.alert_row, columns), drive.ALERTED, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def step_deck(k: int, margin: float, far: float) -> Callable:
@@ -107,22 +83,39 @@ def deck_stream(candidates: DataFrame, k: int = MOST_AHEAD, margin: float = 1.0,
     return candidates.groupBy("car").applyInPandasWithState(step_deck(k, margin, far), "car long, tick long, id string, move string", "ids array<string>, scores array<double>, aheads array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def refresh_stream(incoming: DataFrame, table: str, richness: Callable[[], Column], order: Callable[[], Column], adopt: list[str], checkpoint: str, late: str = "1 day"):
-    """A running query that merges each batch of new listings (with ``seen_at``) into a saved table; the first of an id within ``late`` counts.
+def versions(spark, folder: str) -> list[int]:
+    """Numbers of the whole versions in a folder, ascending. A version is whole once Spark has marked it so."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(p.getName()[8:]) for p in found if p.getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
-    Each batch writes a new version of the table and then takes its name, so a batch that is repeated after a
-    failure starts from whole data.
-    """
 
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.drop("seen_at")
-        held = spark.table(table)
-        merged = merge_listings(held, new.select(*held.columns), richness(), order(), adopt)
-        merged.write.mode("overwrite").saveAsTable(f"{table}_next")
-        spark.table(f"{table}_next").write.mode("overwrite").saveAsTable(table)
+def newest(spark, folder: str, below: int | None = None) -> DataFrame:
+    """The newest whole version of a refreshed table (before the version ``below``)."""
+    numbers = [n for n in versions(spark, folder) if below is None or n < below]
+    return spark.read.parquet(f"{folder}/version={numbers[-1]}")
+
 
-    once = incoming.withWatermark("seen_at", late).dropDuplicatesWithinWatermark(["id"])
-    return once.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+def refresh_stream(incoming: DataFrame, folder: str, richness: Callable[[], Column], order: Callable[[], Column], adopt: list[str], checkpoint: str, keep: int = 3):
+    """A running query that merges each batch of new listings (with ``seen_at``) into the table whose versions are in ``folder``.
 
+    ``folder`` holds ``version=0``, what is known at the start. Batch n reads the newest version before n + 1 and writes
+    version n + 1; readers take ``newest``. A batch that is repeated after a failure finds the same version to start from and
+    writes the same folder again, and a half-written one is no version. Of an id that comes several times in a batch the
+    richest, then the latest counts; a later batch's update is merged like any other. The last ``keep`` versions stay.
+    """
 
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        held = newest(spark, folder, number + 1)
+        once = first_by(batch.withColumn("_rich", richness()), ["id"], F.desc("_rich"), F.desc("seen_at")).drop("_rich", "seen_at")
+        merged = merge_listings(held, once.select(*held.columns), richness(), order(), adopt)
+        merged.write.mode("overwrite").parquet(f"{folder}/version={number + 1}")
+        jvm = spark.sparkContext._jvm
+        for old in [n for n in versions(spark, folder) if n <= number + 1 - keep]:
+            at = jvm.org.apache.hadoop.fs.Path(f"{folder}/version={old}")
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    return incoming.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)

@@ -27,10 +27,10 @@ def source(spark, df, by):
 
 
 def test_track(spark, small):
-    fixes = view(spark, small, "v_fixes").select("car", F.col("fix_at").cast("timestamp").alias("fix_at"), "event_id", "lat", "lon").where("car < 6")
+    fixes = view(spark, small, "v_fixes").select("car", F.col("fix_at").cast("timestamp").alias("fix_at"), "event_id", "lat", "lon", "gps_heading", "gps_speed").where("car < 6")
     parts = fixes.withColumn("part", F.when(F.dayofmonth("fix_at") <= 10, 0).when(F.dayofmonth("fix_at") <= 20, 1).otherwise(2))
     got = run(spark, live.track_stream(source(spark, parts, "fix_at")), "tracked")
-    pick = lambda df: sorted((r["car"], r["event_id"], round(r["step"], 6), round(r["odometer"], 4), None if r["heading"] is None else round(r["heading"], 4)) for r in df.collect())
+    pick = lambda df: sorted((r["car"], r["event_id"], round(r["step"], 6), round(r["odometer"], 4), round(r["speed"], 3), None if r["heading"] is None else round(r["heading"], 4)) for r in df.collect())
     assert pick(got) == pick(drive.track(fixes))
 
 
@@ -55,21 +55,26 @@ def test_refresh(spark, tmp_path):
 
     from nearby.functions import text as X
 
-    spark.conf.set("spark.sql.sources.default", "parquet")
     schema = "id string, title string, lat double, lon double, start_at timestamp, end_at timestamp, pos long"
     t = dt.datetime(2024, 1, 1)
     held = [("l-1", "Big County Fair", 41.0, -73.0, t, None, 1), ("l-2", "Quiet Reading", 41.0, -73.0, t, None, 2)]
-    name = f"held_{abs(hash(str(tmp_path)))}"
-    spark.createDataFrame(held, schema).write.option("path", f"{tmp_path}/t").saveAsTable(name)
-    new = [("m-1", "Big County Fair (Part 2)", 41.001, -73.0, t, t + dt.timedelta(days=2), 3, t), ("m-3", "Film Night", 41.5, -73.5, t, None, 4, t)]
-    source = f"{tmp_path}/in"
-    spark.createDataFrame(new, schema + ", seen_at timestamp").write.parquet(source)
-    stream = spark.readStream.schema(schema + ", seen_at timestamp").parquet(source)
+    table, source = f"{tmp_path}/table", f"{tmp_path}/in"
+    spark.createDataFrame(held, schema).write.parquet(f"{table}/version=0")
     rich, order = (lambda: X.richness({"end": F.col("end_at")})), (lambda: F.col("pos"))
-    q = live.refresh_stream(stream, name, rich, order, ["end_at"], f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(180)
-    rows = {r["id"]: (r["title"], r["end_at"]) for r in spark.table(name).collect()}
-    spark.sql(f"drop table {name}")
-    spark.sql(f"drop table if exists {name}_next")
-    # the richer report takes the place under the held id; the new one is appended
-    assert rows == {"l-1": ("Big County Fair (Part 2)", t + dt.timedelta(days=2)), "l-2": ("Quiet Reading", None), "m-3": ("Film Night", None)}
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema + ", seen_at timestamp").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema + ", seen_at timestamp").parquet(source)
+        q = live.refresh_stream(stream, table, rich, order, ["end_at"], f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        return {r["id"]: (r["title"], r["end_at"]) for r in live.newest(spark, table).collect()}
+
+    end = t + dt.timedelta(days=2)
+    # the richer report takes the place under the held id; the new one is appended, once
+    rows = feed([("m-1", "Big County Fair (Part 2)", 41.001, -73.0, t, end, 3, t), ("m-3", "Film Night", 41.5, -73.5, t, None, 4, t), ("m-3", "Film Night", 41.5, -73.5, t, None, 4, t)])
+    assert rows == {"l-1": ("Big County Fair (Part 2)", end), "l-2": ("Quiet Reading", None), "m-3": ("Film Night", None)}
+    # a richer update of an id soon after counts
+    assert feed([("m-3", "Film Night", 41.5, -73.5, t, end, 4, t + dt.timedelta(hours=1))])["m-3"] == ("Film Night", end)
+    # a half-written version is none, and a repeated batch starts from the same version
+    (tmp_path / "table" / "version=9").mkdir()
+    assert live.versions(spark, table) == [0, 1, 2] and live.newest(spark, table, 2).where("id = 'm-3'").first()["end_at"] is None
