@@ -135,11 +135,11 @@ def interest(df: DataFrame, weights: dict[str, float], levels: dict[str, float],
 
     Chains go altogether or those of ``chains_off``; food gets the best of the reader's ``cuisines`` that it serves on top.
     """
-    table = lambda m: F.create_map(*(F.lit(x) for pair in m.items() for x in pair))
-    base = F.coalesce(table(weights)[F.col("drive_type")], F.lit(default)) * F.coalesce(table(levels)[F.col("drive_type")], F.lit(1.0))
+    of = lambda m, k: F.create_map(*(F.lit(x) for pair in m.items() for x in pair))[k] if m else F.lit(None).cast("double")
+    base = F.coalesce(of(weights, F.col("drive_type")), F.lit(default)) * F.coalesce(of(levels, F.col("drive_type")), F.lit(1.0))
     extra = lambda name, n: F.when(F.coalesce(F.col(name).cast("string"), F.lit("")) != "", n).otherwise(0.0) if name in df.columns else F.lit(0.0)
     flag = lambda name, n: F.when(F.coalesce(F.col(name), F.lit(False)), n).otherwise(0.0) if name in df.columns else F.lit(0.0)
-    liked = F.coalesce(F.array_max(F.transform("cuisine", lambda x: F.coalesce(table(cuisines)[x], F.lit(0.0)))), F.lit(0.0)) if cuisines and "cuisine" in df.columns else F.lit(0.0)
+    liked = F.coalesce(F.array_max(F.transform("cuisine", lambda x: F.coalesce(of(cuisines, x), F.lit(0.0)))), F.lit(0.0)) if cuisines and "cuisine" in df.columns else F.lit(0.0)
     score = F.when(base > 0, base + extra("description", 0.5) + extra("url", 0.3) + flag("liked", 3.0) + flag("loved", 2.0) + flag("on_now", 2.0) + liked).otherwise(0.0)
     out = df.withColumn("score", score).where("score > 0")
     if not keep_chains:

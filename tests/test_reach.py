@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from nearby.operators import drive, resolve
+from nearby.operators import drive, resolve, search, spatial
 
 
 @pytest.mark.parametrize("lat", [45.0, 60.0])
@@ -19,7 +22,7 @@ def test_ahead_by_heading_at_speed(spark, lat):
         for p, y1, x1 in places:
             x, y = (x1 - x0) * 69.172 * math.cos(math.radians(y0)), (y1 - y0) * 69.172
             ahead, off = x * hx + y * hy, abs(x * hy - y * hx)
-            if 0.5 <= ahead <= 25 and off <= 7 + 0.15 * ahead:
+            if 0.5 <= ahead <= 17.5 and off <= 7 + 0.15 * ahead:
                 want.add((car, p))
     got = drive.ahead_by_heading(spark.createDataFrame(cars, "car long, lat double, lon double, heading double, speed double"), spark.createDataFrame(places, "id long, lat double, lon double"))
     rows = [(r["car"], r["id"]) for r in got.collect()]
@@ -30,3 +33,100 @@ def test_match_items_far_north(spark):
     places = spark.createDataFrame([("p", "Arctic Cathedral Museum", None, 69.0, 18.049)], "id string, name string, brand string, lat double, lon double")
     items = spark.createDataFrame([("Q1", "Arctic Cathedral Museum", 69.0, 18.11, "museum")], "qid string, label string, lat double, lon double, description string")
     assert [tuple(r) for r in resolve.match_items(places, items).collect()] == [("p", "Q1")]
+
+
+def test_look_ahead(spark):
+    speeds = [(None, 7.5), (0.0, 7.5), (10.0, 4.0), (60.0, 15.0), (140.0, 25.0)]
+    df = spark.createDataFrame(speeds, "speed double, want double")
+    assert df.where(drive.look_ahead(F.col("speed")) != F.col("want")).count() == 0
+
+
+def haversine(a, b, c, d):
+    h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+    return 2 * 3958.8 * math.asin(min(1.0, math.sqrt(h)))
+
+
+@pytest.mark.parametrize("lat,block", [(41.0, 2048), (64.0, 2048), (80.0, 3)])
+def test_duplicate_pairs_at_any_latitude(spark, monkeypatch, lat, block):
+    """Against all pairs: titles equal, one in the other, or alike; short and long runs; crowded blocks in parts."""
+    monkeypatch.setattr(resolve, "BLOCK", block)
+    rng, t = random.Random(int(lat)), dt.datetime(2024, 1, 1)
+    titles = ["County Fair", "County Fair Opening Night", "Quiet Reading Hour", "Reading Hour Quiet", "Art"]
+    rows = []
+    for i in range(90):
+        start = t + dt.timedelta(days=rng.randrange(4))
+        end = start + dt.timedelta(days=rng.choice([0, 2, 60])) if rng.random() < 0.5 else None
+        rows.append((f"e{i:02}", rng.choice(titles), lat + rng.random() * 0.08, -73.0 + rng.random() * 0.08 / math.cos(math.radians(lat)), start, end))
+    words = lambda s: set(s.lower().split())
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and haversine(a[2], a[3], b[2], b[3]) < 2:
+                (a0, a1), (b0, b1) = ((x[4], max(x[5] or x[4], x[4])) for x in (a, b))
+                days = a0 == b0 or (a0 < a1 or b0 < b1) and a0 <= b1 and b0 <= a1
+                x, y = a[1].lower(), b[1].lower()
+                if days and (x in y or y in x or len(words(x) & words(y)) / len(words(x) | words(y)) >= 0.6):
+                    want.add((a[0], b[0]))
+    df = spark.createDataFrame(rows, "id string, title string, lat double, lon double, start_at timestamp, end_at timestamp")
+    got = [(r["a"], r["b"]) for r in resolve.duplicate_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_preset_towns_beyond_the_busiest(spark):
+    """250 busy towns close together hide none of the distant ones."""
+    rows = [(f"Near {i:03}", 41.0 + i * 1e-5, -73.0) for i in range(250) for _ in range(3)] + [(f"Far {i} (aside)", 45.0 + i, -80.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "city string, lat double, lon double")
+    got = [(r["town"], r["n"], r["pos"]) for r in search.preset_towns(df).orderBy("pos").collect()]
+    assert got == [("Near 000", 3, 1), *((f"Far {i}", 1, i + 2) for i in range(7))]
+    regions = spark.createDataFrame([("Maine", 45.2, -69.0), ("Coast", 41.0, -73.0)], "name string, lat double, lon double")
+    near = search.preset_towns(df, regions, (45.0, -69.0), slots=3).orderBy("pos").collect()
+    assert [r["town"] for r in near] == ["Maine", "Coast", "Far 0"]
+
+
+def test_day_plan_in_stretches(spark):
+    rng, t = random.Random(1), dt.datetime(2024, 1, 1)
+    rows = [(f"l{i}", t.date() + dt.timedelta(days=i % 2), t + dt.timedelta(days=i % 2, minutes=rng.randrange(0, 1440, 7)), i % 5 == 0, float(rng.randrange(9)) if i % 3 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, day date, next_at timestamp, all_day boolean, miles double")
+    got = {r["id"]: (r["day_count"], r["day_pos"]) for r in search.day_plan(df).collect()}
+    for day in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == day), key=lambda r: (dt.datetime.combine(r[2].date(), dt.time(23, 59, 59)) if r[3] else r[2], r[4] is None, r[4] or 0, r[0]))
+        assert [got[r[0]] for r in own] == [(len(own), i + 1) for i in range(len(own))]
+
+
+def test_route_in_stretches(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(1, i * rng.choice([1, 1]) + (i > 30) * 50, 41 + rng.random(), -73 + rng.random()) for i in range(60)]
+    df = spark.createDataFrame(rows, "route_id long, seq long, lat double, lon double")
+    whole = spatial.route_segments(df).orderBy("seq").collect()
+    monkeypatch.setattr(spatial, "STRETCH", 7)
+    parts = spatial.route_segments(df).orderBy("seq").collect()
+    total = 0.0
+    for (a, b), x, y in zip(zip(sorted(rows, key=lambda r: r[1]), sorted(rows, key=lambda r: r[1])[1:]), whole, parts, strict=True):
+        total += math.hypot((b[3] - a[3]) * 69.172 * math.cos(math.radians(a[2])), (b[2] - a[2]) * 69.172)
+        assert (x["seq"], x["lat1"], x["lon1"]) == (y["seq"], y["lat1"], y["lon1"]) == (a[1], b[2], b[3])
+        assert math.isclose(x["cum1"], total) and math.isclose(y["cum1"], total)
+
+
+def test_a_slow_car_gets_a_heading(spark):
+    """Steps too short for a bearing add up from the last trusted fix; the device's own heading counts at speed."""
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, t + dt.timedelta(seconds=i), i, 41.0 + i * 0.0002, -73.0, None, None) for i in range(30)]
+    rows += [(2, t + dt.timedelta(seconds=i), i, 41.0, -73.0, 123.0, 10.0 if i > 1 else 1.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "car long, fix_at timestamp, event_id long, lat double, lon double, gps_heading double, gps_speed double")
+    got = {(r["car"], r["event_id"]): r for r in drive.track(df).collect()}
+    assert got[(1, 0)]["heading"] is None and all(got[(1, i)]["heading"] == 0 for i in range(3, 30))
+    assert 0.4 < got[(1, 29)]["odometer"] < 0.41 and math.isclose(got[(1, 29)]["speed"], 0.0002 * math.pi / 180 * 3958.8 * 3600, rel_tol=1e-6)
+    assert [got[(2, i)]["heading"] for i in range(4)] == [None, None, 123.0, 123.0] and math.isclose(got[(2, 3)]["speed"], 22.3694)
+
+
+def test_alerts_come_again_after_a_minute(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, t + dt.timedelta(seconds=10 * i), i, 1.0, 9.0) for i in range(14)] + [(1, t + dt.timedelta(seconds=200 + i), 20 + i, 0.0, 0.1) for i in range(3)]
+    df = spark.createDataFrame(rows, "car long, fix_at timestamp, event_id long, off double, left double")
+    assert [(r["event_id"], r["alert"]) for r in drive.route_alerts(df).orderBy("event_id").collect()] == [(2, "off route"), (9, "off route"), (20, "arrived")]
+
+
+def test_chains_and_cuisines(spark):
+    df = spark.createDataFrame([("a", "restaurant", "X", ["thai"]), ("b", "restaurant", "Y", ["pizza"]), ("c", "restaurant", None, None)], "id string, drive_type string, chain string, cuisine array<string>")
+    score = lambda **k: {r["id"]: r["score"] for r in drive.interest(df, {"restaurant": 1.0}, {}, **k).collect()}
+    assert score(chains_off=("X",), cuisines={"pizza": 2.0}) == {"b": 3.0, "c": 1.0} and set(score(keep_chains=False)) == {"c"}

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from nearby.functions import classify as C
 from nearby.functions import text as X
+from nearby.functions import labels as L
 from nearby.functions import vocab as V
-from nearby.operators import hours, places, recur, resolve, search, spatial, web
+from nearby.operators import audit, hours, places, quality, recur, resolve, search, spatial, web
+from nearby.sources import sinks
 
 
 def value(spark, column):
@@ -125,3 +127,97 @@ def test_osm_places(spark):
     df = spark.createDataFrame(rows, "type string, id long, lat double, lon double, center struct<lat:double,lon:double>, tags map<string,string>")
     got = {r["id"]: r for r in places.osm_places(df).collect()}
     assert set(got) == {"osm-node-1", "osm-way-2"} and got["osm-node-1"]["url"] == "https://dia.org" and got["osm-node-1"]["lat"] == 41.123457
+
+
+def site(spark, *pages):
+    """An audit of one site's pages (url, html)."""
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return audit.audit_domains(df).first()
+
+
+@pytest.mark.parametrize("html,dates,eventish", [
+    ("<p>Open Mon-Fri 9:00 am to 5:00 pm</p>", 0, False), ("<p>Now playing: Cars, approx 7:45 pm</p>", 1, True), ("<p>Every Thursday, 7pm</p>", 1, False), ("<p>Closed October 3, 2026-10-04 and 5 May</p>", 3, False),
+])
+def test_signals(spark, html, dates, eventish):
+    r = audit.signals(spark.createDataFrame([(1, "https://x.test/", html)], "page_id long, url string, html string")).first()
+    assert r["eventish"] == eventish and (dates is None or r["dates"] == dates)
+
+
+def test_audit_cases(spark):
+    long = "<p>" + "A quiet place by the river with a view. " * 60 + "</p>"
+    assert site(spark, ("https://a.com/", long))["verdict"] == "none"
+    assert site(spark, ("https://a.com/", "<p>x</p>"))["verdict"] == "unreadable"
+    assert site(spark, ("https://a.com/", long), ("https://a.com/events/", "<p>Events</p>"))["verdict"] == "unreadable"
+    assert site(spark, ("https://a.com/", long), ("https://a.com/events/", "<p>Family day October 3. Halloween October 31</p>"))["verdict"] == "listings"
+    assert site(spark, ("https://a.com/", long), ("https://a.com/about/", "<p>A concert on October 3 and October 31</p>"))["verdict"] == "none"
+    assert site(spark, ("https://a.com/", long + "<p>Trivia 3/4 and 4/5</p>"))["verdict"] == "specials"
+    assert site(spark, ("https://a.com/", "Caddy works! " + long))["verdict"] == "parked"
+    assert site(spark, ("https://a.com/", long + "<p>togel bandar maxwin</p>"))["verdict"] == "suspect"
+    assert site(spark, ("https://a.com/", "<p>" + "中文" * 400 + "</p>"))["verdict"] == "suspect" and site(spark, ("https://a.ru/", "<p>" + "Москва " * 400 + "</p>"))["verdict"] == "none"
+    assert site(spark, ("https://a.com/", None))["verdict"] == "unreachable"
+    linked = site(spark, ("https://a.com/", long + "<a href='https://patrons.org/calendar'>See</a>"))
+    assert (linked["verdict"], linked["found"], linked["url"]) == ("listings", ["linked calendar"], "https://patrons.org/calendar")
+
+
+@pytest.mark.parametrize("text,name,named", [
+    ("Montgomery Place Orchards ~ closed ~ thank you", "Montgomery Place Farm Stand", True), ("Kopi77 daftar akun gaming gratis", "Elite Cinema 6", False), ("gardenofideas.com is for sale", "Garden Of Ideas", False), ("The Park", "The Park Club", False),
+])
+def test_venue_named(spark, text, name, named):
+    fronts, names = spark.createDataFrame([("d", text.lower())], "domain string, head string"), spark.createDataFrame([("d", name)], "domain string, name string")
+    assert audit.named_sites(fronts, names).count() == named
+
+
+def test_signature_takes_links_in_page_order(spark):
+    """The first 40 candidates, events before deals; a photograph changes nothing, the 40th link does, the 41st doesn't."""
+    anchors = [f"<a href='/events/{99 - i}'>e</a>" for i in range(45)]
+    sign = lambda links: audit.site_signature(spark.createDataFrame([(1, "https://a.com/", "".join(links))], "page_id long, url string, html string")).first()["sig"]
+    whole = sign(["<a href='/specials'>d</a>", *anchors])
+    assert whole == sign([*anchors, "<img src='/new.jpg'>"]) == sign(anchors[:40]) != sign(anchors[:39])
+    assert sign([]) == sign(["<a href='/about'>About us</a>"])
+
+
+def test_feed_addresses(spark):
+    pages = [(1, "https://a.com/", "<iframe src='https://calendar.google.com/calendar/embed?src=me%40group.org&x'>"), (2, "https://b.com/", "https://town.libcal.com/x"), (3, "https://c.com/", "tockify.com/t <div data-tockify-calendar=\"our.cal\">"), (4, "https://d.com/", "trumba.com/calendars/x"), (5, "https://e.com/", "https://calendar.google.com/calendar/embed?src=%zz")]
+    got = {r["domain"]: (r["platform"], r["feed"]) for r in web.calendar_platforms(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {"a.com": ("google", "https://calendar.google.com/calendar/ical/me%40group.org/public/basic.ics"), "b.com": ("libcal", "https://town.libcal.com/calendar?cid=-1&t=d&d=0000-00-00&cal=-1&ical=1"), "c.com": ("tockify", "https://tockify.com/api/feeds/ics/our.cal"), "d.com": ("trumba", None), "e.com": ("google", None)}
+
+
+def test_gates(spark):
+    whole = dict(center_lat="41", center_lon="-73", radius_miles="75", timezone="UTC", scraped_at="2024-01-01T00:00:00Z")
+    meta = lambda **k: sorted(r["rule"] for r in quality.check_meta(spark.createDataFrame([whole | k])).collect())
+    assert meta() == [] and meta(scraped_at="2024-01-01", timezone="") == ["no timezone", "scraped at without a zone"]
+    rows = [("a", "T", 41.0, -73.0, dt.datetime(2024, 1, 1), "talk", ["film", "film"], True, "", True, dt.datetime(2023, 1, 1), "x <b>", None), ("b", "T", 41.0, -73.0, dt.datetime(2024, 1, 1), "film", ["film", "odd"], False, "https://s", False, None, None, "https://u")]
+    df = spark.createDataFrame(rows, "id string, title string, lat double, lon double, start_at timestamp, type string, types array<string>, signup_required boolean, signup_url string, repeats boolean, until_at timestamp, description string, url string")
+    found = quality.check_listings(df.withColumn("cadence", F.lit("weekly")), F.lit("2024-01-01").cast("date"), 41.0, -73.0, 10).collect()
+    assert sorted((r["id"], r["rule"], r["detail"]) for r in found) == [
+        ("a", "markup in the description", None), ("a", "no link", None), ("a", "repeated type", None), ("a", "signup without an address", None), ("a", "type isn't the first of types", "talk"), ("a", "until before start", "2023-01-01"), ("b", "unknown type", "odd"),
+    ]
+    places_ = spark.createDataFrame([("p", "P", 41.0, -73.0, "museum", 0.5, "http://x/y.jpg"), ("q", "Q", 50.0, -73.0, "museum", None, None)], "id string, name string, lat double, lon double, kind string, stars double, image string")
+    regions = spark.createDataFrame([("r", 41.0, -73.0, 10.0)], "id string, lat double, lon double, radius_miles double")
+    errors = sorted((r["id"], r["rule"]) for r in quality.check_places(places_, regions).where("severity = 'error'").collect())
+    assert errors == [("p", "image not by https"), ("p", "rating without a count or source"), ("p", "stars out of range"), ("q", "outside every region")]
+
+
+def test_ids_are_stable(spark):
+    """The same input has the same id in any run and process; other inputs have others."""
+    ids = spark.createDataFrame([("src", "u1", "2024-01-01"), ("src", "u2", "2024-01-01"), ("src", "u1", "2024-01-02")], "s string, u string, t string").select(X.stable_id(F.col("s"), F.col("u"), F.col("t")).alias("v"))
+    import hashlib
+
+    assert [r["v"] for r in ids.collect()] == ["src-" + hashlib.sha1(x.encode()).hexdigest()[:8] for x in ("u12024-01-01", "u22024-01-01", "u12024-01-02")]
+
+
+def test_names_and_labels(spark):
+    assert value(spark, X.headline(s("INSIDIOUS: OUT OF THE FURTHER"))) == "Insidious: Out of the Further" and value(spark, X.headline(s("Up"))) == "Up" and value(spark, X.headline(s("SPIDER-MAN"))) == "Spider-Man"
+    assert value(spark, X.normalise_city(s("New York  (NYC), NY"))) == "New York, NY" and value(spark, X.normalise_city(s(" "))) is None
+    assert value(spark, X.titlecase(s("the war of the worlds"))) == "The War of the Worlds"
+    assert value(spark, L.facts_label(F.lit(8.6), F.lit(3.0))) == "+9 min · 3.0 mi" and value(spark, L.facts_label(F.lit(0.2), F.lit(-12.3))) == "On the way · 12 mi back" and value(spark, L.facts_label(F.lit(1.0), F.lit(0.0))) == "+1 min · beside you"
+    assert value(spark, L.duration_label(F.lit(59))) == "59 min" and value(spark, L.duration_label(F.lit(125))) == "2 h 5 min"
+    assert L.type_weights()["park"] == 0.35 * 1.5 and L.type_weights({"views": "skip"}) != L.type_weights()
+
+
+def test_long_lines_are_folded_whole(spark):
+    text = "long text, " * 120_000
+    df = spark.createDataFrame([("a", "T", dt.datetime(2024, 1, 1), text)], "id string, title string, start_at timestamp, description string")
+    ics = sinks.ics_export(df, F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-01").cast("timestamp")).first()["ics"]
+    lines = ics.split("\r\n")
+    assert max(map(len, lines)) <= 75 and ics.replace("\r\n ", "").count("long text\\, ") == 120_000
