@@ -165,6 +165,12 @@ def _(s, d):
     return listings(s, d).select("id", F.array_join(C.type_aliases(F.when(n == 0, old[0]).when(n == 1, old[1]).when(n == 2, old[2]).otherwise(old[3])), ",").alias("types"))
 
 
+@query("curated_listings", "select id from (select case when o_orderkey % 10 = 0 then 'manual-' || o_orderkey else id end as id, case cast(o_orderkey % 4 as int) when 0 then 'Board Meeting' else title end as title from v_listings) where id like 'manual-%' or title <> 'Board Meeting'", "v_listings")
+def _(s, d):
+    ls = listings(s, d).withColumn("id", F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("manual-"), F.col("o_orderkey").cast("string"))).otherwise(F.col("id")))
+    return L.drop_noise(ls.withColumn("title", F.when(F.col("o_orderkey") % 4 == 0, "Board Meeting").otherwise(F.col("title")))).select("id")
+
+
 @query("refreshed_listings")
 def _(s, d):
     df = listings(s, d).withColumn("source", F.col("venue_key")).withColumn("url", F.lit("https://x.example/")).withColumn("venue", F.col("venue_key")).drop("types", "type_1", "type_2")

@@ -197,6 +197,12 @@ def _(s, d):
     return recur.collapse_repeats(o, 5, "event_id").select("source", "title", "event_id", F.col("start_at").cast("timestamp_ntz").alias("start_at"), F.col("until_at").cast("timestamp_ntz").alias("until_at"), "repeats")
 
 
+@query("recurrence_texts", f"with {CADENCE}, o as (select source, title, count(*) as n, max(start_at) as last_ from v_occurrences group by 1, 2 having count(*) >= 5) select source, title, coalesce(pattern, n || ' dates') || ', through ' || strftime(last_, '%b %-d') as recurrence from o join c using (source, title)", "v_occurrences")
+def _(s, d):
+    o = view(s, d, "v_occurrences").withColumn("lat", 41.5 + F.col("source").cast("int") % 50 / 100)
+    return recur.collapse_repeats(o, 5, "event_id").where("repeats").select("source", "title", "recurrence")
+
+
 BASE = "select l.* from live l anti join (select id from v_decisions) x using (id) anti join v_muted m using (venue_key)"
 WEEK = search.Query(radius=60, horizon=30, price_cap=150.0, seniors=False)
 PASS = "audience <> 'seniors' and (price_min is null or price_min <= 150) and miles <= 60 and datediff('day', now::date, day) between 0 and 30"
