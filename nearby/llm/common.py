@@ -13,14 +13,25 @@ from pyspark.sql import types as T
 
 from nearby.plans.session import shared_dir
 
-#: Rows that a worker turns into Python objects at once. The bytes of an Arrow batch are bounded by Spark itself.
+#: Rows that a worker turns into Python objects at once.
 BATCH_ROWS = 256
+#: Bytes of an Arrow batch, which the executor and its worker both hold.
+BYTES_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches, for whole texts travel in them. A size that the session states itself stays.
+
+    Spark reads the setting when a frame runs, so it can't be taken back before; it changes no result.
+    """
+    if spark.conf.get(BYTES_SETTING, None) is None:
+        spark.conf.set(BYTES_SETTING, BATCH_BYTES)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of few rows (none empty), so that long texts don't pile up as Python objects."""
     for batch in batches:
@@ -48,6 +59,7 @@ def annotate(df: DataFrame, inputs: list[str], fields: list[T.StructField], comp
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, *compute(*(batch.column(i) for i in at))], names=names)
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearby.llm.common import annotate, fresh, slices, texts
+from nearby.llm.common import annotate, bounded_batches, fresh, slices, texts
 from nearby.llm.fingerprints import SEED, majority, words_of
 from nearby.llm.pivot_links import links as fingerprint_links
 from nearby.operators.components import connected_components
@@ -167,6 +167,7 @@ def verified_links(found: DataFrame, similarity: float, width: int) -> DataFrame
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names=["a", "b"])
 
+    bounded_batches(found.sparkSession)
     return groups.select("nodes", "texts").mapInArrow(verified, "a long, b long").distinct()
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearby.llm import fingerprints as fpr
+from nearby.llm.common import bounded_batches
 
 MOST = 2
 #: Fingerprints in a cell that isn't cut further, and in a block of a cell that can't be.
@@ -109,6 +110,7 @@ def links(classes: DataFrame, fp: str = "fp", most: int = MOST) -> DataFrame:
     deeper = F.coalesce(*(F.when(F.col("k") == k, F.array(*(cell(6 * k + i, "cell", x, y) for i, (x, y) in enumerate(combinations(rest, 2))))) for k, (_, rest) in enumerate(first)))
     crowded = sizes.where(F.col("n") > CELL).select("cell")
     n_crowded = crowded.count()
+    bounded_batches(classes.sparkSession)
     found = cold.select("rows").mapInArrow(small_cells(most), "a long, b long")
     if not n_crowded:
         return found.distinct()

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearby.llm.common import annotate, crc32_fold, labelled_sample, sigmoid, slices, texts
+from nearby.llm.common import annotate, bounded_batches, crc32_fold, labelled_sample, sigmoid, slices, texts
 
 STATS = ("length", "symbols", "pipes", "bangs", "capitals", "digits", "distinct", "stutter", "repeated_lines", "word_length", "line_length", "stops")
 SYMBOLS, UPPER, DIGITS = b"#*$%&<>@^~=+{}[]", bytes(range(65, 91)), bytes(range(48, 58))
@@ -108,6 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, train_when: Column, label: str = "
         m = fit_fm([(y, np.frombuffer(at, np.int32), np.frombuffer(x, np.float32).astype(float)) for _, y, at, x in rows], params)
         yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([m.w.tobytes()], pa.binary()), pa.array([m.v.tobytes()], pa.binary())], names=["bias", "w", "v"])
 
+    bounded_batches(docs.sparkSession)
     row = sample.mapInArrow(made, "order long, y int, at binary, x binary").repartition(1).mapInArrow(fit, "bias double, w binary, v binary").collect()[0]
     return FmModel(row["bias"], np.frombuffer(bytes(row["w"])), np.frombuffer(bytes(row["v"])).reshape(-1, params.rank), params.bits)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearby.llm import elias_fano
-from nearby.llm.common import new_folder, remove_folder, slices, texts
+from nearby.llm.common import bounded_batches, new_folder, remove_folder, slices, texts
 from nearby.llm.vocab import SPACE, WordCache, public_path
 from nearby.sources.files import Replacing, store
 
@@ -166,6 +166,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
 
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     dealt = dealt.repartitionByRange(shards, F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
+    bounded_batches(spark)
     manifest = dealt.select("id", "text").mapInArrow(put, "shard long, n_docs long, n_tokens long, width long, ids_bytes long, ef_bytes long")
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")

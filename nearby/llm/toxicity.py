@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearby.llm.common import annotate, crc32_fold, fresh, labelled_sample, sigmoid, slices, texts
+from nearby.llm.common import annotate, bounded_batches, crc32_fold, fresh, labelled_sample, sigmoid, slices, texts
 
 #: ASCII characters that end a word.
 BREAKS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -107,6 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, train_when: Column, label: str = "
         m = fit_ftrl([(y, np.frombuffer(at, np.uint32).astype(np.int64)) for _, y, at in rows], params)
         yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([m.index.astype(np.int64).tobytes()], pa.binary()), pa.array([m.weight.tobytes()], pa.binary())], names=["bias", "at", "w"])
 
+    bounded_batches(docs.sparkSession)
     row = sample.mapInArrow(hashed, "order long, y int, at binary").repartition(1).mapInArrow(fit, "bias double, at binary, w binary").collect()[0]
     return SparseModel(bits, row["bias"], np.frombuffer(bytes(row["at"]), np.int64), np.frombuffer(bytes(row["w"]), np.float32))
 

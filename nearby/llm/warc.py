@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearby.llm.common import new_folder, remove_folder, slices
+from nearby.llm.common import bounded_batches, new_folder, remove_folder, slices
 from nearby.sources.files import Replacing, store
 
 LEAST = 1000
@@ -93,6 +93,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out.done()], pa.int64()), pa.array([n], pa.int64())], names=["name", "bytes", "records"])
 
+    bounded_batches(pages.sparkSession)
     planned(pages, least).mapInArrow(put, "name string, bytes long, records long").write.mode("overwrite").parquet(f"{folder}/manifest")
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
