@@ -5,8 +5,9 @@ fingerprint. Fingerprints at most two bits apart are candidates, found by pivot
 bits apart, where pivots discard next to nothing. So a class also goes to ``BANDS`` salted cells, each keyed by
 ``ROWS`` min-hashes of its shingles; classes of a cell are linked to the cell's smallest class, so a hot cell
 makes as many links as it has rows. Groups of classes that these links connect are candidates only: in each group
-every pair counts that the exact similarity of whole shingle sets links. Groups too large for a task are dealt
-out as pairs of blocks, so no pair is lost there, and no class has a limit on its partners.
+every pair counts that the exact similarity of whole shingle sets links. Groups too large for a task are compared
+with a leader first and what it doesn't link in blocks, so no pair is lost there, and no class has a limit on its
+partners.
 
 A pair of similarity s meets in no cell with probability (1 - s**ROWS) ** BANDS: 1.3e-7 at 0.8, less above it.
 
@@ -17,7 +18,7 @@ that isn't null (null if there is none).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -140,35 +141,89 @@ def mark_classes(docs: DataFrame, text_col: str, name: str, width: int, more: tu
     return annotate(docs, [text_col], fields, compute)
 
 
-def verified_links(found: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Edges (a, b) that connect in each group just what its exact links connect; ``found`` has (group, node, text).
+def sets_of(nodes: list[int], whole: list[str], width: int) -> dict[int, np.ndarray]:
+    """Shingle sets by node. A text whose class isn't its node (of a repeated id) is no text of the node and is passed over."""
+    sets: dict[int, np.ndarray] = {}
+    for node, text in zip(nodes, whole):
+        if node not in sets:
+            s = shingles(text, width)
+            if len(s) and class_of(s) == node:
+                sets[node] = s
+    return sets
 
-    A text whose class isn't its node is no text of the node and is passed over.
-    """
-    sizes = found.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL), F.ceil(F.col("size") / CELL_BYTES)).cast("int")
-    met = found.join(sizes.select("group", blocks.alias("blocks")), "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A row of block i of a large group meets each block once: pair (i, j) for every j.
-    to = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("p"), F.greatest(F.col("block"), j).alias("q"))))
-    groups = met.select("group", "node", "text", to.alias("t")).groupBy("group", "t").agg(F.collect_list("node").alias("nodes"), F.collect_list("text").alias("texts"))
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def forests(groups: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Edges (a, b) of a spanning forest of each row's exact links; ``groups`` has lists (nodes, texts) of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 16):
             edges: set[tuple[int, int]] = set()
-            for i in range(batch.num_rows):
-                sets = {}
-                for node, text in zip(batch.column(0)[i].as_py(), batch.column(1)[i]):
-                    s = shingles(text.as_py(), width)
-                    if len(s) and node not in sets and class_of(s) == node:
-                        sets[node] = s
-                if len(sets) > 1:
-                    names = sorted(sets)
+            for nodes, whole in zip(batch.column(0), batch.column(1)):
+                sets = sets_of(nodes.as_py(), whole.as_py(), width)
+                names = sorted(sets)
+                if len(names) > 1:
                     edges.update((names[a], names[b]) for a, b in near_forest([sets[n] for n in names], similarity))
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names=["a", "b"])
 
-    bounded_batches(found.sparkSession)
-    return groups.select("nodes", "texts").mapInArrow(verified, "a long, b long").distinct()
+    bounded_batches(groups.sparkSession)
+    return groups.select("nodes", "texts").mapInArrow(run, "a long, b long")
+
+
+def linked_to_leaders(members: DataFrame, similarity: float, width: int) -> DataFrame:
+    """group, node, linked of ``members`` (group, node, text, leader, leader_text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[tuple | None, dict] = (None, {})
+        for batch in slices(batches):
+            found = []
+            for node, text, leader, leader_text in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                if (leader, leader_text) != known[0]:
+                    known = (leader, leader_text), sets_of([leader], [leader_text], width)
+                sets = known[1] | sets_of([node], [text], width)
+                found.append(None if node not in sets else node == leader or len(sets) > 1 and bool(near_forest([sets[leader], sets[node]], similarity)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], names=["group", "node", "linked"])
+
+    bounded_batches(members.sparkSession)
+    found = members.select("group", "node", "text", "leader", "leader_text").mapInArrow(run, "group long, node long, linked boolean")
+    return found.where("linked is not null").groupBy("group", "node").agg(F.bool_or("linked").alias("linked"))
+
+
+def verified_links(wanted: DataFrame, with_text: Callable[[DataFrame], DataFrame], similarity: float, width: int) -> DataFrame:
+    """Edges (a, b) that connect in each group just what its exact links connect.
+
+    ``wanted`` has (group, node, bytes, ..); ``with_text`` gives rows of it their texts. Groups that a task can take are
+    compared whole. In larger ones all are compared with one of them, the leader, first: those that it links need no
+    comparison among themselves, so a large family of near copies costs one look at each. What is left is compared in
+    blocks with all of its group.
+    """
+    n, size = F.col("n"), F.col("size")
+    sizes = wanted.groupBy("group").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"), F.min("node").alias("leader"))
+    sizes = sizes.withColumn("blocks", F.greatest(F.lit(1), F.ceil(n / CELL), F.ceil(size / CELL_BYTES)).cast("int")).checkpoint()
+    lists = F.collect_list("node").alias("nodes"), F.collect_list("text").alias("texts")
+    small = with_text(wanted.join(sizes.where("blocks = 1").select("group"), "group"))
+    edges = forests(small.groupBy("group").agg(*lists), similarity, width)
+    large = sizes.where("blocks > 1").select("group", "leader", "blocks")
+    if large.isEmpty():
+        return edges.distinct()
+    held = wanted.join(large, "group")
+    leaders = with_text(held.where("node = leader")).select(F.col("group").alias("_g"), F.col("text").alias("leader_text"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_part"))
+    members = with_text(held).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    flags = linked_to_leaders(members.join(leaders, (F.col("group") == F.col("_g")) & (F.col("part") == F.col("_part"))), similarity, width).checkpoint()
+    led = flags.join(large, "group").where("linked and node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    left = flags.groupBy("group").agg(F.count("*").alias("n"), F.count_if("linked").alias("n_linked")).where("n > n_linked")
+    if left.isEmpty():
+        return edges.union(led).distinct()
+    share = lambda count: F.greatest(F.lit(1), F.ceil(count * F.col("blocks") / n)).cast("int")
+    dealt = left.join(large, "group").select("group", share(F.col("n_linked")).alias("of_linked"), share(n - F.col("n_linked")).alias("of_rest"))
+    rest = with_text(flags.join(wanted.select("node", "_id"), "node").join(dealt, "group")).withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("of_linked")).otherwise(F.col("of_rest"))).cast("int"))
+    pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("p"), j.alias("q"))
+    over = lambda count, make: F.transform(F.sequence(F.lit(0), count - 1), make)
+    own = F.col("block")
+    meets = F.when(F.col("linked"), over(F.col("of_rest"), lambda j: pair("x", own, j))).otherwise(
+        F.concat(over(F.col("of_linked"), lambda i: pair("x", i, own)), over(F.col("of_rest"), lambda j: pair("u", F.least(own, j), F.greatest(own, j)))))
+    met = rest.select("group", "node", "text", F.explode(meets).alias("t")).groupBy("group", "t").agg(*lists)
+    return edges.union(led).union(forests(met, similarity, width)).distinct()
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -185,23 +240,29 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, similarity: float, width: int) -> DataFrame:
-    """Exact links (a, b) between ``classes`` (class, id, fp, cells) of ``docs``."""
+    """Exact links (a, b) between ``classes`` (class, id, fp, cells, bytes) of ``docs``."""
     groups = connected_components(candidates(classes)).select(F.col("node").alias("class"), F.col("component").alias("group"))
-    wanted = classes.select("class", F.col("id").alias("_id")).join(groups, "class").select("group", F.col("class").alias("node"), "_id").checkpoint()
+    wanted = classes.select("class", F.col("id").alias("_id"), "bytes").join(groups, "class").select("group", F.col("class").alias("node"), "_id", "bytes").checkpoint()
     texts_of = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).where("text is not null")
-    by_id = texts_of.join(wanted, F.col("_doc") == F.col("_id")).select("group", "node", "text")
-    # Classes without an id are found by their texts.
-    nameless = mark_classes(texts_of.where("_doc is null").select("text"), "text", "_class", width).dropDuplicates(["_class"])
-    by_text = nameless.join(wanted.where("_id is null"), F.col("_class") == F.col("node")).select("group", "node", "text")
-    return verified_links(by_id.union(by_text), similarity, width)
+    unnamed = not wanted.where("_id is null").isEmpty()
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        by_id = rows.join(texts_of, F.col("_doc") == F.col("_id")).drop("_doc")
+        if not unnamed:
+            return by_id
+        # Classes without an id are found by their texts.
+        nameless = mark_classes(texts_of.where("_doc is null").select("text"), "text", "_class", width).dropDuplicates(["_class"])
+        return by_id.unionByName(nameless.join(rows.where("_id is null"), F.col("_class") == F.col("node")).drop("_class"))
+
+    return verified_links(wanted, with_text, similarity, width)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """The kept columns of ``docs`` (its id by default), ``component_id`` (the smallest id that links lead to) and a number of the component."""
     keep = [id_col] if keep is None else keep
-    cls, fp, cells, cid, number = (fresh(n, [*keep, text_col]) for n in ("class", "fp", "cells", "component_id", "component"))
-    marked = mark_classes(docs.select(*dict.fromkeys([*keep, id_col, text_col])), text_col, cls, width, (fp, cells)).select(*keep, cls, fp, cells).checkpoint()
-    classes = marked.groupBy(F.col(cls).alias("class")).agg(F.min(id_col).alias("id"), F.first(fp).alias("fp"), F.first(cells).alias("cells")).checkpoint()
+    cls, fp, cells, cid, number, size = (fresh(n, [*keep, text_col]) for n in ("class", "fp", "cells", "component_id", "component", "bytes"))
+    marked = mark_classes(docs.select(*dict.fromkeys([*keep, id_col, text_col])), text_col, cls, width, (fp, cells)).select(*keep, cls, fp, cells, F.octet_length(text_col).cast("long").alias(size)).checkpoint()
+    classes = marked.groupBy(F.col(cls).alias("class")).agg(F.min(id_col).alias("id"), F.first(fp).alias("fp"), F.first(cells).alias("cells"), F.max(size).alias("bytes")).checkpoint()
     joined = connected_components(links(docs, classes, id_col, text_col, similarity, width))
     named = classes.select("class", "id").join(joined, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("component", "class").alias(number))
     smallest = named.groupBy(number).agg(F.min("id").alias(cid))
