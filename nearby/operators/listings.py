@@ -24,11 +24,22 @@ def drop_noise(df: DataFrame, campus: DataFrame | None = None) -> DataFrame:
     return marked.where(public).drop("_campus")
 
 
-def drop_finished(df: DataFrame, as_of: Column) -> DataFrame:
-    """Without one-offs whose last day is past and series past their ``until_at``; an open series never ends."""
+def is_over(as_of: Column) -> Column:
+    """Whether a one-off's last day or a series' ``until_at`` is past; an open series never ends."""
     last = F.greatest(F.coalesce(F.to_date("end_at"), F.to_date("start_at")), F.to_date("start_at"))
-    over = F.when(F.coalesce("repeats", F.lit(False)), F.coalesce(F.to_date("until_at") < as_of, F.lit(False))).otherwise(last < as_of)
-    return df.where(~over)
+    return F.when(F.coalesce("repeats", F.lit(False)), F.coalesce(F.to_date("until_at") < as_of, F.lit(False))).otherwise(last < as_of)
+
+
+def drop_finished(df: DataFrame, as_of: Column) -> DataFrame:
+    """Without what ``is_over``."""
+    return df.where(~is_over(as_of))
+
+
+def fates(df: DataFrame, as_of: Column) -> DataFrame:
+    """id, reason: why a refresh drops a listing (noise, finished, no link; the first that holds), or ``kept``."""
+    noise = ~is_curated(F.col("id")) & C.is_noise(F.col("title"))
+    reason = F.when(noise, "noise").when(is_over(as_of), "finished").when(F.coalesce("url", F.lit("")) == "", "no link").otherwise("kept")
+    return df.select("id", reason.alias("reason"))
 
 
 def drop_unlinkable(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from nearby.functions import classify as C
 from nearby.functions import labels
 from nearby.functions import text as X
+from nearby.functions import vocab as V
 from nearby.operators import listings as L
 from nearby.operators import places, spatial
 from nearby.plans.fixtures import view
@@ -165,6 +166,26 @@ def _(s, d):
     return listings(s, d).select("id", F.array_join(C.type_aliases(F.when(n == 0, old[0]).when(n == 1, old[1]).when(n == 2, old[2]).otherwise(old[3])), ",").alias("types"))
 
 
+@query("drop_reasons", "select reason, count(*) as n from (select case when o_orderkey % 4 = 0 and o_orderkey % 10 <> 0 then 'noise' when case when repeats then coalesce(until_at::date < date '1996-01-01', false) else greatest(coalesce(end_at::date, start_at::date), start_at::date) < date '1996-01-01' end then 'finished' when o_orderkey % 3 = 0 then 'no link' else 'kept' end as reason from v_listings) group by 1", "v_listings")
+def _(s, d):
+    k = F.col("o_orderkey")
+    ls = listings(s, d).withColumn("id", F.when(k % 10 == 0, F.concat(F.lit("manual-"), k.cast("string"))).otherwise(F.col("id"))).withColumn("title", F.when(k % 4 == 0, "Board Meeting").otherwise("Film"))
+    return L.reasons(L.fates(ls.withColumn("url", F.when(k % 3 != 0, "https://x")), F.lit("1996-01-01").cast("date")))
+
+
+#: Texts with words that rules look for, by key. DuckDB's word borders know ASCII letters alone, so its SQL puts one for each other letter.
+SPICED = "select doc_id, case cast(doc_id % 5 as int) when 0 then 'Outdoor hike and picnic. ' when 1 then 'Paint your own mug, dinner and drinks inside the theater. ' when 2 then 'Live music, trivia and kids crafts for families. ' when 3 then 'Yoga class and a science talk. ' else '' end || coalesce(text, '') as t from documents"
+told = lambda p: "regexp_matches(t, '" + p.replace("'", "''") + "', 'i')"
+
+
+@query("text_rules", f"""with x as (select doc_id, regexp_replace(t, '[^\\x00-\\x7F]', 'q', 'g') as t from ({SPICED})) select doc_id, {told(V.ACTIVITY_HINTS)} as hint, {told(V.FOOD_WORDS)} as food, case when {told(V.OUTDOOR)} and not {told(V.INDOOR)} then 'outdoor' when {told(V.INDOOR)} and not {told(V.OUTDOOR)} then 'indoor' else 'unknown' end as setting,
+coalesce(nullif(array_to_string(list_filter([{', '.join(f"case when {told(p)} then '{n}' end" for n, p in V.LEGACY_CATEGORIES)}], lambda c: c is not null)[1:4], ','), ''), 'community') as categories from x""")
+def _(s, d):
+    view(s, d, "documents").createOrReplaceTempView("documents")
+    t = F.col("t")
+    return s.sql(SPICED).select("doc_id", C.activity_hint(t).alias("hint"), C.has_food(t).alias("food"), C.setting_of(t).alias("setting"), F.array_join(C.categorise(t), ",").alias("categories"))
+
+
 @query("curated_listings", "select id from (select case when o_orderkey % 10 = 0 then 'manual-' || o_orderkey else id end as id, case cast(o_orderkey % 4 as int) when 0 then 'Board Meeting' else title end as title from v_listings) where id like 'manual-%' or title <> 'Board Meeting'", "v_listings")
 def _(s, d):
     ls = listings(s, d).withColumn("id", F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("manual-"), F.col("o_orderkey").cast("string"))).otherwise(F.col("id")))
