@@ -30,3 +30,9 @@ def docs(spark, small):
 @pytest.fixture(scope="session")
 def labels(spark, small):
     return spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+
+
+@pytest.fixture(scope="session")
+def twice(spark):
+    """Ids that repeat with other texts, of null and empty ones too."""
+    return spark.createDataFrame([(1, "a text of one", "en", "a", 1), (1, "another text of one, no copy", "en", "b", 1), (2, None, "en", "a", 1), (2, "", "en", "a", 1), (2, "two has words", None, None, None), (None, "x", "en", "a", 1), (None, "y z", "en", "a", 1)], DOCS)

@@ -88,7 +88,8 @@ def test_classifiers(spark, module, label, folds, held, least):
 
 
 @pytest.mark.parametrize("score", [toxicity.score_toxicity, quality_fm.score_quality])
-def test_classifier_edges(spark, edges, none, labels, score):
+def test_classifier_edges(spark, edges, twice, none, labels, score):
+    assert score(twice, labels).count() == twice.count()
     out = score(clashing(edges), labels).collect()
     assert len(out) == edges.count() and all(0 <= r["score"] <= 1 for r in out)
     assert len({r["score"] for r in out if r["doc_id"] in (1, 2, 3)}) == 1 or score is quality_fm.score_quality
@@ -182,7 +183,11 @@ def test_token_store(spark, docs, edges):
         assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
-def test_token_store_edges(spark, edges, none):
+def test_token_store_edges(spark, edges, twice, none):
+    t = library("word_bpe_49k.json")
+    want = sorted((r["doc_id"] or -1, 1 + len(t.encode(r["text"] or "", add_special_tokens=False).ids)) for r in twice.collect())
+    got = token_store.store_and_read(twice).orderBy("start").collect()
+    assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in got) == want and [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(len(got))]
     out = token_store.store_and_read(edges).orderBy("start").collect()
     assert [r["doc_id"] for r in out][:2] == [None, None] and len(out) == edges.count() and out[0]["start"] == 0
     assert token_store.store_and_read(none).count() == 0
@@ -200,8 +205,8 @@ def brute_rules(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), sum(x in lines[:i] for i, x in enumerate(lines)), len(covered)
 
 
-def test_rules(docs, edges, none):
-    for df in (docs, clashing(edges)):
+def test_rules(docs, edges, twice, none):
+    for df in (docs, clashing(edges), twice):
         got = sorted((r["doc_id"] or -1, *(r[x] for x in quality_rules.MEASURES[:5])) for r in quality_rules.check_rules(df).collect())
         assert got == sorted((r["doc_id"] or -1, *brute_rules(r["text"])) for r in df.select("doc_id", "text").collect())
     assert quality_rules.check_rules(none).count() == 0
@@ -394,9 +399,9 @@ def test_mixing_shares(spark, docs, edges, none):
 # 8
 
 
-def test_bpe(spark, docs, edges, none):
+def test_bpe(spark, docs, edges, twice, none):
     t = library("byte_bpe_50k.json")
-    for df in (docs, clashing(edges)):
+    for df in (docs, clashing(edges), twice):
         want = []
         for r in df.select("doc_id", "text").collect():
             ids = t.encode(r["text"] or "", add_special_tokens=False).ids
