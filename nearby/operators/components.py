@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Edges of a node that count as many. The nodes that have as many, or a ``SHARE``-th of all edges, are
 #: at most 2 * ``SHARE`` and may be broadcast.
-MANY, SHARE = 100_000, 50_000
+MANY, SHARE = 1_000, 50_000
 
 
 def with_low(edges: DataFrame, low: DataFrame, most: int) -> DataFrame:

@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from nearby.operators import drive, resolve, search, spatial
+from nearby.operators import components, drive, resolve, search, spatial
 
 
 @pytest.mark.parametrize("lat", [45.0, 60.0])
@@ -130,3 +130,25 @@ def test_chains_and_cuisines(spark):
     df = spark.createDataFrame([("a", "restaurant", "X", ["thai"]), ("b", "restaurant", "Y", ["pizza"]), ("c", "restaurant", None, None)], "id string, drive_type string, chain string, cuisine array<string>")
     score = lambda **k: {r["id"]: r["score"] for r in drive.interest(df, {"restaurant": 1.0}, {}, **k).collect()}
     assert score(chains_off=("X",), cuisines={"pizza": 2.0}) == {"b": 3.0, "c": 1.0} and set(score(keep_chains=False)) == {"c"}
+
+
+@pytest.mark.parametrize("many", [2, 1000])
+def test_components_with_hubs(spark, monkeypatch, many):
+    """Hubs go another way than other nodes, to the same components."""
+    monkeypatch.setattr(components, "MANY", many)
+    rng = random.Random(many)
+    edges = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7), (None, 3)]
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        if a is not None and a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["component"] for r in components.connected_components(df).collect()}
+    assert got == {i: find(i) for i in root}
