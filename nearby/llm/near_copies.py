@@ -18,7 +18,7 @@ that isn't null (null if there is none).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -38,6 +38,8 @@ BANDS, ROWS = 40, 5
 #: Classes and bytes of text in a block of a large group, about.
 CELL, CELL_BYTES = 1024, 8 << 20
 STEP = 1024
+#: Rows of four numbers that may be broadcast.
+FEW = 100_000
 
 
 def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
@@ -189,26 +191,25 @@ def linked_to_leaders(members: DataFrame, similarity: float, width: int) -> Data
     return found.where("linked is not null").groupBy("group", "node").agg(F.bool_or("linked").alias("linked"))
 
 
-def verified_links(wanted: DataFrame, with_text: Callable[[DataFrame], DataFrame], similarity: float, width: int) -> DataFrame:
+def verified_links(found: DataFrame, similarity: float, width: int) -> DataFrame:
     """Edges (a, b) that connect in each group just what its exact links connect.
 
-    ``wanted`` has (group, node, bytes, ..); ``with_text`` gives rows of it their texts. Groups that a task can take are
-    compared whole. In larger ones all are compared with one of them, the leader, first: those that it links need no
-    comparison among themselves, so a large family of near copies costs one look at each. What is left is compared in
-    blocks with all of its group.
+    ``found`` has (group, node, degree, text), stored. Groups that a task can take are compared whole. In larger ones all
+    are compared with a leader first, the class that most meetings name: those that it links need no comparison among
+    themselves, so a large family of near copies costs one look at each. What is left is compared in blocks with all of
+    its group.
     """
     n, size = F.col("n"), F.col("size")
-    sizes = wanted.groupBy("group").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"), F.min("node").alias("leader"))
+    sizes = found.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.max_by("node", F.struct("degree", "node")).alias("leader"))
     sizes = sizes.withColumn("blocks", F.greatest(F.lit(1), F.ceil(n / CELL), F.ceil(size / CELL_BYTES)).cast("int")).checkpoint()
     lists = F.collect_list("node").alias("nodes"), F.collect_list("text").alias("texts")
-    small = with_text(wanted.join(sizes.where("blocks = 1").select("group"), "group"))
+    small = found.join(sizes.where("blocks = 1").select("group"), "group")
     edges = forests(small.groupBy("group").agg(*lists), similarity, width)
     large = sizes.where("blocks > 1").select("group", "leader", "blocks")
     if large.isEmpty():
         return edges.distinct()
-    held = wanted.join(large, "group")
-    leaders = with_text(held.where("node = leader")).select(F.col("group").alias("_g"), F.col("text").alias("leader_text"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_part"))
-    members = with_text(held).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = found.join(large, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    leaders = members.where("node = leader").select(F.col("group").alias("_g"), F.col("text").alias("leader_text"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_part"))
     flags = linked_to_leaders(members.join(leaders, (F.col("group") == F.col("_g")) & (F.col("part") == F.col("_part"))), similarity, width).checkpoint()
     led = flags.join(large, "group").where("linked and node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     left = flags.groupBy("group").agg(F.count("*").alias("n"), F.count_if("linked").alias("n_linked")).where("n > n_linked")
@@ -216,53 +217,56 @@ def verified_links(wanted: DataFrame, with_text: Callable[[DataFrame], DataFrame
         return edges.union(led).distinct()
     share = lambda count: F.greatest(F.lit(1), F.ceil(count * F.col("blocks") / n)).cast("int")
     dealt = left.join(large, "group").select("group", share(F.col("n_linked")).alias("of_linked"), share(n - F.col("n_linked")).alias("of_rest"))
-    rest = with_text(flags.join(wanted.select("node", "_id"), "node").join(dealt, "group")).withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("of_linked")).otherwise(F.col("of_rest"))).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("of_linked")).otherwise(F.col("of_rest"))).cast("int")
     pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("p"), j.alias("q"))
-    over = lambda count, make: F.transform(F.sequence(F.lit(0), count - 1), make)
-    own = F.col("block")
-    meets = F.when(F.col("linked"), over(F.col("of_rest"), lambda j: pair("x", own, j))).otherwise(
-        F.concat(over(F.col("of_linked"), lambda i: pair("x", i, own)), over(F.col("of_rest"), lambda j: pair("u", F.least(own, j), F.greatest(own, j)))))
-    met = rest.select("group", "node", "text", F.explode(meets).alias("t")).groupBy("group", "t").agg(*lists)
-    return edges.union(led).union(forests(met, similarity, width)).distinct()
+    over = lambda count, make: F.transform(F.sequence(F.lit(0), F.col(count) - 1), make)
+    meets = F.when(F.col("linked"), over("of_rest", lambda j: pair("x", own, j))).otherwise(
+        F.concat(over("of_linked", lambda i: pair("x", i, own)), over("of_rest", lambda j: pair("u", F.least(own, j), F.greatest(own, j)))))
+    rest = found.select("node", "text").join(flags.join(dealt, "group").select("group", "node", F.explode(meets).alias("t")), "node")
+    return edges.union(led).union(forests(rest.groupBy("group", "t").agg(*lists), similarity, width)).distinct()
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) of ``classes`` (class, fp, cells) that meet in a cell, or whose fingerprints link or are equal."""
+def meeting_points(classes: DataFrame) -> DataFrame:
+    """(cell, low, n) of the cells where classes meet: the smallest class and how many."""
     dealt = classes.select("class", F.explode("cells").alias("cell"))
+    return dealt.groupBy("cell").agg(F.min("class").alias("low"), F.count("*").alias("n")).where("n > 1")
+
+
+def candidates(classes: DataFrame, first: DataFrame) -> DataFrame:
+    """Edges (a, b) of ``classes`` (class, fp, cells) that meet in a cell of ``first``, or whose fingerprints link or are equal."""
     prints = classes.where(F.size("cells") > 0).groupBy("fp").agg(F.min("class").alias("low")).checkpoint()
     hub = lambda name: prints.select(F.col("fp").alias(f"_{name}"), F.col("low").alias(name))
     close = fingerprint_links(prints.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
     close = close.join(hub("a"), F.col("x") == F.col("_a")).join(hub("b"), F.col("y") == F.col("_b")).select("a", "b")
     same = classes.where(F.size("cells") > 0).select("class", "fp").join(prints, "fp").where("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b"))
-    first = dealt.groupBy("cell").agg(F.min("class").alias("low"), F.count("*").alias("n")).where("n > 1").select("cell", "low")
-    meet = dealt.join(first, "cell").where("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b"))
+    dealt = classes.select("class", F.explode("cells").alias("cell"))
+    meet = dealt.join(first.select("cell", "low"), "cell").where("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b"))
     return meet.union(same).union(close)
 
 
 def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, similarity: float, width: int) -> DataFrame:
-    """Exact links (a, b) between ``classes`` (class, id, fp, cells, bytes) of ``docs``."""
-    groups = connected_components(candidates(classes)).select(F.col("node").alias("class"), F.col("component").alias("group"))
-    wanted = classes.select("class", F.col("id").alias("_id"), "bytes").join(groups, "class").select("group", F.col("class").alias("node"), "_id", "bytes").checkpoint()
+    """Exact links (a, b) between ``classes`` (class, id, fp, cells) of ``docs``."""
+    first = meeting_points(classes).checkpoint()
+    groups = connected_components(candidates(classes, first)).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    degree = first.groupBy(F.col("low").alias("class")).agg(F.sum("n").alias("degree"))
+    wanted = classes.select("class", F.col("id").alias("_id")).join(groups, "class").join(degree, "class", "left")
+    wanted = wanted.select("group", F.col("class").alias("node"), F.coalesce("degree", F.lit(0)).alias("degree"), "_id").checkpoint()
     texts_of = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).where("text is not null")
-    unnamed = not wanted.where("_id is null").isEmpty()
-
-    def with_text(rows: DataFrame) -> DataFrame:
-        by_id = rows.join(texts_of, F.col("_doc") == F.col("_id")).drop("_doc")
-        if not unnamed:
-            return by_id
+    side = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    found = texts_of.join(side, F.col("_doc") == F.col("_id")).select("group", "node", "degree", "text")
+    if not wanted.where("_id is null").isEmpty():
         # Classes without an id are found by their texts.
         nameless = mark_classes(texts_of.where("_doc is null").select("text"), "text", "_class", width).dropDuplicates(["_class"])
-        return by_id.unionByName(nameless.join(rows.where("_id is null"), F.col("_class") == F.col("node")).drop("_class"))
-
-    return verified_links(wanted, with_text, similarity, width)
+        found = found.union(nameless.join(wanted.where("_id is null"), F.col("_class") == F.col("node")).select("group", "node", "degree", "text"))
+    return verified_links(found.checkpoint(), similarity, width)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """The kept columns of ``docs`` (its id by default), ``component_id`` (the smallest id that links lead to) and a number of the component."""
     keep = [id_col] if keep is None else keep
-    cls, fp, cells, cid, number, size = (fresh(n, [*keep, text_col]) for n in ("class", "fp", "cells", "component_id", "component", "bytes"))
-    marked = mark_classes(docs.select(*dict.fromkeys([*keep, id_col, text_col])), text_col, cls, width, (fp, cells)).select(*keep, cls, fp, cells, F.octet_length(text_col).cast("long").alias(size)).checkpoint()
-    classes = marked.groupBy(F.col(cls).alias("class")).agg(F.min(id_col).alias("id"), F.first(fp).alias("fp"), F.first(cells).alias("cells"), F.max(size).alias("bytes")).checkpoint()
+    cls, fp, cells, cid, number = (fresh(n, [*keep, text_col]) for n in ("class", "fp", "cells", "component_id", "component"))
+    marked = mark_classes(docs.select(*dict.fromkeys([*keep, id_col, text_col])), text_col, cls, width, (fp, cells)).select(*keep, cls, fp, cells).checkpoint()
+    classes = marked.groupBy(F.col(cls).alias("class")).agg(F.min(id_col).alias("id"), F.first(fp).alias("fp"), F.first(cells).alias("cells")).checkpoint()
     joined = connected_components(links(docs, classes, id_col, text_col, similarity, width))
     named = classes.select("class", "id").join(joined, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("component", "class").alias(number))
     smallest = named.groupBy(number).agg(F.min("id").alias(cid))
