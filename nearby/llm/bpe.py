@@ -60,7 +60,7 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes = {i: bytes(letters[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
         self.split = regex.compile(SPLIT)
-        self.pieces = WordCache(lambda pieces: (tuple(self.piece(p.encode("utf-8", "replace"))) for p in pieces), CACHE_BYTES)
+        self.pieces = WordCache(lambda pieces: (tuple(self.piece(p.encode("utf-8", "replace"))) for p in pieces), CACHE_BYTES, 8)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def piece(self, raw: bytes) -> list[int]:
@@ -121,7 +121,7 @@ def cut(text: str) -> list[str]:
 def worker(path: str) -> tuple[Bpe, WordCache, dict[int, str]]:
     """One encoder and cache for each Python worker and vocabulary."""
     bpe = Bpe(path)
-    return bpe, WordCache(bpe.words, CACHE_BYTES), {i: str(i) for i in bpe.bytes}
+    return bpe, WordCache(bpe.words, CACHE_BYTES, 8), {i: str(i) for i in bpe.bytes}
 
 
 def encode_slowly(bpe: Bpe, text: str) -> list[int]:

@@ -41,6 +41,8 @@ WORDS = re.compile(f"[^{SPACE}]+")
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Bytes of text in a shard, about; smaller where that gives all tasks a shard.
 SHARD_BYTES = 128 << 20
+#: Texts encoded at once.
+WRITE_ROWS = 512
 #: Tokens read at once.
 READ_TOKENS = 4_000_000
 
@@ -80,7 +82,7 @@ class WordEncoder:
         self.size = len(vocab)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self.letters = WordCache(self.joined, CACHE_BYTES)
+        self.letters = WordCache(self.joined, CACHE_BYTES, 1)
         self.marks = {m: self.each([m])[0] for m in ".,"}
 
     def each(self, words: list[str]) -> list[bytes]:
@@ -117,7 +119,7 @@ class WordEncoder:
 def worker(path: str) -> tuple[WordCache, int]:
     """A Python worker's cache of encoded words and the vocabulary's size."""
     encoder = WordEncoder(path)
-    return WordCache(encoder, CACHE_BYTES), encoder.size
+    return WordCache(encoder, CACHE_BYTES, 1), encoder.size
 
 
 def split(text: str) -> list[str]:
@@ -144,7 +146,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
         shard, attempt = task.partitionId(), task.taskAttemptId()
         ids_file, doc_ids, ends, nulls, total = None, array("q"), array("Q"), 0, 0
         width = 2 if max(worker(vocabulary)[1], end_id + 1) <= 1 << 16 else 4
-        for batch in slices(batches):
+        for batch in slices(batches, WRITE_ROWS):
             ids_file = ids_file or Replacing(folder, f"{shard:06d}.ids", attempt)
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode_batch(texts(batch.column(1)), vocabulary)):
                 ids = np.frombuffer(raw + end, "<u4")

@@ -21,17 +21,15 @@ def read_json(path: str) -> dict:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 
 
-def weight(word: str | bytes, made: object) -> int:
-    """Bytes that an entry takes, about: the key, the value and the table's own part."""
-    return 170 + len(word) + (8 * len(made) if isinstance(made, tuple) else len(made) if isinstance(made, bytes) else 0)
-
-
 class WordCache:
-    """Word -> encoded form. Keeps entries of up to ``most`` bytes in all (frequent words come early);
-    words beyond that are encoded again in each batch, so that memory is bounded."""
+    """Word -> encoded form. Keeps entries of about ``most`` bytes in all (frequent words come early); words
+    beyond that are encoded again in each batch, so that memory is bounded. ``unit``: bytes of an item of a form, 0 for numbers."""
+
+    #: Bytes of an entry besides its letters and items, about.
+    ENTRY = 170
 
-    def __init__(self, encode: Callable[[list], Iterable], most: int):
-        self.encode, self.left, self.known = encode, most, {}
+    def __init__(self, encode: Callable[[list], Iterable], most: int, unit: int):
+        self.encode, self.left, self.unit, self.known = encode, most, unit, {}
 
     def of(self, words: set) -> dict:
         """A mapping that has at least ``words``."""
@@ -39,9 +37,8 @@ class WordCache:
         if not missing:
             return self.known
         made = dict(zip(missing, self.encode(missing)))
-        size = sum(map(weight, made, made.values()))
-        if size <= self.left:
-            self.left -= size
+        if self.left > 0:
+            self.left -= self.ENTRY * len(made) + sum(map(len, made)) + (self.unit * sum(map(len, filter(None, made.values()))) if self.unit else 0)
             self.known.update(made)
             return self.known
         return {w: made[w] if w in made else self.known[w] for w in words}

@@ -91,7 +91,7 @@ def pieces(path: str) -> tuple[list[str], list[str]]:
 @lru_cache(maxsize=2)
 def worker(path: str) -> WordCache:
     automaton = Automaton(*pieces(path))
-    return WordCache(lambda words: (automaton.count(w.decode("utf-8", "replace")) for w in words), CACHE_BYTES)
+    return WordCache(lambda words: (automaton.count(w.decode("utf-8", "replace")) for w in words), CACHE_BYTES, 0)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text", names: tuple[str, str, str] = ("n_words", "n_tokens", "n_unknown")) -> DataFrame:
