@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearby.llm import bpe, mixing, quality_fm, quality_rules, simhash, token_store, topk_search, toxicity, warc, wordpiece_counts
+from nearby.llm import alignment, bpe, licenses, mixing, quality_fm, quality_rules, simhash, token_store, topk_search, toxicity, warc, whitening, wordpiece_counts
 from nearby.llm.common import table
 
 
@@ -50,5 +50,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk_search, op2_toxicity, op3_token_store, op4_quality_rules, op5_quality_fm, op6_warc, op7_mixing, op8_bpe, op9_token_counts, op10_simhash)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.label_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk_search, op2_toxicity, op3_token_store, op4_quality_rules, op5_quality_fm, op6_warc, op7_mixing, op8_bpe, op9_token_counts, op10_simhash, op11_alignment, op12_whitening, op13_licenses)}
 ORACLES = {"op1_topk_search": topk_search.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op6_warc": warc.ORACLE}
