@@ -9,8 +9,9 @@ each task. Only pairs that the map doesn't name are shuffled, summed by task fir
 vectors, the best count of each id of A and the commonest other pairs go to the tasks, ``HOT`` at most; rarer
 pairs are joined. A pair that stands in many documents is therefore never a join key.
 
-Neither tokenizer joins letters across a space or line end that stands alone, so texts are cut there and the pieces'
-alignments kept in a cache bounded by bytes; both passes over the texts align anew rather than store pairs.
+Neither tokenizer joins letters across a space or line end between two characters that aren't white space, so texts are
+cut there and the stretches' alignments kept in a cache bounded by bytes; a text that has other white space is aligned
+whole. Both passes over the texts align anew rather than store pairs.
 
 Defined results: texts that are null or empty or whose tokens' bytes aren't a space and the text have no tokens:
 zeros and an empty digest; repeated rows count as documents each; a null id stays null; an empty table gives no rows.
@@ -28,7 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,25 +37,21 @@ from nearby.llm.bpe import byte_letters
 from nearby.llm.common import annotate, bounded_batches, slices, texts
 from nearby.llm.vocab import public_path, read_json
 
-#: Bytes of each of a worker's two caches.
-CACHE_BYTES = 96 << 20
+#: Bytes of a worker's cache.
+CACHE_BYTES = 160 << 20
 #: Pairs, besides those of the identity map, whose counts go to all tasks (16 bytes each).
 HOT = 1 << 18
 #: Pairs that a task sums before it hands them on.
 MOST_PAIRS, BUFFER = 1 << 20, 1 << 22
-#: Where texts are cut: before a space or line end between two characters that aren't white space.
-CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 SPACE_MARK = "▁"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-class Form:
-    """The alignment of a stretch of text: counts (A, B, groups) and links as bytes, groups as text. ``None`` stands for one that can't be aligned."""
-
-    __slots__ = ("counts", "groups", "links")
-
-    def __init__(self, counts: bytes, links: bytes, groups: str):
-        self.counts, self.links, self.groups = counts, links, groups
+#: The alignment of a stretch of text: numbers of tokens of A and B and of groups (three longs), its links (longs) and its
+#: groups as text, each closed by a semicolon. ``None`` stands for one that can't be aligned.
+Form = tuple[bytes, bytes, bytes]
+#: Stretches that are encoded as one text.
+MANY = 1024
 
 
 class Cache:
@@ -72,7 +69,7 @@ class Cache:
             return self.known
         made = dict(zip(missing, self.make(missing)))
         if self.left > 0:
-            self.left -= sum(self.ENTRY + 2 * len(k) + (len(f.links) + len(f.groups) if f else 0) for k, f in made.items())
+            self.left -= self.ENTRY * len(made) + sum(map(len, made)) + sum(len(f[1]) + len(f[2]) for f in made.values() if f)
             self.known.update(made)
             return self.known
         return {k: made[k] if k in made else self.known[k] for k in keys}
@@ -106,73 +103,71 @@ class Aligner:
                 same[raw] = i
         #: The B id of the same bytes, -1 if there is none. A piece goes before a byte.
         self.identity = np.array([same.get(raw, -1) if raw else -1 for raw in self.bytes_a], np.int64)
-        self.lengths = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.lengths = np.array([len(x) for x in self.bytes_a]), np.array([len(x) for x in self.bytes_b])
+        #: Decimal ids with what follows them inside a group and at the end of its half.
+        table = lambda n, mark: np.array([b"%d%s" % (i, mark) for i in range(n)], object)
+        self.inside = table(len(self.bytes_a), b","), table(self.width, b",")
+        self.closing = table(len(self.bytes_a), b"|"), table(self.width, b";")
         self.mark = self.b.piece_to_id(SPACE_MARK)
         #: Whether B may be cut before a space and before a line end: no piece goes on there.
         self.cuts = not any(re.search(rf"[^{SPACE_MARK}]{SPACE_MARK}|\n", x) for x in names) and self.bytes_b[self.mark] == b" "
         self.plain = Cache(self.plain_forms, CACHE_BYTES)
-        self.any = Cache(self.forms, CACHE_BYTES)
 
-    def encoded(self, whole: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of stretches that start with a space, or with a line end that a text has inside."""
-        a = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)]
-        b = self.b.encode([w[1:] if w[0] == " " else w for w in whole], num_threads=1)
-        return a, [ids if w[0] == " " else ids[1:] if ids[:1] == [self.mark] else [] for w, ids in zip(whole, b)]
-
-    def forms(self, keys: list[str]) -> Iterator[Form | None]:
-        """Keys are stretches without the space before them; those that start with a line end or a space are whole."""
-        whole = [k if k[:1] in ("\n", " ") else " " + k for k in keys]
-        for w, a, b in zip(whole, *self.encoded(whole)):
-            yield self.aligned(w.encode("utf-8", "replace"), a, b)
+    def encoded(self, whole: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text that starts with a space, or with a line end that a text has inside."""
+        a = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids
+        b = self.b.encode(whole[1:] if whole[0] == " " else whole)
+        if whole[0] != " ":  # without the space that B puts in front
+            b = b[1:] if b[:1] == [self.mark] else []
+        return np.array(a, np.int64), np.array(b, np.int64)
 
     def plain_forms(self, keys: list[str]) -> Iterator[Form | None]:
-        """None also for keys that the text may not be cut around."""
+        """Forms of stretches between single spaces, which they lack, or from a line end on; None also for those that a text may
+        not be cut around. The others may stand one after another in one text, so many are aligned at once."""
         cores = [k[1:] if k[:1] == "\n" else k for k in keys]
         fits = [bool(c) and not c[0].isspace() and not c[-1].isspace() for c in cores]
-        made = self.forms([k for k, ok in zip(keys, fits) if ok])
+        whole = [k if k[0] == "\n" else " " + k for k, ok in zip(keys, fits) if ok]
+        made = iter([f for i in range(0, len(whole), MANY) for f in self.aligned(whole[i : i + MANY])])
         return (next(made) if ok else None for ok in fits)
 
-    def aligned(self, raw: bytes, a: list[int], b: list[int]) -> Form | None:
-        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw or not raw:
-            return None
-        (la, lb), width = self.lengths, self.width
-        i = j = from_a = from_b = 0
-        end_a, end_b, links, groups = la[a[0]], lb[b[0]], [], []
-        while True:
-            links.append(a[i] * width + b[j])
-            if end_a < end_b:
-                i += 1
-                end_a += la[a[i]]
-            elif end_b < end_a:
-                j += 1
-                end_b += lb[b[j]]
-            else:
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                if i == len(a):
-                    break
-                from_a, from_b = i, j
-                end_a, end_b = end_a + la[a[i]], end_b + lb[b[j]]
-        return Form(np.array([len(a), len(b), len(groups)], "<i8").tobytes(), np.array(links, "<i8").tobytes(), ";".join(groups))
+    def aligned(self, whole: list[str]) -> list[Form | None]:
+        """The alignments of stretches that make up a text; one by one if together they don't hold."""
+        raws = [w.encode("utf-8", "replace") for w in whole]
+        raw = b"".join(raws)
+        a, b = self.encoded("".join(whole)) if raw else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        stops = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
+        same = raw and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == raw
+        if same:
+            ends_a, ends_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+            cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)  # tokens have bytes
+            same = len(whole) == 1 or np.array_equal(cuts[np.minimum(np.searchsorted(cuts, stops), len(cuts) - 1)], stops)
+        if not same:
+            return [f for w in whole for f in self.aligned([w])] if len(whole) > 1 else [None]
+        ends = np.union1d(ends_a, ends_b)  # between two of them one token of A meets one of B
+        links = a[np.searchsorted(ends_a, ends)] * self.width + b[np.searchsorted(ends_b, ends)]
+        of_a, of_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)  # groups
+        before = np.concatenate([[0], np.searchsorted(ends_b, cuts[:-1], "right")])
+        text = np.empty(len(a) + len(b), object)
+        text[np.arange(len(a)) + before[of_a]] = np.where(cuts[of_a] == ends_a, self.closing[0][a], self.inside[0][a])
+        text[np.arange(len(b)) + np.searchsorted(ends_a, cuts, "right")[of_b]] = np.where(cuts[of_b] == ends_b, self.closing[1][b], self.inside[1][b])
+        n_a, n_b, n_groups, n_links = (np.searchsorted(e, stops, "right") for e in (ends_a, ends_b, cuts, ends))
+        counts = np.diff(np.stack([n_a, n_b, n_groups], axis=1), axis=0, prepend=0).astype("<i8").tobytes()
+        links, text = links.astype("<i8").tobytes(), text.tolist()
+        to_links, to_text = (8 * n_links).tolist(), (n_a + n_b).tolist()
+        return [(counts[24 * k : 24 * k + 24], links[i:j], b"".join(text[x:y])) for k, (i, j, x, y) in enumerate(zip([0, *to_links], to_links, [0, *to_text], to_text))]
 
     def align(self, batch: list[str]) -> list[list[Form] | None]:
-        """The alignments of each text's stretches, in order; None if it has no tokens."""
+        """The alignments of each text's stretches, in order; None if it has no tokens. Stretches are cut before single spaces and line ends."""
         cuts = [t.replace("\n", " \n").split(" ") if self.cuts and t and not t[0].isspace() else None for t in batch]
         known = self.plain.of(set(chain.from_iterable(c for c in cuts if c)))
         out = []
         for text, keys in zip(batch, cuts):
             found = list(map(known.__getitem__, keys)) if keys else [None]
             if None in found and text:
-                found = self.slowly(text)
+                found = self.aligned([" " + text])
             out.append(None if None in found else found)
         return out
 
-    def slowly(self, text: str) -> list[Form | None]:
-        first, *rest = CUT.split(text) if self.cuts else [text]
-        keys = [" " + first if first[0] in " \n" else first, *(k[1:] if k[0] == " " else k for k in rest)]
-        known = self.any.of(set(keys))
-        return list(map(known.__getitem__, keys))
-
 
 @lru_cache(maxsize=2)
 def worker(path_a: str, path_b: str) -> Aligner:
@@ -193,7 +188,7 @@ def public_vocabularies() -> Vocabularies:
 
 def distinct_links(forms: list[Form]) -> tuple[np.ndarray, np.ndarray]:
     """A document's distinct links and how often each stands in it."""
-    return np.unique(np.frombuffer(b"".join(f.links for f in forms), "<i8"), return_counts=True)
+    return np.unique(np.frombuffer(b"".join([f[1] for f in forms]), "<i8"), return_counts=True)
 
 
 def groups(docs: DataFrame, vocabularies: Vocabularies | None = None, text_col: str = "text", name: str = "groups") -> DataFrame:
@@ -203,7 +198,7 @@ def groups(docs: DataFrame, vocabularies: Vocabularies | None = None, text_col:
 
     def compute(column: pa.Array) -> list[pa.Array]:
         numbers = lambda x: list(map(int, x.split(",")))
-        rows = [None if f is None else [dict(zip("ab", map(numbers, g.split("|")))) for x in f for g in x.groups.split(";")] for f in worker(v.a, v.b).align(texts(column))]
+        rows = [None if f is None else [dict(zip("ab", map(numbers, g.split("|")))) for x in f for g in x[2].decode()[:-1].split(";")] for f in worker(v.a, v.b).align(texts(column))]
         return [pa.array(rows, kind)]
 
     ids = T.ArrayType(T.IntegerType())
@@ -321,7 +316,7 @@ def align(docs: DataFrame, vocabularies: Vocabularies | None = None, hot: int =
                 digests.append("")
                 left.append([])
                 continue
-            sizes = np.frombuffer(b"".join(f.counts for f in forms), "<i8").reshape(-1, 3).sum(0).tolist()
+            sizes = np.frombuffer(b"".join([f[0] for f in forms]), "<i8").reshape(-1, 3).sum(0).tolist()
             keys, times = distinct_links(forms)
             a, b = np.divmod(keys, aligner.width)
             known = aligner.identity[a] == b
@@ -332,10 +327,7 @@ def align(docs: DataFrame, vocabularies: Vocabularies | None = None, hot: int =
                 n[found] = hot_n[at[found]]
                 known |= found
             rows.append((*sizes, int(times.sum()), int(times[known & (n == best[a])].sum()), int((times * n)[known].sum())))
-            sha = hashlib.sha256()
-            for k in range(0, len(forms), 4096):
-                sha.update(((";" if k else "") + ";".join(f.groups for f in forms[k : k + 4096])).encode())
-            digests.append(sha.hexdigest())
+            digests.append(hashlib.sha256(b"".join([f[2] for f in forms])[:-1]).hexdigest())
             if rare:
                 left.append([{"key": int(k), "times": int(t), "best": int(x)} for k, t, x in zip(keys[~known], times[~known], best[a[~known]])])
         out = [*(pa.array(c, pa.int64()) for c in zip(*rows)), pa.array(digests, pa.string())]
