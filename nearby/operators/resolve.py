@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearby.functions import geo, vocab as V
 from nearby.functions import text as X
 from nearby.functions.classify import place_kind_by_name
-from nearby.operators import spatial
+from nearby.operators import spatial, title_index
 from nearby.operators.components import connected_components
 
 
@@ -57,8 +59,8 @@ def collapse_places(places: DataFrame, fields: list[str], distance: Column, orde
     return first_by(places, keys, X.filled(*map(F.col, fields)).desc(), distance.asc(), order.asc())
 
 
-#: Miles within which two reports may be one event, the grid that brings them together, and rows of a block that one task takes.
-SAME_EVENT_MILES, EVENT_CELL, BLOCK = 2.0, 0.06, 2048
+#: Miles within which two reports may be one event, the grid that brings them together, and rows of a block that are compared one by one.
+SAME_EVENT_MILES, EVENT_CELL, CROWD = 2.0, 0.06, 256
 
 
 def spans(listings: DataFrame) -> DataFrame:
@@ -71,8 +73,8 @@ def duplicate_pairs(listings: DataFrame, most_days: int = 31) -> DataFrame:
 
     Blocks are (day, cell): a listing stands in its own cell on each day it covers, and looks into all cells
     within two miles, at any latitude. Runs longer than ``most_days`` are blocked by month instead, so spans stay few
-    rows whatever their length. A pair that meets on several days is tested on the first of them, and from one
-    side only. A block of more than ``BLOCK`` rows is dealt out in parts, each a task's work. Titles are normalised once.
+    rows whatever their length. A pair that meets on several days is tested on the first of them. Titles are normalised once.
+    Blocks of up to ``CROWD`` rows are compared one by one, fuller ones through ``title_index``, to the same pairs.
     Equal listings (same days, place and normalised title) would all pair up; they are one class first
     and the class pairs up, its members being chained to the first.
     """
@@ -87,23 +89,28 @@ def duplicate_pairs(listings: DataFrame, most_days: int = 31) -> DataFrame:
     months = F.transform(F.sequence(F.trunc("d0", "month"), F.trunc("d1", "month"), F.expr("interval 1 month")), lambda d: unit("m", d))
     days = F.transform(F.sequence("d0", F.when(F.col("long"), F.col("d0")).otherwise(F.col("d1"))), lambda d: unit("d", d))
     # Short spans are also under their months, where the long ones look for them.
-    right = one.withColumn("k", F.explode(F.when(F.col("long"), months).otherwise(F.concat(days, months)))).select(*cols, F.col("k.u").alias("u"), F.col("k.d").alias("d"), geo.cell(F.col("lon"), EVENT_CELL).alias("cx"), geo.cell(F.col("lat"), EVENT_CELL).alias("cy"))
-    left = one.withColumn("k", F.explode(F.when(F.col("long"), months).otherwise(days))).withColumn("c", F.explode(spatial.reach_cells(F.col("lat"), F.col("lon"), F.lit(SAME_EVENT_MILES), EVENT_CELL)))
-    left = left.select(*(F.col(x).alias(f"l_{x}") for x in cols), F.col("k.u").alias("u"), F.col("k.d").alias("d"), "c.cx", "c.cy")
+    units = F.explode(F.when(F.col("long"), months).otherwise(F.concat(days, months)))
     block = ["u", "d", "cx", "cy"]
-    crowded = right.groupBy(*block).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(*block, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    right = right.join(crowded, block, "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
-    left = left.join(crowded, block, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    met = left.join(right, [*block, "part"])
-    once = F.when(F.col("l_long") == F.col("long"), F.col("l_id") < F.col("id")).otherwise(F.col("l_long"))
+    right = one.withColumn("k", units).select(*cols, F.col("k.u").alias("u"), F.col("k.d").alias("d"), *spatial.own_cell(EVENT_CELL))
+    left = one.withColumn("k", units).withColumn("c", F.explode(spatial.reach_cells(F.col("lat"), F.col("lon"), F.lit(SAME_EVENT_MILES), EVENT_CELL)))
+    left = left.select(*(F.col(x).alias(f"l_{x}") for x in cols), F.col("k.u").alias("u"), F.col("k.d").alias("d"), "c.cx", "c.cy")
     first = F.greatest("l_d0", "d0")
     here = F.col("d") == F.when(F.col("u") == "m", F.trunc(first, "month")).otherwise(first)
+    meant = F.col("u") == F.when(F.col("l_long") | F.col("long"), "m").otherwise("d")
     multi = (F.col("l_d0") < F.col("l_d1")) | (F.col("d0") < F.col("d1"))
     dates = (F.col("l_d0") == F.col("d0")) | multi & (F.col("l_d0") <= F.col("d1")) & (F.col("d0") <= F.col("l_d1"))
     near = geo.haversine_miles(F.col("l_lat"), F.col("l_lon"), F.col("lat"), F.col("lon")) < SAME_EVENT_MILES
-    hits = met.where(once & here & dates & near & X.norms_match(F.col("l_norm"), F.col("norm"), F.col("l_words"), F.col("words")))
-    return hits.select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b")).union(chain.select(F.least("a", "b"), F.greatest("a", "b")))
+    fits = title_index.once() & here & meant & dates & near
+    crowded = right.groupBy(*block).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(*block, F.lit(True).alias("crowded")).checkpoint()
+    if crowded.isEmpty():
+        found = [left.join(right, block).where(fits & X.norms_match(F.col("l_norm"), F.col("norm"), F.col("l_words"), F.col("words")))]
+    else:
+        of_crowd = lambda df, which: df.join(crowded, block, which).drop("crowded")
+        plain = of_crowd(left, "left_anti").join(of_crowd(right, "left_anti"), block)
+        found = [plain.where(fits & X.norms_match(F.col("l_norm"), F.col("norm"), F.col("l_words"), F.col("words")))]
+        found += [f.where(fits) for f in title_index.candidates(of_crowd(left, "left_semi"), of_crowd(right, "left_semi"), block)]
+    hits = [f.select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b")) for f in found]
+    return reduce(DataFrame.union, [*hits, chain.select(F.least("a", "b"), F.greatest("a", "b"))])
 
 
 def clusters(listings: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -125,15 +132,13 @@ def merge_listings(held: DataFrame, incoming: DataFrame, richness: Column, order
     ``adopt`` columns fill what the held row lacks; incoming rows without a match are appended. Curated ids adopt nothing."""
     both = held.withColumn("_held", F.lit(True)).unionByName(incoming.withColumn("_held", F.lit(False)), allowMissingColumns=True)
     c = clusters(both, duplicate_pairs(both)).withColumn("_rich", richness).withColumn("_order", order)
-    keyed = c.withColumn("_rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("_rich"), F.desc("_held"), F.asc("_order"), F.asc("id"))))
-    given = keyed.where("not _held").groupBy("cluster").agg(*(F.min_by(x, "_rank", ).alias(f"_new_{x}") for x in adopt))
-    names = keyed.groupBy("cluster").agg(F.min(F.when(F.col("_held"), F.struct("_order", "id"))).alias("h"), F.min(F.struct("_order", "id")).alias("e"))
-    best = keyed.where("_rank = 1").join(given, "cluster", "left").join(names, "cluster")
-    best = best.withColumn("id", F.coalesce("h.id", "e.id"))
-    open_ = F.col("_held") & ~F.col("id").startswith("manual-")
-    for x in adopt:
-        best = best.withColumn(x, F.when(open_, F.coalesce(F.col(x), F.col(f"_new_{x}"))).otherwise(F.col(x)))
-    return best.select(*held.columns)
+    rank, age = F.struct(-F.col("_rich"), ~F.col("_held"), F.col("_order"), F.col("id")), F.struct("_order", "id")
+    new = {x: F.min_by(x, F.when(~F.col("_held") & F.col(x).isNotNull(), rank)).alias(f"_new_{x}") for x in adopt}
+    # Aggregates are combined before the shuffle, so a hot cluster is no hot task.
+    best = c.groupBy("cluster").agg(F.min_by(F.struct(*both.columns), rank).alias("_best"), F.min(F.when(F.col("_held"), age)).alias("_h"), F.min(age).alias("_e"), *new.values())
+    open_ = F.col("_best._held") & ~F.coalesce("_h.id", "_e.id").startswith("manual-")
+    value = lambda x: F.when(open_, F.coalesce(F.col(f"_best.{x}"), F.col(f"_new_{x}"))).otherwise(F.col(f"_best.{x}")) if x in adopt else F.col(f"_best.{x}")
+    return best.select(*((F.coalesce("_h.id", "_e.id") if x == "id" else value(x)).alias(x) for x in held.columns))
 
 
 def match_items(places: DataFrame, items: DataFrame, miles: float = 2.0, size: float = 0.05) -> DataFrame:
@@ -144,7 +149,7 @@ def match_items(places: DataFrame, items: DataFrame, miles: float = 2.0, size: f
     ends = f", ({'|'.join(V.STATES)})$"
     t = items.where(~X.has(F.col("label"), ends, False) & ~X.has(F.col("description"), V.SETTLEMENT_TEXT)).withColumn("words", X.item_tokens(F.col("label"))).where("size(words) > 0")
     t = t.select("qid", "words", F.col("lat").alias("i_lat"), F.col("lon").alias("i_lon"), F.explode(spatial.reach_cells(F.col("lat"), F.col("lon"), F.lit(miles), size)).alias("c"))
-    p = places.where("brand is null").select("id", "lat", "lon", X.item_tokens(F.col("name")).alias("mine"), geo.cell(F.col("lon"), size).alias("cx"), geo.cell(F.col("lat"), size).alias("cy"))
+    p = places.where("brand is null").select("id", "lat", "lon", X.item_tokens(F.col("name")).alias("mine"), *spatial.own_cell(size))
     shared = F.size(F.array_intersect("words", "mine"))
     met = p.join(t, (F.col("cx") == F.col("c.cx")) & (F.col("cy") == F.col("c.cy"))).where((shared >= 1) & (shared / F.size("words") > 0.5))
     met = met.withColumn("d", geo.haversine_miles(F.col("lat"), F.col("lon"), F.col("i_lat"), F.col("i_lon"))).where(F.col("d") <= miles)

@@ -22,12 +22,16 @@ def within_radius(df: DataFrame, lat0: float, lon0: float, miles: float) -> Data
     return df.where(geo.in_box(F.col("lat"), F.col("lon"), lat0, lon0, miles)).where(near)
 
 
-def reach_cells(lat: Column, lon: Column, miles: Column, size: float) -> Column:
-    """All cells that a circle touches."""
-    dlat = miles / 69.0
-    dlon = miles / (69.0 * F.greatest(F.lit(0.05), F.cos(F.radians(F.least(F.lit(87.0), F.abs(lat) + dlat)))))
-    side = lambda c, d: F.sequence(geo.cell(c - d, size), geo.cell(c + d, size))
-    return F.flatten(F.transform(side(lon, dlon), lambda x: F.transform(side(lat, dlat), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+def reach_cells(lat: Column, lon: Column, miles: Column | float, size: float) -> Column:
+    """All cells that a circle touches, across 180 degrees and over the poles too. Null for a circle without a point."""
+    dlat, dlon = geo.reach(lat, miles)
+    return F.when(lat.isNotNull() & lon.isNotNull(), geo.box_cells(lat - dlat, lat + dlat, lon - dlon, lon + dlon, size))
+
+
+def own_cell(size: float) -> list[Column]:
+    """Columns cx, cy of a row's point (lat, lon)."""
+    cx, cy = geo.home_cell(F.col("lat"), F.col("lon"), size)
+    return [cx.alias("cx"), cy.alias("cy")]
 
 
 def coverage(places: DataFrame, regions: DataFrame, slack: float = 0.0, size: float = 0.25) -> DataFrame:
@@ -36,7 +40,7 @@ def coverage(places: DataFrame, regions: DataFrame, slack: float = 0.0, size: fl
     The region is the one whose edge is deepest or nearest (gap = distance - radius, least first).
     """
     r = regions.select(F.col("id").alias("region"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "radius_miles", F.explode(reach_cells(F.col("lat"), F.col("lon"), F.col("radius_miles") + slack, size)).alias("c"))
-    p = places.select("id", "lat", "lon", geo.cell(F.col("lon"), size).alias("cx"), geo.cell(F.col("lat"), size).alias("cy"))
+    p = places.select("id", "lat", "lon", *own_cell(size))
     gap = geo.haversine_miles(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) - F.col("radius_miles")
     met = p.join(r, (F.col("cx") == F.col("c.cx")) & (F.col("cy") == F.col("c.cy"))).withColumn("gap", gap).where(F.col("gap") <= slack)
     return met.groupBy("id").agg(F.min(F.struct("gap", "region")).alias("b")).select("id", "b.region", "b.gap")
@@ -45,7 +49,7 @@ def coverage(places: DataFrame, regions: DataFrame, slack: float = 0.0, size: fl
 def region_totals(places: DataFrame, regions: DataFrame, food: Column, size: float = 0.25) -> DataFrame:
     """region, to_visit, to_eat; a place in two circles counts in both."""
     r = regions.select(F.col("id").alias("region"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "radius_miles", F.explode(reach_cells(F.col("lat"), F.col("lon"), F.col("radius_miles"), size)).alias("c"))
-    p = places.select("lat", "lon", food.alias("food"), geo.cell(F.col("lon"), size).alias("cx"), geo.cell(F.col("lat"), size).alias("cy"))
+    p = places.select("lat", "lon", food.alias("food"), *own_cell(size))
     inside = geo.haversine_miles(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) <= F.col("radius_miles")
     met = p.join(r, (F.col("cx") == F.col("c.cx")) & (F.col("cy") == F.col("c.cy"))).where(inside)
     counts = met.groupBy("region").agg(F.count_if(~F.col("food")).alias("to_visit"), F.count_if(F.col("food")).alias("to_eat"))
@@ -94,25 +98,72 @@ def thin_route(points: DataFrame, step: float = 0.1) -> DataFrame:
     return s.withColumn("k", F.row_number().over(first)).where("k = 1").select("route_id", "seq", F.col("lat0").alias("lat"), F.col("lon0").alias("lon"), F.col("cum0").alias("along"))
 
 
-def locate_on_route(points: DataFrame, segments: DataFrame, corridor: float = 10.0) -> DataFrame:
-    """id, route_id, along, off: the nearest point of each route within ``corridor`` miles.
+def segment_hits(points: DataFrame, segments: DataFrame, corridor: float, own_route: bool = False) -> DataFrame:
+    """id, route_id, seq, cum0, cum1, along, off of every segment within ``corridor`` miles of a point (id, lat, lon), with its nearest point.
 
-    Segments are exploded to the cells that they and their corridor touch; cells are a corridor wide.
+    Segments are exploded to the cells that they and their corridor touch; cells are a corridor wide. With ``own_route``
+    points (route_id too) meet the segments of their own route alone.
     """
     size = max(0.02, corridor / 50.0)
-    pad_lat, pad_lon = corridor / 69.0, F.lit(corridor) / (69.0 * F.greatest(F.lit(0.05), F.cos(F.radians(F.greatest(F.abs("lat0"), F.abs("lat1")) + 1))))
-    side = lambda a, b, pad: F.sequence(geo.cell(F.least(a, b) - pad, size), geo.cell(F.greatest(a, b) + pad, size))
-    cells = F.flatten(F.transform(side(F.col("lon0"), F.col("lon1"), pad_lon), lambda cx: F.transform(side(F.col("lat0"), F.col("lat1"), F.lit(pad_lat)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+    lon1 = F.col("lon0") + geo.turned(F.col("lon1") - F.col("lon0"))
+    far = F.greatest(F.abs("lat0"), F.abs("lat1"))
+    # planar miles, measured at either end
+    pad_lat, pad_lon = corridor / 69.0, F.lit(corridor) / (69.0 * F.greatest(F.lit(1e-3), F.cos(F.radians(F.least(F.lit(90.0), far)))))
+    cells = geo.box_cells(F.least("lat0", "lat1") - pad_lat, F.greatest("lat0", "lat1") + pad_lat, F.least(F.col("lon0"), lon1) - pad_lon, F.greatest(F.col("lon0"), lon1) + pad_lon, size)
     s = segments.withColumn("c", F.explode(cells))
-    p = points.select("id", "lat", "lon", geo.cell(F.col("lon"), size).alias("cx"), geo.cell(F.col("lat"), size).alias("cy"))
-    met = p.join(s, (F.col("cx") == F.col("c.cx")) & (F.col("cy") == F.col("c.cy")))
+    route = [F.col("route_id").alias("_route")] if own_route else []
+    p = points.select("id", "lat", "lon", *route, *own_cell(size))
+    same = (F.col("cx") == F.col("c.cx")) & (F.col("cy") == F.col("c.cy"))
+    met = p.join(s, same & (F.col("_route") == F.col("route_id")) if own_route else same)
     px, py = geo.planar_xy(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
     sx, sy = geo.planar_xy(F.col("lat1"), F.col("lon1"), F.col("lat0"), F.col("lon0"))
     l2 = sx * sx + sy * sy
     t = F.when(l2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * sx + py * sy) / l2))).otherwise(0.0)
     dx, dy = px - t * sx, py - t * sy
-    met = met.select("id", "route_id", F.sqrt(dx * dx + dy * dy).alias("off"), (F.col("cum0") + t * (F.col("cum1") - F.col("cum0"))).alias("along")).where(F.col("off") <= corridor)
-    return met.groupBy("id", "route_id").agg(F.min(F.struct("off", "along")).alias("b")).select("id", "route_id", "b.along", "b.off")
+    return met.select("id", "route_id", "seq", "cum0", "cum1", (F.col("cum0") + t * (F.col("cum1") - F.col("cum0"))).alias("along"), F.sqrt(dx * dx + dy * dy).alias("off")).where(F.col("off") <= corridor)
+
+
+def locate_on_route(points: DataFrame, segments: DataFrame, corridor: float = 10.0) -> DataFrame:
+    """id, route_id, along, off: the nearest point of each route within ``corridor`` miles."""
+    return segment_hits(points, segments, corridor).groupBy("id", "route_id").agg(F.min(F.struct("off", "along")).alias("b")).select("id", "route_id", "b.along", "b.off")
+
+
+#: Miles between samples of a route, and miles of a piece of it that positions are matched by.
+SAMPLE_STEP, PIECE = 0.5, 25.0
+
+
+def route_samples(segments: DataFrame, step: float = SAMPLE_STEP) -> DataFrame:
+    """route_id, at, lat, lon: points every ``step`` miles along routes, from their start on."""
+    ends = segments.groupBy("route_id").agg(F.max("cum1").alias("length"))
+    marks = ends.select("route_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / step))).alias("n")).select("route_id", (F.col("n") * step).alias("along"))
+    return point_at(segments, marks).withColumnRenamed("along", "at")
+
+
+def sampled_towns(segments: DataFrame, towns: DataFrame, step: float = SAMPLE_STEP) -> DataFrame:
+    """route_id, at, town of samples along routes; null where no town (name, lat, lon, town_rank) is near."""
+    samples = route_samples(segments, step).withColumn("id", F.struct("route_id", "at"))
+    near = nearest_town(samples, towns)
+    return samples.select("id", "route_id", "at").join(near, "id", "left").select("route_id", "at", "town")
+
+
+def current_town(positions: DataFrame, samples: DataFrame, slack: float = 0.05) -> DataFrame:
+    """``positions`` (route_id, along) with ``town``: that of the last sample (route_id, at, town) at most ``slack`` miles ahead.
+
+    An as-of join: a position meets the samples of its own piece of the route, and the last sample before the piece, which
+    is carried in from the pieces before. Samples without a town say nothing; a position before the first has none.
+    """
+    piece = lambda c: F.floor(c / PIECE)
+    s = samples.where("town is not null").select(F.col("route_id").alias("s_route"), F.col("at").alias("s_at"), F.col("town").alias("s_town"), piece(F.col("at")).alias("s_piece"))
+    marks = positions.where("route_id is not null and along is not null").select("route_id", (F.col("along") + slack).alias("mark"), piece(F.col("along") + slack).alias("piece")).distinct()
+    own = marks.join(s, (F.col("route_id") == F.col("s_route")) & (F.col("piece") == F.col("s_piece"))).where(F.col("s_at") <= F.col("mark"))
+    own = own.groupBy("route_id", "mark").agg(F.max_by("s_town", "s_at").alias("own"))
+    # Pieces with samples and pieces that are asked about, in a row: few for each route, whatever its samples and positions.
+    lasts = s.groupBy(F.col("s_route").alias("route_id"), F.col("s_piece").alias("piece")).agg(F.max_by("s_town", "s_at").alias("last"))
+    asked = marks.select("route_id", "piece").distinct()
+    before = Window.partitionBy("route_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = asked.join(lasts, ["route_id", "piece"], "full").select("route_id", "piece", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    found = marks.join(own, ["route_id", "mark"], "left").join(carried, ["route_id", "piece"], "left").select(F.col("route_id").alias("_r"), F.col("mark").alias("_m"), F.coalesce("own", "carried").alias("town"))
+    return positions.join(found, (F.col("route_id") == F.col("_r")) & (F.col("along") + slack == F.col("_m")), "left").drop("_r", "_m")
 
 
 def point_at(segments: DataFrame, marks: DataFrame, width: float = 5.0) -> DataFrame:

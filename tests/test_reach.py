@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from nearby.operators import components, drive, resolve, search, spatial
+from nearby.operators import components, drive, resolve, search, spatial, title_index
 
 
 @pytest.mark.parametrize("lat", [45.0, 60.0])
@@ -46,26 +46,28 @@ def haversine(a, b, c, d):
     return 2 * 3958.8 * math.asin(min(1.0, math.sqrt(h)))
 
 
-@pytest.mark.parametrize("lat,block", [(41.0, 2048), (64.0, 2048), (80.0, 3)])
-def test_duplicate_pairs_at_any_latitude(spark, monkeypatch, lat, block):
-    """Against all pairs: titles equal, one in the other, or alike; short and long runs; crowded blocks in parts."""
-    monkeypatch.setattr(resolve, "BLOCK", block)
+@pytest.mark.parametrize("lat,crowd,rows", [(41.0, 256, 2048), (64.0, 0, 2048), (80.0, 5, 3)])
+def test_duplicate_pairs_at_any_latitude(spark, monkeypatch, lat, crowd, rows):
+    """Against all pairs: titles equal, one in the other, or alike; short and long runs; crowded blocks by the index, its keys in parts."""
+    monkeypatch.setattr(resolve, "CROWD", crowd)
+    monkeypatch.setattr(title_index, "ROWS", rows)
     rng, t = random.Random(int(lat)), dt.datetime(2024, 1, 1)
-    titles = ["County Fair", "County Fair Opening Night", "Quiet Reading Hour", "Reading Hour Quiet", "Art"]
+    titles = ["County Fair", "County Fair Opening Night", "Quiet Reading Hour", "Reading Hour Quiet", "Art", "Party", "of it", "(aside)", "Kids Quiet Reading Hour", "ounty fa"]
     rows = []
     for i in range(90):
         start = t + dt.timedelta(days=rng.randrange(4))
         end = start + dt.timedelta(days=rng.choice([0, 2, 60])) if rng.random() < 0.5 else None
         rows.append((f"e{i:02}", rng.choice(titles), lat + rng.random() * 0.08, -73.0 + rng.random() * 0.08 / math.cos(math.radians(lat)), start, end))
-    words = lambda s: set(s.lower().split())
+    words = lambda s: {w for w in s.lower().split() if len(w) > 2}
     want = set()
     for a in rows:
         for b in rows:
             if a[0] < b[0] and haversine(a[2], a[3], b[2], b[3]) < 2:
                 (a0, a1), (b0, b1) = ((x[4], max(x[5] or x[4], x[4])) for x in (a, b))
                 days = a0 == b0 or (a0 < a1 or b0 < b1) and a0 <= b1 and b0 <= a1
-                x, y = a[1].lower(), b[1].lower()
-                if days and (x in y or y in x or len(words(x) & words(y)) / len(words(x) | words(y)) >= 0.6):
+                x, y = ("" if "(" in t[1] else t[1].lower() for t in (a, b))
+                inside = x == y or x and y and (x in y or y in x)
+                if days and (inside or words(x) and words(y) and len(words(x) & words(y)) / len(words(x) | words(y)) >= 0.6):
                     want.add((a[0], b[0]))
     df = spark.createDataFrame(rows, "id string, title string, lat double, lon double, start_at timestamp, end_at timestamp")
     got = [(r["a"], r["b"]) for r in resolve.duplicate_pairs(df).collect()]
@@ -152,3 +154,95 @@ def test_components_with_hubs(spark, monkeypatch, many):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r["node"]: r["component"] for r in components.connected_components(df).collect()}
     assert got == {i: find(i) for i in root}
+
+
+def test_unlike_titles_of_a_crowded_block_rarely_meet(spark):
+    """Thousands of unlike titles at one place and day: under 1 % of all pairs are compared, and the few matches found."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(5000)]
+    titles = [" ".join(["evening", "with", *rng.sample(words, 3)]) for _ in range(4000)]
+    titles[7], titles[8] = titles[0] + " again", " ".join(titles[1].split()[2:])
+    df = spark.createDataFrame([(i, t, t.split(), 1) for i, t in enumerate(titles)], "id long, norm string, words array<string>, b int")
+    left = df.select(*(F.col(c).alias(f"l_{c}") for c in ("id", "norm", "words")), "b")
+    keys = title_index.keys_of(df.select("norm", F.filter("words", lambda w: F.length(w) > 2).alias("words"))).collect()
+    by_gram, by_word = {}, {}
+    for r in keys:
+        for g in {r["norm"][i : i + 4] for i in range(len(r["norm"]) - 3)}:
+            by_gram[g] = by_gram.get(g, 0) + 1
+        for w in r["prefix"]:
+            by_word[w] = by_word.get(w, 0) + 1
+    compared = sum(by_gram[r["gram"]] for r in keys) + sum(n * n for n in by_word.values())
+    assert compared < 0.01 * len(titles) ** 2
+    alike, longer, short = title_index.candidates(left, df, ["b"])
+    got = {(r["l_id"], r["id"]) for r in longer.collect() if r["l_id"] != r["id"]}
+    assert got == {(0, 7), (8, 1)} and short.count() == 0
+
+
+def circle(rng, lat, lon, miles):
+    """A point about ``miles`` off, by the same haversine."""
+    a, b = rng.uniform(0, 2 * math.pi), miles / 3958.8
+    y = math.asin(math.sin(math.radians(lat)) * math.cos(b) + math.cos(math.radians(lat)) * math.sin(b) * math.cos(a))
+    x = math.radians(lon) + math.atan2(math.sin(a) * math.sin(b) * math.cos(math.radians(lat)), math.cos(b) - math.sin(math.radians(lat)) * math.sin(y))
+    return math.degrees(y), (math.degrees(x) + 180) % 360 - 180
+
+
+ODD_ENDS = [(10.0, 179.95), (-40.0, -179.99), (89.0, 30.0), (-89.5, 100.0), (84.9, 179.0), (0.0, 180.0), (0.0, -180.0), (90.0, 0.0)]
+
+
+@pytest.mark.parametrize("lat,lon", ODD_ENDS)
+def test_circles_on_a_round_earth(spark, lat, lon):
+    rng = random.Random(int(lat))
+    places = [(i, *circle(rng, lat, lon, rng.uniform(0, 60))) for i in range(150)] + [(900, lat, lon), (901, 0.0, 0.0), (902, None, 3.0)]
+    df = spark.createDataFrame(places, "id long, lat double, lon double")
+    known = [p for p in places if p[1] is not None]
+    assert {r["id"] for r in spatial.within_radius(df, lat, lon, 25).collect()} == {i for i, a, b in known if haversine(lat, lon, a, b) <= 25}
+    circles = [("A", lat, lon, 20.0), ("B", *circle(rng, lat, lon, 15), 30.0)]
+    regions = spark.createDataFrame(circles, "id string, lat double, lon double, radius_miles double")
+    want = {}
+    for i, a, b in known:
+        gaps = sorted((haversine(y, x, a, b) - r, n) for n, y, x, r in circles if haversine(y, x, a, b) - r <= 3)
+        if gaps:
+            want[i] = gaps[0][1]
+    rows = spatial.coverage(df, regions, 3.0).collect()
+    assert {r["id"]: r["region"] for r in rows} == want and len(rows) == len(want) > 20
+    totals = {r["region"]: r["to_visit"] for r in spatial.region_totals(df, regions, F.lit(False)).collect()}
+    assert totals == {n: sum(haversine(y, x, a, b) <= r for _, a, b in known) for n, y, x, r in circles}
+
+
+@pytest.mark.parametrize("lat,lon", ODD_ENDS)
+@pytest.mark.parametrize("crowd", [0, 256])
+def test_duplicates_and_items_on_a_round_earth(spark, monkeypatch, lat, lon, crowd):
+    monkeypatch.setattr(resolve, "CROWD", crowd)
+    rng, t = random.Random(3), dt.datetime(2024, 1, 1)
+    at = [circle(rng, lat, lon, rng.uniform(0, 4)) for _ in range(25)]
+    df = spark.createDataFrame([(f"e{i:02}", "County Fair", a, b, t, None) for i, (a, b) in enumerate(at)], "id string, title string, lat double, lon double, start_at timestamp, end_at timestamp")
+    want = {(f"e{i:02}", f"e{j:02}") for i in range(25) for j in range(i + 1, 25) if haversine(*at[i], *at[j]) < 2}
+    got = [(r["a"], r["b"]) for r in resolve.duplicate_pairs(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+    places = df.select("id", F.lit("Olana Museum").alias("name"), F.lit(None).cast("string").alias("brand"), "lat", "lon")
+    items = spark.createDataFrame([("Q1", "Olana Museum", lat, lon, "museum")], "qid string, label string, lat double, lon double, description string")
+    assert {r["id"] for r in resolve.match_items(places, items).collect()} == {f"e{i:02}" for i, p in enumerate(at) if haversine(lat, lon, *p) <= 2}
+
+
+def test_drives_across_the_date_line(spark):
+    rng = random.Random(5)
+    route = spark.createDataFrame([(1, i, 52.0 + 0.01 * i, (179.8 + 0.05 * i + 180) % 360 - 180) for i in range(12)], "route_id long, seq long, lat double, lon double")
+    seg = spatial.route_segments(route)
+    assert max(r["cum1"] for r in seg.collect()) < 30
+    places = [(i, 52.0 + rng.uniform(-0.1, 0.2), (180 + rng.uniform(-0.3, 0.5) + 180) % 360 - 180) for i in range(120)]
+    df = spark.createDataFrame(places, "id long, lat double, lon double")
+    got = {r["id"]: (r["along"], r["off"]) for r in spatial.locate_on_route(df, seg, 5.0).collect()}
+    short = lambda x: (x + 180) % 360 - 180
+    for i, lat, lon in places:
+        best = None
+        for s in seg.collect():
+            k = 69.172 * math.cos(math.radians(s["lat0"]))
+            px, py, sx, sy = short(lon - s["lon0"]) * k, (lat - s["lat0"]) * 69.172, short(s["lon1"] - s["lon0"]) * k, (s["lat1"] - s["lat0"]) * 69.172
+            f = max(0.0, min(1.0, (px * sx + py * sy) / (sx * sx + sy * sy)))
+            off = math.hypot(px - f * sx, py - f * sy)
+            best = min(best or (off, 1e9), (off, s["cum0"] + f * (s["cum1"] - s["cum0"])))
+        assert (i in got) == (best[0] <= 5) and (i not in got or math.isclose(got[i][1], best[0], abs_tol=1e-6))
+    cars = spark.createDataFrame([(1, 52.0, 179.95, 90.0, 60.0)], "car long, lat double, lon double, heading double, speed double")
+    k = 69.172 * math.cos(math.radians(52.0))
+    want = {i for i, a, b in places if 0.5 <= short(b - 179.95) * k <= 15 and abs((a - 52.0) * 69.172) <= 7 + 0.15 * short(b - 179.95) * k}
+    assert {r["id"] for r in drive.ahead_by_heading(cars, df).collect()} == want != set()
