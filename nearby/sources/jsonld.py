@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearby.functions.classify import price_range
 from nearby.functions.text import iso_duration_seconds, split_postal
+from nearby.plans.session import shared_dir
 
 BLOCK = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
-#: Levels of nesting that are searched.
-DEPTH = 6
+#: Levels of nesting that one plan walks; deeper ones are walked in rounds of as many, while there are any.
+ROUND = 6
 EVENT_TYPE = "Event$|^Festival$|^Hackathon$"
 
 
@@ -18,19 +21,36 @@ def get(node: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(node, path, kind)
 
 
+def below(level: DataFrame, key: str) -> DataFrame:
+    """The objects and lists right inside those of ``level`` (key, block, node)."""
+    level.createOrReplaceTempView("_ld_level")
+    return level.sparkSession.sql(f"select {key}, block, e.value as node from _ld_level, lateral variant_explode(node) as e where schema_of_variant(e.value) like 'OBJECT%' or schema_of_variant(e.value) like 'ARRAY%'")
+
+
 def nodes(pages: DataFrame, key: str) -> DataFrame:
-    """(key, block, level, node): every object and list item inside the page's structured data, to ``DEPTH`` levels.
+    """(key, block, level, node): every object and list inside the page's structured data, at any depth.
 
-    Levels are unrolled; each explodes the last one's values, so the work follows the data and no Python runs.
+    ``ROUND`` levels are one plan; each explodes the last one's values, so the work follows the data and no Python runs.
+    What lies deeper starts from a checkpoint, round by round until nothing does. Only blocks with brackets enough to
+    reach that deep are looked at for it, which are few.
     """
+    shared_dir(pages.sparkSession)
     blocks = pages.select(key, F.posexplode(F.regexp_extract_all("html", F.lit(BLOCK), F.lit(1))).alias("block", "text"))
-    level = blocks.select(key, "block", F.try_parse_json(F.trim("text")).alias("node")).where("node is not null")
-    found = level.withColumn("level", F.lit(0))
-    for n in range(1, DEPTH + 1):
-        level.createOrReplaceTempView("_ld_level")
-        level = level.sparkSession.sql(f"select {key}, block, e.value as node from _ld_level, lateral variant_explode(node) as e where schema_of_variant(e.value) like 'OBJECT%' or schema_of_variant(e.value) like 'ARRAY%'")
-        found = found.union(level.withColumn("level", F.lit(n)))
-    return found
+    parsed = lambda b: b.select(key, "block", F.try_parse_json(F.trim("text")).alias("node")).where("node is not null")
+    found, level = [], parsed(blocks)
+    for n in range(ROUND):
+        found.append(level.withColumn("level", F.lit(n)))
+        level = below(level, key)
+    deep = parsed(blocks.where(F.length("text") - F.length(F.translate("text", "[{", "")) > ROUND))
+    for _ in range(ROUND):
+        deep = below(deep, key)
+    deep, n = deep.checkpoint(), ROUND
+    while not deep.isEmpty():
+        for _ in range(ROUND):
+            found.append(deep.withColumn("level", F.lit(n)))
+            deep, n = below(deep, key), n + 1
+        deep = deep.checkpoint()
+    return reduce(DataFrame.union, found)
 
 
 def types(node: Column) -> Column:

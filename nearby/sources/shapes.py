@@ -176,9 +176,9 @@ def union_tiers(*tiers: DataFrame) -> DataFrame:
 
 ITEM = r"(?s)<li class=['\"][^'\"]*schedule-item[^'\"]*['\"]>(.*?)</li>"
 HEADER = r"(?i)^\s*(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?(?:\s+(?:thru|through|-)\s+[a-z]+\.?)?\s+(\d{1,2})/(\d{1,2})(?:\s*-\s*(\d{1,2})/(\d{1,2}))?"
-TIMES = r"(?i)^\s*(?:(daily|sat\s*(?:&|and)\s*sun|fri\s*(?:&|and)\s*sat|mon\s*-\s*thu)[a-z]*:?\s+)?((?:\d{1,2}:\d{2}[\s,]*)+)$"
-#: Days of the week (0 is Monday) of a qualifier of showtimes.
-QUALIFIED = {"sat": (5, 6), "fri": (4, 5), "mon": (0, 1, 2, 3)}
+TIMES = r"(?i)^([a-z&/.\s]*?)\s*((?:\d{1,2}:\d{2}\s*)+)$"
+#: Days of the week (0 is Monday) of the qualifiers of showtimes that are known; none for every day. Others are no guess of ours.
+QUALIFIED = {"": (), "daily": (), "sat & sun": (5, 6), "sat and sun": (5, 6), "sat/sun": (5, 6)}
 
 
 def schedule_items(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -189,6 +189,30 @@ def schedule_items(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return t.select(key, "title", "url", instant(F.col("at")).alias("starts")).where("title <> '' and starts is not null")
 
 
+#: A day of a month's grid with what follows to the next; a card, whole in an attribute whose own quotes are escaped; and what a card holds.
+GRID_DAY = r'(?s)id="calendar-day-(\d{4}-\d{2}-\d{2})"(.*?)(?=id="calendar-day-|<div class="calendar-footer|\z)'
+CARD, CARD_TITLE = r'data-show-card="([^"]*)"', r"(?s)<h2>(.*?)</h2>"
+CARD_LINK, CARD_NOTE = r'href="(https://[^"/]+/movies/[^"]+)"', r'(?s)<span class="show__subtitle"><p>(.*?)</p>'
+CARD_TIME = r'class="showtime(?: [^"]*)?">\s*([0-9]{1,2}:[0-9]{2}\s*[apAP]\.?[mM])\s*<'
+
+
+def month_grid(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, day, title, url, note, starts): screenings of pages that are a grid of a month's days.
+
+    A day holds cards, each an attribute with a page of its own inside, its quotes and brackets escaped. So the grid is cut into
+    days and attributes first, and a card is unescaped only once it stands alone; unescaped sooner, its quotes would end
+    the attribute. A card needs a title and a film's address; each of its times is a screening.
+    """
+    groups = lambda i: F.regexp_extract_all("html", F.lit(GRID_DAY), F.lit(i))
+    days = pages.select(key, F.explode(F.arrays_zip(groups(1).alias("day"), groups(2).alias("body"))).alias("d"))
+    cards = days.select(key, F.col("d.day").alias("day"), F.explode(F.regexp_extract_all("d.body", F.lit(CARD), F.lit(1))).alias("raw")).withColumn("card", unescape(F.col("raw")))
+    plain = lambda p: squeeze(unescape(F.regexp_replace(F.regexp_extract("card", p, 1), "<[^>]+>", "")))
+    shows = cards.select(key, "day", plain(CARD_TITLE).alias("title"), F.regexp_extract("card", CARD_LINK, 1).alias("url"), F.nullif(plain(CARD_NOTE), F.lit("")).alias("note"), F.explode(F.regexp_extract_all("card", F.lit(CARD_TIME), F.lit(1))).alias("clock"))
+    clock = F.upper(F.regexp_replace("clock", r"[.\s]", ""))
+    at = F.try_to_timestamp(F.concat_ws(" ", "day", clock), F.lit("yyyy-MM-dd h:mma")).cast("timestamp_ntz")
+    return shows.where("title <> '' and url <> ''").select(key, "day", "title", "url", "note", at.alias("starts")).where("starts is not null")
+
+
 def near_year(month: Column, day: Column, as_of: Column) -> Column:
     """A bare month and day in the year that brings it nearest ahead (120 days back to 245 on)."""
     options = [F.try_make_timestamp(F.year(as_of) + k, month, day, F.lit(0), F.lit(0), F.lit(0.0)).cast("date") for k in (0, 1, -1)]
@@ -215,12 +239,12 @@ def headed_screenings(pages: DataFrame, as_of: Column, key: str = "page_id") ->
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("span", F.last(F.when(is_head | soon, F.struct(F.when(is_head, d0).alias("a"), F.when(is_head, d1).alias("b"))), ignorenulls=True).over(w))
     x = x.withColumn("title", F.last(F.when(~is_head & ~is_times, F.col("line")), ignorenulls=True).over(w)).where(is_times & F.col("span.a").isNotNull() & (F.col("span.b") >= F.col("span.a")) & F.col("title").isNotNull())
-    q = F.lower(F.substring(part(TIMES, 1), 1, 3))
+    q = squeeze(F.lower(part(TIMES, 1)))
     days = F.explode(F.sequence("span.a", "span.b"))
     x = x.select(key, "title", q.alias("q"), part(TIMES, 2).alias("times"), days.alias("day"))
-    ok = F.col("q").isin("", "dai")
+    ok = F.lit(False)
     for name, wanted in QUALIFIED.items():
-        ok = ok | (F.col("q") == name) & F.weekday("day").isin(*wanted)
+        ok = ok | (F.col("q") == name) & (F.weekday("day").isin(*wanted) if wanted else F.lit(True))
     x = x.where(ok).select(key, "title", "day", F.explode(F.regexp_extract_all("times", F.lit(r"\d{1,2}:\d{2}"), F.lit(0))).alias("c"))
     hour = F.substring_index("c", ":", 1).cast("int")
     clock = F.format_string("%02d:%s", F.when(hour == 12, hour).otherwise(hour + 12), F.substring_index("c", ":", -1))
