@@ -391,3 +391,16 @@ AWAY_GAME = '\\b(?:at|@)\\s+[A-Z]'
 
 #: Words of a title that stay small.
 MINOR_WORDS = ("a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "into", "nor", "of", "on", "or", "the", "to", "up", "vs", "with")
+
+#: Hosts whose pages tell no price or refuse to be read. Fixed values.
+PRICELESS_HOSTS = ("ticketmaster.com", "ticketweb.com", "songkick.com", "meetup.com")
+
+#: What makes a map element a destination. Fixed values.
+THIN_KINDS = ("historic site", "historic house", "garden", "park", "landmark", "lookout")
+VISITABLE_GARDENS = ("botanical", "arboretum")
+PUBLIC_LAND = ("State Park", "State Forest", "State Historic Site", "Wild Forest", "Wildlife Management Area", "Wildlife Sanctuary", "Nature Preserve", "Multiple Use Area", "Unique Area", "County Park", "National Park", "National Wildlife Refuge", "National Historic Site")
+LINEAR_TAGS = ("highway", "railway", "route", "waterway")
+VISIT_SIGNALS = ("website", "contact:website", "url", "opening_hours", "tourism", "wikipedia", "description", "fee", "access")
+FOOD_SIGNALS = ("cuisine", "website", "contact:website", "opening_hours", "phone", "contact:phone")
+CHAIN_TAGS = ("brand", "brand:wikidata", "operator:brand")
+WEBSITE_TAGS = ("website", "contact:website", "url", "website:official")

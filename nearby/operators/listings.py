@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearby.functions import classify as C
 from nearby.functions import text as X
+from nearby.functions import vocab as V
 from nearby.operators import recur, resolve
 
 
@@ -67,12 +68,34 @@ def finalize(df: DataFrame, as_of: Column, richness: Column, order: Column, camp
     return resolve.unique_ids(drop_unlinkable(drop_finished(df, as_of)), richness, order)
 
 
-def price_worklist(df: DataFrame, cache: DataFrame, as_of: Column, limit: int = 500, fresh_days: int = 30) -> DataFrame:
-    """The pages to ask for prices: of unpriced coming listings without a fresh answer (``cache``: url, checked), busiest venues first, each page once."""
+#: Misses in a row after which a host is left alone.
+MOST_MISSES = 5
+
+
+def trailing_misses(log: DataFrame) -> DataFrame:
+    """host, misses: how many of a host's last answers in a row had no price (``log``: host, asked_at, n, price_min; ``n`` orders equal times).
+
+    The log is cut at each host's last hit and what follows is counted; both are combined before the shuffle, so a host
+    with very many answers is no hot window.
+    """
+    place = F.struct("asked_at", "n")
+    hits = log.where("price_min is not null").groupBy(F.col("host").alias("_host")).agg(F.max(place).alias("hit"))
+    tail = log.where("price_min is null").join(hits, F.col("host") == F.col("_host"), "left").where(F.col("hit").isNull() | (place > F.col("hit")))
+    counts = tail.groupBy("host").agg(F.count("*").alias("misses"))
+    return log.select("host").distinct().join(counts, "host", "left").withColumn("misses", F.coalesce("misses", F.lit(0)))
+
+
+def price_worklist(df: DataFrame, cache: DataFrame, as_of: Column, limit: int = 500, fresh_days: int = 30, log: DataFrame | None = None, most_misses: int = MOST_MISSES) -> DataFrame:
+    """The pages to ask for prices: of unpriced coming listings without a fresh answer (``cache``: url, checked; an answer without a price is
+    one), busiest venues first, each page once. Hosts that are known to tell none, and those whose last ``most_misses`` answers in
+    ``log`` had none, are left alone."""
     coming = df.where(F.col("price_min").isNull() & F.col("url").rlike("^https?://") & (F.to_date("start_at") >= as_of) & ~is_curated(F.col("id")))
+    coming = coming.withColumn("host", X.host(F.col("url"))).where(~F.col("host").isin(*V.PRICELESS_HOSTS))
     known = cache.where(F.datediff(as_of, "checked") < fresh_days).select("url")
     weight = coming.groupBy("venue_key").agg(F.count("*").alias("weight"))
     todo = coming.join(known, "url", "left_anti").join(weight, "venue_key")
+    if log is not None:
+        todo = todo.join(trailing_misses(log).where(F.col("misses") >= most_misses).select("host"), "host", "left_anti")
     return todo.groupBy("url").agg(F.max("weight").alias("weight"), F.min("start_at").alias("start_at")).orderBy(F.desc("weight"), "start_at", "url").limit(limit)
 
 
@@ -87,7 +110,7 @@ def picture_targets(places: DataFrame, verdicts: DataFrame, kinds: tuple[str, ..
 def directory_summary(places: DataFrame) -> DataFrame:
     """One row of the directory's counts: total, with_events, quiet, chains."""
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    return places.agg(F.count("*").alias("total"), n(F.col("events") > 0).alias("with_events"), n(F.col("event_info") == "quiet").alias("quiet"), n(F.col("brand").isNotNull()).alias("branded"))
+    return places.agg(F.count("*").alias("total"), n(F.col("events") > 0).alias("with_events"), n(F.col("event_info") == "none").alias("quiet"), n(F.col("brand").isNotNull()).alias("branded"))
 
 
 def reasons(df: DataFrame, column: str = "reason") -> DataFrame:
@@ -98,5 +121,6 @@ def reasons(df: DataFrame, column: str = "reason") -> DataFrame:
 def busiest(df: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` sources with most listings and their share of all."""
     n = df.groupBy("source").agg(F.count("*").alias("n"))
-    total = Window.partitionBy()  # over sources, one row each
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(total), 4)).orderBy(F.desc("n"), "source").limit(k)
+    total = n.agg(F.sum("n").alias("total")).withColumn("_one", F.lit(1))  # one row, met by k
+    top = n.orderBy(F.desc("n"), "source").limit(k).withColumn("_one", F.lit(1))
+    return top.join(total, "_one").select("source", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))

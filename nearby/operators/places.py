@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearby.functions import geo
 from nearby.functions import vocab as V
 from nearby.functions import text as X
 from nearby.functions.classify import classify_tags, cuisines, diets, place_kind_by_name, tri_state
 
 
+def website_of(tags: Column) -> Column:
+    """The first of an element's addresses that is one of the web."""
+    return F.coalesce(*(F.when(F.regexp_like(tags[k], F.lit("^https?://")), tags[k]) for k in V.WEBSITE_TAGS))
+
+
 def substantial(kind: Column, tags: Column) -> Column:
-    """Whether a place of a kind is worth a trip: a destination kind that says something beyond its name; food with a way to act on it and no fast-food brand."""
-    told = lambda *keys: sum((F.when(tags[k].isNotNull(), 1).otherwise(0) for k in keys), F.lit(0))
-    facts = told("website", "contact:website", "wikidata", "wikipedia", "phone", "contact:phone", "opening_hours", "description", "heritage", "operator")
-    food = kind.isin(*V.FOOD_KINDS)
-    actionable = told("website", "contact:website", "phone", "contact:phone", "opening_hours", "addr:street", "cuisine") > 0
-    fast_chain = (tags["amenity"] == "fast_food") & tags["brand"].isNotNull()
-    thin = kind.isin("garden", "landmark", "lookout", "park", "historic site", "shop")
-    return F.coalesce(kind.isin(*V.DESTINATIONS) & F.when(food, actionable & ~F.coalesce(fast_chain, F.lit(False))).when(thin, facts > 0).otherwise(True), F.lit(False))
+    """Whether a named map element is somewhere to go, and not a feature inside another place.
+
+    Food needs something to act on and is no branded fast food. A garden that says it is botanical counts, towers to climb
+    do and other towers don't, a park is public land or has an article, a historic thing can be visited and is no road. Other
+    thin kinds need a site, an article or a description. All else counts by its kind.
+    """
+    says = lambda *keys: F.coalesce(reduce(Column.__or__, (F.coalesce(tags[k], F.lit("")) != "" for k in keys)), F.lit(False))
+    has_key = lambda *keys: reduce(Column.__or__, (F.coalesce(F.map_contains_key(tags, k), F.lit(False)) for k in keys))
+    is_ = lambda key, *values: F.coalesce(tags[key].isin(*values), F.lit(False))
+    site = website_of(tags).isNotNull()
+    food = says(*V.FOOD_SIGNALS) & ~(is_("amenity", "fast_food") & says(*V.CHAIN_TAGS))
+    lookout = is_("tower:type", "observation", "fire") | ~is_("man_made", "tower") & (site | says("wikipedia", "description", "wikidata"))
+    worth = (
+        F.when(kind.isin(*V.FOOD_KINDS), food).when((kind == "garden") & is_("garden:type", *V.VISITABLE_GARDENS), True).when(kind == "lookout", lookout)
+        .when(kind == "park", is_("protection_title", *V.PUBLIC_LAND) | says("wikipedia")).when(kind.isin("historic site", "historic house", "landmark"), ~has_key(*V.LINEAR_TAGS) & says(*V.VISIT_SIGNALS))
+        .when(~kind.isin(*V.THIN_KINDS), True).otherwise(site | says("wikidata", "wikipedia", "heritage", "description", "opening_hours", "tourism"))
+    )
+    return F.coalesce(kind.isin(*V.DESTINATIONS) & worth, F.lit(False))
 
 
 def osm_places(elements: DataFrame) -> DataFrame:
@@ -47,17 +65,20 @@ def unmapped_cuisines(elements: DataFrame, k: int = 15) -> DataFrame:
     return tokens.where(~F.col("token").isin(known)).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(k)
 
 
-def attach_events(places: DataFrame, listings: DataFrame, min_events: int = 2) -> DataFrame:
+def attach_events(places: DataFrame, listings: DataFrame, min_events: int = 2, around: tuple[float, float, float] | None = None) -> DataFrame:
     """Places with ``events``, the listings whose venue key is their name, and rows for venues the directory lacks.
 
     Of places that share a name the first (smallest id) takes the count. A missing venue becomes a row
-    if its name says a kind or it has ``min_events`` listings. Listings are counted before any join.
+    if its name says a kind or it has ``min_events`` listings; with ``around`` (lat, lon, miles) only listings in that circle make one.
+    Listings without a point count for none. They are counted before any join.
     """
-    counts = listings.where("venue_key is not null").groupBy("venue_key").agg(F.count("*").alias("events"), F.avg("lat").alias("v_lat"), F.avg("lon").alias("v_lon"))
+    known = listings.where("venue_key is not null and lat is not null and lon is not null")
+    inside = geo.haversine_miles(F.lit(around[0]), F.lit(around[1]), F.col("lat"), F.col("lon")) <= around[2] if around else F.lit(True)
+    counts = known.groupBy("venue_key").agg(F.count("*").alias("events"), F.count_if(inside).alias("inside"), F.avg(F.when(inside, F.col("lat"))).alias("v_lat"), F.avg(F.when(inside, F.col("lon"))).alias("v_lon"))
     heads = places.groupBy(F.col("name").alias("h_name")).agg(F.min("id").alias("h_id"))
     named = heads.join(counts, F.col("h_name") == F.col("venue_key")).select("h_id", "events")
     own = places.join(named, F.col("id") == F.col("h_id"), "left").drop("h_id").withColumn("events", F.coalesce("events", F.lit(0)).cast("long"))
-    lost = counts.join(heads.select("h_name"), F.col("venue_key") == F.col("h_name"), "left_anti")
+    lost = counts.where("inside > 0").drop("events").withColumnRenamed("inside", "events").join(heads.select("h_name"), F.col("venue_key") == F.col("h_name"), "left_anti")
     kind = place_kind_by_name(F.col("venue_key"))
     rows = lost.where(kind.isNotNull() | (F.col("events") >= min_events)).select(F.concat(F.lit("venue-"), X.slug(F.col("venue_key"))).alias("id"), F.col("venue_key").alias("name"), F.coalesce(kind, F.lit("club")).alias("kind"), F.col("v_lat").alias("lat"), F.col("v_lon").alias("lon"), "events")
     return own.withColumn("from_feed", F.lit(False)).unionByName(rows.withColumn("from_feed", F.lit(True)), allowMissingColumns=True)
@@ -82,11 +103,11 @@ def chain_counts(places: DataFrame) -> DataFrame:
 
 
 def apply_audit(places: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Audit verdicts (domain, verdict, checked) on places by domain: suspect or parked sites lose their url; sites without events are quiet."""
+    """Audit verdicts (domain, verdict, checked) on places by domain: suspect or parked sites lose their url; sites without events say so of places that have none (``none``)."""
     v = verdicts.select("domain", "verdict", "checked")
     j = places.withColumn("_domain", X.domain_of(F.col("url"))).join(v, F.col("_domain") == F.col("domain"), "left")
     quiet = (F.col("verdict") == "none") & (F.coalesce("events", F.lit(0)) == 0)
-    out = j.withColumn("event_info", F.when(quiet, "quiet")).withColumn("event_checked", F.when(quiet, F.col("checked")))
+    out = j.withColumn("event_info", F.when(quiet, "none")).withColumn("event_checked", F.when(quiet, F.col("checked")))
     return out.withColumn("url", F.when(~F.coalesce(F.col("verdict").isin("suspect", "parked"), F.lit(False)), F.col("url"))).drop("_domain", "domain", "verdict", "checked")
 
 
@@ -128,9 +149,15 @@ def food_summary(places: DataFrame) -> DataFrame:
     return f.agg(F.count("*").alias("n"), share(cuisine).alias("with_cuisine"), share(F.col("opening_hours").isNotNull()).alias("with_hours"), share(F.col("brand").isNotNull()).alias("branded"))
 
 
+def exclude_known(df: DataFrame, known: DataFrame, key: str = "domain") -> DataFrame:
+    """The rows of ``df`` whose site isn't among those known already (``known``: key). Rows without one stay."""
+    return df.join(known.select(key).distinct(), key, "left_anti")
+
+
 def place_domains(places: DataFrame, known: DataFrame, k: int = 4) -> DataFrame:
     """domain, n, names (the first ``k`` by id) of sites that ``known`` (domain) lacks. Only ``k`` names of a domain are gathered."""
-    d = places.withColumn("domain", X.domain_of(F.col("url"))).where("domain is not null").join(known.select("domain"), "domain", "left_anti")
+    d = places.withColumn("domain", X.domain_of(F.col("url"))).where("domain is not null")
+    d = exclude_known(d, known)
     n = d.groupBy("domain").agg(F.count("*").alias("n"))
     few = d.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy("id"))).where(F.col("r") <= k)
     names = few.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("r", "name"))).alias("x"))
@@ -145,20 +172,48 @@ def stale(subjects: DataFrame, answers: DataFrame, policy: dict[str, int], as_of
     return j.where(due).select(key, "verdict")
 
 
-def backfill_prices(listings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Unpriced listings take the price of their page from priced nodes (page_url, node_url, price_min).
+#: Days that a price answer holds.
+PRICE_DAYS = 30
 
-    A node about the listing's own address wins; else the only priced node of its page; else the lowest of
-    nodes that name it from other pages. A stated price stays.
-    """
+
+def price_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(page, own), (page, sole), (page, sibling): the prices that pages state of themselves, that are a page's only one, and that other pages state."""
     n = nodes.where("price_min is not null").select(X.canon_url(F.col("page_url")).alias("page"), X.canon_url(F.col("node_url")).alias("node"), F.col("price_min").alias("p"))
     own = n.where("node = page").groupBy("page").agg(F.min("p").alias("own"))
     sole = n.groupBy("page").agg(F.count("*").alias("k"), F.min("p").alias("sole")).where("k = 1").select("page", "sole")
-    sibling = n.where("node <> page").groupBy(F.col("node").alias("page")).agg(F.min("p").alias("sibling"))
+    return own, sole, n.where("node <> page").groupBy(F.col("node").alias("page")).agg(F.min("p").alias("sibling"))
+
+
+def backfill_prices(listings: DataFrame, nodes: DataFrame, answers: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
+    """Unpriced listings take a price, and ``price_from`` says whose: stated, answer, own page, only one, other page, asked none, unknown.
+
+    An answer (``answers``: url, price_min, checked) of up to ``PRICE_DAYS`` days stands before a page's nodes (page_url,
+    node_url, price_min). A node about the listing's own address wins; else the only priced node of its page; else the
+    lowest of nodes that name it from other pages. A page that was asked and has no price (a fresh answer without one, or
+    nodes without one) is ``asked none``, which is an answer. A stated price stays.
+    """
     j = listings.withColumn("page", X.canon_url(F.col("url")))
-    for part in (own, sole, sibling):
+    for part in price_nodes(nodes):
         j = j.join(part, "page", "left")
-    return j.withColumn("price_min", F.coalesce("price_min", "own", "sole", "sibling")).drop("page", "own", "sole", "sibling")
+    asked = nodes.select(X.canon_url(F.col("page_url")).alias("page")).where("page is not null")
+    if answers is not None:
+        fresh = answers.where(F.datediff(as_of, "checked") < PRICE_DAYS)
+        latest = fresh.groupBy(F.col("url").alias("_url")).agg(F.max_by("price_min", "checked").alias("_answer"))
+        j = j.join(latest, F.col("url") == F.col("_url"), "left").drop("_url")
+        asked = asked.union(fresh.select(X.canon_url(F.col("url"))))
+    else:
+        j = j.withColumn("_answer", F.lit(None).cast("double"))
+    j = j.join(asked.distinct().withColumn("_asked", F.lit(True)), "page", "left")
+    said = (("stated", "price_min"), ("answer", "_answer"), ("own page", "own"), ("only one", "sole"), ("other page", "sibling"))
+    source = F.coalesce(*(F.when(F.col(c).isNotNull(), n) for n, c in said), F.when(F.col("_asked"), "asked none"), F.lit("unknown"))
+    return j.withColumn("price_from", source).withColumn("price_min", F.coalesce(*(c for _, c in said))).drop("page", "own", "sole", "sibling", "_answer", "_asked")
+
+
+def price_answers(asked: DataFrame, nodes: DataFrame, as_of: Column) -> DataFrame:
+    """url, price_min, checked: what to keep of pages asked today (``asked``: url), a null price where they state none."""
+    j = asked.select("url").distinct().withColumn("page", X.canon_url(F.col("url")))
+    own, sole, _ = price_nodes(nodes)
+    return j.join(own, "page", "left").join(sole, "page", "left").select("url", F.coalesce("own", "sole").alias("price_min"), as_of.alias("checked"))
 
 
 def geocode(candidates: DataFrame, gazetteer: DataFrame, registry: DataFrame | None = None, variants: str = "variants") -> DataFrame:

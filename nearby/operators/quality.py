@@ -96,32 +96,33 @@ def dataset_meta(df: DataFrame, source: str = "source") -> DataFrame:
 def check_places(df: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     """Findings of places: name, coordinates, kinds, cuisines, pictures by https, rating, quiet places with events, coverage, repeated ids.
 
-    With ``regions`` (id, lat, lon, radius_miles) a place has to be inside one, or a mile out at most.
+    A place without coordinates has that finding (and a missing name's, a repeated id's) alone. ``event_info`` may say ``none`` or nothing. With
+    ``regions`` (id, lat, lon, radius_miles) a place has to be inside one, or a mile out at most.
     """
     c = lambda n: F.col(n) if n in df.columns else F.lit(None).cast("string")
-    blank = lambda n: F.coalesce(c(n).cast("string"), F.lit("")) == ""
     kinds = tuple(k for k, _ in V.PLACE_KINDS)
+    placed = c("lat").isNotNull() & c("lon").isNotNull()
     rated = c("stars").isNotNull()
     rules: list[Rule] = [
-        ("error", "no name", blank("name")), ("error", "no coordinates", c("lat").isNull() | c("lon").isNull()), ("error", "latitude out of range", ~c("lat").cast("double").between(-90, 90), c("lat")),
-        ("error", "unknown kind", outside(kinds, c("kind")), c("kind")), ("error", "no kind", c("kind").isNull()), ("error", "quiet with events", (c("event_info") == "quiet") & (c("events").cast("long") > 0), c("events")),
-        ("error", "unknown event info", outside(("quiet",), c("event_info")), c("event_info")), ("error", "stars out of range", rated & ~c("stars").cast("double").between(1, 5), c("stars")),
-        ("warning", "no address or site", blank("address") & blank("url")),
+        ("error", "unknown kind", outside(kinds, c("kind")), c("kind")), ("error", "none with events", (c("event_info") == "none") & (c("events").cast("long") > 0), c("events")),
+        ("error", "unknown event info", outside(("none",), c("event_info")), c("event_info")), ("error", "stars out of range", rated & ~c("stars").cast("double").between(1, 5), c("stars")),
     ]
     rules += [("error", f"{n.replace('_', ' ')} not by https", ~c(n).startswith("https://"), c(n)) for n in ("image", "wiki_image")]
     if "stars" in df.columns:
         rules += [("error", "rating without a count or source", rated & (~F.coalesce(c("count").cast("long") > 0, F.lit(False)) | c("sources").isNull()))]
-    if "event_info" in df.columns:
-        rules += [("error", "quiet without a date", (c("event_info") == "quiet") & c("event_checked").isNull())]
     for name, known in (("kinds", kinds), ("cuisine", tuple(x for x, _ in V.CUISINES))):
         if name in df.columns:
             odd = F.array_except(name, F.array(*map(F.lit, known)))
             rules += [("error", f"unknown {name}", F.size(odd) > 0, F.array_join(odd, ","))]
+    rules = [(r[0], r[1], placed & r[2], *r[3:]) for r in rules]
+    rules += [("error", "no name", F.coalesce(c("name"), F.lit("")) == ""), ("error", "no coordinates", ~placed)]
     found = findings(df, rules).union(duplicates(df))
     if regions is None:
         return found
-    placed = df.where("lat is not null and lon is not null")
-    out = placed.join(spatial.coverage(placed, regions, 1.0).select("id"), "id", "left_anti")
+    spot = F.struct("id", "lat", "lon")  # rows of one id are each looked at
+    there = df.where(placed).withColumn("_spot", spot)
+    inside = spatial.coverage(there.select(F.col("_spot").alias("id"), "lat", "lon").distinct(), regions, 1.0).select(F.col("id").alias("_spot"))
+    out = there.join(inside, "_spot", "left_anti")
     return found.union(out.select("id", F.lit("error"), F.lit("outside every region"), F.lit(None).cast("string")))
 
 

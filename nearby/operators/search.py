@@ -201,18 +201,25 @@ class PlaceQuery:
 
 
 def search_places(places: DataFrame, q: PlaceQuery, saved_ids: DataFrame | None = None) -> DataFrame:
-    """Places that answer a query. Unknown hours are not open; a brand is not independent."""
+    """Places that answer a query. Unknown hours are not open; a brand is not independent.
+
+    The text is sought in the name, the town, and the labels of the kind and of each cuisine, one by one. Among places to visit the food
+    filters rest: hours and brands aren't asked there.
+    """
     food = F.col("kind").isin(*V.FOOD_KINDS)
     keep = {"visit": ~food, "eat": food}.get(q.scope, F.lit(True))
     if q.with_events:
         keep = keep & (F.coalesce("events", F.lit(0)) > 0)
-    if q.independents:
+    if q.independents and q.scope != "visit":
         keep = keep & F.col("brand").isNull()
-    if q.open_now:
+    if q.open_now and q.scope != "visit":
         keep = keep & (F.coalesce("minutes_left", F.lit(-1.0)) > 0)
-    if q.text:
-        labels = F.create_map(*(F.lit(x) for pair in V.PLACE_KINDS for x in pair))
-        keep = keep & haystack(F.col("name"), F.col("city"), labels[F.col("kind")]).contains(q.text.lower())
+    if q.text and q.text.strip():
+        labels = lambda pairs: F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+        said = F.array(F.col("name"), F.col("city"), labels(V.PLACE_KINDS)[F.col("kind")])
+        if "cuisine" in places.columns:
+            said = F.concat(said, F.coalesce(F.transform("cuisine", lambda c: F.coalesce(labels(V.CUISINES)[c], c)), F.array().cast("array<string>")))
+        keep = keep & F.exists(said, lambda x: F.coalesce(F.lower(x).contains(q.text.strip().lower()), F.lit(False)))
     out = places.where(keep)
     return out if saved_ids is None else out.join(saved_ids.select("id"), "id", "left_semi")
 

@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from nearby.functions import site_marks as M
 from nearby.functions import text as X
 
-ANCHOR = r"""(?is)<a\s[^>]*href=["']([^"'>]+)["'][^>]*>(.*?)</a>"""
-#: Keys of page pictures, best first.
-PICTURE_KEYS = ("og:image:secure_url", "og:image", "og:image:url", "twitter:image", "twitter:image:src")
-LOGO_WORDS = r"logo|icon|favicon|sprite|placeholder|default|avatar|blank|spacer"
-LEAST_WIDTH = 300
-
 
 def strip_html(html: Column) -> Column:
     """Visible text: without scripts, styles and tags, runs of spaces squeezed."""
@@ -28,7 +22,7 @@ def full_host(url: Column) -> Column:
 
 def anchors(url: Column, html: Column) -> Column:
     """Array of (href, label) of a page's links in page order: absolute addresses, labels without tags. Links within the page and to mail, phone or script are none."""
-    raw = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("label"))
+    raw = F.arrays_zip(F.regexp_extract_all(html, F.lit(M.ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(M.ANCHOR), F.lit(2)).alias("label"))
     real = F.filter(raw, lambda a: ~F.lower(F.trim(a["href"])).rlike("^(#|mailto:|tel:|javascript:)"))
     return F.transform(real, lambda a: F.struct(resolve(url, F.trim(a["href"])).alias("href"), F.trim(strip_html(a["label"])).alias("label")))
 
@@ -41,38 +35,76 @@ def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return a.select(key, "pos", "href", "label", kind.alias("kind"), (full_host(F.col("href")) == full_host(F.col("url"))).alias("same_site"))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash, with its ``.`` and ``..`` steps taken; none leads above the root."""
+    steps = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    here, up = lambda x: x == ".", lambda x: x == ".."
+    taken = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, x: F.when(here(x), acc).when(up(x), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)))
+    last = F.element_at(steps, -1)
+    return F.concat(F.lit("/"), F.array_join(F.when(here(last) | up(last), F.array_append(taken, F.lit(""))).otherwise(taken), "/"))
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """An absolute address of a link on a page."""
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(F.concat(root, X.path(base)), r"^(.*/)[^/]*$", 1)
+    """The absolute address of a reference on a page, by RFC 3986: other schemes as they are, else scheme, host, path, query and
+    fragment, each the reference's own or the page's. Addresses of the web have their dots taken too."""
+    of = lambda text, i: F.regexp_extract(text, r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?", i)
+    page = F.when(base.contains("://"), base).otherwise(F.concat(F.lit("https://"), base))
+    host, path, query, fragment = (of(href, i) for i in (2, 3, 4, 5))
+    tidy = lambda p: F.when(p == "", "").when(p.startswith("/"), without_dots(p)).otherwise(p)
+    root, home = F.concat(of(page, 1), F.lit("://"), of(page, 2)), of(page, 3)
+    folder = F.when(home == "", "/").otherwise(F.regexp_extract(home, r"^(.*/)[^/]*$", 1))
+    own_host = href.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//")
     return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(root, href))
-        .otherwise(F.concat(F.when(F.length(folder) > F.length(root), folder).otherwise(F.concat(root, F.lit("/"))), href))
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~own_host, href)
+        .when(own_host, F.concat(F.when(of(href, 1) != "", of(href, 1)).otherwise(of(page, 1)), F.lit("://"), host, tidy(path), query, fragment))
+        .when(path == "", F.concat(root, home, F.when(query != "", query).otherwise(of(page, 4)), fragment))
+        .otherwise(F.concat(root, without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))), query, fragment))
+    )
+
+
+def why_not(url: Column, width: Column) -> Column:
+    """Why an address isn't a picture of a place, or null: no web address, an icon's format, a logo's words in its path, a host that has none,
+    a width stated by the page or in the address that is too small. The first that holds."""
+    host = F.regexp_extract(url, r"^https://([^/?#]*)", 1)
+    path = F.lower(F.coalesce(F.try_url_decode(F.regexp_replace(X.path(url), r"\+", "%2B")), X.path(url)))
+    icon = F.greatest(*(path.endswith(x) for x in M.ICON_FORMATS))
+    said = F.regexp_extract(url, r"[/,_?&](?:w_|width=|w=)(\d+)", 1).try_cast("int")
+    return (
+        F.when(F.coalesce(host, F.lit("")) == "", "not a web address").when(icon, "icon format").when(X.has(path, M.NOT_A_PICTURE), "looks like a logo")
+        .when(F.replace(host, F.lit("www."), F.lit("")).isin(*M.NOT_PICTURE_HOSTS), "facebook asset").when(F.coalesce(width < M.LEAST_WIDTH, F.lit(False)), "too small").when(F.coalesce(said < M.LEAST_WIDTH, F.lit(False)), "too small in the address")
     )
 
 
 def picture_ok(url: Column, width: Column) -> Column:
-    """Whether an address may be a photograph: https, no icon format or logo word, not stated to be small."""
-    small = F.regexp_extract(url, r"(?i)[-_x=/](\d{2,4})x\d{2,4}\b", 1).try_cast("int") < LEAST_WIDTH
-    return url.startswith("https://") & ~X.has(url, r"\.(svg|ico|gif)(\?|$)") & ~X.has(url, LOGO_WORDS) & ~F.coalesce(width < LEAST_WIDTH, F.lit(False)) & ~F.coalesce(small, F.lit(False))
+    """Whether an address may be a photograph of a place."""
+    return F.coalesce(url, F.lit("")).startswith("https://") & why_not(url, width).isNull()
 
 
-def page_pictures(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, image) of the picture a page's head names: the first of the best key it has. If that one can't be a photograph there is none.
+def declared_pictures(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, image, why): the picture that each page's head names, the first of the best key it has, or why it has none.
 
-    ``og:image:width`` is the stated width of the page's picture.
+    Values may stand in quotes of either kind or in none. A link to a picture counts where no key is there. ``og:image:width`` is
+    the stated width of the page's picture. If the named picture isn't one of a place, no other is looked for.
     """
-    head = F.regexp_extract("html", r"(?is)^(.*?)(?:</head>|<body\b|$)", 1)
-    meta = pages.select(key, "url", F.posexplode(F.regexp_extract_all(head, F.lit(r"(?is)<(?:meta|link)\b[^>]*>"), F.lit(0))).alias("pos", "m"))
-    attr = lambda n: F.regexp_extract("m", rf"""(?is)\b{n}\s*=\s*["']([^"']*)["']""", 1)
+    head = F.regexp_extract("html", r"(?is)^(.*?)(?:</head|<body\b|$)", 1)
+    tags = pages.select(key, "url", F.posexplode_outer(F.regexp_extract_all(head, F.lit(r"(?is)<(?:meta|link)\b[^>]*>"), F.lit(0))).alias("pos", "m"))
+    attr = lambda n: F.coalesce(*(F.nullif(F.regexp_extract("m", rf"""(?is)[\s"']{n}\s*=\s*{v}""", 1), F.lit("")) for v in ('"([^"]*)"', "'([^']*)'", r"""([^\s>"']+)""")), F.lit(""))
+    meta = F.lower("m").startswith("<meta")
     name = F.lower(F.when(attr("property") != "", attr("property")).otherwise(attr("name")))
-    rank = F.array_position(F.array(*map(F.lit, PICTURE_KEYS)), name)
-    rank = F.when(rank > 0, rank).when(F.lower(attr("rel")) == "image_src", len(PICTURE_KEYS) + 1)
-    value = F.when(attr("content") != "", attr("content")).otherwise(attr("href"))
+    rank = F.array_position(F.array(*map(F.lit, M.PICTURE_KEYS)), name)
+    rank = F.when(meta & (rank > 0), rank).when(~meta & (F.lower(attr("rel")) == "image_src"), len(M.PICTURE_KEYS) + 1)
+    value = F.when(meta, attr("content")).otherwise(attr("href"))
     image = F.regexp_replace(resolve(F.col("url"), F.trim(X.unescape(value))), "^http://", "https://")
-    found = meta.select(key, "pos", rank.alias("rank"), image.alias("image"), (value != "").alias("said"), F.when(name == "og:image:width", value.try_cast("int")).alias("width"))
-    first = F.min(F.when((F.col("rank") > 0) & F.col("said"), F.struct("rank", "pos", "image"))).alias("b")
-    return found.groupBy(key).agg(first, F.max("width").alias("width")).where(picture_ok(F.col("b.image"), F.col("width"))).select(key, "b.image")
+    found = tags.select(key, "pos", rank.alias("rank"), image.alias("image"), (value != "").alias("said"), F.when(meta & (name == "og:image:width"), F.floor(value.try_cast("double"))).alias("width"))
+    best = F.min(F.when((F.col("rank") > 0) & F.col("said"), F.struct("rank", "pos", "image"))).alias("b")
+    page = found.groupBy(key).agg(best, F.max_by("width", F.when(F.col("width").isNotNull(), F.col("pos"))).alias("width"))
+    why = F.when(F.col("b").isNull(), "no og:image").otherwise(why_not(F.col("b.image"), F.col("width")))
+    return page.select(key, F.when(why.isNull(), F.col("b.image")).alias("image"), why.alias("why"))
+
+
+def page_pictures(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, image) of the pages whose heads name a picture of a place."""
+    return declared_pictures(pages, key).where("image is not null").select(key, "image")
 
 
 def picture_report(asked: DataFrame, answers: DataFrame) -> DataFrame:
