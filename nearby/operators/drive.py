@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearby.functions import geo
+from nearby.functions import vocab as V
 from nearby.operators import spatial
 
 #: Miles from the last trusted fix before a bearing is trusted; miles an hour above which a stated heading is; metres a second to miles an hour.
@@ -77,8 +78,8 @@ def alert_step(kept: Kept, row) -> tuple[Kept, str | None]:
     return (run, arrived, last), None
 
 
-def along(df: DataFrame, order: str, new: Kept, step: Callable, out: Callable, schema: str) -> DataFrame:
-    """``step`` over each car's rows in time order.
+def along(df: DataFrame, order: str, new: Kept, step: Callable, out: Callable, schema: str, sort: tuple = ("fix_at", "event_id")) -> DataFrame:
+    """``step`` over each car's rows in time order (``sort``).
 
     A fix depends on all before it, so a car's rows pass through one task; they stream through it in sorted batches
     and only a car's state is held, whatever its number of fixes.
@@ -95,7 +96,7 @@ def along(df: DataFrame, order: str, new: Kept, step: Callable, out: Callable, s
                 rows += out(row, made)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return df.withColumnRenamed(order, "event_id").repartition("car").sortWithinPartitions("car", "fix_at", "event_id").mapInPandas(run, schema).withColumnRenamed("event_id", order)
+    return df.withColumnRenamed(order, "event_id").repartition("car").sortWithinPartitions("car", *sort).mapInPandas(run, schema).withColumnRenamed("event_id", order)
 
 
 def tracked_row(row, made: tuple) -> list[tuple]:
@@ -130,18 +131,37 @@ def route_alerts(located: DataFrame, order: str = "event_id") -> DataFrame:
     return along(f, order, NEW_ALERTS, alert_step, alert_row, ALERTED)
 
 
-def interest(df: DataFrame, weights: dict[str, float], levels: dict[str, float], default: float = 1.0, keep_chains: bool = True, chains_off: tuple[str, ...] = (), cuisines: dict[str, float] | None = None) -> DataFrame:
+#: What a favourite cuisine and the other extras of a place count.
+LOVED, LIKED, ON_NOW, DESCRIBED, LINKED = 2.0, 3.0, 2.0, 0.5, 0.3
+
+
+def interest(
+    df: DataFrame, weights: dict[str, float], levels: dict[str, float], default: float = 1.0, keep_chains: bool = True, chains_off: tuple[str, ...] = (), cuisines: dict[str, float] | None = None,
+    hungry: bool = True, food_types: tuple[str, ...] = V.FOOD_KINDS, liked_rescues: bool = True, cuisines_off: tuple[str, ...] = (), muted: DataFrame | None = None,
+) -> DataFrame:
     """``df`` with ``score``: weight of its type times the reader's level, and extras for what is known and on. A score of 0 goes.
 
-    Chains go altogether or those of ``chains_off``; food gets the best of the reader's ``cuisines`` that it serves on top.
+    Chains go altogether or those of ``chains_off``; places of a name in ``muted`` (name) go. Types of food are nothing to a reader
+    who isn't ``hungry``. Food whose whole menu is in ``cuisines_off`` goes (a menu that isn't stated is "none"); of the rest it gets the
+    best of the reader's ``cuisines`` on top. A ``liked`` place of a type that counts nothing counts as 1 (``liked_rescues``).
     """
     of = lambda m, k: F.create_map(*(F.lit(x) for pair in m.items() for x in pair))[k] if m else F.lit(None).cast("double")
+    food = F.coalesce(F.col("drive_type").isin(*food_types), F.lit(False)) if food_types else F.lit(False)
     base = F.coalesce(of(weights, F.col("drive_type")), F.lit(default)) * F.coalesce(of(levels, F.col("drive_type")), F.lit(1.0))
+    base = base if hungry else F.when(food, 0.0).otherwise(base)
     extra = lambda name, n: F.when(F.coalesce(F.col(name).cast("string"), F.lit("")) != "", n).otherwise(0.0) if name in df.columns else F.lit(0.0)
-    flag = lambda name, n: F.when(F.coalesce(F.col(name), F.lit(False)), n).otherwise(0.0) if name in df.columns else F.lit(0.0)
-    liked = F.coalesce(F.array_max(F.transform("cuisine", lambda x: F.coalesce(of(cuisines, x), F.lit(0.0)))), F.lit(0.0)) if cuisines and "cuisine" in df.columns else F.lit(0.0)
-    score = F.when(base > 0, base + extra("description", 0.5) + extra("url", 0.3) + flag("liked", 3.0) + flag("loved", 2.0) + flag("on_now", 2.0) + liked).otherwise(0.0)
-    out = df.withColumn("score", score).where("score > 0")
+    true = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
+    flag = lambda name, n: F.when(true(name), n).otherwise(0.0)
+    stated = F.col("cuisine") if "cuisine" in df.columns else F.array().cast("array<string>")
+    menu = F.when(F.coalesce(F.size(stated), F.lit(0)) > 0, stated).otherwise(F.array(F.lit("none")))
+    liked = F.coalesce(F.array_max(F.transform(menu, lambda x: F.coalesce(of(cuisines, x), F.lit(0.0)))), F.lit(0.0)) if cuisines else F.lit(0.0)
+    if liked_rescues:
+        base = F.when((base <= 0) & true("liked"), 1.0).otherwise(base)
+    score = F.when(base > 0, base + extra("description", DESCRIBED) + extra("url", LINKED) + flag("liked", LIKED) + flag("loved", LOVED) + flag("on_now", ON_NOW) + F.when(food, liked).otherwise(0.0)).otherwise(0.0)
+    out = df if muted is None else df.join(muted.select("name").distinct(), "name", "left_anti")
+    if cuisines_off:
+        out = out.where(~(food & F.forall(menu, lambda x: x.isin(*cuisines_off))))
+    out = out.withColumn("score", score).where("score > 0")
     if not keep_chains:
         return out.where("chain is null")
     return out.where(F.col("chain").isNull() | ~F.col("chain").isin(*chains_off)) if chains_off else out
@@ -170,7 +190,7 @@ def ahead_by_heading(positions: DataFrame, places: DataFrame, detour: float = 20
     reach = look_ahead(F.col("speed"))
     far = F.hypot(reach, min(10.0, 0.35 * detour) + 0.15 * reach)
     c = positions.where("heading is not null").select("car", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), "heading", reach.alias("reach"), F.explode(spatial.reach_cells(F.col("lat"), F.col("lon"), far, size)).alias("c"))
-    p = places.select("id", "lat", "lon", geo.cell(F.col("lon"), size).alias("cx"), geo.cell(F.col("lat"), size).alias("cy"))
+    p = places.select("id", "lat", "lon", *spatial.own_cell(size))
     met = p.join(c, (F.col("cx") == F.col("c.cx")) & (F.col("cy") == F.col("c.cy")))
     x, y = geo.planar_xy(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
     hx, hy = geo.heading_vector(F.col("heading"))
@@ -215,15 +235,28 @@ def rank_ahead(df: DataFrame, k: int = MOST_AHEAD) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def on_now(listings: DataFrame, now: Column) -> DataFrame:
-    """One-off events that are on: timed ones of up to 12 hours that begin within the hour and have 15 minutes left, and longer ones of up to
-    four days between 10 and 18 o'clock."""
-    start, end = F.unix_seconds(F.col("start_at").cast("timestamp")), F.unix_seconds(F.col("end_at").cast("timestamp"))
-    at = F.unix_seconds(now.cast("timestamp"))
-    once = ~F.coalesce("repeats", F.lit(False)) & F.col("end_at").isNotNull()
+#: Hours that an event without a stated end lasts, about.
+USUAL_HOURS = 2.0
+
+
+def on_now(listings: DataFrame, now: Column, hidden: DataFrame | None = None) -> DataFrame:
+    """One-off events that are on: those of up to 12 hours that begin within the hour or have 15 minutes left, and longer ones of up to
+    four days between 10 and 18 o'clock.
+
+    Without a stated end an event lasts ``duration_min`` minutes, if that is a column and stated, else ``USUAL_HOURS``; one that begins at
+    midnight and states no end says only that it is some time that day and is left out, like series, events without a
+    point, those for kids alone and those ``hidden`` (id).
+    """
+    start = F.unix_seconds(F.col("start_at").cast("timestamp"))
+    usual = F.coalesce(F.col("duration_min").cast("double") * 60, F.lit(USUAL_HOURS * 3600)) if "duration_min" in listings.columns else F.lit(USUAL_HOURS * 3600)
+    end, at = F.coalesce(F.unix_seconds(F.col("end_at").cast("timestamp")).cast("double"), start + usual), F.unix_seconds(now.cast("timestamp"))
+    vague = F.col("end_at").isNull() & (F.date_format("start_at", "HH:mm") == "00:00")
+    kids = F.coalesce(F.col("audience") == "kids", F.lit(False)) if "audience" in listings.columns else F.lit(False)
+    once = ~F.coalesce("repeats", F.lit(False)) & F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~kids & ~vague & (end > start)
     short = (end - start <= 12 * 3600) & (start <= at + 3600) & (end >= at + 900)
     long = (end - start > 12 * 3600) & (end - start <= 4 * 86400) & (start <= at) & (end >= at) & F.hour(now).between(10, 17)
-    return listings.where(once & (short | long))
+    out = listings.where(once & (short | long))
+    return out if hidden is None else out.join(hidden.select("id").distinct(), "id", "left_anti")
 
 
 def candidate_pool(places: DataFrame, events: DataFrame) -> DataFrame:
@@ -236,9 +269,129 @@ def candidate_pool(places: DataFrame, events: DataFrame) -> DataFrame:
     return mine.unionByName(alone)
 
 
+MOVES = "car long, tick long, id string, move string"
+#: A car's deck without stops at the start.
+NEW_DECK: Kept = ((), 0.0)
+#: Positions of a tick go before its candidates, better candidates before others.
+DECK_ORDER, DECK_ASCENDING = ["tick", "kind", "value", "id"], [True, True, False, True]
+
+
+def deck_step(k: int, margin: float, far: float) -> Callable:
+    """The next deck of a car and its moves (id, move) at a row of ``deck_events``.
+
+    A position passes the stops whose place the odometer has reached; they leave the deck. A candidate enters while there
+    are fewer than ``k``; a full deck takes it only for its weakest stop still more than ``far`` miles ahead, if better by more
+    than ``margin``.
+    """
+
+    def step(kept: Kept, row) -> tuple[Kept, list[tuple[str, str]]]:
+        held, odometer = kept
+        if row.kind == 0:
+            odometer = max(odometer, row.odometer)
+            passed = sorted(h[0] for h in held if h[2] <= odometer)
+            return (tuple(h for h in held if h[2] > odometer), odometer), [(i, "passed") for i in passed]
+        if row.ahead <= 0 or any(h[0] == row.id for h in held):
+            return kept, []
+        new = (row.id, row.value, odometer + row.ahead)
+        if len(held) < k:
+            return ((*held, new), odometer), [(row.id, "in")]
+        weakest = min(((h[1], h[0]) for h in held if h[2] - odometer > far), default=None)
+        if weakest is None or row.value <= weakest[0] + margin:
+            return kept, []
+        return (tuple(h for h in held if h[0] != weakest[1]) + (new,), odometer), [(weakest[1], "out"), (row.id, "in")]
+
+    return step
+
+
+def deck_events(candidates: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """car, tick, kind, odometer, id, value, ahead: positions (kind 0) and candidates (1) as rows of one table."""
+    none = lambda t: F.lit(None).cast(t)
+    c = candidates.select("car", F.col("tick").cast("long").alias("tick"), F.lit(1).alias("kind"), none("double").alias("odometer"), "id", F.col("value").cast("double").alias("value"), F.col("ahead").cast("double").alias("ahead")).where("value is not null and ahead is not null")
+    if positions is None:
+        return c
+    p = positions.select("car", F.col("tick").cast("long").alias("tick"), F.lit(0).alias("kind"), F.col("odometer").cast("double").alias("odometer"), none("string").alias("id"), none("double").alias("value"), none("double").alias("ahead"))
+    return p.where("odometer is not null").union(c)
+
+
+def deck_moves(candidates: DataFrame, positions: DataFrame | None = None, k: int = MOST_AHEAD, margin: float = 1.0, far: float = 7.0) -> DataFrame:
+    """car, tick, id, move (in, out, passed): what enters and leaves each car's deck of at most ``k`` stops, see ``deck_step``."""
+    e = deck_events(candidates, positions).withColumn("_row", F.lit(0))
+    out = lambda row, moves: [(row.car, row.tick, *m) for m in moves]
+    return along(e, "_row", NEW_DECK, deck_step(k, margin, far), out, MOVES, ("tick", "kind", F.desc("value"), "id"))
+
+
+#: Miles of a route whose samples are one window.
+STRETCH_MILES = 500.0
+
+
 def town_lines(samples: DataFrame, most: float = 2.0) -> DataFrame:
-    """route_id, at, town: where adjacent samples (route_id, at, town) up to ``most`` miles apart change town."""
-    w = Window.partitionBy("route_id").orderBy("at")
-    s = samples.withColumn("before", F.lag("town").over(w)).withColumn("at0", F.lag("at").over(w))
-    changed = ~F.col("town").eqNullSafe(F.col("before")) & F.col("before").isNotNull() & F.col("town").isNotNull()
-    return s.where(changed & (F.col("at") - F.col("at0") <= most)).select("route_id", ((F.col("at") + F.col("at0")) / 2).alias("at"), "town")
+    """route_id, at, town: where adjacent samples (route_id, at, town) up to ``most`` miles apart change town. Samples without a town are none.
+
+    Neighbours are found by stretches of the route, then across them, so a long route is many tasks.
+    """
+    s = samples.where("town is not null").select("route_id", "at", "town", F.floor(F.col("at") / STRETCH_MILES).alias("b"))
+    own, by_stretch = Window.partitionBy("route_id", "b").orderBy("at"), Window.partitionBy("route_id").orderBy("b")
+    tails = s.groupBy("route_id", "b").agg(F.max(F.struct("at", "town")).alias("t")).select("route_id", "b", F.lag("t").over(by_stretch).alias("tail"))
+    s = s.withColumn("before", F.lag(F.struct("at", "town")).over(own)).join(tails, ["route_id", "b"]).withColumn("before", F.coalesce("before", "tail"))
+    changed = (F.col("town") != F.col("before.town")) & (F.col("at") - F.col("before.at") <= most)
+    return s.where(changed).select("route_id", ((F.col("at") + F.col("before.at")) / 2).alias("at"), "town")
+
+
+#: Miles behind and ahead of its last place that a car is sought first, and miles off the route within which that counts.
+BEHIND, AHEAD, NEAR_ROUTE = 3.0, 15.0, 1.0
+FOLLOWED = "car long, fix_at timestamp, event_id long, route_id long, along double, off double"
+NEW_PLACE: Kept = (None, None)
+
+
+def nearest(hits) -> tuple[float, float] | None:
+    """off and along of the nearest segment, the first of equals."""
+    best = min(((h["off"], h["seq"], h["along"]) for h in hits), default=None)
+    return best and (best[0], best[2])
+
+
+def follow_step(kept: Kept, row) -> tuple[Kept, tuple[float, float]]:
+    """The next place of a car on its route: near its last one if the route is near there, else the nearest of the whole route."""
+    route, hint = kept
+    hits = [] if row.hits is None else row.hits
+    found = None
+    if hint is not None and route == row.route_id:
+        found = nearest(h for h in hits if h["cum1"] >= hint - BEHIND and h["cum0"] <= hint + AHEAD)
+    found = found or nearest(hits) or (row.far_off, row.far_along)
+    return (row.route_id, found[1]), found
+
+
+def followed_row(row, made: tuple[float, float]) -> list[tuple]:
+    return [(row.car, row.fix_at, row.event_id, row.route_id, made[1], made[0])]
+
+
+def follow_route(fixes: DataFrame, segments: DataFrame, order: str = "event_id") -> DataFrame:
+    """car, fix_at, order, route_id, along, off of fixes (car, route_id, fix_at, order, lat, lon) on their cars' routes.
+
+    A route that crosses itself or doubles back doesn't make a car jump: the next fix is sought from ``BEHIND`` miles behind
+    to ``AHEAD`` miles ahead of the last place, and on the whole route only if that window has nothing within ``NEAR_ROUTE``
+    miles. Segments within that reach come from a grid join for all fixes at once; fixes far from their route look in ever
+    wider corridors. Only the choice among a fix's few segments is made car by car. A fix without a position, or whose
+    route has no segment, isn't followed.
+    """
+    f = fixes.where("lat is not null and lon is not null and route_id is not null").join(segments.select("route_id").distinct(), "route_id", "left_semi")
+    f = f.select("car", "route_id", F.col("fix_at").cast("timestamp").alias("fix_at"), order, "lat", "lon")
+    points = f.select(F.struct("car", "route_id", "fix_at", order, "lat", "lon").alias("id"), "route_id", "lat", "lon").distinct()
+    hits = spatial.segment_hits(points, segments, NEAR_ROUTE, own_route=True).groupBy("id").agg(F.collect_list(F.struct("off", "seq", "along", "cum0", "cum1")).alias("hits")).checkpoint()
+    far, lost, corridor = [], points.join(hits.select("id"), "id", "left_anti").checkpoint(), NEAR_ROUTE
+    while not lost.isEmpty() and corridor < 1e6:
+        corridor *= 10
+        found = spatial.segment_hits(lost, segments, corridor, own_route=True).groupBy("id").agg(F.min(F.struct("off", "seq", "along")).alias("b"))
+        far.append(found.select("id", F.col("b.off").alias("far_off"), F.col("b.along").alias("far_along")).checkpoint())
+        lost = lost.join(far[-1].select("id"), "id", "left_anti").checkpoint()
+    none = F.lit(None).cast("double")
+    rows = hits.select("id", "hits", none.alias("far_off"), none.alias("far_along"))
+    for found in far:
+        rows = rows.unionByName(found.withColumn("hits", F.lit(None).cast(hits.schema["hits"].dataType)))
+    at = f.withColumn("id", F.struct("car", "route_id", "fix_at", order, "lat", "lon")).join(rows, "id")
+    return along(at.select("car", "route_id", "fix_at", order, "hits", "far_off", "far_along"), order, NEW_PLACE, follow_step, followed_row, FOLLOWED)
+
+
+def progress(followed: DataFrame, segments: DataFrame) -> DataFrame:
+    """``followed`` with ``left``, the miles to the end of the route, as ``route_alerts`` takes it."""
+    ends = segments.groupBy("route_id").agg(F.max("cum1").alias("_length"))
+    return followed.join(ends, "route_id").withColumn("left", F.col("_length") - F.col("along")).drop("_length")

@@ -94,7 +94,7 @@ def _(s, d):
 @query("shape_concerts", "select concat('https://c.example/', o_orderkey) as uid, lat, lon from v_listings where o_orderkey % 40 = 0", "v_listings")
 def _(s, d):
     geo = F.struct(F.when(F.col("o_orderkey") % 40 == 0, F.col("lat")).alias("latitude"), F.col("lon").alias("longitude"))
-    item = F.concat(F.lit('{"@type":"MusicEvent",'), F.substring(obj(name=F.col("title"), url=F.concat(F.lit("https://c.example/"), key()), startDate=F.date_format("start_at", "yyyy-MM-dd'T'HH:mm:ss"), location=F.struct(F.lit("Hall").alias("name"), geo.alias("geo"))), 2, 1 << 12))
+    item = F.concat(F.lit('{"@type":"MusicEvent",'), F.substring(obj(name=F.col("title"), url=F.concat(F.lit("https://c.example/"), key()), startDate=F.date_format("start_at", "yyyy-MM-dd'T'HH:mm:ss"), location=F.struct(F.lit("Hall").alias("name"), geo.alias("geo"))), F.lit(2), F.lit(2_147_483_647)))
     return shapes.shape(payloads(s, d, item, ("[", "]")), "concerts").select("uid", "lat", "lon")
 
 
@@ -118,7 +118,7 @@ def _(s, d):
 
 @query("headed_screenings", """select page_id, 'Film ' || page_id as title, (date '2024-08-30' + k::int)::varchar as day, case when isodow(date '2024-08-30' + k::int) in (6, 7) then '13:15,16:00,19:30' else '16:00,19:30' end as clocks from pages, range(0, 6) t(k)""")
 def _(s, d):
-    programme = F.concat(F.lit("<h2>Fri thru Wed 8/30 - 9/4</h2><p>Film "), F.col("page_id").cast("string"), F.lit("</p><p>4:00 7:30</p><p>Sat & Sun: 1:15 10:00</p><p>Coming soon</p><p>Other</p><p>5:00</p>"))
+    programme = F.concat(F.lit("<h2>Fri thru Wed 8/30 - 9/4</h2><p>Film "), F.col("page_id").cast("string"), F.lit("</p><p>4:00 7:30</p><p>Sat & Sun 1:15 10:00</p><p>Fri & Sat 5:00</p><p>Coming soon</p><p>Other</p><p>5:00</p>"))
     p = view(s, d, "pages").withColumn("html", F.concat(programme, "html"))
     return shapes.headed_screenings(p, F.lit("2024-08-01").cast("date"))
 
@@ -150,7 +150,7 @@ HOST, PATH = "lower(regexp_extract({0}, '^[A-Za-z]+://([^/?#]*)', 1))", "regexp_
 quoted = lambda p: "'" + p.replace("'", "''") + "'"
 says = lambda c, p: f"regexp_matches({c}, {quoted(p)}, 'i')"
 times = lambda c, p: f"len(regexp_extract_all({c}, {quoted(p)}, 0, 'i'))"
-ANCHORS = quoted(web.ANCHOR.replace("(?is)", ""))
+ANCHORS = quoted(M.ANCHOR.replace("(?is)", ""))
 LINKS = f"""a0 as (select page_id, url, unnest(regexp_extract_all(html, {ANCHORS}, 1, 'is')) as href, unnest(regexp_extract_all(html, {ANCHORS}, 2, 'is')) as label, generate_subscripts(regexp_extract_all(html, {ANCHORS}, 1, 'is'), 1) as i from v_site_pages where html is not null),
 a1 as (select page_id, url, i, regexp_replace(case when href like 'http%' then href else regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || href end, '#.*$', '') as href, trim({TEXT.format("label")}) as label from a0 where not regexp_matches(lower(trim(href)), '^(#|mailto:|tel:|javascript:)')),
 a2 as (select *, {HOST.format("href")} = {HOST.format("url")} as same, {PATH.format("href")} || ' ' || label as hay, {PATH.format("href")} || ' ' || regexp_extract(href, '[?]([^#]*)', 1) || ' ' || label as far, regexp_replace({HOST.format("href")}, '^www[.]', '') as bare from a1),

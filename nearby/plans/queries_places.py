@@ -72,7 +72,7 @@ def _(s, d):
     return places.chain_counts(branded(s, d))
 
 
-VERDICTS = "select concat('site', cast(c_custkey as varchar(20)), '.example.com') as domain, case cast(c_custkey % 4 as int) when 0 then 'suspect' when 1 then 'parked' when 2 then 'none' else 'listings' end as verdict, date '2024-01-01' - cast(c_custkey % 90 as int) as checked, case when c_custkey % 8 = 2 then null else 'abc' end as sig from customer"
+VERDICTS = "select concat('site', cast(c_custkey as varchar(20)), '.example.com') as domain, case cast(c_custkey % 7 as int) when 0 then 'suspect' when 1 then 'parked' when 2 then 'none' when 3 then 'none' else 'listings' end as verdict, date '2024-01-01' - cast(c_custkey % 90 as int) as checked, case when c_custkey % 8 = 2 then null else 'abc' end as sig from customer"
 
 
 def verdicts(s, d):
@@ -80,9 +80,10 @@ def verdicts(s, d):
     return s.sql(VERDICTS)
 
 
-@query("apply_audit", f"with v as ({VERDICTS}), p as (select *, concat('site', cast(c_custkey % 300 as varchar(20)), '.example.com') as domain from v_places where url is not null) select id, case when verdict in ('suspect', 'parked') then null else url end as url, case when verdict = 'none' then 'quiet' end as event_info from p left join v using (domain)", "v_places")
+@query("apply_audit", f"with v as ({VERDICTS}), p as (select *, concat('site', cast(c_custkey % 300 as varchar(20)), '.example.com') as domain from v_places where url is not null) select id, case when verdict in ('suspect', 'parked') then null else url end as url, case when verdict = 'none' and c_custkey % 3 = 0 then 'none' end as event_info, case when verdict = 'none' and c_custkey % 3 = 0 then checked::varchar end as event_checked from p left join v using (domain)", "v_places")
 def _(s, d):
-    return places.apply_audit(view(s, d, "v_places").where("url is not null").withColumn("events", F.lit(0)), verdicts(s, d)).select("id", "url", "event_info")
+    p = view(s, d, "v_places").where("url is not null").withColumn("events", F.col("c_custkey") % 3)
+    return places.apply_audit(p, verdicts(s, d)).select("id", "url", "event_info", "event_checked")
 
 
 @query("stale_answers", f"with v as ({VERDICTS}), p as (select distinct concat('site', cast(c_custkey % 300 as varchar(20)), '.example.com') as domain from v_places where url is not null) select domain, verdict from p left join v using (domain) where checked is null or date '2024-01-15' - checked >= case verdict when 'none' then 30 when 'listings' then 60 when 'suspect' then 7 else 0 end", "v_places")
@@ -213,7 +214,7 @@ SCORED = "select id, kind as drive_type, brand as chain, url, city as descriptio
 
 
 @query("rank_ahead", f"""with p as ({SCORED}), s as (select *, case drive_type when 'museum' then 3.0 when 'park' then 0.0 when 'restaurant' then 2.0 * 1.5 else 1.0 end as base from p),
-v as (select *, base + (coalesce(description, '') <> '')::int * 0.5 + (url is not null)::int * 0.3 + liked::int * 3.0 + on_now::int * 2.0 as score from s where base > 0 and chain is null),
+b as (select * exclude (base), case when base <= 0 and liked then 1.0 else base end as base from s), v as (select *, base + (coalesce(description, '') <> '')::int * 0.5 + (url is not null)::int * 0.3 + liked::int * 3.0 + on_now::int * 2.0 as score from b where base > 0 and chain is null),
 w as (select *, score - 0.15 * detour as value from v where detour <= 20 and (minutes_left is null or minutes_left >= case when food then 20 else 30 end)),
 r as (select *, row_number() over (partition by car order by value desc, ahead, id) as rank from w) select car, id, round(value, 6) as value, rank::int as rank from r where rank <= 16""", "v_places")
 def _(s, d):
@@ -230,11 +231,6 @@ def _(s, d):
     return drive.shortlist(c).select("car", "id", F.round("guess", 6).alias("guess"), "rank")
 
 
-@query("on_now", f"with x as (select *, timestamp '{NOW}' as now from v_listings where not repeats and end_at is not null) select id from x where epoch(end_at - start_at) > 43200 and epoch(end_at - start_at) <= 345600 and start_at <= now and end_at >= now", "v_listings")
-def _(s, d):
-    return drive.on_now(listings(s, d), F.lit(NOW).cast("timestamp_ntz")).select("id")
-
-
 @query("candidate_pool", """with e as (select lower(case when o_orderkey % 2 = 0 then venue_key else venue_key || ' annex' end) as v, id, start_at from v_listings), f as (select v, arg_min(id, (start_at, id)) as eid from e group by v), h as (select lower(name) as n, max(id) as host from v_places group by 1)
 select p.id, f.eid as event_id from v_places p left join h on p.id = h.host left join f on h.n = f.v union all select eid, eid from f where v not in (select n from h)""", "v_listings", "v_places")
 def _(s, d):
@@ -259,10 +255,20 @@ def _(s, d):
     return quality.check_listings(s.sql(BROKEN), F.lit("1995-06-17").cast("date"), LAT0, LON0, 60)
 
 
-@query("check_places", "with b as (select case when c_custkey % 50 = 0 then 'dup' else id end as id, case when c_custkey % 21 = 0 then null else name end as name, kind, lat, lon, url from v_places), r as (select id, unnest([case when name is null then 'no name' end, case when url is null then 'no address or site' end]) as rule from b) select id, case rule when 'no name' then 'error' else 'warning' end as severity, rule, null::varchar as detail from r where rule is not null union all select id, 'error', 'duplicate id', count(*)::varchar from b group by id having count(*) > 1", "v_places")
+#: Places that break each rule of the gate now and then.
+ODD_PLACES = """select case when c_custkey % 50 = 0 then 'dup' else id end as id, case when c_custkey % 21 <> 0 then name end as name, case when c_custkey % 17 = 0 then 'nowhere' else kind end as kind, case when c_custkey % 33 <> 0 then lat end as lat, lon, case c_custkey % 19 when 0 then 'http://img.example/a' when 1 then 'https://img.example/a' end as image,
+  case c_custkey % 13 when 0 then 'quiet' when 1 then 'none' end as event_info, case when c_custkey % 13 = 1 then c_custkey % 2 else 3 end as events, case c_custkey % 11 when 0 then 6.0e0 when 1 then 4.0e0 when 2 then 4.5e0 end as stars, case when c_custkey % 11 = 1 then 0 else 3 end as count, c_custkey from v_places"""
+
+
+@query("check_places", f"""with b as ({ODD_PLACES}), r as (select id, rule, detail from b, lateral (values (case when name is null then 'no name' end, null), (case when lat is null then 'no coordinates' end, null), (case when lat is not null and kind = 'nowhere' then 'unknown kind' end, kind), (case when lat is not null and image like 'http:%' then 'image not by https' end, image),
+  (case when lat is not null and event_info = 'quiet' then 'unknown event info' end, event_info), (case when lat is not null and event_info = 'none' and events > 0 then 'none with events' end, events::varchar), (case when lat is not null and stars > 5 then 'stars out of range' end, stars::varchar), (case when lat is not null and stars is not null and count = 0 then 'rating without a count or source' end, null),
+  (case when lat is not null and c_custkey % 7 = 0 then 'unknown cuisine' end, 'moon'), (case when lat is not null and not exists (select 1 from v_regions r where {haversine('b.lat', 'b.lon', 'r.lat', 'r.lon')} - r.radius_miles <= 1) then 'outside every region' end, null)) x(rule, detail))
+select id, 'error' as severity, rule, detail from r where rule is not null union all select id, 'error', 'duplicate id', count(*)::varchar from b group by id having count(*) > 1""", "v_places", "v_regions")
 def _(s, d):
-    p = view(s, d, "v_places")
-    return quality.check_places(p.select(F.when(F.col("c_custkey") % 50 == 0, "dup").otherwise(F.col("id")).alias("id"), F.when(F.col("c_custkey") % 21 != 0, F.col("name")).alias("name"), "kind", "lat", "lon", "url"))
+    view(s, d, "v_places").createOrReplaceTempView("v_places")
+    cuisine = F.when(F.col("c_custkey") % 7 == 0, F.array(F.lit("pizza"), F.lit("moon")))
+    p = s.sql(ODD_PLACES).withColumn("cuisine", cuisine).withColumn("sources", F.array(F.lit("a")))
+    return quality.check_places(p.drop("c_custkey"), view(s, d, "v_regions"))
 
 
 @query("check_audit", f"with v as ({VERDICTS}) select domain as id, 'error' as severity, 'none without a signature' as rule, null::varchar as detail from v where verdict = 'none' and sig is null")
@@ -308,7 +314,9 @@ def _(s, d):
 
 
 def ld_pages(s, d):
-    block = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"MusicEvent","name":"Show '), F.col("page_id").cast("string"), F.lit('","startDate":"2026-10-01","doorTime":"11:00:00","duration":"PT1800S","location":{"name":"Hall","address":"1 Main St, Beacon, NY 12508","geo":{"latitude":41.5,"longitude":-73.9}},"url":"'), F.col("url"), F.lit('","offers":[{"price":"'), (F.col("page_id") % 30).cast("string"), F.lit('"},{"price":"99.5"}]},{"@type":["Thing","Place"],"name":"x"}]}</script>'))
+    """Pages with an event inside up to 11 lists in a row."""
+    k = (F.col("page_id") % 12).cast("int")
+    block = F.concat(F.lit('<script type="application/ld+json">'), F.repeat(F.lit("["), k), F.lit('{"@graph":[{"@type":"MusicEvent","name":"Show '), F.col("page_id").cast("string"), F.lit('","startDate":"2026-10-01","doorTime":"11:00:00","duration":"PT1800S","location":{"name":"Hall","address":"1 Main St, Beacon, NY 12508","geo":{"latitude":41.5,"longitude":-73.9}},"url":"'), F.col("url"), F.lit('","offers":[{"price":"'), (F.col("page_id") % 30).cast("string"), F.lit('"},{"price":"99.5"}]},{"@type":["Thing","Place"],"name":"x"}]}'), F.repeat(F.lit("]"), k), F.lit("</script>"))
     return view(s, d, "pages").withColumn("html", F.when(F.col("page_id") % 3 == 0, F.concat("html", block)).otherwise(F.col("html")))
 
 

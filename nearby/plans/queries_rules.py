@@ -56,7 +56,7 @@ def _(s, d):
 @query("directory_summary", "select count(*) as total, count(*) filter (where c_custkey % 4 = 1) as with_events, count(*) filter (where c_custkey % 4 = 0) as quiet, count(brand) as branded from v_places", "v_places")
 def _(s, d):
     p = view(s, d, "v_places")
-    return L.directory_summary(p.withColumn("events", (F.col("c_custkey") % 4 == 1).cast("int")).withColumn("event_info", F.when(F.col("c_custkey") % 4 == 0, "quiet")))
+    return L.directory_summary(p.withColumn("events", (F.col("c_custkey") % 4 == 1).cast("int")).withColumn("event_info", F.when(F.col("c_custkey") % 4 == 0, "none")))
 
 
 @query("geocode_reasons", "select reason, count(*) as n from (select case when city is null then 'no location' when city in ('Town 1', 'Town 2') then 'found' else 'not found' end as reason from v_places) group by 1", "v_places")
@@ -128,7 +128,7 @@ def _(s, d):
 @query("osm_places", "select concat('osm-node-', c_custkey) as id, name, case when kind = 'antique shop' then 'antique shop' else kind end as kind, lat, lon from v_places where kind <> 'park' and not (kind = 'historic site' and c_custkey % 2 = 1)", "v_places")
 def _(s, d):
     k, n = F.col("kind"), F.col("c_custkey") % 2
-    tags = F.map_filter(F.create_map(F.lit("name"), F.col("name"), F.lit("tourism"), F.when(k == "museum", "museum"), F.lit("historic"), F.when(k == "historic site", "fort"), F.lit("shop"), F.when(k == "antique shop", "antiques"), F.lit("amenity"), F.when(k == "restaurant", "restaurant"), F.lit("cuisine"), F.when(k == "restaurant", "thai"), F.lit("wikidata"), F.when(n == 0, "Q1")), lambda _, v: v.isNotNull())
+    tags = F.map_filter(F.create_map(F.lit("name"), F.col("name"), F.lit("tourism"), F.when(k == "museum", "museum"), F.lit("historic"), F.when(k == "historic site", "fort"), F.lit("shop"), F.when(k == "antique shop", "antiques"), F.lit("amenity"), F.when(k == "restaurant", "restaurant"), F.lit("cuisine"), F.when(k == "restaurant", "thai"), F.lit("wikipedia"), F.when(n == 0, "en:x")), lambda _, v: v.isNotNull())
     e = view(s, d, "v_places").select(F.lit("node").alias("type"), F.col("c_custkey").alias("id"), "lat", "lon", F.lit(None).cast("struct<lat:double,lon:double>").alias("center"), tags.alias("tags"))
     return places.osm_places(e).select("id", "name", "kind", "lat", "lon")
 

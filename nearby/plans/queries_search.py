@@ -275,9 +275,11 @@ def _(s, d):
     return search.place_facets(view(s, d, "v_places"))
 
 
-@query("search_places", "select id from v_places where kind <> 'restaurant' and kind <> 'cafe' and brand is null and contains(lower(concat_ws(' ', name, city, case kind when 'museum' then 'Museums' when 'historic site' then 'Historic sites' when 'antique shop' then 'Antique shops' else 'Parks & nature' end)), 'town 1')", "v_places")
+@query("search_places", "select id from v_places where kind <> 'restaurant' and kind <> 'cafe' and (contains(lower(name), 'town 1') or contains(lower(city), 'town 1') or contains(lower(case kind when 'museum' then 'Museums' when 'historic site' then 'Historic sites' when 'antique shop' then 'Antique shops' else 'Parks & nature' end), 'town 1'))", "v_places")
 def _(s, d):
-    return search.search_places(view(s, d, "v_places"), search.PlaceQuery(scope="visit", independents=True, text="Town 1")).select("id")
+    # among places to visit neither hours nor brands are asked
+    p = view(s, d, "v_places").withColumn("minutes_left", F.lit(None).cast("double"))
+    return search.search_places(p, search.PlaceQuery(scope="visit", independents=True, open_now=True, text="Town 1")).select("id")
 
 
 PRESETS = f"""/* recursive */ named as (select trim(regexp_replace(regexp_replace(case when c_custkey % 2 = 0 then city || ' (TN)' else city end, '\\s*\\([^)]*\\)', '', 'g'), '\\s+', ' ', 'g')) as town, lat, lon from v_places where city is not null),

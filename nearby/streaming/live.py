@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from nearby.operators import drive
 from nearby.operators.drive import MOST_AHEAD
-from nearby.operators.resolve import first_by, merge_listings
+from nearby.streaming.refresh import newest, refresh_stream, versions
+
+__all__ = ["alert_stream", "deck_stream", "newest", "refresh_stream", "track_stream", "versions"]
 
 TRACK_STATE = "at double, lat double, lon double, odometer double, speed double, heading double, from_lat double, from_lon double"
 ALERT_STATE = "run int, arrived boolean, last double"
@@ -53,69 +54,40 @@ def alert_stream(located: DataFrame, late: str = "10 minutes") -> DataFrame:
     return keyed.applyInPandasWithState(stepping(drive.NEW_ALERTS, drive.alert_step, drive.alert_row, columns), drive.ALERTED, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def step_deck(k: int, margin: float, far: float) -> Callable:
-    """Admission with hysteresis: a full deck takes a newcomer only for its weakest stop still ``far`` ahead, if better by ``margin``."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = {i: (v, a) for i, v, a in zip(*state.get)} if state.exists else {}
-        out = []
-        for row in pd.concat(list(batches), ignore_index=True).sort_values(["tick", "value", "id"], ascending=[True, False, True]).itertuples():
-            if row.id in held or len(held) < k:
-                if row.id not in held:
-                    out.append((key[0], row.tick, row.id, "in"))
-                held[row.id] = (row.value, row.ahead)
-                continue
-            open_ = [(v, i) for i, (v, a) in held.items() if a > far]
-            if open_ and row.value > min(open_)[0] + margin:
-                gone = min(open_)[1]
-                del held[gone]
-                held[row.id] = (row.value, row.ahead)
-                out += [(key[0], row.tick, gone, "out"), (key[0], row.tick, row.id, "in")]
-        ids = list(held)
-        state.update((ids, [held[i][0] for i in ids], [held[i][1] for i in ids]))
-        yield pd.DataFrame(out, columns=["car", "tick", "id", "move"])
-
-    return step
-
-
-def deck_stream(candidates: DataFrame, k: int = MOST_AHEAD, margin: float = 1.0, far: float = 7.0) -> DataFrame:
-    """Stops that enter and leave each car's deck of at most ``k``, from a stream of candidates (car, tick, id, value, ahead)."""
-    return candidates.groupBy("car").applyInPandasWithState(step_deck(k, margin, far), "car long, tick long, id string, move string", "ids array<string>, scores array<double>, aheads array<double>", "append", GroupStateTimeout.NoTimeout)
+#: What is kept of a car's deck: its stops, their scores, the odometer at which each is passed, and the odometer.
+DECK_STATE = "ids array<string>, scores array<double>, marks array<double>, odometer double"
+#: A car that says nothing for so long is forgotten.
+IDLE = 6 * 3600 * 1000
 
 
-def versions(spark, folder: str) -> list[int]:
-    """Numbers of the whole versions in a folder, ascending. A version is whole once Spark has marked it so."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
-    return sorted(int(p.getName()[8:]) for p in found if p.getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+def step_deck(k: int, margin: float, far: float) -> Callable:
+    """``drive.deck_step`` over a car's new rows in order, from and to the car's state."""
+    step = drive.deck_step(k, margin, far)
 
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept, out = drive.NEW_DECK, []
+        if state.exists:
+            ids, scores, marks, odometer = state.get
+            kept = tuple(zip(ids, scores, marks)), odometer
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(drive.DECK_ORDER, ascending=drive.DECK_ASCENDING, kind="stable")
+        for row in rows.itertuples(index=False):
+            kept, moves = step(kept, row)
+            out += [(key[0], row.tick, *m) for m in moves]
+        held, odometer = kept
+        state.update(([h[0] for h in held], [h[1] for h in held], [h[2] for h in held], odometer))
+        state.setTimeoutDuration(IDLE)
+        yield pd.DataFrame(out, columns=["car", "tick", "id", "move"])
 
-def newest(spark, folder: str, below: int | None = None) -> DataFrame:
-    """The newest whole version of a refreshed table (before the version ``below``)."""
-    numbers = [n for n in versions(spark, folder) if below is None or n < below]
-    return spark.read.parquet(f"{folder}/version={numbers[-1]}")
+    return run
 
 
-def refresh_stream(incoming: DataFrame, folder: str, richness: Callable[[], Column], order: Callable[[], Column], adopt: list[str], checkpoint: str, keep: int = 3):
-    """A running query that merges each batch of new listings (with ``seen_at``) into the table whose versions are in ``folder``.
+def deck_stream(candidates: DataFrame, positions: DataFrame | None = None, k: int = MOST_AHEAD, margin: float = 1.0, far: float = 7.0) -> DataFrame:
+    """The rows of ``drive.deck_moves`` for two streams, candidates (car, tick, id, value, ahead) and positions (car, tick, odometer).
 
-    ``folder`` holds ``version=0``, what is known at the start. Batch n reads the newest version before n + 1 and writes
-    version n + 1; readers take ``newest``. A batch that is repeated after a failure finds the same version to start from and
-    writes the same folder again, and a half-written one is no version. Of an id that comes several times in a batch the
-    richest, then the latest counts; a later batch's update is merged like any other. The last ``keep`` versions stay.
+    Both feed one state for each car. Rows of a batch are put in order; what a later batch brings for an earlier tick counts
+    when it comes. Cars that are silent for ``IDLE`` milliseconds are forgotten.
     """
-
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        held = newest(spark, folder, number + 1)
-        once = first_by(batch.withColumn("_rich", richness()), ["id"], F.desc("_rich"), F.desc("seen_at")).drop("_rich", "seen_at")
-        merged = merge_listings(held, once.select(*held.columns), richness(), order(), adopt)
-        merged.write.mode("overwrite").parquet(f"{folder}/version={number + 1}")
-        jvm = spark.sparkContext._jvm
-        for old in [n for n in versions(spark, folder) if n <= number + 1 - keep]:
-            at = jvm.org.apache.hadoop.fs.Path(f"{folder}/version={old}")
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-    return incoming.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return drive.deck_events(candidates, positions).groupBy("car").applyInPandasWithState(step_deck(k, margin, far), drive.MOVES, DECK_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

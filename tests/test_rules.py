@@ -123,7 +123,7 @@ def test_chain_of_duplicates_is_one(spark):
 
 
 def test_osm_places(spark):
-    rows = [("node", 1, 41.1234567, -73.5, None, {"name": "Dia", "tourism": "museum", "website": "dia.org"}), ("way", 2, None, None, (41.0, -73.0), {"name": "P", "leisure": "park", "wikidata": "Q1"}), ("node", 3, 41.0, -73.0, None, {"name": "No kind"}), ("node", 4, 41.0, -73.0, None, {"tourism": "museum"})]
+    rows = [("node", 1, 41.1234567, -73.5, None, {"name": "Dia", "tourism": "museum", "website": "dia.org"}), ("way", 2, None, None, (41.0, -73.0), {"name": "P", "leisure": "park", "wikipedia": "en:P"}), ("node", 3, 41.0, -73.0, None, {"name": "No kind"}), ("node", 4, 41.0, -73.0, None, {"tourism": "museum"})]
     df = spark.createDataFrame(rows, "type string, id long, lat double, lon double, center struct<lat:double,lon:double>, tags map<string,string>")
     got = {r["id"]: r for r in places.osm_places(df).collect()}
     assert set(got) == {"osm-node-1", "osm-way-2"} and got["osm-node-1"]["url"] == "https://dia.org" and got["osm-node-1"]["lat"] == 41.123457

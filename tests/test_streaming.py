@@ -78,3 +78,53 @@ def test_refresh(spark, tmp_path):
     # a half-written version is none, and a repeated batch starts from the same version
     (tmp_path / "table" / "version=9").mkdir()
     assert live.versions(spark, table) == [0, 1, 2] and live.newest(spark, table, 2).where("id = 'm-3'").first()["end_at"] is None
+
+
+def sequential_deck(rows, k, margin, far):
+    """Moves of a deck, row by row: passed stops leave, then candidates ask in, the best first."""
+    held, odometer, out = {}, {}, []
+    for car, tick, kind, odo, i, value, ahead in sorted(rows, key=lambda r: (r[0], r[1], r[2], -(r[5] or 0), r[4] or "")):
+        h = held.setdefault(car, {})
+        if kind == 0:
+            odometer[car] = max(odometer.get(car, 0.0), odo)
+            for x in sorted(x for x, (_, mark) in h.items() if mark <= odometer[car]):
+                del h[x]
+                out.append((car, tick, x, "passed"))
+            continue
+        at = odometer.get(car, 0.0)
+        if ahead <= 0 or i in h:
+            continue
+        if len(h) < k:
+            h[i] = (value, at + ahead)
+            out.append((car, tick, i, "in"))
+            continue
+        open_ = sorted((v, x) for x, (v, mark) in h.items() if mark - at > far)
+        if open_ and value > open_[0][0] + margin:
+            del h[open_[0][1]]
+            h[i] = (value, at + ahead)
+            out += [(car, tick, open_[0][1], "out"), (car, tick, i, "in")]
+    return sorted(out)
+
+
+def test_deck_forgets_what_is_passed(spark):
+    """Two streams feed a car's state; what it moves equals the batch form and a plain loop."""
+    import random
+
+    rng = random.Random(2)
+    positions = [(car, t, 0, t * 1.5 + car, None, None, None) for car in range(3) for t in range(40)]
+    candidates = [(car, t, 1, None, f"s{rng.randrange(30)}", float(rng.randrange(10)), float(rng.randrange(-1, 16))) for car in range(4) for t in range(40) for _ in range(rng.randrange(4))]
+    want = sequential_deck(positions + candidates, 3, 1.0, 7.0)
+    p = spark.createDataFrame([(r[0], r[1], r[3]) for r in positions], "car long, tick long, odometer double")
+    c = spark.createDataFrame([(r[0], r[1], *r[4:]) for r in candidates], "car long, tick long, id string, value double, ahead double")
+    pick = lambda df: sorted(tuple(r) for r in df.collect())
+    assert pick(drive.deck_moves(c, p, k=3).select("car", "tick", "id", "move")) == want and {m[3] for m in want} == {"in", "out", "passed"}
+    part = F.least(F.floor(F.col("tick") / 14), F.lit(2)).cast("int")
+    got = run(spark, live.deck_stream(source(spark, c.withColumn("part", part), "tick"), source(spark, p.withColumn("part", part), "tick"), k=3), "decks")
+    assert pick(got) == want
+
+
+def test_a_passed_stop_makes_room(spark):
+    p = spark.createDataFrame([(1, t, t * 2.0) for t in range(6)], "car long, tick long, odometer double")
+    c = spark.createDataFrame([(1, t, f"p{t}", 1.0, 1.5) for t in range(6)], "car long, tick long, id string, value double, ahead double")
+    rows = {(r["id"], r["move"]) for r in drive.deck_moves(c, p, k=2).collect()}
+    assert {(f"p{t}", "in") for t in range(6)} <= rows and ("p0", "passed") in rows
