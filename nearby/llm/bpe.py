@@ -172,8 +172,11 @@ def digests(path: str, rows: list[list[int]]) -> list[pa.Array]:
     ]
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the decoded text. One pass, no shuffle; ids don't leave the task."""
+def round_trip(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ("doc_id",), ids: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded text; the ids too, in a column ``ids`` if that is given a name. One pass, no shuffle."""
     vocabulary = vocabulary or public_path("byte_bpe_50k.json")
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return token_columns(docs.select(*keep, "text"), fields, digests, vocabulary).drop("text")
+    if not ids:
+        return token_columns(docs.select(*keep, "text"), fields, digests, vocabulary).drop("text")
+    with_ids = lambda path, rows: [*digests(path, rows), pa.array(rows, pa.list_(pa.int32()))]
+    return token_columns(docs.select(*keep, "text"), [*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))], with_ids, vocabulary).drop("text")

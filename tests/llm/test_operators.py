@@ -600,8 +600,8 @@ def test_pipeline(spark, small):
             want = Counter(x[0] for x in brute_mixture(docs, mixing.MixParams()))
         else:
             want = Counter(r["doc_id"] for r in before)
-            encoded = {r["doc_id"]: len(t.encode(r["text"], add_special_tokens=False).ids) for r in before}
-            assert all(r["n_tokens"] == encoded[r["doc_id"]] for r in rows)
+            encoded = {r["doc_id"]: t.encode(r["text"], add_special_tokens=False).ids for r in before}
+            assert all(r["ids"] == encoded[r["doc_id"]] and r["n_tokens"] == len(r["ids"]) for r in rows)
         assert ids == want and sum(ids.values()) > 20, name
         if name != "bpe":
             assert out.columns == docs.columns
