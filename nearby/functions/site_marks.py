@@ -40,11 +40,11 @@ PLATFORMS = (
     ("bandsintown", r"bandsintown\.com/v/(\d+)|bandsintown\.com/a/(\d+)"), ("dice", r"dice\.fm/(?:venue|partner)/([a-z0-9-]+)"),
 )
 
-#: Links of a page: address and label.
+#: Fixed values. Links of a page: address and label.
 ANCHOR = r"""(?is)<a\s[^>]*href=["']([^"'>]+)["'][^>]*>(.*?)</a>"""
 #: Keys of page pictures, best first.
 PICTURE_KEYS = ("og:image:secure_url", "og:image", "og:image:url", "twitter:image", "twitter:image:src")
-#: Words of a picture's path that say it is no photograph of a place, hosts whose pictures aren't, and the least width.
+#: Fixed values. Words of a picture's path that say it is no photograph of a place, hosts whose pictures aren't, and the least width.
 NOT_A_PICTURE = r"(logo|favicon|site-?icon|[-_]icon\b|apple-touch|/icons?/|placeholder|default|blank\.|spacer|avatar|badge|sprite|gravatar|/stock/|unsplash|shutterstock|istock|wordmark|stacked|/google\.(?:jpe?g|png))"
 ICON_FORMATS = (".svg", ".ico", ".gif")
 NOT_PICTURE_HOSTS = ("facebook.com", "fbcdn.net", "static.xx.fbcdn.net")

@@ -6,7 +6,7 @@ sums and firsts of all its pages, which are combined before the shuffle, so a ho
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearby.functions import site_marks as M
@@ -87,7 +87,7 @@ def named_sites(fronts: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def audit_domains(pages: DataFrame, names: DataFrame | None = None, feeds: DataFrame | None = None, key: str = "page_id") -> DataFrame:
-    """domain, pages, verdict, found, sig, url, spammed: what a site's pages say about events.
+    """domain, pages, verdict, found, sig, url, spammed, note: what a site's pages say about events, and why.
 
     ``names`` (domain, name) are the venues of a site, ``feeds`` (domain, url, n_future) the calendar feeds that it answers
     with; a feed counts only where nothing else is found. A site's front page is that of the shortest path.
@@ -100,18 +100,19 @@ def audit_domains(pages: DataFrame, names: DataFrame | None = None, feeds: DataF
     read = F.col("answered")
     d = p.groupBy("domain").agg(
         F.count("*").alias("pages"), F.min_by(front, F.struct(~F.col("answered"), F.col("place"))).alias("front"), first(read & F.col("jsonld")).alias("jsonld"), first(read & listing).alias("listing"),
-        F.bool_or(read & F.col("dealish") & (F.col("dates") >= M.DEAL_DATES)).alias("deals"), F.bool_or(read & thin).alias("thin"),
+        F.bool_or(read & F.col("dealish") & (F.col("dates") >= M.DEAL_DATES)).alias("deals"), F.min(F.when(read & thin, F.struct("place", "calendar_page"))).alias("thin_page"),
     )
+    d = d.withColumn("thin", F.col("thin_page").isNotNull())
     if names is not None:
         said = named_sites(d.select("domain", F.col("front.head").alias("head")), names).withColumn("named", F.lit(True))
         d = d.join(said, "domain", "left")
     else:
         d = d.withColumn("named", F.lit(False))
     if feeds is not None:
-        best = feeds.where("n_future > 0").groupBy("domain").agg(F.min_by("url", F.struct(-F.col("n_future"), F.col("url"))).alias("feed"))
+        best = feeds.where("n_future > 0").groupBy("domain").agg(F.min_by("url", F.struct(-F.col("n_future"), F.col("url"))).alias("feed"), F.max("n_future").alias("n_future"))
         d = d.join(best, "domain", "left")
     else:
-        d = d.withColumn("feed", F.lit(None).cast("string"))
+        d = d.withColumn("feed", F.lit(None).cast("string")).withColumn("n_future", F.lit(None).cast("long"))
     f, end = F.col("front"), F.regexp_extract("domain", r"([^.]*)$", 1)
     spammed = f["spam"] >= M.SPAM_HITS
     foreign = (f["foreign"] > M.FOREIGN_SHARE) & ~((F.length(end) == 2) & (end != "us"))
@@ -131,10 +132,42 @@ def audit_domains(pages: DataFrame, names: DataFrame | None = None, feeds: DataF
     return d.select(
         "domain", "pages", "verdict", F.when(F.col("verdict") == "suspect", F.array(F.lit("off-topic content"))).when(F.col("verdict") == "feed", F.array(F.lit("ical feed"))).when(shown, F.col("found")).otherwise(F.array().cast("array<string>")).alias("found"),
         F.when(shown | (F.col("verdict") == "feed") | (F.col("verdict") == "unreadable") & ((f["chars"] >= M.SHELL) | (f["n_links"] > 0)), f["sig"]).alias("sig"),
-        F.when(F.col("verdict") == "feed", F.col("feed")).when(F.col("verdict").isin("listings", "specials"), best_url).when(F.col("verdict").isin("parked", "suspect", "unreadable"), f["url"]).alias("url"), (spammed & shown).alias("spammed"),
+        F.when(F.col("verdict") == "feed", F.col("feed")).when(F.col("verdict").isin("listings", "specials"), best_url).when(F.col("verdict").isin("parked", "suspect", "unreadable"), f["url"]).alias("url"), (spammed & shown).alias("spammed"), note_of(F.col("verdict"), f["status"], F.col("n_future"), F.col("pages"), (f["chars"] < M.SHELL) & (f["n_links"] == 0), F.col("thin_page.calendar_page")).alias("note"),
     )
 
 
+def note_of(verdict: Column, status: Column, n_future: Column, pages: Column, shell: Column, calendar: Column) -> Column:
+    """Why a site has its verdict, in a few words; null for sites with listings or specials."""
+    said = lambda *parts: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
+    drawn = "drawn in the browser, nothing to read"
+    return (
+        F.when(verdict == "blocked", said("HTTP ", status.cast("string"), " to a declared reader")).when(verdict == "unreachable", said("no answer", F.coalesce(said(" (", status.cast("string"), ")"), F.lit(""))))
+        .when(verdict == "parked", "a page of the server or registrar").when(verdict == "suspect", "what it shows isn't the venue's").when(verdict == "feed", said(n_future.cast("string"), " events ahead in its feed"))
+        .when((verdict == "unreadable") & ~shell & F.coalesce(calendar, F.lit(False)), "its events page is " + drawn).when(verdict == "unreadable", drawn).when(verdict == "none", said(pages.cast("string"), " pages without dates or a calendar"))
+    )
+
+
+def audit_progress(verdicts: DataFrame, domains: DataFrame) -> DataFrame:
+    """One row: how many of the directory's sites (``domains``: domain) have a verdict, how many haven't yet, and how many verdicts are on file."""
+    asked = domains.select("domain").where("domain is not null").distinct().join(verdicts.select("domain", F.lit(True).alias("_done")).distinct(), "domain", "left")
+    counts = asked.agg(F.count_if("_done").alias("done"), F.count_if(F.col("_done").isNull()).alias("to_go")).withColumn("_one", F.lit(1))
+    return counts.join(verdicts.agg(F.count("*").alias("on_file")).withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+def audit_leads(verdicts: DataFrame, places: DataFrame | None = None, k: int = 2) -> DataFrame:
+    """domain, lead, detail: what an audit leaves to do. ``feed`` with its address is worth registering, ``spammed`` is worth telling the
+    site, ``bad`` names the first ``k`` places (``places``: domain, name) whose link leads to something else now."""
+    v = verdicts.select("domain", "verdict", "url", "spammed")
+    bad = v.where(F.col("verdict").isin("suspect", "parked")).select("domain", F.lit("bad").alias("lead"))
+    if places is None:
+        bad = bad.withColumn("detail", F.lit(None).cast("string"))
+    else:
+        few = places.select("domain", "name").distinct().withColumn("_nth", F.row_number().over(Window.partitionBy("domain").orderBy("name"))).where(F.col("_nth") <= k)
+        bad = bad.join(few.groupBy("domain").agg(F.array_join(F.sort_array(F.collect_list("name")), "; ").alias("detail")), "domain", "left")
+    feeds = v.where("verdict = 'feed'").select("domain", F.lit("feed").alias("lead"), F.col("url").alias("detail"))
+    return feeds.union(v.where("spammed").select("domain", F.lit("spammed"), F.lit(None).cast("string"))).union(bad.select("domain", "lead", "detail"))
+
+
 def changed_sites(new: DataFrame, stored: DataFrame) -> DataFrame:
     """Domains that were quiet (verdict none) and whose signature is another now."""
     return stored.where("verdict = 'none'").select("domain", F.col("sig").alias("old")).join(new, "domain").where("sig <> old").select("domain", "sig")

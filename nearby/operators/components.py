@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearby.plans.session import release
+
 #: Edges of a node that count as many. The nodes that have as many, or a ``SHARE``-th of all edges, are
 #: at most 2 * ``SHARE`` and may be broadcast.
 MANY, SHARE = 1_000, 50_000
@@ -28,7 +30,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     Each round hooks every node to the smallest neighbour of its neighbourhood (large star, then
     small star), which halves the longest chain at least, so rounds grow with the logarithm of a
     component's diameter. Each round's table is checkpointed in the shared folder: lineage stays
-    short and a lost executor costs one round. Minima are combined before the shuffle, and edges of
+    short and a lost executor costs one round; files of rounds past are released. Minima are combined before the shuffle, and edges of
     hot nodes get theirs without one. Null ends and self-loops are no edges.
     """
     left, right = F.least("a", "b"), F.greatest("a", "b")
@@ -45,6 +47,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         open_hubs = nxt.select(F.col("m").alias("n")).distinct().join(nxt.select("n").distinct(), "n", "left_semi").limit(1).count()
         double = nxt.groupBy("n").count().where("count > 1").limit(1).count() if not open_hubs else 1
         links = nxt
+        del both, low, large, down, small, nxt  # the round's files may go
+        release(links.sparkSession)
         if not open_hubs and not double:
             break
     else:

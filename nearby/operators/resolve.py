@@ -94,6 +94,9 @@ def duplicate_pairs(listings: DataFrame, most_days: int = 31) -> DataFrame:
     right = one.withColumn("k", units).select(*cols, F.col("k.u").alias("u"), F.col("k.d").alias("d"), *spatial.own_cell(EVENT_CELL))
     left = one.withColumn("k", units).withColumn("c", F.explode(spatial.reach_cells(F.col("lat"), F.col("lon"), F.lit(SAME_EVENT_MILES), EVENT_CELL)))
     left = left.select(*(F.col(x).alias(f"l_{x}") for x in cols), F.col("k.u").alias("u"), F.col("k.d").alias("d"), "c.cx", "c.cy")
+    # Short spans look into months only where a long one stands.
+    runs = right.where("long").select(*block).distinct()
+    left = left.where("l_long or u = 'd'").union(left.where("not l_long and u = 'm'").join(runs, block, "left_semi").select(*left.columns))
     first = F.greatest("l_d0", "d0")
     here = F.col("d") == F.when(F.col("u") == "m", F.trunc(first, "month")).otherwise(first)
     meant = F.col("u") == F.when(F.col("l_long") | F.col("long"), "m").otherwise("d")

@@ -9,6 +9,7 @@ from nearby.operators import audit, quality, web
 from nearby.plans.fixtures import view
 from nearby.plans.queries_search import NOW, listings, query
 from nearby.sources import ical, jsonld, shapes, sinks
+from nearby.streaming import refresh
 
 
 #: Listings in one record of a service, about.
@@ -167,11 +168,11 @@ m as (select t.*, {says("path", M.EVENT_LINK)} or {says("txt", M.EVENT_WORDS)} a
   coalesce(sig, substr(sha1(''), 1, 16)) as sig, linked, [{", ".join(f"case when {says('html', p)} then '{n} embed' end" for n, p in M.PLATFORMS)}] as embeds from t left join signed using (page_id) left join linked using (page_id)),
 s as (select *, d0 + case when eventish then d1 else 0 end as dates, (length(path), page_id) as place, html is not null as answered from m),
 f as (select * from (select *, row_number() over (partition by domain order by html is null, place) as k from s) where k = 1),
-g as (select domain, count(*) as pages, arg_min(url, place) filter (where answered and jsonld) as ju, arg_min(url, place) filter (where answered and eventish and dates >= case when cal then 2 else 3 end) as lu, bool_or(answered and dealish and dates >= 2) as deals, bool_or(answered and (cal or eventish) and length(txt) < 1200 and dates = 0) as thin from s group by 1),
+g as (select domain, count(*) as pages, arg_min(url, place) filter (where answered and jsonld) as ju, arg_min(url, place) filter (where answered and eventish and dates >= case when cal then 2 else 3 end) as lu, bool_or(answered and dealish and dates >= 2) as deals, bool_or(answered and (cal or eventish) and length(txt) < 1200 and dates = 0) as thin, arg_min(cal, place) filter (where answered and (cal or eventish) and length(txt) < 1200 and dates = 0) as thin_cal from s group by 1),
 named as (select distinct f.domain from f join v_site_names n on n.domain = f.domain where {says("lower(substr(txt, 1, 2000))", "(^|[^a-z0-9_])elsewhere($|[^a-z0-9_])")} and {says("lower(substr(txt, 1, 2000))", "(^|[^a-z0-9_])cinema($|[^a-z0-9_])")} and n.name = 'Elsewhere Cinema'
   or {says("lower(substr(txt, 1, 2000))", "(^|[^a-z0-9_])grand($|[^a-z0-9_])")} and {says("lower(substr(txt, 1, 2000))", "(^|[^a-z0-9_])lyceum($|[^a-z0-9_])")} and n.name = 'The Grand Lyceum Hall'),
-feed as (select domain, arg_min(url, (-n_future, url)) as feed from v_site_feeds where n_future > 0 group by 1),
-h as (select f.*, g.* exclude (domain), feed, f.domain in (select domain from named) as named, f.spam >= 3 as spammed, f.foreign_ > 0.15 and not (length(regexp_extract(f.domain, '([^.]*)$', 1)) = 2 and regexp_extract(f.domain, '([^.]*)$', 1) <> 'us') as foreign2,
+feed as (select domain, arg_min(url, (-n_future, url)) as feed, max(n_future) as n_future from v_site_feeds where n_future > 0 group by 1),
+h as (select f.*, g.* exclude (domain), feed, n_future, f.domain in (select domain from named) as named, f.spam >= 3 as spammed, f.foreign_ > 0.15 and not (length(regexp_extract(f.domain, '([^.]*)$', 1)) = 2 and regexp_extract(f.domain, '([^.]*)$', 1) <> 'us') as foreign2,
   list_filter(list_concat(embeds, [case when linked is not null then 'linked calendar' end, case when ju is not null then 'schema.org events' end, case when lu is not null then 'dated listings' end, case when deals then 'dated specials' end]), lambda x: x is not null) as found from f join g using (domain) left join feed using (domain)),
 v as (select *, case when not answered then case when status in (401, 403, 405, 406, 429, 451) then 'blocked' else 'unreachable' end when parked then 'parked' when length(txt) < 400 and n_links = 0 then 'unreadable' when (spammed or foreign2) and not named then 'suspect'
   when len(found) = 0 and feed is not null then 'feed' when len(found) = 0 and thin then 'unreadable' when len(found) = 0 then 'none' when found = ['dated specials'] then 'specials' else 'listings' end as verdict from h),
@@ -187,7 +188,24 @@ def verdicts_of(s, d):
 
 @query("audit_domains", f"with {AUDIT} select * from verdicts", *SITES)
 def _(s, d):
-    return verdicts_of(s, d).withColumn("found", F.array_join("found", ","))
+    return verdicts_of(s, d).withColumn("found", F.array_join("found", ",")).drop("note")
+
+
+@query("audit_notes", f"""with {AUDIT} select domain, case verdict when 'blocked' then 'HTTP ' || status || ' to a declared reader' when 'unreachable' then 'no answer' || coalesce(' (' || status || ')', '') when 'parked' then 'a page of the server or registrar' when 'suspect' then 'what it shows isn''t the venue''s' when 'feed' then n_future || ' events ahead in its feed'
+  when 'unreadable' then case when not (length(txt) < 400 and n_links = 0) and coalesce(thin_cal, false) then 'its events page is ' else '' end || 'drawn in the browser, nothing to read' when 'none' then pages || ' pages without dates or a calendar' end as note from v""", *SITES)
+def _(s, d):
+    return verdicts_of(s, d).select("domain", "note")
+
+
+@query("audit_progress", f"with {AUDIT}, dm as (select distinct domain from v_site_names where length(domain) % 3 > 0 union select 'unread' || k || '.example' from range(0, 7) t(k)) select count(*) filter (where v.domain is not null) as done, count(*) filter (where v.domain is null) as to_go, (select count(*) from verdicts) as on_file from dm left join verdicts v on v.domain = dm.domain", *SITES)
+def _(s, d):
+    known = view(s, d, "v_site_names").select("domain").where(F.length("domain") % 3 > 0)
+    return audit.audit_progress(verdicts_of(s, d), known.union(s.range(7).select(F.concat(F.lit("unread"), F.col("id").cast("string"), F.lit(".example")))))
+
+
+@query("audit_leads", f"with {AUDIT}, nm as (select domain, string_agg(name, '; ' order by name) as names from (select distinct domain, name from v_site_names) group by 1) select domain, 'feed' as lead, url as detail from verdicts where verdict = 'feed' union all select domain, 'spammed', null from verdicts where spammed union all select domain, 'bad', names from verdicts left join nm using (domain) where verdict in ('suspect', 'parked')", *SITES)
+def _(s, d):
+    return audit.audit_leads(verdicts_of(s, d), view(s, d, "v_site_names"))
 
 
 @query("audit_report", f"with {AUDIT} select verdict, count(*) as n, sum(pages)::bigint as pages, count(*) filter (where spammed) as spammed, case verdict when 'none' then 365 when 'specials' then 240 when 'listings' then 180 when 'feed' then 180 when 'suspect' then 365 when 'unreadable' then 120 when 'blocked' then 120 when 'parked' then 180 else 45 end as recheck_days from verdicts group by verdict", *SITES)
@@ -267,4 +285,7 @@ def _(s, d):
     p = view(s, d, "v_places").select("id", "name", "kind", "lat", "lon", "brand", "city")
     folder = f"{shared_dir(s).rstrip('/')}/directory-{uuid4().hex}"
     sinks.write_places(p, folder)
-    return sinks.read_items(s, folder, "id string, name string, kind string, lat double, lon double, brand string, city string, is_food boolean").select("id", "is_food", "brand")
+    out = sinks.read_items(s, folder, "id string, name string, kind string, lat double, lon double, brand string, city string, is_food boolean").select("id", "is_food", "brand").checkpoint()
+    fs, path = refresh.folders(s, folder)
+    fs.delete(path(folder), True)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -24,3 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     if not set_by_job:
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle and checkpoint files that nothing uses any more.
+
+    It does so when the driver's garbage is collected, which in a loop of many small rounds may be long after disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -189,7 +189,7 @@ def schedule_items(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return t.select(key, "title", "url", instant(F.col("at")).alias("starts")).where("title <> '' and starts is not null")
 
 
-#: A day of a month's grid with what follows to the next; a card, whole in an attribute whose own quotes are escaped; and what a card holds.
+#: Fixed patterns of a month's grid: a day with what follows to the next; a card, whole in an attribute whose own quotes are escaped; what a card holds.
 GRID_DAY = r'(?s)id="calendar-day-(\d{4}-\d{2}-\d{2})"(.*?)(?=id="calendar-day-|<div class="calendar-footer|\z)'
 CARD, CARD_TITLE = r'data-show-card="([^"]*)"', r"(?s)<h2>(.*?)</h2>"
 CARD_LINK, CARD_NOTE = r'href="(https://[^"/]+/movies/[^"]+)"', r'(?s)<span class="show__subtitle"><p>(.*?)</p>'
