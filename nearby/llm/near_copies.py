@@ -7,7 +7,8 @@ bits apart, where pivots discard next to nothing. So a class also goes to ``BAND
 makes as many links as it has rows. Groups of classes that these links connect are candidates only: in each group
 every pair counts that the exact similarity of whole shingle sets links. Groups too large for a task are compared
 with a leader first and what it doesn't link in blocks, so no pair is lost there, and no class has a limit on its
-partners.
+partners. In groups of more than ``MANY`` blocks, such as meetings of half alike texts make of much of a corpus, what
+the leader doesn't link is compared cell by cell instead, so a text is sent to each of its cells and not to each block.
 
 A pair of similarity s meets in no cell with probability (1 - s**ROWS) ** BANDS: 1.3e-7 at 0.8, less above it.
 
@@ -38,6 +39,8 @@ BANDS, ROWS = 40, 5
 #: Classes and bytes of text in a block of a large group, about.
 CELL, CELL_BYTES = 1024, 8 << 20
 STEP = 1024
+#: Blocks of a group beyond which its texts have fewer cells than blocks to go to.
+MANY = BANDS
 #: Rows of four numbers that may be broadcast.
 FEW = 100_000
 
@@ -191,23 +194,53 @@ def linked_to_leaders(members: DataFrame, similarity: float, width: int) -> Data
     return found.where("linked is not null").groupBy("group", "node").agg(F.bool_or("linked").alias("linked"))
 
 
-def verified_links(found: DataFrame, similarity: float, width: int) -> DataFrame:
+def compared(found: DataFrame, members: DataFrame, bins: DataFrame, keys: list[str], similarity: float, width: int) -> DataFrame:
+    """Edges (a, b) of what each bin's members that its group's leader doesn't link have to do with one another and the rest of the bin.
+
+    ``members`` has (keys, node, linked), ``bins`` (keys, n, n_linked, blocks), ``found`` the texts of nodes. A bin of one
+    block is compared at once; in others the linked and the rest are dealt out to blocks, and two blocks of linked ones never meet.
+    """
+    n, one = F.col("n"), F.col("blocks") == 1
+    share = lambda count: F.when(one, 1).otherwise(F.greatest(F.lit(1), F.ceil(count * F.col("blocks") / n))).cast("int")
+    dealt = bins.select(*keys, one.alias("one"), share(F.col("n_linked")).alias("of_linked"), share(n - F.col("n_linked")).alias("of_rest"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("of_linked")).otherwise(F.col("of_rest"))).cast("int")
+    pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("p"), j.alias("q"))
+    over = lambda count, make: F.transform(F.sequence(F.lit(0), F.col(count) - 1), make)
+    meets = F.when(F.col("one"), F.array(pair("x", F.lit(0), F.lit(0)))).when(F.col("linked"), over("of_rest", lambda j: pair("x", own, j))).otherwise(
+        F.concat(over("of_linked", lambda i: pair("x", i, own)), over("of_rest", lambda j: pair("u", F.least(own, j), F.greatest(own, j)))))
+    rest = found.select("node", "text").join(members.join(dealt, keys).select(*keys, "node", F.explode(meets).alias("t")), "node")
+    return forests(rest.groupBy(*keys, "t").agg(F.collect_list("node").alias("nodes"), F.collect_list("text").alias("texts")), similarity, width)
+
+
+def blocks_of(n: Column, size: Column) -> Column:
+    """Blocks of so many classes and bytes of text."""
+    return F.greatest(F.lit(1), F.ceil(n / CELL), F.ceil(size / CELL_BYTES)).cast("int")
+
+
+def compared_in_cells(found: DataFrame, flags: DataFrame, vast: DataFrame, cells: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Edges (a, b) in the groups ``vast``, compared in the ``cells`` (node, cell) that their members share."""
+    size = found.join(vast.select("group"), "group").groupBy("group", "node").agg(F.sum(F.octet_length("text")).alias("size"))
+    members = flags.join(size, ["group", "node"]).join(cells, "node").select("group", "cell", "node", "linked", "size").checkpoint()
+    bins = members.groupBy("group", "cell").agg(F.count("*").alias("n"), F.count_if("linked").alias("n_linked"), F.sum("size").alias("size")).where("n > 1 and n > n_linked")
+    return compared(found, members, bins.withColumn("blocks", blocks_of(F.col("n"), F.col("size"))), ["group", "cell"], similarity, width)
+
+
+def verified_links(found: DataFrame, similarity: float, width: int, cells: DataFrame) -> DataFrame:
     """Edges (a, b) that connect in each group just what its exact links connect.
 
-    ``found`` has (group, node, degree, text), stored. Groups that a task can take are compared whole. In larger ones all
-    are compared with a leader first, the class that most meetings name: those that it links need no comparison among
-    themselves, so a large family of near copies costs one look at each. What is left is compared in blocks with all of
-    its group.
+    ``found`` has (group, node, degree, text), stored, ``cells`` (node, cell). Groups that a task can take are compared
+    whole. In larger ones all are compared with a leader first, the class that most meetings name: those that it links need
+    no comparison among themselves, so a large family of near copies costs one look at each. What is left is compared in
+    blocks with all of its group, or, in groups of more than ``MANY`` blocks, with what shares a cell with it.
     """
-    n, size = F.col("n"), F.col("size")
     sizes = found.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.max_by("node", F.struct("degree", "node")).alias("leader"))
-    sizes = sizes.withColumn("blocks", F.greatest(F.lit(1), F.ceil(n / CELL), F.ceil(size / CELL_BYTES)).cast("int")).checkpoint()
-    lists = F.collect_list("node").alias("nodes"), F.collect_list("text").alias("texts")
+    sizes = sizes.withColumn("blocks", blocks_of(F.col("n"), F.col("size"))).checkpoint()
     small = found.join(sizes.where("blocks = 1").select("group"), "group")
-    edges = forests(small.groupBy("group").agg(*lists), similarity, width)
-    large = sizes.where("blocks > 1").select("group", "leader", "blocks")
-    if large.isEmpty():
+    edges = forests(small.groupBy("group").agg(F.collect_list("node").alias("nodes"), F.collect_list("text").alias("texts")), similarity, width)
+    most = sizes.agg(F.max("blocks")).first()[0] or 1
+    if most == 1:
         return edges.distinct()
+    large = sizes.where("blocks > 1").select("group", "leader", "blocks")
     members = found.join(large, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     leaders = members.where("node = leader").select(F.col("group").alias("_g"), F.col("text").alias("leader_text"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_part"))
     flags = linked_to_leaders(members.join(leaders, (F.col("group") == F.col("_g")) & (F.col("part") == F.col("_part"))), similarity, width).checkpoint()
@@ -215,15 +248,11 @@ def verified_links(found: DataFrame, similarity: float, width: int) -> DataFrame
     left = flags.groupBy("group").agg(F.count("*").alias("n"), F.count_if("linked").alias("n_linked")).where("n > n_linked")
     if left.isEmpty():
         return edges.union(led).distinct()
-    share = lambda count: F.greatest(F.lit(1), F.ceil(count * F.col("blocks") / n)).cast("int")
-    dealt = left.join(large, "group").select("group", share(F.col("n_linked")).alias("of_linked"), share(n - F.col("n_linked")).alias("of_rest"))
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("of_linked")).otherwise(F.col("of_rest"))).cast("int")
-    pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("p"), j.alias("q"))
-    over = lambda count, make: F.transform(F.sequence(F.lit(0), F.col(count) - 1), make)
-    meets = F.when(F.col("linked"), over("of_rest", lambda j: pair("x", own, j))).otherwise(
-        F.concat(over("of_linked", lambda i: pair("x", i, own)), over("of_rest", lambda j: pair("u", F.least(own, j), F.greatest(own, j)))))
-    rest = found.select("node", "text").join(flags.join(dealt, "group").select("group", "node", F.explode(meets).alias("t")), "node")
-    return edges.union(led).union(forests(rest.groupBy("group", "t").agg(*lists), similarity, width)).distinct()
+    bins, many = left.join(large, "group"), F.col("blocks") > MANY
+    edges = edges.union(led).union(compared(found, flags, bins.where(~many), ["group"], similarity, width))
+    if most > MANY:
+        edges = edges.union(compared_in_cells(found, flags, bins.where(many), cells, similarity, width))
+    return edges.distinct()
 
 
 def meeting_points(classes: DataFrame) -> DataFrame:
@@ -258,7 +287,8 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, simil
         # Classes without an id are found by their texts.
         nameless = mark_classes(texts_of.where("_doc is null").select("text"), "text", "_class", width).dropDuplicates(["_class"])
         found = found.union(nameless.join(wanted.where("_id is null"), F.col("_class") == F.col("node")).select("group", "node", "degree", "text"))
-    return verified_links(found.checkpoint(), similarity, width)
+    cells = classes.select(F.col("class").alias("node"), F.explode("cells").alias("cell"))
+    return verified_links(found.checkpoint(), similarity, width, cells)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:

@@ -74,6 +74,21 @@ def test_large_groups_lose_no_pair(spark, monkeypatch):
     assert stage(spark, rows) == sorted(i for i, c in brute_components(rows).items() if i == c)
 
 
+def test_vast_groups_are_compared_in_cells(spark, monkeypatch):
+    """Texts that drift apart word by word: candidates make one group of them, exact links many."""
+    rng, words, rows, taken = random.Random(7), [f"w{i}" for i in range(60)], [], []
+    for i in range(200):
+        rows.append((i, " ".join(words)))
+        for at in rng.sample(range(0, 60, 6), rng.choice([1, 1, 2, 3])):
+            words[at + rng.randrange(6)] = f"x{i}-{at}"
+    monkeypatch.setattr(near_copies, "CELL", 4)
+    monkeypatch.setattr(near_copies, "MANY", 2)
+    real = near_copies.compared_in_cells
+    monkeypatch.setattr(near_copies, "compared_in_cells", lambda *a: taken.append(1) or real(*a))
+    want = sorted(i for i, c in brute_components(rows).items() if i == c)
+    assert stage(spark, rows) == want and 20 < len(want) < 180 and taken
+
+
 def test_edge_rows(spark, edges, none):
     kept = [r["doc_id"] for r in drop(edges).collect()]
     assert sorted(i for i in kept if i is not None) == [1, 4, 5, 7, 8, 9] and kept.count(None) == 2  # two texts without an id, like no other
