@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -353,28 +356,50 @@ def town_lines(samples: DataFrame, most: float = 2.0) -> DataFrame:
 #: Miles behind and ahead of its last place that a car is sought first, and miles off the route within which that counts.
 BEHIND, AHEAD, NEAR_ROUTE = 3.0, 15.0, 1.0
 FOLLOWED = "car long, fix_at timestamp, event_id long, route_id long, along double, off double"
-NEW_PLACE: Kept = (None, None)
+#: Shares of a route's cars; each has the route's segments beside it.
+SHARES = 16
 
 
-def nearest(hits) -> tuple[float, float] | None:
-    """off and along of the nearest segment, the first of equals."""
-    best = min(((h["off"], h["seq"], h["along"]) for h in hits), default=None)
-    return best and (best[0], best[2])
+def near_place(pieces: tuple, lat: float, lon: float, hint: float) -> tuple[float, float] | None:
+    """off and along of the nearest segment, the first of equals, within ``NEAR_ROUTE`` and of the miles around ``hint``.
 
-
-def follow_step(kept: Kept, row) -> tuple[Kept, tuple[float, float]]:
-    """The next place of a car on its route: near its last one if the route is near there, else the nearest of the whole route."""
-    route, hint = kept
-    hits = [] if row.hits is None else row.hits
-    found = None
-    if hint is not None and route == row.route_id:
-        found = nearest(h for h in hits if h["cum1"] >= hint - BEHIND and h["cum0"] <= hint + AHEAD)
-    found = found or nearest(hits) or (row.far_off, row.far_along)
-    return (row.route_id, found[1]), found
-
-
-def followed_row(row, made: tuple[float, float]) -> list[tuple]:
-    return [(row.car, row.fix_at, row.event_id, row.route_id, made[1], made[0])]
+    ``pieces`` are the columns of a route's segments in order: lat0, lon0, cosine of lat0, miles east and north of its end, cum0, cum1.
+    """
+    lat0, lon0, cosine, east, north, cum0, cum1 = pieces
+    best = None
+    for i in range(bisect_left(cum1, hint - BEHIND - spatial.SLACK), len(cum1)):
+        if cum0[i] > hint + AHEAD + spatial.SLACK:
+            break
+        if cum1[i] < hint - BEHIND or cum0[i] > hint + AHEAD:
+            continue
+        turn, sx, sy = lon - lon0[i], east[i], north[i]
+        turn = turn - 360.0 if turn > 180.0 else turn + 360.0 if turn < -180.0 else turn
+        px, py, l2 = turn * geo.MILES_PER_DEGREE * cosine[i], (lat - lat0[i]) * geo.MILES_PER_DEGREE, sx * sx + sy * sy
+        t = max(0.0, min(1.0, (px * sx + py * sy) / l2)) if l2 > 0 else 0.0
+        dx, dy = px - t * sx, py - t * sy
+        off = math.sqrt(dx * dx + dy * dy)
+        if off <= NEAR_ROUTE and (best is None or off < best[0]):
+            best = (off, cum0[i] + t * (cum1[i] - cum0[i]))
+    return best
+
+
+def followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Places of fixes: of each share of a route its segments come first, then its fixes car by car in order."""
+    share, car, hint, pieces = None, None, None, ()
+    for batch in batches:
+        rows = []
+        for row in batch.itertuples(index=False):
+            if (row.route_id, row.share) != share:
+                share, car, pieces = (row.route_id, row.share), None, tuple(array("d") for _ in range(7))
+            if row.kind == 0:
+                for column, value in zip(pieces, (row.lat, row.lon, row.cosine, row.east, row.north, row.cum0, row.cum1)):
+                    column.append(value)
+                continue
+            if car != row.car or not row.again:
+                car, hint = row.car, None
+            off, hint = (hint is not None and near_place(pieces, row.lat, row.lon, hint)) or (row.cum0, row.cum1)
+            rows.append((row.car, row.fix_at, row.event_id, row.route_id, hint, off))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOLLOWED.split(", ")])
 
 
 def follow_route(fixes: DataFrame, segments: DataFrame, order: str = "event_id") -> DataFrame:
@@ -382,26 +407,29 @@ def follow_route(fixes: DataFrame, segments: DataFrame, order: str = "event_id")
 
     A route that crosses itself or doubles back doesn't make a car jump: the next fix is sought from ``BEHIND`` miles behind
     to ``AHEAD`` miles ahead of the last place, and on the whole route only if that window has nothing within ``NEAR_ROUTE``
-    miles. Segments within that reach come from a grid join for all fixes at once; fixes far from their route look in ever
-    wider corridors. Only the choice among a fix's few segments is made car by car. A fix without a position, or whose
-    route has no segment, isn't followed.
+    miles. The nearest place of the whole route is found for all fixes at once by a grid join of which only the least is kept, and in ever
+    wider corridors for those far from it. Only the window is looked at car by car, in the route's segments in order: 56 bytes each, of one route at a time.
+    A fix without a position, or whose route has no segment, isn't followed.
     """
     f = fixes.where("lat is not null and lon is not null and route_id is not null").join(segments.select("route_id").distinct(), "route_id", "left_semi")
-    f = f.select("car", "route_id", F.col("fix_at").cast("timestamp").alias("fix_at"), order, "lat", "lon")
-    points = f.select(F.struct("car", "route_id", "fix_at", order, "lat", "lon").alias("id"), "route_id", "lat", "lon").distinct()
-    hits = spatial.segment_hits(points, segments, NEAR_ROUTE, own_route=True).groupBy("id").agg(F.collect_list(F.struct("off", "seq", "along", "cum0", "cum1")).alias("hits")).checkpoint()
-    far, lost, corridor = [], points.join(hits.select("id"), "id", "left_anti").checkpoint(), NEAR_ROUTE
-    while not lost.isEmpty() and corridor < 1e6:
-        corridor *= 10
-        found = spatial.segment_hits(lost, segments, corridor, own_route=True).groupBy("id").agg(F.min(F.struct("off", "seq", "along")).alias("b"))
-        far.append(found.select("id", F.col("b.off").alias("far_off"), F.col("b.along").alias("far_along")).checkpoint())
-        lost = lost.join(far[-1].select("id"), "id", "left_anti").checkpoint()
-    none = F.lit(None).cast("double")
-    rows = hits.select("id", "hits", none.alias("far_off"), none.alias("far_along"))
-    for found in far:
-        rows = rows.unionByName(found.withColumn("hits", F.lit(None).cast(hits.schema["hits"].dataType)))
-    at = f.withColumn("id", F.struct("car", "route_id", "fix_at", order, "lat", "lon")).join(rows, "id")
-    return along(at.select("car", "route_id", "fix_at", order, "hits", "far_off", "far_along"), order, NEW_PLACE, follow_step, followed_row, FOLLOWED)
+    f = f.select("car", "route_id", F.col("fix_at").cast("timestamp").alias("fix_at"), F.col(order).alias("event_id"), "lat", "lon")
+    spots = f.select("route_id", "lat", "lon").distinct().withColumn("id", F.struct("route_id", "lat", "lon")).checkpoint()
+    found, lost, corridor = [], spots, NEAR_ROUTE
+    while corridor < 1e7 and not lost.isEmpty():
+        place = spatial.segment_hits(lost, segments, corridor, own_route=True).groupBy("id").agg(F.min(F.struct("off", "seq", "along")).alias("b"))
+        found.append(place.select("id.*", "b.off", "b.along").checkpoint())
+        lost, corridor = lost.join(found[-1], ["route_id", "lat", "lon"], "left_anti").checkpoint(), corridor * 10
+    nearest = reduce(DataFrame.union, found or [spots.select("route_id", "lat", "lon", F.lit(0.0).alias("off"), F.lit(0.0).alias("along"))])
+    before = F.lag("route_id").over(Window.partitionBy("car").orderBy("fix_at", "event_id"))
+    f = f.withColumn("again", F.coalesce(before == F.col("route_id"), F.lit(False))).withColumn("share", F.pmod(F.xxhash64("car"), F.lit(SHARES)).cast("int"))
+    east, north = geo.planar_xy(F.col("lat1"), F.col("lon1"), F.col("lat0"), F.col("lon0"))
+    s = segments.join(f.select("route_id", "share").distinct(), "route_id")
+    none = F.lit(0.0)
+    s = s.select("route_id", "share", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("car"), F.lit(None).cast("timestamp").alias("fix_at"), F.col("seq").cast("long").alias("event_id"), F.lit(False).alias("again"), F.col("lat0").alias("lat"), F.col("lon0").alias("lon"), F.cos(F.radians("lat0")).alias("cosine"), east.alias("east"), north.alias("north"), "cum0", "cum1")
+    # a fix has its nearest place where a segment has its miles
+    f = f.join(nearest, ["route_id", "lat", "lon"]).select("route_id", "share", F.lit(1).alias("kind"), "car", "fix_at", "event_id", "again", "lat", "lon", none.alias("cosine"), none.alias("east"), none.alias("north"), F.col("off").alias("cum0"), F.col("along").alias("cum1"))
+    rows = s.union(f).repartition("route_id", "share").sortWithinPartitions("route_id", "share", "kind", "car", "fix_at", "event_id")
+    return rows.mapInPandas(followed, FOLLOWED).withColumnRenamed("event_id", order)
 
 
 def progress(followed: DataFrame, segments: DataFrame) -> DataFrame:
