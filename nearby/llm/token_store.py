@@ -14,21 +14,21 @@ shards and no rows.
 from __future__ import annotations
 
 import os
-import re
+import string
 import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearby.llm import elias_fano
-from nearby.llm.common import bounded_batches, new_folder, remove_folder, slices, texts
+from nearby.llm.common import bounded_batches, new_folder, remove_folder, slices
 from nearby.llm.vocab import SPACE, WordCache, public_path
 from nearby.sources.files import Replacing, store
 
@@ -36,13 +36,18 @@ from nearby.sources.files import Replacing, store
 CACHE_BYTES = 96 << 20
 HEAD = struct.Struct("<4sBQQq")
 MAGIC = b"TKEF"
-WORDS = re.compile(f"[^{SPACE}]+")
-#: Control characters that Python's split() takes for white space and the vocabulary doesn't.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: The vocabulary's white space as RE2 writes it.
+GAPS = "[" + SPACE.encode().decode("unicode_escape") + "]+"
+#: Control characters that Arrow's split takes for white space and the vocabulary doesn't.
+SEPARATORS = "[\x1c\x1d\x1e\x1f]"
+#: Bytes of a worker's cache of marks at words' ends.
+MARKS_BYTES = 4 << 20
 #: Bytes of text in a shard, about; smaller where that gives all tasks a shard.
 SHARD_BYTES = 128 << 20
 #: Texts encoded at once.
-WRITE_ROWS = 512
+WRITE_ROWS = 1024
+#: Words whose ids are laid out at once.
+LAID_WORDS = 1 << 20
 #: Tokens read at once.
 READ_TOKENS = 4_000_000
 
@@ -60,16 +65,18 @@ def unpack_head(raw: bytes) -> tuple[tuple[int, ...], bytes]:
 
 
 class WordEncoder:
-    """Words to ids by the tokenizers library, as little-endian 32-bit numbers.
+    """Words to ids by the tokenizers library, as little-endian numbers of ``dtype``.
 
     The vocabulary drops white space, so a text's ids are those of its words in a row. It also lower-cases and
-    always cuts between letters and a full stop or comma at a word's end, so such words share their letters'
-    entry. Words of letters alone are one piece each and are encoded many at once, joined by line ends: the
+    always cuts between letters and marks other than the apostrophe that end a word, so such words share their letters'
+    and their marks' entries. Words of letters alone are one piece each and are encoded many at once, joined by line ends: the
     token that ends a piece tells where a word's ids stop.
     """
 
     #: Letters whose lower case depends on what stands around them, or is more than one letter.
     ODD = frozenset("Σİẞŉǰΐΰև")
+    #: Marks that are a piece of their own after letters. An apostrophe may begin a piece with letters.
+    MARKS = string.punctuation.replace("'", "")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,57 +87,77 @@ class WordEncoder:
         self.t.no_truncation()
         vocab = self.t.get_vocab(with_added_tokens=True)
         self.size = len(vocab)
+        self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
         self.letters = WordCache(self.joined, CACHE_BYTES, 1)
-        self.marks = {m: self.each([m])[0] for m in ".,"}
+        self.marks = WordCache(self.each, MARKS_BYTES, 1)
 
     def each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(words, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.t.encode_batch_fast(words, add_special_tokens=False)]
 
     def joined(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(words), 8192):
             part = words[i : i + 8192]
-            ids = np.array(self.t.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            raw = ids.tobytes()
+            ids = np.array(self.t.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part) and stops[-1] == len(ids):
-                out += [raw[4 * x : 4 * y] for x, y in zip([0, *stops], stops)]
+                raw, cuts = ids.tobytes(), (stops * self.dtype.itemsize).tolist()
+                out += [raw[x:y] for x, y in zip([0, *cuts], cuts)]
             else:
                 out += self.each(part)
         return out
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        cores, tails = [], []
-        for w in words:
-            core = w.lower()
-            tail = core[-1] if core[-1] in self.marks else ""
-            core = core[:-1] if tail else core
-            plain = core.isalpha() and self.ODD.isdisjoint(w)
-            cores.append(core if plain else None)
-            tails.append(self.marks.get(tail, b""))
-        known = self.letters.of({c for c in cores if c})
-        rest = iter(self.each([w for w, c in zip(words, cores) if not c]))
-        return [known[c] + t if c else next(rest) for c, t in zip(cores, tails)]
+        out, at, cores, tails, rest = [b""] * len(words), [], [], [], []
+        for i, w in enumerate(words):
+            low = w.lower()
+            core = low.rstrip(self.MARKS)
+            if core.isalpha() and (w.isascii() or self.ODD.isdisjoint(w)):
+                at.append(i)
+                cores.append(core)
+                tails.append(low[len(core) :])
+            elif w:
+                rest.append(i)
+        for own, i in zip(self.each([words[i] for i in rest]), rest):
+            out[i] = own
+        letters, marks = (dict(zip(once, cache.in_order(once))) for once, cache in ((list(dict.fromkeys(cores)), self.letters), (list({t for t in tails if t}), self.marks)))
+        marks[""] = b""
+        for i, core, tail in zip(at, cores, tails):
+            out[i] = letters[core] + marks[tail]
+        return out
 
 
 @lru_cache(maxsize=2)
-def worker(path: str) -> tuple[WordCache, int]:
-    """A Python worker's cache of encoded words and the vocabulary's size."""
+def worker(path: str) -> tuple[WordCache, WordEncoder]:
+    """A Python worker's cache of encoded words and their encoder."""
     encoder = WordEncoder(path)
-    return WordCache(encoder, CACHE_BYTES, 1), encoder.size
-
-
-def split(text: str) -> list[str]:
-    return WORDS.findall(text) if any(c in text for c in SEPARATORS) else text.split()
-
-
-def encode_batch(batch: list[str], path: str) -> list[bytes]:
-    cache, _ = worker(path)
-    rows = [split(t) for t in batch]
-    known = cache.of(set(chain.from_iterable(rows)))
-    return [b"".join(map(known.__getitem__, row)) for row in rows]
+    return WordCache(encoder, CACHE_BYTES, 1), encoder
+
+
+def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts of a column in a row, and how many each text has. Texts are cut and equal words are found
+    by Arrow; only distinct words are Python objects."""
+    cache, encoder = worker(path)
+    column = pc.fill_null(column, "")
+    odd = pc.any(pc.match_substring_regex(column, SEPARATORS)).as_py()
+    rows = pc.split_pattern_regex(column, GAPS) if odd else pc.utf8_split_whitespace(column)
+    words = rows.flatten().dictionary_encode()
+    forms = cache.in_order(words.dictionary.to_pylist())
+    blob = np.frombuffer(b"".join(forms), encoder.dtype)
+    sizes = np.fromiter(map(len, forms), np.int64, len(forms)) // encoder.dtype.itemsize
+    starts = np.cumsum(sizes) - sizes
+    which = words.indices.to_numpy()
+    laid, before = [], np.zeros(len(which) + 1, np.int64)
+    for i in range(0, len(which), LAID_WORDS):
+        w = which[i : i + LAID_WORDS]
+        n = sizes[w]
+        stops = np.cumsum(n)
+        laid.append(blob[np.arange(stops[-1]) + np.repeat(starts[w] - (stops - n), n)])
+        before[i + 1 : i + 1 + len(w)] = before[i] + stops
+    cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(rows).to_numpy())])
+    return np.concatenate(laid) if laid else np.zeros(0, encoder.dtype), np.diff(before[cuts])
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
@@ -139,24 +166,21 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
     if not shards:
         size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
         shards = max(1, -(-(size["bytes"] or 0) // SHARD_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), size["n"]))
-    end = np.array([end_id], "<u4").tobytes()
-
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         shard, attempt = task.partitionId(), task.taskAttemptId()
         ids_file, doc_ids, ends, nulls, total = None, array("q"), array("Q"), 0, 0
-        width = 2 if max(worker(vocabulary)[1], end_id + 1) <= 1 << 16 else 4
+        width = 2 if max(worker(vocabulary)[1].size, end_id + 1) <= 1 << 16 else 4
         for batch in slices(batches, WRITE_ROWS):
             ids_file = ids_file or Replacing(folder, f"{shard:06d}.ids", attempt)
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encode_batch(texts(batch.column(1)), vocabulary)):
-                ids = np.frombuffer(raw + end, "<u4")
-                ids_file.write(ids.astype("<u2").tobytes() if width == 2 else ids.tobytes())
-                total += len(ids)
-                ends.append(total)
-                if doc_id is None:
-                    nulls += 1
-                else:
-                    doc_ids.append(doc_id)
+            ids, counts = encode_column(batch.column(1), vocabulary)
+            stops = np.cumsum(counts)
+            ids_file.write(np.insert(ids.astype(f"<u{width}"), stops, end_id).tobytes())
+            ends.frombytes((stops + np.arange(1, len(stops) + 1) + total).astype(np.uint64).tobytes())
+            total = ends[-1]
+            own = batch.column(0).drop_null()
+            nulls += batch.num_rows - len(own)
+            doc_ids.frombytes(own.to_numpy(zero_copy_only=False).astype(np.int64).tobytes())
         if ids_file:
             ef_file = Replacing(folder, f"{shard:06d}.ef", attempt)
             base = doc_ids[0] if doc_ids else 0

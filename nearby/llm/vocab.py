@@ -42,3 +42,17 @@ class WordCache:
             self.known.update(made)
             return self.known
         return {w: made[w] if w in made else self.known[w] for w in words}
+
+    def in_order(self, words: list) -> list:
+        """The forms of distinct words, one for each."""
+        out = list(map(self.known.get, words))
+        at = [i for i, form in enumerate(out) if form is None]
+        if at:
+            missing = [words[i] for i in at]
+            made = list(self.encode(missing))
+            for i, form in zip(at, made):
+                out[i] = form
+            if self.left > 0:
+                self.left -= self.ENTRY * len(made) + sum(map(len, missing)) + (self.unit * sum(map(len, filter(None, made))) if self.unit else 0)
+                self.known.update(zip(missing, made))
+        return out

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -193,6 +194,22 @@ def test_token_store_edges(spark, edges, twice, none):
     assert token_store.store_and_read(none).count() == 0
 
 
+def test_token_store_shares_words(monkeypatch):
+    """Words with marks at their end cost no encoding of their own, and texts are those of the library whatever stands in them."""
+    t, path = library("word_bpe_49k.json"), public_path("word_bpe_49k.json")
+    token_store.worker.cache_clear()
+    asked, each = [], token_store.WordEncoder.each
+    monkeypatch.setattr(token_store.WordEncoder, "each", lambda self, words: asked.extend(words) or each(self, words))
+    texts = ["steinein&&& Steinein!? steinein. steinein erntrend&&& ", None, "", " a'S b'tx. L'été!! x<|endoftext|>y <|startoftext|>. ", "\x1ca\x1d b\u3000c\x85d", "ΣΑΣ. İst. ŉa, ẞ! \u0301a. 12a a_b_c ---a a'. a.' ²a ⅷ x\u200b."]
+    for rows in (texts[:1], texts, [], texts[2:3]):
+        ids, counts = token_store.encode_column(pa.array(rows, pa.string()), path)
+        want = [t.encode(x or "", add_special_tokens=False).ids for x in rows]
+        assert [ids[b - n : b].tolist() for n, b in zip(counts, np.cumsum(counts))] == want
+        if rows == texts[:1]:
+            assert set(asked) <= {"&&&", "!?", "."}
+    token_store.worker.cache_clear()
+
+
 # 4
 
 
