@@ -7,13 +7,27 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nearby.functions import heads
 from nearby.functions import vocab as V
-from nearby.functions.text import has
+from nearby.functions.text import has, let
 
 
 def all_matches(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    """Names of all rules that match, in their order."""
-    return F.array_compact(F.array(*(F.when(has(text, p), n) for n, p in rules)))
+    """Names of all rules that match, in their order. The text is read once for what rules begin with; only rules it has a beginning of are tried."""
+    begun = [heads.beginnings(p) for _, p in rules]
+    wanted = heads.shortest(set().union(*(b for b in begun if b)))
+
+    def tried(t: Column, found: Column) -> Column:
+        own = [None if b is None else sorted(w for w in wanted if any(x.startswith(w) for x in b)) for b in begun]
+        hits = (has(t, p) if k is None else F.arrays_overlap(found, F.array(*map(F.lit, k))) & has(t, p) for k, (_, p) in zip(own, rules))
+        return F.array_compact(F.array(*(F.when(hit, n) for hit, (n, _) in zip(hits, rules))))
+
+    return let(text, lambda t: let(heads.found_beginnings(t, wanted), lambda found: tried(t, found)))
+
+
+def any_match(text: Column, pattern: str) -> Column:
+    """Whether a long text matches."""
+    return F.size(all_matches(text, ((".", pattern),))) > 0
 
 
 def first_match(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
@@ -27,29 +41,64 @@ def venue_type(venue: Column) -> Column:
 
 def types_of(title: Column, description: Column, venue: Column, limit: int = 3) -> Column:
     """Up to ``limit`` types: the title's, one more from the description, else the venue's, a fixture, or other."""
-    own = F.slice(all_matches(title, V.TYPES), 1, limit)
-    more = F.slice(F.array_except(all_matches(description, V.TYPES), own), 1, 1)
-    found = F.slice(F.concat(own, more), 1, limit)
+    return types_from(title, all_matches(description, V.TYPES), venue, limit)
+
+
+def types_from(title: Column, described: Column, venue: Column, limit: int = 3) -> Column:
+    """The same of the types that the description says."""
+    more = lambda own: F.slice(F.array_except(described, own), 1, 1)
+    found = let(F.slice(all_matches(title, V.TYPES), 1, limit), lambda own: F.when(F.size(own) < limit, F.concat(own, more(own))).otherwise(own))
     fixture = has(title, r"^[A-Z][\w.'-]*(?:\s+[\w.&'-]+){0,4}\s+vs\.?\s+[A-Z]", False)
     implied = F.coalesce(venue_type(venue), F.when(fixture, "sporting event"), F.lit("other"))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(implied))
+    return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(implied)))
 
 
 def type_of(title: Column, description: Column, venue: Column) -> Column:
     return F.element_at(types_of(title, description, venue), 1)
 
 
-def setting_of(text: Column) -> Column:
-    out, inside = has(text, V.OUTDOOR), has(text, V.INDOOR)
+#: What a whole text is asked besides its types or categories.
+OUTSIDE, INSIDE, FOOD, HINT = ((f"#{n}", p) for n, p in (("outdoor", V.OUTDOOR), ("indoor", V.INDOOR), ("food", V.FOOD_WORDS), ("hint", V.ACTIVITY_HINTS)))
+
+
+def setting_in(found: Column) -> Column:
+    out, inside = (F.array_contains(found, n) for n, _ in (OUTSIDE, INSIDE))
     return F.when(out & ~inside, "outdoor").when(inside & ~out, "indoor").otherwise("unknown")
 
 
+def setting_of(text: Column) -> Column:
+    return let(all_matches(text, (OUTSIDE, INSIDE)), setting_in)
+
+
 def has_food(text: Column) -> Column:
-    return has(text, V.FOOD_WORDS)
+    return any_match(text, V.FOOD_WORDS)
 
 
 def activity_hint(text: Column) -> Column:
-    return has(text, V.ACTIVITY_HINTS)
+    return any_match(text, V.ACTIVITY_HINTS)
+
+
+def named(found: Column) -> Column:
+    """The types or categories among what a text was asked."""
+    return F.filter(found, lambda n: ~n.startswith("#"))
+
+
+def event_reading(title: Column, description: Column, venue: Column) -> Column:
+    """struct(types, setting, food) of an event, from one reading of its description."""
+
+    def told(found: Column) -> Column:
+        return F.struct(types_from(title, named(found), venue).alias("types"), setting_in(found).alias("setting"), F.array_contains(found, FOOD[0]).alias("food"))
+
+    return let(all_matches(description, (*V.TYPES, OUTSIDE, INSIDE, FOOD)), told)
+
+
+def text_reading(text: Column) -> Column:
+    """struct(hint, food, setting, categories) of a text, from one reading."""
+
+    def told(found: Column) -> Column:
+        return F.struct(F.array_contains(found, HINT[0]).alias("hint"), F.array_contains(found, FOOD[0]).alias("food"), setting_in(found).alias("setting"), categories_in(named(found)).alias("categories"))
+
+    return let(all_matches(text, (*V.LEGACY_CATEGORIES, OUTSIDE, INSIDE, FOOD, HINT)), told)
 
 
 def time_of_day(local: Column) -> Column:
@@ -57,10 +106,13 @@ def time_of_day(local: Column) -> Column:
     return F.when(F.hour(local) < 17, "daytime").otherwise("nighttime")
 
 
+def categories_in(found: Column) -> Column:
+    return F.when(F.size(found) > 0, F.slice(found, 1, 4)).otherwise(F.array(F.lit("community")))
+
+
 def categorise(text: Column) -> Column:
     """Up to four coarse categories."""
-    found = F.slice(all_matches(text, V.LEGACY_CATEGORIES), 1, 4)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("community")))
+    return let(all_matches(text, V.LEGACY_CATEGORIES), categories_in)
 
 
 def audience_of(text: Column, title: Column, kind: Column) -> Column:
