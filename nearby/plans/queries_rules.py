@@ -182,8 +182,7 @@ told = lambda p: "regexp_matches(t, '" + p.replace("'", "''") + "', 'i')"  # noq
 coalesce(nullif(array_to_string(list_filter([{', '.join(f"case when {told(p)} then '{n}' end" for n, p in V.LEGACY_CATEGORIES)}], lambda c: c is not null)[1:4], ','), ''), 'community') as categories from x""")
 def _(s, d):
     view(s, d, "documents").createOrReplaceTempView("documents")
-    t = F.col("t")
-    return s.sql(SPICED).select("doc_id", C.activity_hint(t).alias("hint"), C.has_food(t).alias("food"), C.setting_of(t).alias("setting"), F.array_join(C.categorise(t), ",").alias("categories"))
+    return s.sql(SPICED).select("doc_id", C.text_reading(F.col("t")).alias("r")).select("doc_id", "r.hint", "r.food", "r.setting", F.array_join("r.categories", ",").alias("categories"))
 
 
 @query("curated_listings", "select id from (select case when o_orderkey % 10 = 0 then 'manual-' || o_orderkey else id end as id, case cast(o_orderkey % 4 as int) when 0 then 'Board Meeting' else title end as title from v_listings) where id like 'manual-%' or title <> 'Board Meeting'", "v_listings")
