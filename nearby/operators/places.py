@@ -45,7 +45,9 @@ def osm_places(elements: DataFrame) -> DataFrame:
     first = lambda *keys: F.coalesce(*(F.nullif(F.trim(t[k]), F.lit("")) for k in keys))
     address = F.nullif(F.concat_ws(" ", first("addr:housenumber"), first("addr:street")), F.lit(""))
     url = first("website", "contact:website", "url")
-    df = elements.withColumn("kinds", classify_tags(t)).where("size(kinds) > 0")
+    # Exploded, tags and kinds are made once for each row, not once for each of the many keys that are asked for.
+    df = elements.select(*(c for c in elements.columns if c != "tags"), F.explode(F.array("tags")).alias("tags"))
+    df = df.select("*", F.explode(F.array(classify_tags(t))).alias("kinds")).where("size(kinds) > 0")
     lat, lon = F.coalesce("lat", F.col("center.lat")), F.coalesce("lon", F.col("center.lon"))
     out = df.select(
         F.concat_ws("-", F.lit("osm"), "type", F.col("id").cast("string")).alias("id"), first("name").alias("name"), F.get("kinds", 0).alias("kind"), "kinds",
