@@ -35,14 +35,18 @@ def at(v: str | Column, path: str, kind: str = "string") -> Column:
 
 def items(records: DataFrame, *paths: str) -> DataFrame:
     """(source_id, v): the objects of the first of the payload's arrays that is there and isn't empty."""
-    lists = [F.when(F.size(x) > 0, x) for x in (at("p", p, "array<variant>") for p in paths)]
-    return records.select("source_id", F.try_parse_json("payload").alias("p")).select("source_id", F.explode(F.coalesce(*lists)).alias("v"))
+    *others, last = (at("p", p, "array<variant>") for p in paths)
+    lists = [*(F.when(F.size(x) > 0, x) for x in others), last]
+    parsed = records.select("source_id", F.explode(F.array(F.try_parse_json("payload"))).alias("p"))  # exploded, it is parsed once whatever is asked of it
+    return parsed.select("source_id", F.explode(F.coalesce(*lists)).alias("v"))
 
 
 def rows(df: DataFrame, **cols: Column) -> DataFrame:
-    """The columns of a shape, null where it has none."""
-    out = df.select("source_id", *(cols.get(n, F.lit(None)).cast(t).alias(n) for n, t in COLUMNS.items()))
-    return out.where("title is not null and title <> '' and start_at is not null")
+    """The columns of a shape, null where it has none. Title and start are made once for each record, before others are made."""
+    made = {n: cols.get(n, F.lit(None)).cast(t).alias(n) for n, t in COLUMNS.items()}
+    needed = F.explode(F.array(F.struct(made["title"], made["start_at"]))).alias("_needed")
+    kept = df.select("*", needed).where("_needed.title is not null and _needed.title <> '' and _needed.start_at is not null")
+    return kept.select("source_id", *(F.col(f"_needed.{n}") if n in ("title", "start_at") else c for n, c in made.items()))
 
 
 def local(text: Column, zone: Column | str = ZONE, *formats: str) -> Column:
