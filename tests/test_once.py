@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nearby.functions import text as X
-from nearby.operators import places
+from nearby.operators import audit, places
 from nearby.sources import shapes
 
 
@@ -41,3 +41,36 @@ def test_unescape(spark):
     df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", X.unescape(t).alias("got"), plain(t).alias("want"))
     assert [(r["t"], r["got"], r["want"]) for r in df.collect() if r["got"] != r["want"]] == []
     assert optimized(df.select("got")).count("regexp_replace") == 6
+
+
+def site(i: int, links: int) -> tuple:
+    many = "".join(f'<a href="/events/{n % 5}#{n}">Event {n}</a><a href="/deals/{n % 3}">Deal</a>' for n in range(links))
+    return i, f"https://www.hall{i % 3}.example/{'x' * i}", f'<p>Concerts: January 3, 2025-02-03 and 4/5 Grand Lyceum</p>{many}<a href="https://cal.example.net/calendar">all events</a>'
+
+
+def test_pages_once(spark):
+    pages = spark.createDataFrame([site(i, 4) for i in range(6)], "page_id int, url string, html string")
+    names = spark.createDataFrame([("hall0.example", "The Grand Lyceum Hall"), ("hall0.example", "Elsewhere"), ("hall1.example", "Elsewhere Cinema"), ("hall1.example", None)], "domain string, name string")
+    plan = optimized(audit.signals(pages))
+    assert plan.count("<a\\s") <= 2 and plan.count("noscript") <= 4  # links are read once by address and once by label
+    verdicts = audit.audit_domains(pages, names)
+    assert optimized(verdicts).count("<a\\s") <= 2
+    assert sorted((r["domain"], r["verdict"], r["pages"], r["found"]) for r in verdicts.collect()) == [(f"hall{i}.example", "listings", 2, ["linked calendar", "dated listings", "dated specials"]) for i in range(3)]
+    leads = audit.audit_leads(verdicts, names)
+    assert optimized(leads).count("<a\\s") <= 2 and leads.columns == ["domain", "lead", "detail"]
+    fronts = pages.select(F.lit("hall0.example").alias("domain"), F.lit("grand old lyceum").alias("head")).limit(1)
+    assert [r["domain"] for r in audit.named_sites(fronts, names).collect()] == ["hall0.example"]
+
+
+def test_leads_of_each_kind(spark):
+    verdicts = spark.createDataFrame([("a", "feed", "u", False), ("b", "listings", "v", True), ("c", "parked", "w", False), ("d", "suspect", None, False), ("e", "none", None, None)], "domain string, verdict string, url string, spammed boolean")
+    places_of = spark.createDataFrame([("c", "Z"), ("c", "Y"), ("c", "X"), ("c", "X"), ("a", "Q")], "domain string, name string")
+    want = [("a", "feed", "u"), ("b", "spammed", None), ("c", "bad", "X; Y"), ("d", "bad", None)]
+    assert sorted(tuple(r) for r in audit.audit_leads(verdicts, places_of).collect()) == want
+    assert sorted(tuple(r) for r in audit.audit_leads(verdicts).collect()) == [x if x[0] != "c" else ("c", "bad", None) for x in want]
+
+
+def test_candidates_of_a_page_with_many_links(spark):
+    pages = spark.createDataFrame([(*site(1, 300),)], "page_id int, url string, html string")
+    got = pages.select(audit.candidates(F.col("url"), F.col("html")).alias("c"), audit.linked_calendars(F.col("url"), F.col("html")).alias("l")).first()
+    assert got["c"] == [f"https://www.hall1.example/events/{n}" for n in range(5)] + [f"https://www.hall1.example/deals/{n}" for n in range(3)] and got["l"] == ["https://cal.example.net/calendar"]
