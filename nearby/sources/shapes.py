@@ -84,8 +84,9 @@ def events_rest(records: DataFrame) -> DataFrame:
     """Events-calendar REST pages: own zone, venue in parts."""
     v = "v"
     zone = F.coalesce(F.when(at(v, "$.timezone").rlike(r"^[A-Za-z]+/[A-Za-z_/]+$"), at(v, "$.timezone")), F.lit(ZONE))
-    place = joined(at(v, "$.venue.venue"), at(v, "$.venue.address"), at(v, "$.venue.city"), F.coalesce(at(v, "$.venue.stateprovince"), at(v, "$.venue.state")))
-    return rows(items(records, "$.events"), uid=F.concat(F.lit("tribe-"), at(v, "$.id")), title=unescape(F.trim(at(v, "$.title"))), start_at=local(at(v, "$.start_date"), zone), end_at=local(at(v, "$.end_date"), zone), all_day=at(v, "$.all_day", "boolean"), url=at(v, "$.url"), venue=at(v, "$.venue.venue"), city=at(v, "$.venue.city"), address=place, description=clean_text(F.coalesce(at(v, "$.description"), at(v, "$.excerpt"))))
+    hall = at(v, "$.venue", "struct<venue string,address string,city string,stateprovince string,state string>")  # read once; a path that isn't there costs Spark an exception
+    place = joined(hall["venue"], hall["address"], hall["city"], F.coalesce(hall["stateprovince"], hall["state"]))
+    return rows(items(records, "$.events"), uid=F.concat(F.lit("tribe-"), at(v, "$.id")), title=unescape(F.trim(at(v, "$.title"))), start_at=local(at(v, "$.start_date"), zone), end_at=local(at(v, "$.end_date"), zone), all_day=at(v, "$.all_day", "boolean"), url=at(v, "$.url"), venue=hall["venue"], city=hall["city"], address=place, description=clean_text(F.coalesce(at(v, "$.description"), at(v, "$.excerpt"))))
 
 
 def ticketing(records: DataFrame) -> DataFrame:

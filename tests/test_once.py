@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from nearby.functions import text as X
 from nearby.operators import audit, places
+from nearby.plans import queries_feeds as feeds
 from nearby.sources import shapes
 
 
@@ -29,6 +30,27 @@ def test_titles_once(spark):
     assert [(r["uid"], r["title"], str(r["start_at"])[:10], r["address"]) for r in out.collect()] == [("tribe-1", "A & B", "2026-01-02", None)]
 
 
+def test_venue_once(spark):
+    venues = ["", ',"venue":[]', ',"venue":"Hall"', ',"venue":null', ',"venue":{}', ',"venue":{"venue":"Hall","city":5,"state":"NY"}', ',"venue":{"stateprovince":"CT","state":"NY"}', ',"venue":{"venue":"","address":{"a":1},"stateprovince":null,"state":"NY"}']
+    events = ",".join(f'{{"id":{i},"title":"t","start_date":"2026-01-02 10:00:00"{v}}}' for i, v in enumerate(venues))
+    out = shapes.shape(spark.createDataFrame([("s", f'{{"events":[{events}]}}')], "source_id string, payload string"), "events rest").select("uid", "venue", "city", "address")
+    assert optimized(out).count("$.venue.") == 0  # not a path for each of its parts
+    got = {r["uid"]: tuple(r)[1:] for r in out.collect()}
+    nothing = (None, None, None)
+    assert [got[f"tribe-{i}"] for i in range(len(venues))] == [nothing] * 5 + [("Hall", "5", "Hall, 5, NY"), (None, None, "CT"), ("", None, '{"a":1}, NY')]
+
+
+def test_records_hold_many_listings(spark, small):
+    def sizes(*span):
+        return [n for n, in feeds.payloads(spark, small, feeds.obj(id=feeds.key()), ("[", "]"), *span).select(F.size(F.from_json("payload", "array<struct<id:string>>"))).collect()]
+
+    rows = feeds.listings(spark, small)
+    n, venues = rows.count(), rows.select("venue_key").distinct().count()
+    assert n <= feeds.RECORD * feeds.VENUES  # so a venue's listings are all in one record
+    assert sum(sizes()) == n and len(sizes()) == venues
+    assert sum(sizes(4)) == n and max(sizes(4)) <= 4
+
+
 def test_unescape(spark):
     texts = [None, "", "plain", "&", "&amp;", "&amp;lt; &#38;lt; &#038;amp;lt;", "&#39;&#0039;&#x27;&#x027;&#160;|&nbsp;|", "&#8217;&#8211;&ndash;&mdash;&hellip;&eacute;&copy;&middot;", "&AMP; &lt &bogus; &lt;&gt;&quot;&apos;", "a &# b &amp;#39;"]
 
