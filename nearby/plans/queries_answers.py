@@ -187,7 +187,7 @@ def _(s, d):
     k = F.col("o_orderkey")
     start = F.date_add(F.lit("1995-01-01").cast("date"), (k % 40).cast("int")).cast("timestamp_ntz")
     ls = listings(s, d).select("id", "title", (41.5 + (k % 3) / 10.0).alias("lat"), F.lit(-73.9).alias("lon"), start.alias("start_at"), F.lit(None).cast("timestamp_ntz").alias("end_at"))
-    return resolve.duplicate_pairs(ls)
+    return resolve.class_links(ls)
 
 
 @query("refreshed_table", f"""with {CLUSTERS}, x as (select t.*, coalesce(c.cluster, t.id) as cluster, case when end_at is not null then 1 else 0 end as rich, t.id like 'l-%' as held from two t left join comp c on t.id = c.n),
