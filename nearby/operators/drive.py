@@ -6,8 +6,8 @@ import math
 from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -383,22 +383,41 @@ def near_place(pieces: tuple, lat: float, lon: float, hint: float) -> tuple[floa
     return best
 
 
+def nearest_place(pieces: tuple, lat: float, lon: float) -> tuple[float, float] | None:
+    """off and along of the nearest of all segments, the first of equals; ``pieces`` as in ``near_place``, as numpy columns."""
+    lat0, lon0, cosine, east, north, cum0, cum1 = pieces
+    turn = lon - lon0
+    turn = np.where(turn > 180.0, turn - 360.0, np.where(turn < -180.0, turn + 360.0, turn))
+    px, py, l2 = turn * geo.MILES_PER_DEGREE * cosine, (lat - lat0) * geo.MILES_PER_DEGREE, east * east + north * north
+    t = np.clip(np.divide(px * east + py * north, l2, out=np.zeros_like(l2), where=l2 > 0), 0.0, 1.0)
+    dx, dy = px - t * east, py - t * north
+    off = np.sqrt(dx * dx + dy * dy)
+    off[np.isnan(off)] = np.inf
+    i = int(off.argmin())
+    return (float(off[i]), float(cum0[i] + t[i] * (cum1[i] - cum0[i]))) if off[i] < np.inf else None
+
+
 def followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Places of fixes: of each share of a route its segments come first, then its fixes car by car in order."""
-    share, car, hint, pieces = None, None, None, ()
+    share, car, hint, pieces, whole = None, None, None, (), ()
     for batch in batches:
         rows = []
         for row in batch.itertuples(index=False):
             if (row.route_id, row.share) != share:
-                share, car, pieces = (row.route_id, row.share), None, tuple(array("d") for _ in range(7))
+                share, car, pieces, whole = (row.route_id, row.share), None, tuple(array("d") for _ in range(7)), ()
             if row.kind == 0:
                 for column, value in zip(pieces, (row.lat, row.lon, row.cosine, row.east, row.north, row.cum0, row.cum1)):
                     column.append(value)
                 continue
             if car != row.car or not row.again:
                 car, hint = row.car, None
-            off, hint = (hint is not None and near_place(pieces, row.lat, row.lon, hint)) or (row.cum0, row.cum1)
-            rows.append((row.car, row.fix_at, row.event_id, row.route_id, hint, off))
+            place = near_place(pieces, row.lat, row.lon, hint) if hint is not None else None
+            if place is None:
+                whole = whole or tuple(np.frombuffer(column) for column in pieces)
+                place = nearest_place(whole, row.lat, row.lon)
+            if place is not None:
+                off, hint = place
+                rows.append((row.car, row.fix_at, row.event_id, row.route_id, hint, off))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOLLOWED.split(", ")])
 
 
@@ -407,27 +426,19 @@ def follow_route(fixes: DataFrame, segments: DataFrame, order: str = "event_id")
 
     A route that crosses itself or doubles back doesn't make a car jump: the next fix is sought from ``BEHIND`` miles behind
     to ``AHEAD`` miles ahead of the last place, and on the whole route only if that window has nothing within ``NEAR_ROUTE``
-    miles. The nearest place of the whole route is found for all fixes at once by a grid join of which only the least is kept, and in ever
-    wider corridors for those far from it. Only the window is looked at car by car, in the route's segments in order: 56 bytes each, of one route at a time.
+    miles. Both are looked at car by car, in the route's segments in order: 56 bytes each, of one route at a time. A fix
+    that is found in its window costs what the window has, and one that isn't a pass of numpy over the route's columns.
     A fix without a position, or whose route has no segment, isn't followed.
     """
     f = fixes.where("lat is not null and lon is not null and route_id is not null").join(segments.select("route_id").distinct(), "route_id", "left_semi")
     f = f.select("car", "route_id", F.col("fix_at").cast("timestamp").alias("fix_at"), F.col(order).alias("event_id"), "lat", "lon")
-    spots = f.select("route_id", "lat", "lon").distinct().withColumn("id", F.struct("route_id", "lat", "lon")).checkpoint()
-    found, lost, corridor = [], spots, NEAR_ROUTE
-    while corridor < 1e7 and not lost.isEmpty():
-        place = spatial.segment_hits(lost, segments, corridor, own_route=True).groupBy("id").agg(F.min(F.struct("off", "seq", "along")).alias("b"))
-        found.append(place.select("id.*", "b.off", "b.along").checkpoint())
-        lost, corridor = lost.join(found[-1], ["route_id", "lat", "lon"], "left_anti").checkpoint(), corridor * 10
-    nearest = reduce(DataFrame.union, found or [spots.select("route_id", "lat", "lon", F.lit(0.0).alias("off"), F.lit(0.0).alias("along"))])
     before = F.lag("route_id").over(Window.partitionBy("car").orderBy("fix_at", "event_id"))
     f = f.withColumn("again", F.coalesce(before == F.col("route_id"), F.lit(False))).withColumn("share", F.pmod(F.xxhash64("car"), F.lit(SHARES)).cast("int"))
     east, north = geo.planar_xy(F.col("lat1"), F.col("lon1"), F.col("lat0"), F.col("lon0"))
     s = segments.join(f.select("route_id", "share").distinct(), "route_id")
     none = F.lit(0.0)
     s = s.select("route_id", "share", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("car"), F.lit(None).cast("timestamp").alias("fix_at"), F.col("seq").cast("long").alias("event_id"), F.lit(False).alias("again"), F.col("lat0").alias("lat"), F.col("lon0").alias("lon"), F.cos(F.radians("lat0")).alias("cosine"), east.alias("east"), north.alias("north"), "cum0", "cum1")
-    # a fix has its nearest place where a segment has its miles
-    f = f.join(nearest, ["route_id", "lat", "lon"]).select("route_id", "share", F.lit(1).alias("kind"), "car", "fix_at", "event_id", "again", "lat", "lon", none.alias("cosine"), none.alias("east"), none.alias("north"), F.col("off").alias("cum0"), F.col("along").alias("cum1"))
+    f = f.select("route_id", "share", F.lit(1).alias("kind"), "car", "fix_at", "event_id", "again", "lat", "lon", *(none.alias(c) for c in ("cosine", "east", "north", "cum0", "cum1")))
     rows = s.union(f).repartition("route_id", "share").sortWithinPartitions("route_id", "share", "kind", "car", "fix_at", "event_id")
     return rows.mapInPandas(followed, FOLLOWED).withColumnRenamed("event_id", order)
 
